@@ -120,7 +120,186 @@ GROUP BY a.category, b.category
 """
 
 
+DOCS = f"docs AS (SELECT doc_id, source, lang, text, {title_sql()} AS title, {content_sql()} AS content FROM documents)"
+MEM = ("mem AS (SELECT DISTINCT doc_id, category FROM (SELECT doc_id, source AS category FROM documents "
+       "UNION ALL SELECT doc_id, lang AS category FROM documents))")
+KEEP = f"keep(category) AS (VALUES {FILTER_LIST})"
+
+
+def _unnest_tokens(tokens_sql: str, text: str = "content", name: str = "token") -> str:
+    return (f"SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS {name} "
+            f"FROM (SELECT doc_id, {tokens_sql} AS l FROM docs)")
+
+
+WORD_TOKS = _unnest_tokens(word_tokens_sql("content"), name="word")
+ML_TOKS = _unnest_tokens(ml_tokens_sql("content"), name="term")
+STREAM_TOKS = _unnest_tokens(stream_tokens_sql("text"), text="text", name="word")
+
+TRIMMED = f"""{DOCS},
+toks AS ({WORD_TOKS}),
+wc AS (SELECT word, count(*) AS cnt FROM toks GROUP BY word),
+vocab AS (SELECT word, cnt, CAST(r - 10 AS INTEGER) AS idx FROM (
+  SELECT word, cnt, row_number() OVER (ORDER BY cnt DESC, word ASC) AS r FROM wc)
+  WHERE r > 10 AND r <= 2000)"""
+
+UNK_VOCAB = f"""{DOCS},
+toks AS ({STREAM_TOKS}),
+wc AS (SELECT word, count(*) AS cnt FROM toks GROUP BY word),
+top AS (SELECT word, cnt, CAST(r AS INTEGER) AS idx FROM (
+  SELECT word, cnt, row_number() OVER (ORDER BY cnt DESC, word ASC) AS r FROM wc) WHERE r <= 999),
+vocab AS (SELECT word, cnt, idx FROM top UNION ALL
+  SELECT 'UNK', CAST((SELECT sum(cnt) FROM wc) - coalesce((SELECT sum(cnt) FROM top), 0) AS BIGINT), 0)"""
+
+EMB = ("emb AS (SELECT vec_id, label, CAST(unnest(range(len(embedding))) AS INTEGER) AS dim, "
+       "CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)")
+
+SEQ = f"""{TRIMMED},
+enc AS (SELECT t.doc_id, t.pos, v.idx FROM toks t JOIN vocab v ON t.word = v.word),
+seqs AS (SELECT doc_id, list(idx ORDER BY pos) AS l FROM enc GROUP BY doc_id)"""
+
+TF = f"""{DOCS},
+toks AS ({ML_TOKS}),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY doc_id, term),
+dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+idf AS (SELECT term, df, ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1.0)) AS idf FROM dfq)"""
+
+CENTROIDS = f"""{EMB},
+cen AS (SELECT label, dim, avg(x) AS v FROM emb GROUP BY label, dim),
+pairs AS (SELECT a.label AS cat1, b.label AS cat2, sum((a.v - b.v) * (a.v - b.v)) AS distance
+  FROM cen a JOIN cen b ON a.dim = b.dim AND a.label < b.label GROUP BY a.label, b.label),
+named AS (SELECT 'label' || cat1 AS name1, 'label' || cat2 AS name2, distance FROM pairs)"""
+
+LABELS = [f"label{i}" for i in range(10)]
+
+
+def _distance_matrix() -> str:
+    cols = ",\n  ".join(
+        f"coalesce(max(s.distance) FILTER (WHERE s.name2 = '{x}'), 0.0) AS {x}" for x in LABELS)
+    return f"""WITH {CENTROIDS},
+sd AS (SELECT name1, name2, {stable('distance')} AS distance FROM named),
+s AS (SELECT name1, name2, distance FROM sd UNION ALL SELECT name2, name1, distance FROM sd),
+names AS (SELECT DISTINCT 'label' || label AS name FROM embeddings)
+SELECT n.name,
+  {cols}
+FROM names n LEFT JOIN s ON s.name1 = n.name GROUP BY n.name"""
+
+
+def _category_distance_embedding() -> str:
+    return f"""WITH {DOCS},
+toks AS ({WORD_TOKS}),
+wc AS (SELECT word, count(*) AS cnt FROM toks GROUP BY word),
+vocab AS (SELECT word, CAST(r - 10 AS INTEGER) AS idx FROM (
+  SELECT word, row_number() OVER (ORDER BY cnt DESC, word ASC) AS r FROM wc)
+  WHERE r > 10 AND r <= 20000),
+{EMB},
+dv AS (SELECT t.doc_id, e.dim, sum(e.x) AS v FROM toks t JOIN vocab v ON t.word = v.word
+       JOIN emb e ON e.vec_id = v.idx GROUP BY t.doc_id, e.dim),
+{MEM}, {KEEP},
+cv AS (SELECT m.category, dv.dim, sum(dv.v) AS v FROM dv JOIN mem m ON m.doc_id = dv.doc_id
+       WHERE m.category IN (SELECT category FROM keep) GROUP BY m.category, dv.dim)
+SELECT a.category AS name1, b.category AS name2, {stable('sum((a.v - b.v) * (a.v - b.v))')} AS distance
+FROM cv a JOIN cv b ON a.dim = b.dim AND a.category < b.category GROUP BY a.category, b.category"""
+
+
+def _hashing_tf() -> str:
+    ctes, hashed = murmur_bucket_ctes("toks", "term", 20)
+    return f"""WITH {DOCS},
+toks AS ({ML_TOKS}),{ctes}
+SELECT t.doc_id AS article_id, h.bucket, CAST(count(*) AS DOUBLE) AS tf
+FROM toks t JOIN {hashed} h ON t.term = h.term GROUP BY t.doc_id, h.bucket"""
+
+
+def _rating_triples() -> str:
+    return f"""WITH c1 AS ({_category_distance_tfidf()}),
+{MEM},
+dict AS (SELECT category, CAST(row_number() OVER (ORDER BY category) AS INTEGER) AS id
+         FROM (SELECT DISTINCT category FROM mem))
+SELECT coalesce(a.id, 0) AS "user", coalesce(b.id, 0) AS item, c1.distance AS rating
+FROM c1 LEFT JOIN dict a ON a.category = c1.name1 LEFT JOIN dict b ON b.category = c1.name2"""
+
+
+BUCKET = "(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 1000)"
+
+
 def oracle_sql() -> dict[str, str]:
+    word_count = f"WITH {DOCS}, toks AS ({WORD_TOKS}) SELECT word, count(*) AS cnt FROM toks GROUP BY word"
     return {
+        "corpus_articles": f"SELECT doc_id AS article_id, {title_sql()} AS title, {content_sql()} AS content FROM documents",
+        "corpus_file_roundtrip": f"WITH {DOCS} SELECT title, arg_max(content, doc_id) AS content FROM docs GROUP BY title",
+        "title_normalize": f"WITH {DOCS} SELECT doc_id AS article_id, replace(title, ' ', '_') AS title FROM docs",
+        "membership_explode": f"WITH {MEM} SELECT doc_id AS article_id, category FROM mem",
+        "dictionary_last_wins": """SELECT user_id,
+  arg_max(event_type, row(ts, event_id)) AS event_type,
+  arg_max(value, row(ts, event_id)) AS value FROM events GROUP BY user_id""",
+        "dense_category_labels": f"""WITH {MEM} SELECT category,
+  CAST(row_number() OVER (ORDER BY category) AS INTEGER) AS label FROM (SELECT DISTINCT category FROM mem)""",
+        "lookup_with_default": """SELECT d.doc_id, coalesce(l.quality, -1) AS quality
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+        "filter_categories": f"""WITH {MEM}, {KEEP}
+SELECT doc_id AS article_id, category FROM mem WHERE category IN (SELECT category FROM keep)""",
+        "labelled_articles": f"""WITH {MEM}, {KEEP},
+lab AS (SELECT category, CAST(row_number() OVER (ORDER BY category) AS INTEGER) AS label FROM keep)
+SELECT DISTINCT m.doc_id AS article_id, lab.label FROM mem m JOIN lab ON lab.category = m.category""",
+        "tokenize_words": f"WITH {DOCS} SELECT doc_id AS article_id, pos, word AS token FROM ({WORD_TOKS})",
+        "tokenize_whitespace": f"WITH {DOCS} SELECT doc_id AS article_id, pos, term AS token FROM ({ML_TOKS})",
+        "word_count": word_count,
+        "vocabulary_trimmed": f"WITH {TRIMMED} SELECT word, cnt, idx FROM vocab",
+        "vocabulary_unk": f"WITH {UNK_VOCAB} SELECT word, cnt, idx FROM vocab",
+        "unk_count": f"""WITH {UNK_VOCAB}
+SELECT CAST(count(*) AS BIGINT) AS unk_count FROM toks t LEFT JOIN top v ON t.word = v.word WHERE v.word IS NULL""",
+        "token_index_sequence": f"""WITH {SEQ}
+SELECT doc_id AS article_id, array_to_string(l, ' ') AS seq FROM seqs""",
+        "pad_or_truncate": f"""WITH {SEQ}
+SELECT doc_id AS article_id, array_to_string(list_concat(list_slice(l, 1, 50),
+  list_transform(range(greatest(50 - len(l), 0)), lambda x: 0)), ' ') AS seq FROM seqs""",
+        "word_vector_lookup": f"""WITH {TRIMMED}, {EMB}
+SELECT v.word, v.idx, e.dim, e.x AS value FROM vocab v JOIN emb e ON e.vec_id = v.idx""",
+        "document_vector_sum": f"""WITH {TRIMMED}, {EMB}
+SELECT t.doc_id AS article_id, e.dim, {stable('sum(e.x)')} AS value
+FROM toks t JOIN vocab v ON t.word = v.word JOIN emb e ON e.vec_id = v.idx GROUP BY t.doc_id, e.dim""",
+        "term_frequency": f"WITH {TF} SELECT doc_id AS article_id, term, tf FROM tf",
+        "document_frequency": f"WITH {TF} SELECT term, df FROM dfq",
+        "idf_weights": f"WITH {TF} SELECT term, df, {stable('idf')} AS idf FROM idf",
+        "tfidf_exact": f"""WITH {TF}
+SELECT tf.doc_id AS article_id, tf.term, {stable('tf.tf * idf.idf')} AS tfidf FROM tf JOIN idf ON tf.term = idf.term""",
+        "hashing_tf": _hashing_tf(),
+        "category_centroid_mean": f"WITH {EMB} SELECT label, dim, {stable('avg(x)')} AS value FROM emb GROUP BY label, dim",
+        "category_centroid_sum": f"WITH {EMB} SELECT label, dim, {stable('sum(x)')} AS value FROM emb GROUP BY label, dim",
+        "category_pair_distance": f"WITH {CENTROIDS} SELECT cat1, cat2, {stable('distance')} AS distance FROM pairs",
+        "named_distances_sorted": f"WITH {CENTROIDS} SELECT name1, name2, {stable('distance')} AS distance FROM named",
         "category_distance_tfidf": _category_distance_tfidf(),
+        "category_distance_embedding": _category_distance_embedding(),
+        "blocked_pair_distance": f"""WITH {EMB}
+SELECT a.vec_id AS id1, b.vec_id AS id2, {stable('sum((a.x - b.x) * (a.x - b.x))')} AS distance
+FROM emb a JOIN emb b ON a.dim = b.dim AND a.vec_id < b.vec_id GROUP BY a.vec_id, b.vec_id""",
+        "distance_matrix": _distance_matrix(),
+        "nearest_categories": f"""WITH {CENTROIDS},
+s AS (SELECT name1, name2, distance FROM named UNION ALL SELECT name2, name1, distance FROM named),
+r AS (SELECT name1, name2, distance,
+      CAST(row_number() OVER (PARTITION BY name1 ORDER BY distance, name2) AS INTEGER) AS rank FROM s)
+SELECT name1, name2, {stable('distance')} AS distance, rank FROM r WHERE rank <= 3""",
+        "rating_triples": _rating_triples(),
+        "l2_normalize": f"""WITH {EMB},
+n AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM emb GROUP BY vec_id)
+SELECT e.vec_id, e.dim, {stable('CASE WHEN n.norm = 0 THEN 0.0 ELSE e.x / n.norm END')} AS value
+FROM emb e JOIN n ON n.vec_id = e.vec_id""",
+        "embedding_text_rows": f"""WITH {EMB}
+SELECT 'w' || vec_id || ' ' || string_agg(CAST(CAST(round(x * 1e6) AS BIGINT) AS VARCHAR), ' ' ORDER BY dim) AS line
+FROM emb GROUP BY vec_id""",
+        "skipgram_pairs": f"""WITH {DOCS},
+t AS (SELECT doc_id, l, unnest(range(len(l))) AS i FROM (SELECT doc_id, {stream_tokens_sql('text')} AS l FROM docs))
+SELECT doc_id AS article_id, CAST(i AS INTEGER) AS pos, l[i + 1] AS center, l[i + 1 + o] AS context
+FROM t, (VALUES (-1), (1)) v(o) WHERE i + o >= 0 AND i + o < len(l)""",
+        "hash_split": f"""SELECT doc_id AS article_id,
+  CAST(CASE WHEN {BUCKET} < 800 THEN 0 WHEN {BUCKET} < 900 THEN 1 ELSE 2 END AS INTEGER) AS split FROM documents""",
+        "hash_sample": f"SELECT doc_id AS article_id FROM documents WHERE {BUCKET} < 200",
+        "topk_accuracy": f"""WITH {EMB},
+cen AS (SELECT label, dim, avg(x) AS v FROM emb GROUP BY label, dim),
+d AS (SELECT e.vec_id, e.label AS true_label, c.label, sum((e.x - c.v) * (e.x - c.v)) AS dist
+      FROM emb e JOIN cen c ON c.dim = e.dim GROUP BY e.vec_id, e.label, c.label),
+r AS (SELECT vec_id, true_label, label,
+      row_number() OVER (PARTITION BY vec_id ORDER BY dist ASC, label ASC) AS rk FROM d)
+SELECT 5 AS k, {stable('avg(CASE WHEN rk <= 5 THEN 1.0 ELSE 0.0 END)')} AS accuracy, count(*) AS n
+FROM r WHERE label = true_label""",
+        "materialize_once": word_count,
     }

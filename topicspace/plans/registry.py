@@ -12,22 +12,385 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import uuid
+
+from topicspace.functions import vectors as FV
+from topicspace.functions.text import normalize_title
 from topicspace.functions.vectors import stable
+from topicspace.operators import categories as C
+from topicspace.operators import labels as L
+from topicspace.operators import text as TX
+from topicspace.operators import tfidf as TF
+from topicspace.operators.common import to_long
+from topicspace.operators.evaluation import class_scores, topk_accuracy as _topk
+from topicspace.operators.sampling import hash_sample as _hash_sample
+from topicspace.operators.sampling import hash_split as _hash_split
+from topicspace.operators.skipgram import skipgrams
+from topicspace.operators.vectors import document_vectors, l2_normalize as _l2, vector_sum
 from topicspace.plans import jobs
+from topicspace.plans.materialize import materialize
+from topicspace.session import shared_dir
+from topicspace.sources import files as SF
 from topicspace.sources import tables as TB
+from topicspace.sources.writers import word_vector_lines, write_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Parameters of the registered queries.
+TRIM_SKIP, TRIM_CAP = 10, 2000          # trimmed vocabulary: drop 10 most frequent, cap 2000
+UNK_CAP = 1000                          # vocabulary with the unknown-word slot
+PAD_LEN = 50                            # fixed sequence length
+HASH_BUCKETS = 20                       # hashed term buckets, as the original job
+EMBED_VOCAB, EMBED_SKIP = 20000, 10     # vocabulary of the embedding distance job
+SPLIT_WEIGHTS = (0.8, 0.1, 0.1)
+SAMPLE_FRACTION = 0.2
+TOP_K = 5
+NEAREST_K = 3
+
+
+def _arts(spark, sf):
+    return TB.articles(spark, sf)
+
+
+def _content_tokens(spark, sf, method="words"):
+    return TX.tokenize(_arts(spark, sf).select("article_id", "content"), "content", "tokens", method)
+
+
+def _trimmed_vocab(spark, sf):
+    toks = _content_tokens(spark, sf)
+    return TX.vocabulary(TX.word_counts(toks), TRIM_CAP, skip_top=TRIM_SKIP), toks
+
+
+def _stream_tokens(spark, sf):
+    docs = TB.table(spark, sf, "documents")
+    return TX.tokenize(docs.select(F.col("doc_id").alias("article_id"), "text"),
+                       "text", "tokens", "stream")
+
+
+def _long_tokens(toks):
+    return toks.select("article_id", F.posexplode("tokens").alias("pos", "token"))
+
+
+# --- sources and projections -------------------------------------------------
+
+def corpus_articles(spark, sf):
+    return _arts(spark, sf)
+
+
+def corpus_file_roundtrip(spark, sf):
+    """Write the documents as a blank-line separated corpus file (in doc_id
+    order) to the shared folder, parse it back: a repeated title keeps its last
+    article."""
+    path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    docs = TB.table(spark, sf, "documents").orderBy("doc_id")
+    write_text(docs, "text", path, line_sep="\n\n")
+    return SF.read_corpus(spark, path)
+
+
+def title_normalize(spark, sf):
+    return _arts(spark, sf).select("article_id", normalize_title("title").alias("title"))
+
+
+def membership_explode(spark, sf):
+    return TB.membership(spark, sf)
+
+
+def dictionary_last_wins(spark, sf):
+    ev = TB.table(spark, sf, "events").select(
+        "user_id", "event_type", "value", F.struct("ts", "event_id").alias("_order"))
+    return SF.last_wins(ev, "user_id", "_order")
+
+
+def dense_category_labels(spark, sf):
+    cats = TB.membership(spark, sf).select("category").distinct()
+    return L.dense_labels(cats, "category", out="label")
+
+
+def lookup_with_default(spark, sf):
+    docs = TB.table(spark, sf, "documents").select("doc_id")
+    return L.lookup(docs, TB.table(spark, sf, "labels"), "doc_id", "quality", default=-1)
+
+
+def filter_categories(spark, sf):
+    return L.semi_filter(TB.membership(spark, sf), TB.category_filter(spark), "category")
+
+
+def labelled_articles(spark, sf):
+    """Articles -> categories -> dense labels of the filter list; categories
+    outside the list get label 0 and are dropped."""
+    labels = L.dense_labels(TB.category_filter(spark), "category", out="label")
+    arts = _arts(spark, sf).select("article_id")
+    return L.label_articles(arts, TB.membership(spark, sf), labels, category="category")
+
+
+# --- text ----------------------------------------------------------------------
+
+def tokenize_words(spark, sf):
+    return _long_tokens(_content_tokens(spark, sf, "words"))
+
+
+def tokenize_whitespace(spark, sf):
+    return _long_tokens(_content_tokens(spark, sf, "whitespace"))
+
+
+def word_count(spark, sf):
+    return TX.word_counts(_content_tokens(spark, sf))
+
+
+def vocabulary_trimmed(spark, sf):
+    return _trimmed_vocab(spark, sf)[0]
+
+
+def vocabulary_unk(spark, sf):
+    return TX.vocabulary(TX.word_counts(_stream_tokens(spark, sf)), UNK_CAP, unk=True)
+
+
+def unk_count(spark, sf):
+    toks = _stream_tokens(spark, sf)
+    vocab = TX.vocabulary(TX.word_counts(toks), UNK_CAP, unk=True)
+    return TX.unk_count(TX.encode(toks, "article_id", "tokens", vocab, oov="unk"))
+
+
+def _sequences(spark, sf):
+    vocab, toks = _trimmed_vocab(spark, sf)
+    enc = TX.encode(toks, "article_id", "tokens", vocab, oov="drop")
+    return TX.index_sequences(enc, "article_id")
+
+
+def _seq_text(df, col="seq"):
+    return df.select("article_id", F.array_join(F.col(col).cast("array<string>"), " ").alias("seq"))
+
+
+def token_index_sequence(spark, sf):
+    return _seq_text(_sequences(spark, sf))
+
+
+def pad_or_truncate(spark, sf):
+    return _seq_text(TX.pad(_sequences(spark, sf), "seq", PAD_LEN, side="post"))
+
+
+def word_vector_lookup(spark, sf):
+    vocab, _ = _trimmed_vocab(spark, sf)
+    wv = vocab.select("word", "idx").join(TB.word_vectors(spark, sf), "idx", "inner")
+    return to_long(wv.select("word", "idx", F.col("vec").cast("array<double>").alias("vec")),
+                   ["word", "idx"], "vec")
+
+
+def document_vector_sum(spark, sf):
+    vocab, toks = _trimmed_vocab(spark, sf)
+    enc = TX.encode(toks, "article_id", "tokens", vocab, oov="drop")
+    dv = document_vectors(enc, TB.word_vectors(spark, sf), doc="article_id")
+    return to_long(dv, ["article_id"], "vec").select("article_id", "dim", stable("value").alias("value"))
+
+
+# --- tf-idf --------------------------------------------------------------------
+
+def _tf(spark, sf):
+    return TF.term_frequency(_content_tokens(spark, sf, "whitespace"), "article_id", "tokens")
+
+
+def term_frequency(spark, sf):
+    return _tf(spark, sf)
+
+
+def document_frequency(spark, sf):
+    return TF.document_frequency(_tf(spark, sf))
+
+
+def _n_docs(spark, sf):
+    return TB.table(spark, sf, "documents").count()
+
+
+def idf_weights(spark, sf):
+    w = TF.idf_weights(TF.document_frequency(_tf(spark, sf)), _n_docs(spark, sf))
+    return w.select("term", "df", stable("idf").alias("idf"))
+
+
+def tfidf_exact(spark, sf):
+    tf = _tf(spark, sf)
+    w = TF.tfidf(tf, TF.idf_weights(TF.document_frequency(tf), _n_docs(spark, sf)))
+    return w.select("article_id", "term", stable("tfidf").alias("tfidf"))
+
+
+def hashing_tf(spark, sf):
+    return TF.hashed_term_frequency(_content_tokens(spark, sf, "whitespace"), "article_id",
+                                    "tokens", HASH_BUCKETS)
+
+
+# --- categories ------------------------------------------------------------------
+
+def _centroids(spark, sf, how):
+    return vector_sum(TB.labelled_vectors(spark, sf), "label", "vec", how=how)
+
+
+def _centroids_long(spark, sf, how):
+    return to_long(_centroids(spark, sf, how), ["label"], "vec").select(
+        "label", "dim", stable("value").alias("value"))
+
+
+def category_centroid_mean(spark, sf):
+    return _centroids_long(spark, sf, "mean")
+
+
+def category_centroid_sum(spark, sf):
+    return _centroids_long(spark, sf, "sum")
+
+
+def _pairs(spark, sf):
+    return C.pair_distances(_centroids(spark, sf, "mean"), id="label", vec="vec")
+
+
+def category_pair_distance(spark, sf):
+    return _pairs(spark, sf).select("cat1", "cat2", stable("distance").alias("distance"))
+
+
+def _named(spark, sf):
+    names = TB.label_names(TB.labelled_vectors(spark, sf))
+    return C.name_pairs(_pairs(spark, sf), names, id="label")
+
+
+def named_distances_sorted(spark, sf):
+    return C.sort_distances(_named(spark, sf)).select(
+        "name1", "name2", stable("distance").alias("distance"))
+
+
 def category_distance_tfidf(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship (C1): TF-IDF category distances over the wiki view."""
     arts = TB.articles(spark, sf, with_categories=True)
     res = jobs.category_distance_tfidf(arts, categories="categories",
-                                       keep=TB.category_filter(spark), category="category")
+                                       keep=TB.category_filter(spark), category="category",
+                                       num_features=HASH_BUCKETS)
+    return res.select("name1", "name2", stable("distance").alias("distance"))
+
+
+def category_distance_embedding(spark, sf):
+    arts = TB.articles(spark, sf, with_categories=True)
+    res = jobs.category_distance_embedding(arts, TB.word_vectors(spark, sf),
+                                           categories="categories", keep=TB.category_filter(spark),
+                                           category="category", vocab_size=EMBED_VOCAB,
+                                           skip_top=EMBED_SKIP, how="sum")
     return res.select("name1", "name2", stable("distance").alias("distance"))
 
 
+def blocked_pair_distance(spark, sf):
+    vecs = TB.labelled_vectors(spark, sf)
+    res = C.pair_distances(vecs, id="vec_id", vec="vec", blocks=8, id1="id1", id2="id2")
+    return res.select("id1", "id2", stable("distance").alias("distance"))
+
+
+def distance_matrix(spark, sf):
+    names = [r["name"] for r in TB.label_names(TB.labelled_vectors(spark, sf)).orderBy("name").collect()]
+    m = jobs.distance_matrix(_named(spark, sf).select(
+        "name1", "name2", stable("distance").alias("distance")), names)
+    return m
+
+
+def nearest_categories(spark, sf):
+    res = C.nearest(_named(spark, sf), NEAREST_K)
+    return res.select("name1", "name2", stable("distance").alias("distance"), "rank")
+
+
+def rating_triples(spark, sf):
+    """Named TF-IDF distances -> (user, item, rating) through the category
+    dictionary (unknown name -> id 0)."""
+    dist = jobs.category_distance_tfidf(TB.articles(spark, sf, with_categories=True),
+                                        categories="categories", keep=TB.category_filter(spark),
+                                        category="category", num_features=HASH_BUCKETS)
+    dictionary = L.category_dictionary(TB.membership(spark, sf), "category", "category_id")
+    u = L.lookup(dist, dictionary.select(F.col("category").alias("name1"),
+                                         F.col("category_id").alias("user")), "name1", "user", 0)
+    i = L.lookup(u, dictionary.select(F.col("category").alias("name2"),
+                                      F.col("category_id").alias("item")), "name2", "item", 0)
+    return i.select("user", "item", stable("distance").alias("rating"))
+
+
+# --- vectors -------------------------------------------------------------------
+
+def l2_normalize(spark, sf):
+    v = _l2(TB.labelled_vectors(spark, sf), "vec")
+    return to_long(v, ["vec_id"], "vec").select("vec_id", "dim", stable("value").alias("value"))
+
+
+def embedding_text_rows(spark, sf):
+    """Word-vector text lines; values scaled to integers so the text is exact."""
+    v = TB.labelled_vectors(spark, sf).select(
+        F.concat(F.lit("W"), F.col("vec_id").cast("string")).alias("word"),
+        F.transform("vec", lambda x: F.round(x.cast("double") * 1e6).cast("bigint")).alias("vec"))
+    return word_vector_lines(v, "word", "vec", out="line")
+
+
+def skipgram_pairs(spark, sf):
+    return skipgrams(_stream_tokens(spark, sf), "article_id", "tokens", window=1, num_skips=2)
+
+
+# --- samples and evaluation ------------------------------------------------------
+
+def hash_split(spark, sf):
+    docs = TB.table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"))
+    return _hash_split(docs, "article_id", SPLIT_WEIGHTS)
+
+
+def hash_sample(spark, sf):
+    docs = TB.table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"))
+    return _hash_sample(docs, "article_id", SAMPLE_FRACTION)
+
+
+def topk_accuracy(spark, sf):
+    vecs = TB.labelled_vectors(spark, sf)
+    scored = class_scores(vecs, _centroids(spark, sf, "mean"), vec="vec", label="label")
+    res = _topk(scored, TOP_K)
+    return res.select("k", stable("accuracy").alias("accuracy"), "n")
+
+
+def materialize_once(spark, sf):
+    """Word counts through load-or-compute: the second call reads the saved copy."""
+    params = {"query": "word_count", "sf": sf}
+    materialize(spark, "word_count", lambda: word_count(spark, sf), params)
+    return materialize(spark, "word_count", lambda: word_count(spark, sf), params)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "corpus_articles": corpus_articles,
+        "corpus_file_roundtrip": corpus_file_roundtrip,
+        "title_normalize": title_normalize,
+        "membership_explode": membership_explode,
+        "dictionary_last_wins": dictionary_last_wins,
+        "dense_category_labels": dense_category_labels,
+        "lookup_with_default": lookup_with_default,
+        "filter_categories": filter_categories,
+        "labelled_articles": labelled_articles,
+        "tokenize_words": tokenize_words,
+        "tokenize_whitespace": tokenize_whitespace,
+        "word_count": word_count,
+        "vocabulary_trimmed": vocabulary_trimmed,
+        "vocabulary_unk": vocabulary_unk,
+        "unk_count": unk_count,
+        "token_index_sequence": token_index_sequence,
+        "pad_or_truncate": pad_or_truncate,
+        "word_vector_lookup": word_vector_lookup,
+        "document_vector_sum": document_vector_sum,
+        "term_frequency": term_frequency,
+        "document_frequency": document_frequency,
+        "idf_weights": idf_weights,
+        "tfidf_exact": tfidf_exact,
+        "hashing_tf": hashing_tf,
+        "category_centroid_mean": category_centroid_mean,
+        "category_centroid_sum": category_centroid_sum,
+        "category_pair_distance": category_pair_distance,
+        "named_distances_sorted": named_distances_sorted,
         "category_distance_tfidf": category_distance_tfidf,
+        "category_distance_embedding": category_distance_embedding,
+        "blocked_pair_distance": blocked_pair_distance,
+        "distance_matrix": distance_matrix,
+        "nearest_categories": nearest_categories,
+        "rating_triples": rating_triples,
+        "l2_normalize": l2_normalize,
+        "embedding_text_rows": embedding_text_rows,
+        "skipgram_pairs": skipgram_pairs,
+        "hash_split": hash_split,
+        "hash_sample": hash_sample,
+        "topk_accuracy": topk_accuracy,
+        "materialize_once": materialize_once,
     }
