@@ -350,6 +350,74 @@ def materialize_once(spark, sf):
     return materialize(spark, "word_count", lambda: word_count(spark, sf), params)
 
 
+# --- models (checked by row counts and invariants, not by SQL) -------------------
+
+ALS_RANK, ALS_ITER, ALS_REG, SEED = 8, 6, 0.01, 0
+EMBED_DIM, EMBED_WINDOW, LEARN_VOCAB = 100, 1, 10000
+
+
+def _recommendations(spark, sf, side):
+    from topicspace.plans import recommend as R
+    dist = jobs.category_distance_tfidf(TB.articles(spark, sf, with_categories=True),
+                                        categories="categories", keep=TB.category_filter(spark),
+                                        category="category", num_features=HASH_BUCKETS)
+    dictionary = L.category_dictionary(TB.membership(spark, sf), "category", "category_id") \
+        .withColumnRenamed("category", "name")
+    ratings = R.ratings_from_distances(dist, dictionary)
+    model = R.fit_recommender(ratings, ALS_RANK, ALS_ITER, ALS_REG, seed=SEED)
+    keep = L.semi_filter(dictionary, TB.category_filter(spark).withColumnRenamed("category", "name"),
+                         "name")
+    return R.recommend(model, TOP_K, side=side, keep=keep, names=dictionary)
+
+
+def recommend_users_for_items(spark, sf):
+    return _recommendations(spark, sf, "users_for_items")
+
+
+def recommend_items_for_users(spark, sf):
+    return _recommendations(spark, sf, "items_for_users")
+
+
+def _labelled_content(spark, sf):
+    labels = L.dense_labels(TB.category_filter(spark), "category", out="label")
+    arts = _arts(spark, sf).select("article_id", "content")
+    return L.label_articles(arts, TB.membership(spark, sf), labels, category="category")
+
+
+def _trained(spark, sf):
+    from topicspace.plans import classify as K
+    path = f"{shared_dir(spark)}/classifier-{uuid.uuid4().hex}"
+    model, parts = K.train_classifier(_labelled_content(spark, sf), weights=SPLIT_WEIGHTS,
+                                      model_path=path)
+    return K, path, parts
+
+
+def classifier_predictions(spark, sf):
+    K, path, parts = _trained(spark, sf)
+    from topicspace.sources.writers import load_model
+    return K.predict(load_model(path), parts[2]).select("article_id", "label", "prediction")
+
+
+def classifier_topk(spark, sf):
+    K, path, parts = _trained(spark, sf)
+    return K.evaluate_saved(path, parts[2], TOP_K)
+
+
+def learned_embeddings(spark, sf):
+    from topicspace.plans.embed import learn_embeddings
+    docs = TB.table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), "text")
+    vecs = learn_embeddings(docs, vocab_size=LEARN_VOCAB, dim=EMBED_DIM, window=EMBED_WINDOW,
+                            seed=SEED)
+    return word_vector_lines(vecs, "word", "vec", out="line")
+
+
+def pca_centroids(spark, sf):
+    from topicspace.plans.reduce import principal_components
+    proj, ratio = principal_components(_centroids(spark, sf, "mean"), "label", "vec", k=1)
+    return proj.select("label", F.col("pc")[0].alias("pc1"),
+                       F.lit(ratio[0]).alias("explained_variance"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "corpus_articles": corpus_articles,
@@ -393,4 +461,10 @@ def queries() -> dict[str, Query]:
         "hash_sample": hash_sample,
         "topk_accuracy": topk_accuracy,
         "materialize_once": materialize_once,
+        "recommend_users_for_items": recommend_users_for_items,
+        "recommend_items_for_users": recommend_items_for_users,
+        "classifier_predictions": classifier_predictions,
+        "classifier_topk": classifier_topk,
+        "learned_embeddings": learned_embeddings,
+        "pca_centroids": pca_centroids,
     }
