@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from topicspace.functions.vectors import metric as metric_fn
 from topicspace.operators.common import bounded_broadcast
 from topicspace.operators.vectors import vector_sum
+from topicspace.session import shared_dir
 
 # Vectors per block in the blocked pair join.
 BLOCK_ROWS = 256
@@ -63,13 +64,18 @@ def pair_distances(vectors: DataFrame, id: str = "category_id", vec: str = "vec"
     equi-join, never a Cartesian product: ids are hashed into ``B`` blocks,
     every row is sent to the B block pairs it belongs to, and each block pair
     (i <= j) is one join key, so the n^2/2 distance work is spread over
-    B(B+1)/2 even tasks. ``B`` defaults to ceil(n / 256) (at least 1).
+    B(B+1)/2 even tasks. ``B`` defaults to ceil(n / 256) (at least 1); then the
+    input is checkpointed first, as it is read three times.
     """
     fn = metric_fn(metric)
     v = vectors.select(F.col(id).alias("_id"), F.col(vec).alias("_v"))
     if blocks is None:
-        n = v.count()
-        blocks = max(1, math.ceil(n / BLOCK_ROWS))
+        # The vectors feed both join sides and the block count: write them once to
+        # the shared checkpoint folder (one row per category: small) so the
+        # upstream work is not redone, and count the saved copy.
+        shared_dir(vectors.sparkSession)
+        v = v.checkpoint(eager=True)
+        blocks = max(1, math.ceil(v.count() / BLOCK_ROWS))
     b = F.pmod(F.xxhash64(F.col("_id")), F.lit(blocks)).cast("int")
     tagged = v.withColumn("_b", b)
     left = tagged.select(F.col("_id").alias("_l"), F.col("_v").alias("_lv"),
@@ -78,7 +84,15 @@ def pair_distances(vectors: DataFrame, id: str = "category_id", vec: str = "vec"
     right = tagged.select(F.col("_id").alias("_r"), F.col("_v").alias("_rv"),
                           F.col("_b").alias("_bj"),
                           F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_bi"))
-    joined = left.join(right, ["_bi", "_bj"], "inner")
+    # One partition per block pair (up to a cap), set explicitly so that AQE does
+    # not coalesce the small inputs of this CPU-heavy join into a few tasks.
+    spark = vectors.sparkSession
+    n_pairs = blocks * (blocks + 1) // 2
+    cap = 4 * max(spark.sparkContext.defaultParallelism,
+                  int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    parts = max(1, min(n_pairs, cap))
+    joined = left.repartition(parts, "_bi", "_bj").join(
+        right.repartition(parts, "_bi", "_bj"), ["_bi", "_bj"], "inner")
     # same block: both orders meet, keep l < r; different blocks: each pair meets once
     keep = joined.where((F.col("_bi") < F.col("_bj")) | (F.col("_l") < F.col("_r")))
     lo = F.when(F.col("_l") < F.col("_r"), F.col("_l")).otherwise(F.col("_r"))

@@ -9,18 +9,45 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def static_max_rows(df: DataFrame) -> int | None:
+    """Row bound Catalyst proves from the plan alone (a limit, a global
+    aggregate, a union of bounded parts ...), or None."""
+    try:
+        bound = df._jdf.queryExecution().optimizedPlan().maxRows()
+        return int(bound.get()) if bound.isDefined() else None
+    except Exception:  # pragma: no cover - plan API not reachable
+        return None
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows.
+    """Broadcast ``df`` only when it is proven to hold at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows. Beyond the bound the side is
-    returned as is, so the join stays a shuffle join (and AQE may still turn it
-    into a broadcast join if the shuffled size proves small).
+    The proof is the plan's static bound when Catalyst has one (e.g. a top-k
+    vocabulary ends in a limit), so no job runs. Otherwise at most
+    ``max_rows + 1`` rows are counted. Beyond the bound the side is returned as
+    is: the join stays a shuffle join (AQE may still broadcast it at run time if
+    the shuffled size proves small).
     """
+    bound = static_max_rows(df)
+    if bound is not None and bound <= max_rows:
+        return F.broadcast(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give a scan at least the cluster's parallelism in partitions.
+
+    A large input arrives in many files and splits, and is left alone. A small
+    input stored as one file with one row group is read by a single task; then
+    everything per row (tokenising, exploding, partial aggregation) would run
+    on one core, so the rows are dealt round-robin over the cores first."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def to_long(df: DataFrame, keys: list[str], vec: str, dim: str = "dim",
             value: str = "value") -> DataFrame:
     """One row per vector element: ``(keys..., dim, value)``, dim 0-based."""
-    return df.select(*keys, F.posexplode(vec).alias(dim, value))
+    return (df.select(*keys, F.posexplode_outer(vec).alias(dim, value))
+            .where(F.col(dim).isNotNull()))

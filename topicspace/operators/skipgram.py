@@ -37,6 +37,8 @@ def skipgrams(df: DataFrame, doc: str, tokens: str, window: int = 1,
             i.alias(pos), F.element_at(toks, i + 1).alias(center),
             F.element_at(toks, i + o + 1).alias(context)))))
     guarded = F.when(n > 0, pairs)
-    return (df.select(doc, F.explode(guarded).alias("_p"))
+    # explode_outer + null filter: a plain explode would make Catalyst re-evaluate
+    # the pair array in an inferred size() > 0 filter
+    return (df.select(doc, F.explode_outer(guarded).alias("_p")).where(F.col("_p").isNotNull())
             .select(doc, F.col(f"_p.{pos}").alias(pos), F.col(f"_p.{center}").alias(center),
                     F.col(f"_p.{context}").alias(context)))

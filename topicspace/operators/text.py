@@ -34,11 +34,14 @@ def tokenize(df: DataFrame, text: str, out: str = "tokens", method: str = "words
 
 def word_counts(df: DataFrame, tokens: str = "tokens", word: str = "word",
                 out: str = "cnt", weight: str | None = None) -> DataFrame:
-    """Occurrences of every word: ``(word, cnt bigint)``. With ``weight`` each row
+    """Occurrences of every word: ``(word, cnt bigint)``. (``explode_outer`` plus a
+    null filter: a plain ``explode`` makes Catalyst add a ``size(tokens) > 0``
+    filter that evaluates the tokeniser a second time.) With ``weight`` each row
     counts that many times (e.g. once per category of its article). Exploded
     tokens are combined map-side, so a very frequent word costs one row per task
     in the shuffle."""
-    ex = df.select(F.explode(tokens).alias(word), *( [weight] if weight else []))
+    ex = df.select(F.explode_outer(tokens).alias(word), *([weight] if weight else [])) \
+        .where(F.col(word).isNotNull())
     agg = F.sum(F.col(weight)).cast("bigint") if weight else F.count(F.lit(1))
     return ex.groupBy(word).agg(agg.alias(out))
 
@@ -79,7 +82,7 @@ def encode(df: DataFrame, doc: str, tokens: str, vocab: DataFrame, oov: str = "d
     with index 0. The vocabulary is bounded by its cap, so it is broadcast after
     a size check and the join needs no shuffle of the token stream.
     """
-    ex = df.select(doc, F.posexplode(tokens).alias(pos, word))
+    ex = df.select(doc, F.posexplode_outer(tokens).alias(pos, word)).where(F.col(pos).isNotNull())
     v = bounded_broadcast(vocab.select(word, idx))
     if oov == "drop":
         return ex.join(v, word, "inner").select(doc, pos, word, idx)

@@ -17,7 +17,7 @@ def term_frequency(df: DataFrame, doc: str, tokens: str, term: str = "term",
     """Exact term counts per document: ``(doc, term, tf bigint)``. A document's
     tokens sit in one input row, so the map-side partial aggregate already
     collapses them and only distinct (doc, term) rows are shuffled."""
-    ex = df.select(doc, F.explode(tokens).alias(term))
+    ex = df.select(doc, F.explode_outer(tokens).alias(term)).where(F.col(term).isNotNull())
     return ex.groupBy(doc, term).agg(F.count(F.lit(1)).alias(out))
 
 

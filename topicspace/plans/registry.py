@@ -69,7 +69,8 @@ def _stream_tokens(spark, sf):
 
 
 def _long_tokens(toks):
-    return toks.select("article_id", F.posexplode("tokens").alias("pos", "token"))
+    return (toks.select("article_id", F.posexplode_outer("tokens").alias("pos", "token"))
+            .where(F.col("pos").isNotNull()))
 
 
 # --- sources and projections -------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicspace.functions.text import first_line, join_rest_lines
+from topicspace.operators.common import spread
 
 # The category filter list of the wiki view.
 FILTER_CATEGORIES = ["de", "en", "es", "fr",
@@ -23,7 +24,8 @@ FILTER_CATEGORIES = ["de", "en", "es", "fr",
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table, spread over the cores when stored as too few splits."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _categories_col():
