@@ -169,17 +169,24 @@ def test_pair_distances_blocked_equals_brute_force(spark):
     df = spark.createDataFrame(rows, "category_id int, vec array<double>")
     expect = _brute_pairs(rows)
     for blocks in (1, 2, 5, 13, None):
-        got = {(r.cat1, r.cat2): r.distance for r in C.pair_distances(df, blocks=blocks).collect()}
-        assert got.keys() == expect.keys()
-        assert all(math.isclose(got[k], expect[k], rel_tol=1e-12) for k in expect)
+        for method in ("numpy", "sql"):
+            got = {(r.cat1, r.cat2): r.distance
+                   for r in C.pair_distances(df, blocks=blocks, method=method).collect()}
+            assert got.keys() == expect.keys()
+            assert all(math.isclose(got[k], expect[k], rel_tol=1e-12) for k in expect)
+    # a metric given as a Column function runs on the SQL path
+    from topicspace.functions.vectors import sqdist
+    custom = {(r.cat1, r.cat2): r.distance for r in C.pair_distances(df, metric=sqdist, blocks=4).collect()}
+    assert all(math.isclose(custom[k], expect[k], rel_tol=1e-12) for k in expect)
     cos = C.pair_distances(df, metric="cosine", blocks=3).count()
     assert cos == 60 * 59 // 2
 
 
 def test_pair_plan_has_no_cartesian(spark):
     df = spark.createDataFrame([(i, [float(i)]) for i in range(10)], "category_id int, vec array<double>")
-    plan = C.pair_distances(df, blocks=3)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    for method in ("numpy", "sql"):
+        plan = C.pair_distances(df, blocks=3, method=method)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_names_nearest_matrix(spark):

@@ -25,7 +25,7 @@ BLOCK_ROWS = 256
 def category_vectors(docs: DataFrame, vec: str, membership: DataFrame | None = None,
                      article: str = "article_id", category: str = "category_id",
                      categories: str | None = None, how: str | Callable = "mean",
-                     out: str = "vec") -> DataFrame:
+                     out: str = "vec", dim: int | None = None) -> DataFrame:
     """One vector per category: the mean (or sum) of the vectors of its articles.
 
     Articles reach categories through a ``membership`` table (joined on
@@ -34,7 +34,8 @@ def category_vectors(docs: DataFrame, vec: str, membership: DataFrame | None = N
     callable ``Column -> Column`` aggregate. Partial aggregation runs map-side, so
     a category holding a third of all articles costs one partial row per task.
     ML vectors (``VectorUDT``) are aggregated with ``Summarizer`` and come back as
-    ``array<double>``.
+    ``array<double>``. Give ``dim`` (the vector length) when known: otherwise one
+    row of ``docs`` is computed to read it.
     """
     if categories is not None:
         rows = docs.select(F.explode(F.array_distinct(categories)).alias(category), vec)
@@ -51,39 +52,93 @@ def category_vectors(docs: DataFrame, vec: str, membership: DataFrame | None = N
         summ = Summarizer.mean(F.col(vec)) if how == "mean" else Summarizer.sum(F.col(vec))
         return (rows.groupBy(category).agg(summ.alias("_v"))
                 .select(category, vector_to_array("_v").alias(out)))
-    return vector_sum(rows, category, vec, how=how, out=out)
+    return vector_sum(rows, category, vec, how=how, out=out, dim=dim)
+
+
+def _block_ids(v: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Rows tagged with the block pairs they belong to: as the lower block
+    (``_bi`` = own block, ``_bj`` >= it) and as the upper block."""
+    tagged = v.withColumn("_b", F.pmod(F.xxhash64(F.col("_id")), F.lit(blocks)).cast("int"))
+    left = tagged.select("_id", "_v", F.col("_b").alias("_bi"),
+                         F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1))).alias("_bj"))
+    # the right side gets its own column names (fresh attributes): both sides
+    # come from the same rows, and shared attributes would confuse a co-group
+    right = tagged.select(F.col("_id").alias("_rid"), F.col("_v").alias("_rv"),
+                          F.col("_b").alias("_bj"),
+                          F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_bi"))
+    return left, right
+
+
+def _numpy_block_pairs(metric: str):
+    import numpy as np
+    import pandas as pd
+
+    def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object),
+                              "d": pd.Series([], dtype="float64")})
+        if left.empty or right.empty:
+            return empty
+        li, ri = left["_id"].to_numpy(), right["_rid"].to_numpy()
+        a = np.stack(left["_v"].to_numpy()).astype(np.float64)
+        b = np.stack(right["_rv"].to_numpy()).astype(np.float64)
+        if metric == "cosine":
+            na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+            den = np.outer(na, nb)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                d = np.where(den == 0, 1.0, 1.0 - (a @ b.T) / den)
+        else:
+            d = ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=-1)
+            if metric == "euclidean":
+                d = np.sqrt(d)
+        same = left["_bi"].iloc[0] == left["_bj"].iloc[0]
+        ii, jj = np.nonzero(li[:, None] < ri[None, :]) if same else np.nonzero(li[:, None] != ri[None, :])
+        lo = np.where(li[ii] < ri[jj], li[ii], ri[jj])
+        hi = np.where(li[ii] < ri[jj], ri[jj], li[ii])
+        return pd.DataFrame({"a": lo, "b": hi, "d": d[ii, jj]})
+    return fn
 
 
 def pair_distances(vectors: DataFrame, id: str = "category_id", vec: str = "vec",
                    metric: str | Callable[[Column, Column], Column] = "sqeuclidean",
                    blocks: int | None = None, out: str = "distance",
-                   id1: str = "cat1", id2: str = "cat2") -> DataFrame:
+                   id1: str = "cat1", id2: str = "cat2", method: str = "auto") -> DataFrame:
     """Distance of every pair with ``id1 < id2`` (the upper triangle).
 
     The output has n(n-1)/2 rows by definition. It is produced by a blocked
     equi-join, never a Cartesian product: ids are hashed into ``B`` blocks,
     every row is sent to the B block pairs it belongs to, and each block pair
-    (i <= j) is one join key, so the n^2/2 distance work is spread over
-    B(B+1)/2 even tasks. ``B`` defaults to ceil(n / 256) (at least 1); then the
-    input is checkpointed first, as it is read three times.
+    (i <= j) is one key, so the n^2/2 distance work is spread over B(B+1)/2
+    groups of at most about 256 x 256 pairs each. ``B`` defaults to
+    ceil(n / 256) (at least 1); then the input is checkpointed first, as it is
+    read three times.
+
+    ``method='numpy'`` (the default for the built-in metrics) co-groups the two
+    sides of each block pair and computes the block's distance matrix with
+    numpy in an Arrow-batched pandas function; ``method='sql'`` (the only one
+    for a metric given as a Column function) joins the rows and evaluates the
+    metric with Spark SQL array functions.
     """
+    custom = callable(metric)
     fn = metric_fn(metric)
-    v = vectors.select(F.col(id).alias("_id"), F.col(vec).alias("_v"))
+    if method == "auto":
+        method = "sql" if custom else "numpy"
+    v = vectors.select(F.col(id).alias("_id"), F.col(vec).cast("array<double>").alias("_v"))
     if blocks is None:
-        # The vectors feed both join sides and the block count: write them once to
+        # The vectors feed both sides and the block count: write them once to
         # the shared checkpoint folder (one row per category: small) so the
         # upstream work is not redone, and count the saved copy.
         shared_dir(vectors.sparkSession)
         v = v.checkpoint(eager=True)
         blocks = max(1, math.ceil(v.count() / BLOCK_ROWS))
-    b = F.pmod(F.xxhash64(F.col("_id")), F.lit(blocks)).cast("int")
-    tagged = v.withColumn("_b", b)
-    left = tagged.select(F.col("_id").alias("_l"), F.col("_v").alias("_lv"),
-                         F.col("_b").alias("_bi"),
-                         F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1))).alias("_bj"))
-    right = tagged.select(F.col("_id").alias("_r"), F.col("_v").alias("_rv"),
-                          F.col("_b").alias("_bj"),
-                          F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_bi"))
+    left, right = _block_ids(v, blocks)
+    if method == "numpy":
+        id_type = vectors.schema[id].dataType.simpleString()
+        schema = f"a {id_type}, b {id_type}, d double"
+        res = (left.groupBy("_bi", "_bj").cogroup(right.groupBy("_bi", "_bj"))
+               .applyInPandas(_numpy_block_pairs(metric), schema))
+        return res.select(F.col("a").alias(id1), F.col("b").alias(id2), F.col("d").alias(out))
+    if method != "sql":
+        raise ValueError("method must be 'auto', 'numpy' or 'sql'")
     # One partition per block pair (up to a cap), set explicitly so that AQE does
     # not coalesce the small inputs of this CPU-heavy join into a few tasks.
     spark = vectors.sparkSession
@@ -91,14 +146,16 @@ def pair_distances(vectors: DataFrame, id: str = "category_id", vec: str = "vec"
     cap = 4 * max(spark.sparkContext.defaultParallelism,
                   int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     parts = max(1, min(n_pairs, cap))
-    joined = left.repartition(parts, "_bi", "_bj").join(
-        right.repartition(parts, "_bi", "_bj"), ["_bi", "_bj"], "inner")
+    lt = left.select(F.col("_id").alias("_l"), F.col("_v").alias("_lv"), "_bi", "_bj")
+    rt = right.select(F.col("_rid").alias("_r"), "_rv", "_bi", "_bj")
+    joined = lt.repartition(parts, "_bi", "_bj").join(rt.repartition(parts, "_bi", "_bj"),
+                                                       ["_bi", "_bj"], "inner")
     # same block: both orders meet, keep l < r; different blocks: each pair meets once
-    keep = joined.where((F.col("_bi") < F.col("_bj")) | (F.col("_l") < F.col("_r")))
+    keep = joined.where(((F.col("_bi") < F.col("_bj")) & (F.col("_l") != F.col("_r")))
+                        | (F.col("_l") < F.col("_r")))
     lo = F.when(F.col("_l") < F.col("_r"), F.col("_l")).otherwise(F.col("_r"))
     hi = F.when(F.col("_l") < F.col("_r"), F.col("_r")).otherwise(F.col("_l"))
-    return keep.select(lo.alias(id1), hi.alias(id2), fn(F.col("_lv"), F.col("_rv")).alias(out)) \
-        .where(F.col(id1) != F.col(id2))
+    return keep.select(lo.alias(id1), hi.alias(id2), fn(F.col("_lv"), F.col("_rv")).alias(out))
 
 
 def name_pairs(distances: DataFrame, names: DataFrame, id: str = "category_id",

@@ -35,15 +35,20 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if n <= max_rows else df
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
     """Give a scan at least the cluster's parallelism in partitions.
 
-    A large input arrives in many files and splits, and is left alone. A small
-    input stored as one file with one row group is read by a single task; then
-    everything per row (tokenising, exploding, partial aggregation) would run
-    on one core, so the rows are dealt round-robin over the cores first."""
+    A large input arrives in many files and splits, and is left alone (its
+    exploded rows are combined map-side before any shuffle). A small input
+    stored as one file with one row group is read by a single task; then
+    everything per row (tokenising, exploding, partial aggregation) would run on
+    one core. Such an input is hash-partitioned on ``key`` (its row id) across
+    the cores, which also lets later aggregations by that key skip their
+    exchange."""
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key) if key else df.repartition(want)
 
 
 def to_long(df: DataFrame, keys: list[str], vec: str, dim: str = "dim",

@@ -23,9 +23,13 @@ def class_scores(rows: DataFrame, classes: DataFrame, vec: str = "vec", label: s
     cls = classes.select(label, vec).limit(MAX_CLASSES + 1).collect()
     if len(cls) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
-    consts = F.array(*[F.struct(F.lit(r[label]).alias("label"),
-                                F.array(*[F.lit(float(x)) for x in r[vec]]).alias("v"))
-                       for r in cls])
+    def num(x) -> str:
+        return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+    # one SQL expression (constant-folded by Catalyst), built in one call
+    consts = F.expr("array(" + ", ".join(
+        f"named_struct('label', {r[label]!r}, 'v', array({', '.join(num(x) for x in r[vec])}))"
+        for r in cls) + ")") if cls else F.array()
     scored = F.transform(consts, lambda c: F.struct(c["label"].alias("label"),
                                                     (-fn(F.col(vec), c["v"])).alias("score")))
     return rows.withColumn(out, scored)

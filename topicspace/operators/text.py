@@ -75,20 +75,24 @@ def vocabulary(counts: DataFrame, cap: int, skip_top: int = 0, unk: bool = False
 
 
 def encode(df: DataFrame, doc: str, tokens: str, vocab: DataFrame, oov: str = "drop",
-           word: str = "word", idx: str = "idx", pos: str = "pos") -> DataFrame:
-    """Word positions as vocabulary indexes: ``(doc, pos, word, idx)``.
+           word: str = "word", idx: str = "idx", pos: str = "pos",
+           carry: list[str] | None = None) -> DataFrame:
+    """Word positions as vocabulary indexes: ``(doc, pos, word, idx, carry...)``.
 
     ``oov='drop'`` drops words outside the vocabulary; ``oov='unk'`` keeps them
     with index 0. The vocabulary is bounded by its cap, so it is broadcast after
-    a size check and the join needs no shuffle of the token stream.
+    a size check and the join needs no shuffle of the token stream. ``carry``
+    columns of the document row are kept on every position.
     """
-    ex = df.select(doc, F.posexplode_outer(tokens).alias(pos, word)).where(F.col(pos).isNotNull())
+    extra = list(carry or [])
+    ex = df.select(doc, *extra, F.posexplode_outer(tokens).alias(pos, word)) \
+        .where(F.col(pos).isNotNull())
     v = bounded_broadcast(vocab.select(word, idx))
     if oov == "drop":
-        return ex.join(v, word, "inner").select(doc, pos, word, idx)
+        return ex.join(v, word, "inner").select(doc, pos, word, idx, *extra)
     if oov == "unk":
         return (ex.join(v, word, "left")
-                .select(doc, pos, word, F.coalesce(F.col(idx), F.lit(0)).alias(idx)))
+                .select(doc, pos, word, F.coalesce(F.col(idx), F.lit(0)).alias(idx), *extra))
     raise ValueError("oov must be 'drop' or 'unk'")
 
 

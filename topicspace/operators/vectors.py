@@ -18,6 +18,10 @@ def vector_dim(df: DataFrame, vec: str) -> int:
     return int(row["n"]) if row else 0
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def vector_sum(df: DataFrame, keys: str | Sequence[str], vec: str, how: str = "sum",
                dim: int | None = None, weight: str | None = None, out: str = "vec",
                count: str | None = None) -> DataFrame:
@@ -27,48 +31,44 @@ def vector_sum(df: DataFrame, keys: str | Sequence[str], vec: str, how: str = "s
     are taken map-side, so a group holding a third of all rows still sends one
     partial row per task through the shuffle. ``weight`` multiplies each vector
     first (a mean is then weighted). ``count`` also returns the group size.
+    The aggregate is written as one SQL statement over ``df`` so that building
+    it costs one call, not one per dimension.
     """
+    if how not in ("sum", "mean"):
+        raise ValueError("how must be 'sum' or 'mean'")
     keys = [keys] if isinstance(keys, str) else list(keys)
     d = vector_dim(df, vec) if dim is None else dim
-    w = F.col(weight).cast("double") if weight else None
-    elem = [F.col(vec)[i].cast("double") for i in range(d)]
-    sums = [F.sum(e * w if w is not None else e).alias(f"_s{i}") for i, e in enumerate(elem)]
-    n = F.sum(w) if w is not None else F.count(F.lit(1))
-    agg = df.groupBy(*keys).agg(*sums, n.alias("_n"))
-    parts = [F.col(f"_s{i}") for i in range(d)]
-    if how == "mean":
-        parts = [p / F.col("_n") for p in parts]
-    elif how != "sum":
-        raise ValueError("how must be 'sum' or 'mean'")
-    cols = [*keys, F.array(*parts).alias(out)]
-    if count:
-        cols.append(F.col("_n").cast("bigint").alias(count))
-    return agg.select(*cols)
+    w = f" * CAST({_q(weight)} AS DOUBLE)" if weight else ""
+    n = f"sum(CAST({_q(weight)} AS DOUBLE))" if weight else "count(1)"
+    ks = ", ".join(_q(k) for k in keys)
+    sums = ", ".join(f"sum(CAST({_q(vec)}[{i}] AS DOUBLE){w}) AS _s{i}" for i in range(d))
+    div = " / _n" if how == "mean" else ""
+    arr = ", ".join(f"_s{i}{div}" for i in range(d))
+    cnt = f", CAST(_n AS BIGINT) AS {_q(count)}" if count else ""
+    sql = (f"SELECT {ks}, array({arr}) AS {_q(out)}{cnt} FROM "
+           f"(SELECT {ks}, {sums}, {n} AS _n FROM {{src}} GROUP BY {ks})")
+    return df.sparkSession.sql(sql, src=df)
 
 
 def document_vectors(encoded: DataFrame, word_vectors: DataFrame, doc: str = "doc_id",
                      idx: str = "idx", vec: str = "vec", how: str = "sum",
-                     out: str = "vec", dim: int | None = None) -> DataFrame:
+                     out: str = "vec", dim: int | None = None,
+                     keys: list[str] | None = None) -> DataFrame:
     """Document vector = element-wise sum (or mean) of the vectors of its words.
 
-    Word positions are first counted per (document, index), so each distinct
-    word of a document is looked up once and weighted by its count. A word
-    without a vector adds nothing (a zero vector). The word-vector table is
-    bounded by the vocabulary cap and broadcast after a size check.
+    Every word position is looked up in the word-vector table (bounded by the
+    vocabulary; broadcast after a size check) and the vectors are summed per
+    document in one aggregate: a document's positions come from one input row,
+    so the map-side partial sums already hold whole documents and the shuffle
+    carries one row per document. A word without a vector adds nothing (a zero
+    vector); a document with no vector at all gives no row. ``keys`` are more
+    document columns to keep (grouped with ``doc``). ``how='mean'`` divides by
+    the number of positions that have a vector.
     """
-    counts = encoded.groupBy(doc, idx).agg(F.count(F.lit(1)).alias("_c"))
     wv = bounded_broadcast(word_vectors.select(idx, vec))
     d = vector_dim(word_vectors, vec) if dim is None else dim
-    joined = counts.join(wv, idx, "inner")
-    return vector_sum(joined, doc, vec, how="sum", dim=d, weight="_c", out=out) if how == "sum" \
-        else _mean_over_positions(counts, joined, doc, vec, d, out)
-
-
-def _mean_over_positions(counts: DataFrame, joined: DataFrame, doc: str, vec: str, d: int,
-                         out: str) -> DataFrame:
-    sums = vector_sum(joined, doc, vec, how="sum", dim=d, weight="_c", out="_sum")
-    n = counts.groupBy(doc).agg(F.sum("_c").alias("_n"))
-    return sums.join(n, doc).select(doc, V.scale("_sum", F.col("_n").cast("double")).alias(out))
+    joined = encoded.select(doc, idx, *(keys or [])).join(wv, idx, "inner")
+    return vector_sum(joined, [doc, *(keys or [])], vec, how=how, dim=d, out=out)
 
 
 def l2_normalize(df: DataFrame, vec: str, out: str | None = None) -> DataFrame:

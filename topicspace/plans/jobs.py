@@ -12,7 +12,7 @@ from topicspace.operators import categories as C
 from topicspace.operators import text as TX
 from topicspace.operators.labels import semi_filter
 from topicspace.operators.tfidf import tfidf_model
-from topicspace.operators.vectors import document_vectors
+from topicspace.operators.vectors import document_vectors, vector_dim
 
 
 def category_distance_tfidf(articles: DataFrame, membership: DataFrame | None = None,
@@ -67,16 +67,21 @@ def category_distance_embedding(articles: DataFrame, word_vectors: DataFrame,
     toks = TX.tokenize(articles.select(article, content, *([categories] if categories else [])),
                        content, "tokens", "words", min_len)
     vocab = TX.vocabulary(TX.word_counts(toks, "tokens"), vocab_size, skip_top=skip_top)
-    enc = TX.encode(toks, article, "tokens", vocab, oov="drop")
-    doc_vecs = document_vectors(enc, word_vectors, doc=article, how="sum")
+    dim = vector_dim(word_vectors, "vec")  # from the small vector table, not the corpus
     if categories is not None:
-        mem = toks.select(article, F.explode(F.array_distinct(categories)).alias(category))
+        # the article's categories ride along with its positions: no membership join
+        enc = TX.encode(toks, article, "tokens", vocab, oov="drop", carry=[categories])
+        doc_vecs = document_vectors(enc, word_vectors, doc=article, how="sum", dim=dim,
+                                    keys=[categories])
+        rows = doc_vecs.select("vec", F.explode(F.array_distinct(categories)).alias(category))
     else:
-        mem = membership
+        enc = TX.encode(toks, article, "tokens", vocab, oov="drop")
+        doc_vecs = document_vectors(enc, word_vectors, doc=article, how="sum", dim=dim)
+        rows = doc_vecs.join(membership.select(article, category).distinct(), article, "inner")
     if keep is not None:
-        mem = semi_filter(mem, keep, category)
-    cat_vecs = C.category_vectors(doc_vecs, "vec", membership=mem, article=article,
-                                  category=category, how=how)
+        rows = semi_filter(rows, keep, category)
+    cat_vecs = C.category_vectors(rows.select(category, "vec"), "vec", category=category,
+                                  how=how, dim=dim)
     pairs = C.pair_distances(cat_vecs, id=category, vec="vec", metric=metric)
     if names is None:
         named = pairs.select(F.col("cat1").alias("name1"), F.col("cat2").alias("name2"), "distance")

@@ -26,7 +26,7 @@ from topicspace.operators.evaluation import class_scores, topk_accuracy as _topk
 from topicspace.operators.sampling import hash_sample as _hash_sample
 from topicspace.operators.sampling import hash_split as _hash_split
 from topicspace.operators.skipgram import skipgrams
-from topicspace.operators.vectors import document_vectors, l2_normalize as _l2, vector_sum
+from topicspace.operators.vectors import document_vectors, l2_normalize as _l2, vector_dim, vector_sum
 from topicspace.plans import jobs
 from topicspace.plans.materialize import materialize
 from topicspace.session import shared_dir
@@ -181,7 +181,8 @@ def word_vector_lookup(spark, sf):
 def document_vector_sum(spark, sf):
     vocab, toks = _trimmed_vocab(spark, sf)
     enc = TX.encode(toks, "article_id", "tokens", vocab, oov="drop")
-    dv = document_vectors(enc, TB.word_vectors(spark, sf), doc="article_id")
+    wv = TB.word_vectors(spark, sf)
+    dv = document_vectors(enc, wv, doc="article_id", dim=vector_dim(wv, "vec"))
     return to_long(dv, ["article_id"], "vec").select("article_id", "dim", stable("value").alias("value"))
 
 
