@@ -268,3 +268,28 @@ def test_class_scores_nearest_centroid(spark):
     cls = spark.createDataFrame([(0, [1.0, 1.0]), (1, [9.0, 9.0])], "label int, vec array<double>")
     acc = topk_accuracy(class_scores(rows, cls), 1).first().accuracy
     assert acc == 1.0
+
+
+def test_vectorize_zero_fill(spark):
+    from topicspace.operators.vectors import vectorize
+    seqs = spark.createDataFrame([(1, [5, 9, 0])], "doc_id int, seq array<int>")
+    wv = spark.createDataFrame([(5, [1.0, 2.0])], "idx int, vec array<float>")
+    got = {r.pos: list(r.vec) for r in vectorize(seqs, wv, 2).collect()}
+    assert got == {0: [1.0, 2.0], 1: [0.0, 0.0], 2: [0.0, 0.0]}
+
+
+def test_articles_with_ids_unknown(spark):
+    corpus = spark.createDataFrame([("Ancient history", "c1"), ("War", "c2"), ("Nope", "c3")],
+                                   "title string, content string")
+    d = spark.createDataFrame([("Ancient_history", 7), ("War", 8)], "title string, article_id int")
+    keep = {r.content: r.article_id for r in L.articles_with_ids(corpus, d).collect()}
+    assert keep == {"c1": 7, "c2": 8, "c3": -1}
+    drop = {r.content: r.article_id for r in L.articles_with_ids(corpus, d, unknown="drop").collect()}
+    assert drop == {"c1": 7, "c2": 8}
+
+
+def test_random_split_seeded(spark):
+    from topicspace.operators.sampling import random_split
+    df = spark.range(1000).repartition(4)
+    a = [p.count() for p in random_split(df, [0.8, 0.2], seed=3)]
+    assert sum(a) == 1000 and 700 < a[0] < 900

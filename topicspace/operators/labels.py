@@ -50,6 +50,24 @@ def lookup(df: DataFrame, dictionary: DataFrame, on: str | Sequence[str], value:
     return res.withColumn(out or value, filled).drop("_lv")
 
 
+def articles_with_ids(corpus: DataFrame, dictionary: DataFrame, title: str = "title",
+                      article: str = "article_id", unknown: str = "keep",
+                      missing_id: int = -1) -> DataFrame:
+    """Attach article ids to a ``(title, content)`` corpus through the article
+    dictionary ``(title, article_id)``; titles are compared in key form (spaces
+    as underscores) on both sides. ``unknown='keep'`` keeps an unknown title with
+    id ``missing_id`` (it has no category, but still counts as a document, e.g.
+    in IDF); ``unknown='drop'`` drops it."""
+    from topicspace.functions.text import normalize_title
+    keyed = corpus.withColumn("_key", normalize_title(title))
+    d = dictionary.select(normalize_title(title).alias("_key"), F.col(article))
+    if unknown == "drop":
+        return keyed.join(d, "_key", "inner").drop("_key")
+    if unknown != "keep":
+        raise ValueError("unknown must be 'keep' or 'drop'")
+    return lookup(keyed, d, "_key", article, default=missing_id).drop("_key")
+
+
 def semi_filter(df: DataFrame, ids: DataFrame, on: str, ids_col: str | None = None) -> DataFrame:
     """Keep the rows whose ``on`` value is in ``ids`` (a left-semi join)."""
     right = ids.select(F.col(ids_col or on).alias(on))

@@ -42,3 +42,9 @@ def split_parts(df: DataFrame, key: str, weights: Sequence[float]) -> list[DataF
 def hash_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:
     """Rows whose key hash falls in the first ``fraction`` of the buckets."""
     return df.where(hash_bucket(key) < int(round(fraction * BUCKETS)))
+
+
+def random_split(df: DataFrame, weights: Sequence[float], seed: int = 0) -> list[DataFrame]:
+    """Spark's seeded ``randomSplit`` (repeatable only for the same input
+    partitioning; ``split_parts`` is repeatable by key)."""
+    return df.randomSplit(list(weights), seed)

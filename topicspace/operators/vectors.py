@@ -71,6 +71,19 @@ def document_vectors(encoded: DataFrame, word_vectors: DataFrame, doc: str = "do
     return vector_sum(joined, [doc, *(keys or [])], vec, how=how, dim=d, out=out)
 
 
+def vectorize(sequences: DataFrame, word_vectors: DataFrame, dim: int, doc: str = "doc_id",
+              seq: str = "seq", idx: str = "idx", vec: str = "vec",
+              pos: str = "pos") -> DataFrame:
+    """Index sequence -> vector sequence, one row per position:
+    ``(doc, pos, vec array<float>)``. An index without a vector (padding 0,
+    unknown words) gets the zero vector, so the sequence keeps its length."""
+    wv = bounded_broadcast(word_vectors.select(idx, F.col(vec).cast("array<float>").alias("_wv")))
+    ex = sequences.select(doc, F.posexplode_outer(seq).alias(pos, idx)).where(F.col(pos).isNotNull())
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    return (ex.join(wv, idx, "left")
+            .select(doc, pos, F.coalesce(F.col("_wv"), zero).alias(vec)))
+
+
 def l2_normalize(df: DataFrame, vec: str, out: str | None = None) -> DataFrame:
     """Divide each vector by its L2 norm; a zero vector stays zero."""
     return (df.withColumn("_norm", V.norm(vec))
