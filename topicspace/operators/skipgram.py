@@ -21,24 +21,36 @@ def skipgrams(df: DataFrame, doc: str, tokens: str, window: int = 1,
         raise ValueError("window must be >= 1")
     toks = F.col(tokens)
     n = F.size(toks)
-    offsets = F.array(*[F.lit(o) for o in range(-window, window + 1) if o != 0])
+    if num_skips is None or num_skips >= 2 * window:
+        # every neighbour: for each offset o, zip the position sequence with two
+        # shifted slices of the token array (built-in array functions only)
+        parts = []
+        for o in [o for o in range(-window, window + 1) if o != 0]:
+            first = max(0, -o)                      # first center position with a neighbour at o
+            length = F.greatest(n - abs(o), F.lit(0))
+            pos_seq = F.when(length > 0, F.sequence(F.lit(first), F.lit(first) + length - 1))
+            zipped = F.arrays_zip(pos_seq.alias(pos),
+                                  F.slice(toks, first + 1, length).alias(center),
+                                  F.slice(toks, first + o + 1, length).alias(context))
+            parts.append(F.coalesce(zipped, F.array().cast(
+                f"array<struct<{pos}:int,{center}:string,{context}:string>>")))
+        pairs = F.concat(*parts)
+    else:
+        offsets = F.array(*[F.lit(o) for o in range(-window, window + 1) if o != 0])
 
-    def chosen(i):
-        valid = F.filter(offsets, lambda o: (i + o >= 0) & (i + o < n))
-        if num_skips is None or num_skips >= 2 * window:
-            return valid
-        keyed = F.transform(valid, lambda o: F.struct(
-            F.xxhash64(F.lit(seed), F.col(doc), i, o).alias("h"), o.alias("o")))
-        return F.transform(F.slice(F.array_sort(keyed), 1, num_skips), lambda s: s["o"])
+        def chosen(i):
+            valid = F.filter(offsets, lambda o: (i + o >= 0) & (i + o < n))
+            keyed = F.transform(valid, lambda o: F.struct(
+                F.xxhash64(F.lit(seed), F.col(doc), i, o).alias("h"), o.alias("o")))
+            return F.transform(F.slice(F.array_sort(keyed), 1, num_skips), lambda s: s["o"])
 
-    pairs = F.flatten(F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.transform(chosen(i), lambda o: F.struct(
-            i.alias(pos), F.element_at(toks, i + 1).alias(center),
-            F.element_at(toks, i + o + 1).alias(context)))))
-    guarded = F.when(n > 0, pairs)
+        pairs = F.when(n > 0, F.flatten(F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.transform(chosen(i), lambda o: F.struct(
+                i.alias(pos), F.element_at(toks, i + 1).alias(center),
+                F.element_at(toks, i + o + 1).alias(context))))))
     # explode_outer + null filter: a plain explode would make Catalyst re-evaluate
     # the pair array in an inferred size() > 0 filter
-    return (df.select(doc, F.explode_outer(guarded).alias("_p")).where(F.col("_p").isNotNull())
-            .select(doc, F.col(f"_p.{pos}").alias(pos), F.col(f"_p.{center}").alias(center),
-                    F.col(f"_p.{context}").alias(context)))
+    return (df.select(doc, F.explode_outer(pairs).alias("_p")).where(F.col("_p").isNotNull())
+            .select(doc, F.col("_p")[pos].cast("int").alias(pos), F.col("_p")[center].alias(center),
+                    F.col("_p")[context].alias(context)))
