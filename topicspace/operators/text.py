@@ -65,12 +65,13 @@ def vocabulary(counts: DataFrame, cap: int, skip_top: int = 0, unk: bool = False
         return (ranked.where(F.col("_rank") > skip_top)
                 .select(word, cnt, (F.col("_rank") - skip_top).cast("int").alias(idx)))
     words = ranked.select(word, cnt, F.col("_rank").cast("int").alias(idx))
-    total = counts.agg(F.sum(cnt).alias("_all"))
-    kept = words.agg(F.sum(cnt).alias("_kept"))
-    unk_row = (total.join(kept, how="inner")  # two single-row aggregates
-               .select(F.lit(UNK).alias(word),
-                       (F.col("_all") - F.coalesce(F.col("_kept"), F.lit(0))).cast("bigint").alias(cnt),
-                       F.lit(0).alias(idx)))
+    # count of every other token = all counts minus the kept ones: one global sum
+    # over the counts and the negated kept counts (no join)
+    signed = counts.select(F.col(cnt).cast("bigint").alias("_c")).unionByName(
+        words.select((-F.col(cnt)).cast("bigint").alias("_c")))
+    unk_row = signed.agg(F.lit(UNK).alias(word),
+                         F.coalesce(F.sum("_c"), F.lit(0)).cast("bigint").alias(cnt),
+                         F.lit(0).alias(idx))
     return unk_row.unionByName(words)
 
 
