@@ -125,3 +125,20 @@ def test_streaming_scoring(spark, tmp):
     q = write_stream(score_stream(model, stream, ["article_id", "prediction"]), os.path.join(tmp, "out"), "scoring_test")
     q.awaitTermination(120)
     assert spark.read.parquet(os.path.join(tmp, "out")).count() == spark.read.parquet(src).count()
+
+
+def test_tfidf_distances_fused_equals_pipeline(spark):
+    from topicspace.plans import jobs
+    from topicspace.sources import tables as TB
+    arts = TB.articles(spark, "/root/testdata/sf0.001", with_categories=True)
+    keep = TB.category_filter(spark)
+    res = {}
+    for fused in (True, False):
+        for how in ("mean", "sum"):
+            df = jobs.category_distance_tfidf(arts, categories="categories", keep=keep,
+                                              category="category", fused=fused, how=how)
+            res[(fused, how)] = {(r.name1, r.name2): r.distance for r in df.collect()}
+    for how in ("mean", "sum"):
+        a, b = res[(True, how)], res[(False, how)]
+        assert a.keys() == b.keys() and len(a) > 0
+        assert all(math.isclose(a[k], b[k], rel_tol=1e-9) for k in a)

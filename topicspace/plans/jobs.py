@@ -3,6 +3,7 @@ embeddings (C2), and the symmetric distance matrix (C7)."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -15,12 +16,58 @@ from topicspace.operators.tfidf import tfidf_model
 from topicspace.operators.vectors import document_vectors, vector_dim
 
 
+FUSED_MAX_FEATURES = 4096
+
+
+def category_tfidf_vectors(articles: DataFrame, categories: str, content: str = "content",
+                           category: str = "category_id", num_features: int = 20,
+                           how: str = "mean") -> DataFrame:
+    """Mean (or summed) hashed TF-IDF vector per category in **one pass** over
+    the articles: ``(category, vec array<double>)``.
+
+    TF-IDF is TF times a per-bucket weight, so a category's mean TF-IDF vector
+    is its mean TF vector times the IDF weights. One aggregate yields, per
+    category, the summed TF vector and the article count, and, in one extra
+    global row, the number of articles (``m``) and of articles containing each
+    bucket (``df``) over all articles. That small result is checkpointed; the
+    global row (``num_features`` numbers, like the vector IDF fitting collects)
+    gives ``idf = ln((m + 1) / (df + 1))``. Dense per-bucket sums are used, so
+    this path is for bucket counts up to ``FUSED_MAX_FEATURES``.
+    """
+    from pyspark.ml.feature import HashingTF, Tokenizer
+    from pyspark.ml.functions import vector_to_array
+    from topicspace.session import shared_dir
+
+    nf = num_features
+    words = Tokenizer(inputCol=content, outputCol="_words").transform(articles.select(content, categories))
+    tf = HashingTF(inputCol="_words", outputCol="_tfv", numFeatures=nf).transform(words)
+    keys = F.concat(
+        F.transform(F.array_distinct(categories), lambda c: F.struct(F.lit(False).alias("g"), c.alias("c"))),
+        F.array(F.struct(F.lit(True).alias("g"), F.lit(None).cast("string").alias("c"))))
+    rows = tf.select(vector_to_array("_tfv").alias("t"), F.explode(keys).alias("k")) \
+        .select("t", F.col("k.g").alias("_g"), F.col("k.c").alias("_c"))
+    sums = ", ".join(f"sum(t[{i}]) AS s{i}" for i in range(nf))
+    dfs = ", ".join(f"sum(CASE WHEN t[{i}] > 0 THEN 1 ELSE 0 END) AS d{i}" for i in range(nf))
+    agg = rows.sparkSession.sql(
+        f"SELECT _g, _c, count(1) AS n, {sums}, {dfs} FROM {{src}} GROUP BY _g, _c", src=rows)
+    shared_dir(articles.sparkSession)
+    agg = agg.checkpoint(eager=True)
+    g = agg.where("_g").first()
+    m = g["n"]
+    idf = [math.log((m + 1.0) / (g[f"d{i}"] + 1.0)) for i in range(nf)]
+    div = " / n" if how == "mean" else ""
+    if how not in ("mean", "sum"):
+        raise ValueError("how must be 'mean' or 'sum'")
+    vec = "array(" + ", ".join(f"s{i}{div} * CAST('{idf[i]!r}' AS DOUBLE)" for i in range(nf)) + ")"
+    return agg.where("NOT _g").selectExpr(f"_c AS {category}", f"{vec} AS vec")
+
+
 def category_distance_tfidf(articles: DataFrame, membership: DataFrame | None = None,
                             categories: str | None = None, keep: DataFrame | None = None,
                             names: DataFrame | None = None, article: str = "article_id",
                             content: str = "content", category: str = "category_id",
                             num_features: int = 20, how: str = "mean",
-                            metric: str = "sqeuclidean") -> DataFrame:
+                            metric: str = "sqeuclidean", fused: bool | None = None) -> DataFrame:
     """C1: distances between categories from hashed TF-IDF article vectors.
 
     Tokenizer -> HashingTF(num_features) -> IDF over **all** articles (IDF counts
@@ -28,7 +75,25 @@ def category_distance_tfidf(articles: DataFrame, membership: DataFrame | None =
     category, the pair distances of the upper triangle, names, ascending order.
     Output ``(name1, name2, distance)``; without ``names`` the category ids are
     the names.
+
+    With the categories on the article row and at most ``FUSED_MAX_FEATURES``
+    buckets (``fused`` left as None), the category vectors come from one pass
+    (``category_tfidf_vectors``); otherwise from the fitted ML pipeline (an IDF
+    fitting pass, then a transform pass).
     """
+    if fused is None:
+        fused = categories is not None and num_features <= FUSED_MAX_FEATURES
+    if fused:
+        cat_vecs = category_tfidf_vectors(articles, categories, content, category,
+                                          num_features, how)
+        if keep is not None:
+            cat_vecs = semi_filter(cat_vecs, keep, category)
+        pairs = C.pair_distances(cat_vecs, id=category, vec="vec", metric=metric)
+        if names is None:
+            named = pairs.select(F.col("cat1").alias("name1"), F.col("cat2").alias("name2"), "distance")
+        else:
+            named = C.name_pairs(pairs, names, id=category)
+        return C.sort_distances(named)
     model = tfidf_model(num_features, content, "features").fit(articles.select(content))
     feats = model.transform(articles)
     if categories is not None:
