@@ -227,6 +227,13 @@ def oracle_sql() -> dict[str, str]:
         "corpus_articles": f"SELECT doc_id AS article_id, {title_sql()} AS title, {content_sql()} AS content FROM documents",
         "corpus_file_roundtrip": f"WITH {DOCS} SELECT title, arg_max(content, doc_id) AS content FROM docs GROUP BY title",
         "title_normalize": f"WITH {DOCS} SELECT doc_id AS article_id, replace(title, ' ', '_') AS title FROM docs",
+        "article_dictionary_roundtrip": f"""WITH {DOCS}
+SELECT replace(title, ' ', '_') AS title, CAST(max(doc_id) AS INTEGER) AS article_id FROM docs GROUP BY 1""",
+        "membership_file_roundtrip": f"""WITH {MEM},
+dict AS (SELECT category, CAST(row_number() OVER (ORDER BY category) AS INTEGER) AS id
+         FROM (SELECT DISTINCT category FROM mem))
+SELECT CAST(m.doc_id AS INTEGER) AS article_id, d.id AS category_id FROM mem m JOIN dict d USING (category)""",
+        "word_vectors_roundtrip": f"WITH {EMB} SELECT CAST(vec_id AS INTEGER) AS idx, dim, x AS value FROM emb",
         "membership_explode": f"WITH {MEM} SELECT doc_id AS article_id, category FROM mem",
         "dictionary_last_wins": """SELECT user_id,
   arg_max(event_type, row(ts, event_id)) AS event_type,

@@ -89,6 +89,48 @@ def corpus_file_roundtrip(spark, sf):
     return SF.read_corpus(spark, path)
 
 
+def _roundtrip_dir(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def article_dictionary_roundtrip(spark, sf):
+    """Write ``title id`` lines (title in key form, doc_id order), read them with
+    the dictionary reader: a repeated title keeps its last id."""
+    path = _roundtrip_dir(spark, "articles_dict")
+    lines = _arts(spark, sf).orderBy("article_id").select(
+        F.concat_ws(" ", normalize_title("title"), F.col("article_id").cast("string")).alias("l"))
+    write_text(lines, "l", path)
+    return SF.read_article_dictionary(spark, path)
+
+
+def membership_file_roundtrip(spark, sf):
+    """Write ``article cat cat`` lines with dense category ids, read them with the
+    membership reader."""
+    path = _roundtrip_dir(spark, "categories")
+    dictionary = L.category_dictionary(TB.membership(spark, sf), "category", "category_id")
+    ids = TB.membership(spark, sf).join(F.broadcast(dictionary), "category")
+    lines = ids.groupBy("article_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.col("category_id").cast("string"))), " ").alias("c"))
+    write_text(lines.select(F.concat_ws(" ", F.col("article_id").cast("string"), "c").alias("l")),
+               "l", path)
+    return SF.read_membership(spark, path)
+
+
+def word_vectors_roundtrip(spark, sf):
+    """Write the vectors as word-vector text lines, read them back for a
+    vocabulary: ``(idx, dim, value)``."""
+    path = _roundtrip_dir(spark, "vectors")
+    vecs = TB.labelled_vectors(spark, sf).select(
+        F.concat(F.lit("W"), F.col("vec_id").cast("string")).alias("word"), "vec")
+    from topicspace.sources.writers import write_word_vectors
+    write_word_vectors(vecs, path, mode="overwrite")
+    vocab = TB.labelled_vectors(spark, sf).select(
+        F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"),
+        F.col("vec_id").cast("int").alias("idx"))
+    back = SF.word_vectors_for_vocabulary(SF.read_word_vectors(spark, path, 64), vocab)
+    return to_long(back.select("idx", F.col("vec").cast("array<double>").alias("vec")), ["idx"], "vec")
+
+
 def title_normalize(spark, sf):
     return _arts(spark, sf).select("article_id", normalize_title("title").alias("title"))
 
@@ -425,6 +467,9 @@ def queries() -> dict[str, Query]:
         "corpus_articles": corpus_articles,
         "corpus_file_roundtrip": corpus_file_roundtrip,
         "title_normalize": title_normalize,
+        "article_dictionary_roundtrip": article_dictionary_roundtrip,
+        "membership_file_roundtrip": membership_file_roundtrip,
+        "word_vectors_roundtrip": word_vectors_roundtrip,
         "membership_explode": membership_explode,
         "dictionary_last_wins": dictionary_last_wins,
         "dense_category_labels": dense_category_labels,
