@@ -32,7 +32,7 @@ def test_corpus_writer_roundtrip(spark, tmp):
 
 
 def test_article_dictionary_last_wins_and_normalised(spark, tmp):
-    p = write(os.path.join(tmp, "articles_dict"), "War 1\nPets 2\nWar 3\n")
+    p = write(os.path.join(tmp, "article_ids.txt"), "War 1\nPets 2\nWar 3\n")
     got = {r.title: r.article_id for r in SF.read_article_dictionary(spark, p).collect()}
     assert got == {"War": 3, "Pets": 2}
 
@@ -52,19 +52,19 @@ def test_last_wins_over_many_splits(spark, tmp):
 
 
 def test_category_files(spark, tmp):
-    cats = write(os.path.join(tmp, "cats_dict"), "Geography\t5834\r\nScience\t5833\r\nPeople\t5904\r\n",
+    cats = write(os.path.join(tmp, "category_names.txt"), "Geography\t5834\r\nScience\t5833\r\nPeople\t5904\r\n",
                  newline="")
     names = {r.category_id: r.name for r in SF.read_category_names(spark, cats).collect()}
     assert names == {5834: "Geography", 5833: "Science", 5904: "People"}
     labels = {r.category_id: r.label for r in SF.read_category_labels(spark, cats).collect()}
     assert labels == {5834: 1, 5833: 2, 5904: 3}
-    flt = write(os.path.join(tmp, "cats_filter"), "6106\n55891\n6106")
+    flt = write(os.path.join(tmp, "category_filter.txt"), "6106\n55891\n6106")
     assert sorted(r.category_id for r in SF.read_category_filter(spark, flt).collect()) == [6106, 55891]
 
 
 def test_membership(spark, tmp):
     # repeated category, article without categories, article listed twice
-    p = write(os.path.join(tmp, "categories"), "1 10 11 10\n2\n3 30\n3 31 32\n")
+    p = write(os.path.join(tmp, "membership.txt"), "1 10 11 10\n2\n3 30\n3 31 32\n")
     got = sorted(tuple(r) for r in SF.read_membership(spark, p).collect())
     assert got == [(1, 10), (1, 11), (3, 31), (3, 32)]
 
