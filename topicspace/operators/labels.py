@@ -34,6 +34,7 @@ def dense_labels(df: DataFrame, order: str | Sequence[str | Column], out: str =
     for r in rows:
         offsets.append((r["_pid"], acc - r["_first"]))
         acc += r["_n"]
+    # one row per partition of the sorted data: bounded by the partition count
     off = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off bigint")
     return (tagged.join(F.broadcast(off), "_pid")
             .withColumn(out, (F.col("_mid") + F.col("_off")).cast("int"))

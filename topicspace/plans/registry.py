@@ -21,7 +21,7 @@ from topicspace.operators import categories as C
 from topicspace.operators import labels as L
 from topicspace.operators import text as TX
 from topicspace.operators import tfidf as TF
-from topicspace.operators.common import to_long
+from topicspace.operators.common import bounded_broadcast, to_long
 from topicspace.operators.evaluation import class_scores, topk_accuracy as _topk
 from topicspace.operators.sampling import hash_sample as _hash_sample
 from topicspace.operators.sampling import hash_split as _hash_split
@@ -108,7 +108,7 @@ def membership_file_roundtrip(spark, sf):
     membership reader."""
     path = _roundtrip_dir(spark, "categories")
     dictionary = L.category_dictionary(TB.membership(spark, sf), "category", "category_id")
-    ids = TB.membership(spark, sf).join(F.broadcast(dictionary), "category")
+    ids = TB.membership(spark, sf).join(bounded_broadcast(dictionary), "category")
     lines = ids.groupBy("article_id").agg(
         F.array_join(F.array_sort(F.collect_list(F.col("category_id").cast("string"))), " ").alias("c"))
     write_text(lines.select(F.concat_ws(" ", F.col("article_id").cast("string"), "c").alias("l")),
