@@ -142,3 +142,16 @@ def test_tfidf_distances_fused_equals_pipeline(spark):
         a, b = res[(True, how)], res[(False, how)]
         assert a.keys() == b.keys() and len(a) > 0
         assert all(math.isclose(a[k], b[k], rel_tol=1e-9) for k in a)
+
+
+def test_embedding_distances_vocab_weight(spark):
+    from topicspace.plans import jobs
+    arts = spark.createDataFrame(
+        [(1, "alpha alpha beta", ["x", "y"]), (2, "beta gamma", ["y"]), (3, "gamma gamma delta", ["z"])],
+        "article_id int, content string, categories array<string>")
+    wv = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "idx int, vec array<float>")
+    for weight in ("article", "membership"):
+        d = jobs.category_distance_embedding(arts, wv, categories="categories", category="category",
+                                             vocab_size=3, skip_top=0, vocab_weight=weight)
+        rows = d.collect()
+        assert len(rows) == 3 and [r.distance for r in rows] == sorted(r.distance for r in rows)

@@ -119,7 +119,8 @@ def category_distance_embedding(articles: DataFrame, word_vectors: DataFrame,
                                 names: DataFrame | None = None, article: str = "article_id",
                                 content: str = "content", category: str = "category_id",
                                 vocab_size: int = 20000, skip_top: int = 10, how: str = "sum",
-                                metric: str = "sqeuclidean", min_len: int = 3) -> DataFrame:
+                                metric: str = "sqeuclidean", min_len: int = 3,
+                                vocab_weight: str = "article") -> DataFrame:
     """C2: distances between categories from word-embedding article vectors.
 
     Articles are tokenised into words, a vocabulary of the most frequent words
@@ -128,10 +129,23 @@ def category_distance_embedding(articles: DataFrame, word_vectors: DataFrame,
     vector is the sum of its word vectors over the whole text, and a category
     vector is the sum (``how='sum'``, as published) or mean of its articles.
     Output ``(name1, name2, distance)`` ascending.
+
+    ``vocab_weight='article'`` counts each article once when ranking words;
+    ``'membership'`` counts it once per category it belongs to (the original's
+    labelled-text expansion; needs ``categories``).
     """
     toks = TX.tokenize(articles.select(article, content, *([categories] if categories else [])),
                        content, "tokens", "words", min_len)
-    vocab = TX.vocabulary(TX.word_counts(toks, "tokens"), vocab_size, skip_top=skip_top)
+    if vocab_weight == "membership":
+        if categories is None:
+            raise ValueError("vocab_weight='membership' needs the categories column")
+        counted = toks.withColumn("_w", F.size(F.array_distinct(categories)))
+        counts = TX.word_counts(counted, "tokens", weight="_w")
+    elif vocab_weight == "article":
+        counts = TX.word_counts(toks, "tokens")
+    else:
+        raise ValueError("vocab_weight must be 'article' or 'membership'")
+    vocab = TX.vocabulary(counts, vocab_size, skip_top=skip_top)
     dim = vector_dim(word_vectors, "vec")  # from the small vector table, not the corpus
     if categories is not None:
         # the article's categories ride along with its positions: no membership join
