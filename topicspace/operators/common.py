@@ -35,7 +35,19 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if n <= max_rows else df
 
 
-def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the plan (file sizes for a scan), no job run."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # pragma: no cover - plan API not reachable
+        return None
+
+
+SPREAD_MIN_BYTES = 1 << 20
+
+
+def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None,
+           min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
     """Give a scan at least the cluster's parallelism in partitions.
 
     A large input arrives in many files and splits, and is left alone (its
@@ -44,9 +56,10 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     everything per row (tokenising, exploding, partial aggregation) would run on
     one core. Such an input is hash-partitioned on ``key`` (its row id) across
     the cores, which also lets later aggregations by that key skip their
-    exchange."""
+    exchange. Inputs under ``min_bytes`` are too small to gain from it."""
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    size = estimated_bytes(df)
+    if (size is not None and size < min_bytes) or df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, key) if key else df.repartition(want)
 
