@@ -103,3 +103,28 @@ def test_csv_text_sinks(spark, tmp):
     parts = [f for f in os.listdir(os.path.join(tmp, "csv")) if f.startswith("part-")]
     assert len(parts) == 1
     assert SF.read_result is not None
+
+
+def test_text_dump_and_recommendation_lines(spark, tmp):
+    from topicspace.plans.recommend import recommendation_lines
+    recs = spark.createDataFrame([("Logic", "War", 1.5, 1)], "item string, user string, rating double, rank int")
+    lines = [r.line for r in recommendation_lines(recs).collect()]
+    assert lines == ["Logic,War,1.5"]
+    out = os.path.join(tmp, "txt")
+    W.write_text(recommendation_lines(recs), "line", out, single_file=True)
+    text = "".join(open(os.path.join(out, f)).read() for f in os.listdir(out) if f.startswith("part-"))
+    assert text == "Logic,War,1.5\n"
+    res = os.path.join(tmp, "res")
+    recs.write.parquet(res)
+    assert SF.read_result(spark, res).count() == 1
+
+
+def test_save_load_model(spark, tmp):
+    from topicspace.operators.tfidf import tfidf_model
+    df = spark.createDataFrame([("a b",), ("b c",)], "content string")
+    model = tfidf_model(8).fit(df)
+    W.save_model(model, os.path.join(tmp, "m"))
+    again = W.load_model(os.path.join(tmp, "m"))
+    a = [r.features for r in model.transform(df).collect()]
+    b = [r.features for r in again.transform(df).collect()]
+    assert a == b
