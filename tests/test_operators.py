@@ -293,3 +293,18 @@ def test_random_split_seeded(spark):
     df = spark.range(1000).repartition(4)
     a = [p.count() for p in random_split(df, [0.8, 0.2], seed=3)]
     assert sum(a) == 1000 and 700 < a[0] < 900
+
+
+def test_pair_distances_long_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3000).tolist()) for i in range(12)]
+    df = spark.createDataFrame(rows, "category_id int, vec array<double>")
+    old = C.BLOCK_VALUES
+    C.BLOCK_VALUES = 3000 * 4          # four vectors per block -> several blocks
+    try:
+        got = {(r.cat1, r.cat2): r.distance for r in C.pair_distances(df).collect()}
+    finally:
+        C.BLOCK_VALUES = old
+    expect = _brute_pairs(rows)
+    assert got.keys() == expect.keys()
+    assert all(math.isclose(got[k], expect[k], rel_tol=1e-12) for k in expect)

@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 
 from topicspace.functions.vectors import metric as metric_fn
 from topicspace.operators.common import bounded_broadcast
-from topicspace.operators.vectors import vector_sum
+from topicspace.operators.vectors import vector_dim, vector_sum
 from topicspace.session import shared_dir
 
-# Vectors per block in the blocked pair join.
+# Vectors per block in the blocked pair join, and the most vector elements a
+# block side may hold (fewer rows per block for long vectors).
 BLOCK_ROWS = 256
+BLOCK_VALUES = 1 << 23
+# Elements of the difference array the numpy kernel builds at once.
+KERNEL_VALUES = 1 << 24
 
 
 def category_vectors(docs: DataFrame, vec: str, membership: DataFrame | None = None,
@@ -87,7 +91,11 @@ def _numpy_block_pairs(metric: str):
             with np.errstate(invalid="ignore", divide="ignore"):
                 d = np.where(den == 0, 1.0, 1.0 - (a @ b.T) / den)
         else:
-            d = ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=-1)
+            # exact differences, in row chunks that bound the temporary array
+            d = np.empty((a.shape[0], b.shape[0]))
+            step = max(1, KERNEL_VALUES // max(1, b.shape[0] * b.shape[1]))
+            for s in range(0, a.shape[0], step):
+                d[s:s + step] = ((a[s:s + step, None, :] - b[None, :, :]) ** 2).sum(axis=-1)
             if metric == "euclidean":
                 d = np.sqrt(d)
         same = left["_bi"].iloc[0] == left["_bj"].iloc[0]
@@ -109,8 +117,9 @@ def pair_distances(vectors: DataFrame, id: str = "category_id", vec: str = "vec"
     every row is sent to the B block pairs it belongs to, and each block pair
     (i <= j) is one key, so the n^2/2 distance work is spread over B(B+1)/2
     groups of at most about 256 x 256 pairs each. ``B`` defaults to
-    ceil(n / 256) (at least 1); then the input is checkpointed first, as it is
-    read three times.
+    ceil(n / r) with r = 256 rows per block, fewer for long vectors (a block
+    side holds at most ``BLOCK_VALUES`` numbers); then the input is
+    checkpointed first, as it is read three times.
 
     ``method='numpy'`` (the default for the built-in metrics) co-groups the two
     sides of each block pair and computes the block's distance matrix with
@@ -129,7 +138,9 @@ def pair_distances(vectors: DataFrame, id: str = "category_id", vec: str = "vec"
         # upstream work is not redone, and count the saved copy.
         shared_dir(vectors.sparkSession)
         v = v.checkpoint(eager=True)
-        blocks = max(1, math.ceil(v.count() / BLOCK_ROWS))
+        dim = max(1, vector_dim(v, "_v"))
+        rows_per_block = max(1, min(BLOCK_ROWS, BLOCK_VALUES // dim))
+        blocks = max(1, math.ceil(v.count() / rows_per_block))
     left, right = _block_ids(v, blocks)
     if method == "numpy":
         id_type = vectors.schema[id].dataType.simpleString()
