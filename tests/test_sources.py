@@ -128,3 +128,14 @@ def test_save_load_model(spark, tmp):
     a = [r.features for r in model.transform(df).collect()]
     b = [r.features for r in again.transform(df).collect()]
     assert a == b
+
+
+def test_word_vectors_bad_lines(spark, tmp):
+    import pytest
+    p = write(os.path.join(tmp, "bad_vectors.txt"), "good 1 2\nbad x 2\nshort 1\n")
+    dropped = {r.word for r in SF.read_word_vectors(spark, p, 2, bad_lines="drop").collect()}
+    assert dropped == {"good"}
+    nulls = SF.read_word_vectors(spark, p, 2, bad_lines="null").count()
+    assert nulls == 3
+    with pytest.raises(Exception):
+        SF.read_word_vectors(spark, p, 2).collect()

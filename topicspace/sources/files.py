@@ -126,12 +126,19 @@ def read_corpus(spark: SparkSession, path: str, line_sep: str = "\n\n",
     return last_wins(df, "title") if dedupe else df.drop(ORDER)
 
 
+BAD_LINES = {"fail": "FAILFAST", "drop": "DROPMALFORMED", "null": "PERMISSIVE"}
+
+
 def read_word_vectors(spark: SparkSession, path: str, dim: int,
-                      encoding: str = "ISO-8859-1") -> DataFrame:
-    """``word f1 ... fdim`` lines (single spaces, no quoting) -> ``(word, vec array<float>)``."""
+                      encoding: str = "ISO-8859-1", bad_lines: str = "fail") -> DataFrame:
+    """``word f1 ... fdim`` lines (single spaces, no quoting) -> ``(word, vec array<float>)``.
+
+    A line with a non-numeric value or the wrong number of values fails the
+    read (``bad_lines='fail'``, as the original), is skipped (``'drop'``) or
+    gives nulls (``'null'``)."""
     schema = "word string, " + ", ".join(f"f{i} float" for i in range(dim))
     df = (spark.read.schema(schema).option("sep", " ").option("quote", "")
-          .option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
+          .option("encoding", encoding).option("mode", BAD_LINES[bad_lines]).csv(path))
     return df.select("word", F.array(*[F.col(f"f{i}") for i in range(dim)]).alias("vec"),
                      file_order().alias(ORDER))
 
