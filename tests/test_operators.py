@@ -308,3 +308,18 @@ def test_pair_distances_long_vectors(spark):
     expect = _brute_pairs(rows)
     assert got.keys() == expect.keys()
     assert all(math.isclose(got[k], expect[k], rel_tol=1e-12) for k in expect)
+
+
+def test_true_class_ranks_match_score_arrays(spark):
+    from topicspace.operators.evaluation import topk_accuracy_from_ranks, true_class_ranks
+    rng = np.random.default_rng(11)
+    cls = spark.createDataFrame([(c, rng.normal(size=4).tolist()) for c in range(7)], "label int, vec array<double>")
+    rows = spark.createDataFrame([(i, int(rng.integers(0, 7)), rng.normal(size=4).tolist()) for i in range(300)],
+                                 "id int, label int, vec array<double>")
+    for metric in ("sqeuclidean", "cosine"):
+        a = {r.id: r.rk for r in class_scores(rows, cls, metric=metric).select("id", true_class_rank().alias("rk")).collect()}
+        b = {r.id: r["rank"] for r in true_class_ranks(rows, cls, metric=metric).collect()}
+        assert a == b
+    acc1 = topk_accuracy(class_scores(rows, cls), 3).first().accuracy
+    acc2 = topk_accuracy_from_ranks(true_class_ranks(rows, cls), 3).first().accuracy
+    assert math.isclose(acc1, acc2)

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from topicspace.functions.vectors import metric as metric_fn
 
-# Class vectors are folded into the plan as a literal: a bound on their number.
-MAX_CLASSES = 10_000
+# Class vectors are folded into the plan as a literal only up to this many
+# numbers; larger models are broadcast once and scored with numpy.
+MAX_LITERAL_VALUES = 50_000
+# Bound on the number of class vectors a model may have.
+MAX_CLASSES = 100_000
 
 
 def class_scores(rows: DataFrame, classes: DataFrame, vec: str = "vec", label: str = "label",
@@ -23,6 +26,8 @@ def class_scores(rows: DataFrame, classes: DataFrame, vec: str = "vec", label: s
     cls = classes.select(label, vec).limit(MAX_CLASSES + 1).collect()
     if len(cls) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
+    if sum(len(r[vec]) for r in cls) > MAX_LITERAL_VALUES:
+        raise ValueError("model too large for per-row score arrays; use true_class_ranks")
     def num(x) -> str:
         return f"CAST('{float(x)!r}' AS DOUBLE)"
 
@@ -46,6 +51,68 @@ def true_class_rank(scores: str = "scores", label: str = "label") -> F.Column:
     return F.when(true_score.isNull(), F.lit(None)).otherwise(F.size(better) + 1)
 
 
+def true_class_ranks(rows: DataFrame, classes: DataFrame, vec: str = "vec", label: str = "label",
+                     metric: str = "sqeuclidean", out: str = "rank") -> DataFrame:
+    """Add the 1-based rank of each row's true class among all class vectors
+    (nearest first, ties by class label), for models of any size up to
+    ``MAX_CLASSES`` classes.
+
+    The class matrix (count checked) is broadcast once; each Arrow batch of
+    rows gets its distances to every class in a numpy matrix (in chunks that
+    bound memory), and only the rank comes back."""
+    import numpy as np
+    import pandas as pd
+
+    cls = classes.select(label, vec).limit(MAX_CLASSES + 1).collect()
+    if len(cls) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    order = sorted(range(len(cls)), key=lambda i: cls[i][label])
+    labels = np.array([cls[i][label] for i in order])
+    matrix = np.array([cls[i][vec] for i in order], dtype=np.float64)
+    spark = rows.sparkSession
+    bc = spark.sparkContext.broadcast((labels, matrix, metric))
+    from pyspark.sql.types import IntegerType, StructField, StructType
+    schema = StructType([*rows.schema.fields, StructField(out, IntegerType(), True)])
+
+    def fn(batches):
+        labs, m, met = bc.value
+        m_norm = np.linalg.norm(m, axis=1)
+        step = max(1, (1 << 24) // max(1, m.size))
+        for pdf in batches:
+            n = len(pdf)
+            ranks = np.zeros(n, dtype=np.int32)
+            x_all = np.stack(pdf[vec].to_numpy()).astype(np.float64) if n else np.zeros((0, m.shape[1]))
+            true = pdf[label].to_numpy()
+            for s in range(0, n, step):
+                x = x_all[s:s + step]
+                if met == "cosine":
+                    den = np.outer(np.linalg.norm(x, axis=1), m_norm)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        d = np.where(den == 0, 1.0, 1.0 - (x @ m.T) / den)
+                else:
+                    d = ((x[:, None, :] - m[None, :, :]) ** 2).sum(axis=-1)
+                    if met == "euclidean":
+                        d = np.sqrt(d)
+                pos = np.searchsorted(labs, true[s:s + step])
+                pos = np.clip(pos, 0, len(labs) - 1)
+                known = labs[pos] == true[s:s + step]
+                dt = d[np.arange(len(x)), pos][:, None]
+                better = (d < dt) | ((d == dt) & (labs[None, :] < true[s:s + step, None]))
+                ranks[s:s + step] = np.where(known, better.sum(axis=1) + 1, 0)
+            out_pdf = pdf.copy()
+            out_pdf[out] = pd.array(np.where(ranks > 0, ranks, None), dtype="Int32")
+            yield out_pdf
+
+    return rows.mapInPandas(fn, schema)
+
+
+def topk_accuracy_from_ranks(ranked: DataFrame, k: int, rank: str = "rank") -> DataFrame:
+    """``(k, accuracy, n)`` from a column of true-class ranks."""
+    return ranked.agg(F.lit(k).alias("k"),
+                      F.avg(F.when(F.col(rank) <= k, 1.0).otherwise(0.0)).alias("accuracy"),
+                      F.count(F.lit(1)).alias("n"))
+
+
 def topk_accuracy(scored: DataFrame, k: int, scores: str = "scores", label: str = "label") -> DataFrame:
     """Share of rows whose true class is among their ``k`` best scores:
     one row ``(k, accuracy, n)``. A plain global aggregate (partial per task)."""
