@@ -58,3 +58,15 @@ def test_hot_term_tfidf(spark):
     the = res.where("term = 'the'").agg(F.count("*").alias("n"), F.max("idf").alias("idf")).first()
     assert the.n == N and abs(the.idf - np.log((N + 1) / (N + 1))) < 1e-12
     assert res.count() == N * 2
+
+
+def test_salted_tfidf_join_equals_plain(spark):
+    docs = _hot(spark).select(F.col("id").alias("doc"),
+                              F.array(F.lit("the"), F.concat(F.lit("t"), F.col("k").cast("string"))).alias("tokens"))
+    tf = TF.term_frequency(docs, "doc", "tokens")
+    idf = TF.idf_weights(TF.document_frequency(tf), N)
+    plain = {(r.doc, r.term): r.tfidf for r in TF.tfidf(tf, idf).collect()}
+    salted_df = TF.tfidf(tf, idf, salt=8, doc="doc")
+    salted = {(r.doc, r.term): r.tfidf for r in salted_df.collect()}
+    assert plain == salted and len(plain) == 2 * N
+    assert "_salt" in salted_df._jdf.queryExecution().executedPlan().toString()

@@ -33,11 +33,26 @@ def idf_weights(doc_freq: DataFrame, n_docs: int, term: str = "term", df: str =
 
 
 def tfidf(tf: DataFrame, idf: DataFrame, term: str = "term", tf_col: str = "tf",
-          idf_col: str = "idf", out: str = "tfidf") -> DataFrame:
+          idf_col: str = "idf", out: str = "tfidf", salt: int = 1,
+          doc: str | None = None) -> DataFrame:
     """Join term counts to weights. The weight table is one row per term; AQE
-    broadcasts it when small and splits a hot term's partition otherwise."""
-    return (tf.join(idf.select(term, idf_col), term, "inner")
-            .withColumn(out, F.col(tf_col).cast("double") * F.col(idf_col)))
+    broadcasts it when small and splits a hot term's partition otherwise.
+
+    ``salt > 1`` salts the join explicitly (for a weight table too large to
+    broadcast without AQE skew handling): every term-count row gets a salt
+    ``0..salt-1`` from a hash of its document (``doc``), every weight row is
+    repeated once per salt, and the join key is (term, salt), so a term found
+    in a third of all documents is spread over ``salt`` tasks."""
+    w = idf.select(term, idf_col)
+    if salt > 1:
+        if doc is None:
+            raise ValueError("salting needs the document column (doc)")
+        left = tf.withColumn("_salt", F.pmod(F.xxhash64(F.col(doc)), F.lit(salt)).cast("int"))
+        right = w.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        joined = left.join(right, [term, "_salt"], "inner").drop("_salt")
+    else:
+        joined = tf.join(w, term, "inner")
+    return joined.withColumn(out, F.col(tf_col).cast("double") * F.col(idf_col))
 
 
 def tfidf_exact(df: DataFrame, doc: str, tokens: str, n_docs: int | None = None) -> DataFrame:
