@@ -309,4 +309,23 @@ r AS (SELECT vec_id, true_label, label,
 SELECT 5 AS k, {stable('avg(CASE WHEN rk <= 5 THEN 1.0 ELSE 0.0 END)')} AS accuracy, count(*) AS n
 FROM r WHERE label = true_label""",
         "materialize_once": word_count,
+        "topk_accuracy_ranks": f"""WITH {EMB},
+cen AS (SELECT label, dim, avg(x) AS v FROM emb GROUP BY label, dim),
+d AS (SELECT e.vec_id, e.label AS true_label, c.label, sum((e.x - c.v) * (e.x - c.v)) AS dist
+      FROM emb e JOIN cen c ON c.dim = e.dim GROUP BY e.vec_id, e.label, c.label),
+r AS (SELECT vec_id, true_label, label,
+      row_number() OVER (PARTITION BY vec_id ORDER BY dist ASC, label ASC) AS rk FROM d)
+SELECT 5 AS k, {stable('avg(CASE WHEN rk <= 5 THEN 1.0 ELSE 0.0 END)')} AS accuracy, count(*) AS n
+FROM r WHERE label = true_label""",
+        "category_distance_tfidf_pipeline": _category_distance_tfidf(),
+        "category_pair_cosine": f"""WITH {EMB},
+cen AS (SELECT label, dim, avg(x) AS v FROM emb GROUP BY label, dim),
+nrm AS (SELECT label, sqrt(sum(v * v)) AS n FROM cen GROUP BY label),
+dots AS (SELECT a.label AS cat1, b.label AS cat2, sum(a.v * b.v) AS dot
+         FROM cen a JOIN cen b ON a.dim = b.dim AND a.label < b.label GROUP BY a.label, b.label)
+SELECT cat1, cat2, {stable('CASE WHEN n1.n * n2.n = 0 THEN 1.0 ELSE 1.0 - dot / (n1.n * n2.n) END')} AS distance
+FROM dots JOIN nrm n1 ON n1.label = cat1 JOIN nrm n2 ON n2.label = cat2""",
+        "document_vector_mean": f"""WITH {TRIMMED}, {EMB}
+SELECT t.doc_id AS article_id, e.dim, {stable('avg(e.x)')} AS value
+FROM toks t JOIN vocab v ON t.word = v.word JOIN emb e ON e.vec_id = v.idx GROUP BY t.doc_id, e.dim""",
     }

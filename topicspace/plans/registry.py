@@ -387,6 +387,38 @@ def topk_accuracy(spark, sf):
     return res.select("k", stable("accuracy").alias("accuracy"), "n")
 
 
+def topk_accuracy_ranks(spark, sf):
+    """Same result as ``topk_accuracy`` through the path for large class models
+    (broadcast class matrix, numpy ranks per Arrow batch)."""
+    from topicspace.operators.evaluation import topk_accuracy_from_ranks, true_class_ranks
+    ranked = true_class_ranks(TB.labelled_vectors(spark, sf), _centroids(spark, sf, "mean"))
+    res = topk_accuracy_from_ranks(ranked, TOP_K)
+    return res.select("k", stable("accuracy").alias("accuracy"), "n")
+
+
+def category_distance_tfidf_pipeline(spark, sf):
+    """The flagship through the fitted ML pipeline (IDF fitting pass + transform
+    pass) instead of the one-pass aggregate: same result."""
+    arts = TB.articles(spark, sf, with_categories=True)
+    res = jobs.category_distance_tfidf(arts, categories="categories",
+                                       keep=TB.category_filter(spark), category="category",
+                                       num_features=HASH_BUCKETS, fused=False)
+    return res.select("name1", "name2", stable("distance").alias("distance"))
+
+
+def category_pair_cosine(spark, sf):
+    res = C.pair_distances(_centroids(spark, sf, "mean"), id="label", vec="vec", metric="cosine")
+    return res.select("cat1", "cat2", stable("distance").alias("distance"))
+
+
+def document_vector_mean(spark, sf):
+    vocab, toks = _trimmed_vocab(spark, sf)
+    enc = TX.encode(toks, "article_id", "tokens", vocab, oov="drop")
+    wv = TB.word_vectors(spark, sf)
+    dv = document_vectors(enc, wv, doc="article_id", dim=vector_dim(wv, "vec"), how="mean")
+    return to_long(dv, ["article_id"], "vec").select("article_id", "dim", stable("value").alias("value"))
+
+
 def materialize_once(spark, sf):
     """Word counts through load-or-compute: the second call reads the saved copy."""
     params = {"query": "word_count", "sf": sf}
@@ -508,6 +540,10 @@ def queries() -> dict[str, Query]:
         "hash_sample": hash_sample,
         "topk_accuracy": topk_accuracy,
         "materialize_once": materialize_once,
+        "topk_accuracy_ranks": topk_accuracy_ranks,
+        "category_distance_tfidf_pipeline": category_distance_tfidf_pipeline,
+        "category_pair_cosine": category_pair_cosine,
+        "document_vector_mean": document_vector_mean,
         "recommend_users_for_items": recommend_users_for_items,
         "recommend_items_for_users": recommend_items_for_users,
         "classifier_predictions": classifier_predictions,
