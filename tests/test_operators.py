@@ -323,3 +323,24 @@ def test_true_class_ranks_match_score_arrays(spark):
     acc1 = topk_accuracy(class_scores(rows, cls), 3).first().accuracy
     acc2 = topk_accuracy_from_ranks(true_class_ranks(rows, cls), 3).first().accuracy
     assert math.isclose(acc1, acc2)
+
+
+def test_vector_entries_sparse_and_dense(spark):
+    from pyspark.ml.linalg import Vectors
+    from topicspace.functions.vectors import vector_entries
+    df = spark.createDataFrame([(Vectors.sparse(1 << 20, [3, 70000], [2.0, 1.5]),),
+                                (Vectors.dense([0.5, 0.0]),), (Vectors.sparse(4, [], []),)], ["v"])
+    got = [[(e["index"], e["value"]) for e in r.e] for r in df.select(vector_entries("v").alias("e")).collect()]
+    assert got == [[(3, 2.0), (70000, 1.5)], [(0, 0.5), (1, 0.0)], []]
+
+
+def test_hashed_tf_large_buckets_sparse(spark):
+    words = ["alpha", "beta", "alpha", "héllo"]
+    docs = spark.createDataFrame([(1, words)], "doc int, tokens array<string>")
+    n = 1 << 18
+    ht = HashingTF(inputCol="tokens", outputCol="v", numFeatures=n)
+    got = {r.bucket: r.tf for r in TF.hashed_term_frequency(docs, "doc", "tokens", n).collect()}
+    expect = {}
+    for w in words:
+        expect[ht.indexOf(w)] = expect.get(ht.indexOf(w), 0.0) + 1.0
+    assert got == expect
