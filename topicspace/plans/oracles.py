@@ -201,8 +201,8 @@ SELECT a.category AS name1, b.category AS name2, {stable('sum((a.v - b.v) * (a.v
 FROM cv a JOIN cv b ON a.dim = b.dim AND a.category < b.category GROUP BY a.category, b.category"""
 
 
-def _hashing_tf() -> str:
-    ctes, hashed = murmur_bucket_ctes("toks", "term", 20)
+def _hashing_tf(n: int = 20) -> str:
+    ctes, hashed = murmur_bucket_ctes("toks", "term", n)
     return f"""WITH {DOCS},
 toks AS ({ML_TOKS}),{ctes}
 SELECT t.doc_id AS article_id, h.bucket, CAST(count(*) AS DOUBLE) AS tf
@@ -270,6 +270,7 @@ FROM toks t JOIN vocab v ON t.word = v.word JOIN emb e ON e.vec_id = v.idx GROUP
         "tfidf_exact": f"""WITH {TF}
 SELECT tf.doc_id AS article_id, tf.term, {stable('tf.tf * idf.idf')} AS tfidf FROM tf JOIN idf ON tf.term = idf.term""",
         "hashing_tf": _hashing_tf(),
+        "hashing_tf_sparse": _hashing_tf(1 << 18),
         "category_centroid_mean": f"WITH {EMB} SELECT label, dim, {stable('avg(x)')} AS value FROM emb GROUP BY label, dim",
         "category_centroid_sum": f"WITH {EMB} SELECT label, dim, {stable('sum(x)')} AS value FROM emb GROUP BY label, dim",
         "category_pair_distance": f"WITH {CENTROIDS} SELECT cat1, cat2, {stable('distance')} AS distance FROM pairs",

@@ -42,6 +42,7 @@ TRIM_SKIP, TRIM_CAP = 10, 2000          # trimmed vocabulary: drop 10 most frequ
 UNK_CAP = 1000                          # vocabulary with the unknown-word slot
 PAD_LEN = 50                            # fixed sequence length
 HASH_BUCKETS = 20                       # hashed term buckets, as the original job
+SPARSE_BUCKETS = 1 << 18                # Spark ML's default bucket count
 EMBED_VOCAB, EMBED_SKIP = 20000, 10     # vocabulary of the embedding distance job
 SPLIT_WEIGHTS = (0.8, 0.1, 0.1)
 SAMPLE_FRACTION = 0.2
@@ -257,6 +258,13 @@ def tfidf_exact(spark, sf):
     return w.select("article_id", "term", stable("tfidf").alias("tfidf"))
 
 
+def hashing_tf_sparse(spark, sf):
+    """Hashed term counts with 2^18 buckets, read from the sparse vectors'
+    non-zeros (no dense expansion)."""
+    return TF.hashed_term_frequency(_content_tokens(spark, sf, "whitespace"), "article_id",
+                                    "tokens", SPARSE_BUCKETS)
+
+
 def hashing_tf(spark, sf):
     return TF.hashed_term_frequency(_content_tokens(spark, sf, "whitespace"), "article_id",
                                     "tokens", HASH_BUCKETS)
@@ -523,6 +531,7 @@ def queries() -> dict[str, Query]:
         "idf_weights": idf_weights,
         "tfidf_exact": tfidf_exact,
         "hashing_tf": hashing_tf,
+        "hashing_tf_sparse": hashing_tf_sparse,
         "category_centroid_mean": category_centroid_mean,
         "category_centroid_sum": category_centroid_sum,
         "category_pair_distance": category_pair_distance,
