@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # means the same thing in every engine.
 WHITESPACE = "[ \\t\\n\\x0B\\f\\r]"
 # Fixed value: a word is a maximal run of Unicode letters.
-NON_LETTERS = "[^\\p{L}]+"
+LETTER = "\\p{L}"
 
 
 def _c(col: Column | str) -> Column:
@@ -60,5 +60,9 @@ def ml_tokens(col: Column | str) -> Column:
 
 
 def word_tokens(col: Column | str, min_len: int = 3) -> Column:
-    """Words: lower-cased runs of letters of at least ``min_len`` characters."""
-    return F.filter(F.split(F.lower(_c(col)), NON_LETTERS), lambda w: F.length(w) >= min_len)
+    """Words: lower-cased runs of letters of at least ``min_len`` characters.
+
+    One regex pass extracts them directly: a greedy ``\\p{L}{n,}`` match starts
+    only at the start of a letter run and takes the whole run, so this equals
+    splitting on non-letters and dropping words shorter than ``n``."""
+    return F.regexp_extract_all(F.lower(_c(col)), F.lit(LETTER + "{%d,}" % max(1, min_len)), 0)
