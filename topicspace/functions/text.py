@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # vertical tab, form feed, carriage return), written out so the same class
 # means the same thing in every engine.
 WHITESPACE = "[ \\t\\n\\x0B\\f\\r]"
+WHITESPACE_CHARS = " \t\n\x0b\f\r"
 # Fixed value: a word is a maximal run of Unicode letters.
 LETTER = "\\p{L}"
 
@@ -54,7 +55,7 @@ def ml_tokens(col: Column | str) -> Column:
     single whitespace character; leading and inner empty tokens are kept, trailing
     ones dropped, and an empty text gives one empty token."""
     low = F.lower(_c(col))
-    stripped = F.regexp_replace(low, WHITESPACE + "+$", "")
+    stripped = F.rtrim(low, F.lit(WHITESPACE_CHARS))
     # a text made only of whitespace has no tokens; an empty text has one empty token
     return F.when((stripped == "") & (low != ""), F.array().cast("array<string>")) \
         .otherwise(F.split(stripped, WHITESPACE))
