@@ -57,9 +57,13 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     one core. Such an input is hash-partitioned on ``key`` (its row id) across
     the cores, which also lets later aggregations by that key skip their
     exchange. Inputs under ``min_bytes`` are too small to gain from it."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # pragma: no cover - no RDD view of the plan (e.g. a remote session)
+        return df
     size = estimated_bytes(df)
-    if (size is not None and size < min_bytes) or df.rdd.getNumPartitions() >= want:
+    if (size is not None and size < min_bytes) or parts >= want:
         return df
     return df.repartition(want, key) if key else df.repartition(want)
 
