@@ -139,3 +139,17 @@ def test_word_vectors_bad_lines(spark, tmp):
     assert nulls == 3
     with pytest.raises(Exception):
         SF.read_word_vectors(spark, p, 2).collect()
+
+
+def test_corpus_many_splits(spark, tmp):
+    # 3000 articles, titles repeat every 1000: the last of each title wins
+    blocks = [f"T{i % 1000}\nline {i} a\nline {i} b" for i in range(3000)]
+    p = write(os.path.join(tmp, "big_corpus.txt"), "\n\n".join(blocks) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        df = SF.read_corpus(spark, p)
+        assert SF.read_lines(spark, p, line_sep="\n\n").rdd.getNumPartitions() > 5
+        got = {r.title: r.content for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {f"T{t}": f"line {2000 + t} a line {2000 + t} b" for t in range(1000)}
