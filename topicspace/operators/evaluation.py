@@ -10,8 +10,10 @@ from topicspace.functions.vectors import metric as metric_fn
 # Class vectors are folded into the plan as a literal only up to this many
 # numbers; larger models are broadcast once and scored with numpy.
 MAX_LITERAL_VALUES = 50_000
-# Bound on the number of class vectors a model may have.
+# Bound on the number of class vectors a model may have, and on the numbers
+# the broadcast class matrix may hold (8 bytes each).
 MAX_CLASSES = 100_000
+MAX_BROADCAST_VALUES = 20_000_000
 
 
 def class_scores(rows: DataFrame, classes: DataFrame, vec: str = "vec", label: str = "label",
@@ -54,8 +56,8 @@ def true_class_rank(scores: str = "scores", label: str = "label") -> F.Column:
 def true_class_ranks(rows: DataFrame, classes: DataFrame, vec: str = "vec", label: str = "label",
                      metric: str = "sqeuclidean", out: str = "rank") -> DataFrame:
     """Add the 1-based rank of each row's true class among all class vectors
-    (nearest first, ties by class label), for models of any size up to
-    ``MAX_CLASSES`` classes.
+    (nearest first, ties by class label), for models of up to ``MAX_CLASSES``
+    classes and ``MAX_BROADCAST_VALUES`` numbers.
 
     The class matrix (count checked) is broadcast once; each Arrow batch of
     rows gets its distances to every class in a numpy matrix (in chunks that
@@ -66,6 +68,8 @@ def true_class_ranks(rows: DataFrame, classes: DataFrame, vec: str = "vec", labe
     cls = classes.select(label, vec).limit(MAX_CLASSES + 1).collect()
     if len(cls) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
+    if sum(len(r[vec]) for r in cls) > MAX_BROADCAST_VALUES:
+        raise ValueError(f"class matrix larger than {MAX_BROADCAST_VALUES} numbers")
     order = sorted(range(len(cls)), key=lambda i: cls[i][label])
     labels = np.array([cls[i][label] for i in order])
     matrix = np.array([cls[i][vec] for i in order], dtype=np.float64)
