@@ -7,14 +7,12 @@ so the same value summed in another order compares equal."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import uuid
-
-from topicspace.functions import vectors as FV
 from topicspace.functions.text import normalize_title
 from topicspace.functions.vectors import stable
 from topicspace.operators import categories as C
