@@ -46,6 +46,7 @@ SPLIT_WEIGHTS = (0.8, 0.1, 0.1)
 SAMPLE_FRACTION = 0.2
 TOP_K = 5
 NEAREST_K = 3
+MAX_MATRIX_LABELS = 1000
 
 
 def _arts(spark, sf):
@@ -330,7 +331,11 @@ def blocked_pair_distance(spark, sf):
 
 
 def distance_matrix(spark, sf):
-    names = [r["name"] for r in TB.label_names(TB.labelled_vectors(spark, sf)).orderBy("name").collect()]
+    # the labels become matrix columns: a bounded list
+    names = [r["name"] for r in TB.label_names(TB.labelled_vectors(spark, sf))
+             .orderBy("name").limit(MAX_MATRIX_LABELS + 1).collect()]
+    if len(names) > MAX_MATRIX_LABELS:
+        raise ValueError(f"more than {MAX_MATRIX_LABELS} labels for a distance matrix")
     m = jobs.distance_matrix(_named(spark, sf).select(
         "name1", "name2", stable("distance").alias("distance")), names)
     return m
