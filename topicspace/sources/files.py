@@ -55,7 +55,7 @@ def read_whitespace_table(spark: SparkSession, path: str | Sequence[str],
 
 def last_wins(df: DataFrame, key: str | Sequence[str], order: str = ORDER) -> DataFrame:
     """Keep, per key, the row that comes last by ``order`` (a map built in file
-    order). One hash aggregate with map-side partial results."""
+    order). One ``max_by`` aggregate with map-side partial results."""
     keys = [key] if isinstance(key, str) else list(key)
     values = [c for c in df.columns if c not in keys and c != order]
     picked = F.max_by(F.struct(*values), F.col(order)).alias("_v")
