@@ -62,3 +62,10 @@ def test_model_queries_invariants(spark):
     assert top.k == 5 and 0.0 <= top.accuracy <= 1.0 and top.n > 0
     pca = q["pca_centroids"](spark, SF_SMALL).collect()
     assert len(pca) == 10 and 0.0 < pca[0].explained_variance <= 1.0
+
+
+def test_outputs_are_scalar_columns(spark):
+    from pyspark.sql.types import ArrayType, MapType, StructType
+    for name, fn in E.queries().items():
+        for field in fn(spark, SF_SMALL).schema.fields:
+            assert not isinstance(field.dataType, (ArrayType, MapType, StructType)), (name, field)
