@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +47,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def utf8_bytes(text: str) -> Column:
     """UTF-8 bytes of a text column, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def worker_held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """One object for each Python worker, kept across the tasks that it runs."""
+    held = sys.modules.setdefault("_topicspace_held", types.ModuleType("_topicspace_held"))
+    if key not in vars(held):
+        vars(held)[key] = make()
+    return vars(held)[key]

@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from topicspace.llm.langid import op9_language_id
+from topicspace.llm.merge_dropout import op8_merge_dropout
 from topicspace.llm.mixing import op5_mix_sources
+from topicspace.llm.pii import op3_pii_surrogates
+from topicspace.llm.quality import op7_quality_rules
 from topicspace.llm.sharding import op1_shard_shuffle
 from topicspace.llm.simhash import op2_simhash_near_dedup
 from topicspace.llm.token_files import op4_token_files
 
-_QUERIES = [op1_shard_shuffle, op2_simhash_near_dedup, op4_token_files, op5_mix_sources]
+_QUERIES = [op1_shard_shuffle, op2_simhash_near_dedup, op3_pii_surrogates,
+            op4_token_files, op5_mix_sources, op7_quality_rules, op8_merge_dropout,
+            op9_language_id]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
