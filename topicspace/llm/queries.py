@@ -10,14 +10,16 @@ from topicspace.llm.langid import op9_language_id
 from topicspace.llm.merge_dropout import op8_merge_dropout
 from topicspace.llm.mixing import op5_mix_sources
 from topicspace.llm.pii import op3_pii_surrogates
+from topicspace.llm.prefix_forest import op10_nearest_vectors
 from topicspace.llm.quality import op7_quality_rules
 from topicspace.llm.sharding import op1_shard_shuffle
 from topicspace.llm.simhash import op2_simhash_near_dedup
 from topicspace.llm.token_files import op4_token_files
+from topicspace.llm.wrappers import op6_wrapper_extraction
 
 _QUERIES = [op1_shard_shuffle, op2_simhash_near_dedup, op3_pii_surrogates,
-            op4_token_files, op5_mix_sources, op7_quality_rules, op8_merge_dropout,
-            op9_language_id]
+            op4_token_files, op5_mix_sources, op6_wrapper_extraction, op7_quality_rules,
+            op8_merge_dropout, op9_language_id, op10_nearest_vectors]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
