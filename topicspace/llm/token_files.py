@@ -26,21 +26,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspace.llm.common import fresh_dir, materialize, read_table
+from topicspace.llm.common import fresh_dir, materialize, read_table, worker_held
 
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 512
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Cached pieces of text and their ids, at most, in one task.
-CACHE_PIECES = 1 << 20
+#: Cached pieces of text and their ids, at most, in one worker.
+CACHE_PIECES = 300_000
 DOCS_PER_BATCH = 4096
 MANIFEST = "file int, path string, docs long, tokens long"
 
-# A space between two characters that are not white space starts a new piece in
-# byte-level BPE pre-tokenisation whatever stands around it, so the pieces can be
-# encoded one by one.
+# Byte-level BPE pre-tokenisation starts a new piece at a space between two characters
+# that are not white space, and around a line feed between two such characters,
+# whatever stands farther off. So those pieces can be encoded one by one.
 PIECE = re.compile(r"(?<=\S)(?= \S)")
+#: White space that is neither a single space nor a single line feed inside the text.
+ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Byte-level BPE writes a byte that is a printable Latin-1 character as itself and
+    the others, in order, as the characters from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
+BYTE_ALPHABET = _byte_alphabet()
 
 
 class Encoder:
@@ -52,20 +64,62 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.dtype = id_type(self.tokenizer.get_vocab_size())
+        self.plain = (type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
+                      and self.tokenizer.normalizer is None)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the cache before it was last full
+        self.units: dict[str, bytes] = {}
+
+    def _unit(self, unit: str) -> bytes:
+        """Ids of one unit of the pre-tokeniser, given in its byte alphabet."""
+        found = np.array([t.id for t in self.tokenizer.model.tokenize(unit)],
+                         dtype=self.dtype).tobytes()
+        if len(self.units) >= CACHE_PIECES:
+            self.units.clear()
+        self.units[unit] = found
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece: the library's pre-tokeniser cuts it into units and its
+        model encodes them."""
+        units = self.units
+        return b"".join([units.get(u) or self._unit(u) for u, _ in
+                         self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)])
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word after a space (cached without it), or of a line feed and the
+        word after it (cached as it is). Letters after a space are one unit, and a
+        full stop or comma after them is one more."""
+        stem = word[:-1] if word[-1] in ".," else word
+        if word in self.older:
+            found = self.older[word]
+        elif stem.isalpha():
+            unit = "\u0120" + (stem if stem.isascii() else
+                               stem.encode("utf-8").decode("latin-1").translate(BYTE_ALPHABET))
+            found = self.units.get(unit) or self._unit(unit)
+            if stem is not word:
+                found += self.units.get(word[-1]) or self._unit(word[-1])
+        else:
+            found = self._piece(word if word[0] == "\n" else f" {word}")
+        if len(self.cache) >= CACHE_PIECES:
+            self.older, self.cache = self.cache, {}
+        self.cache[word] = found
+        return found
 
     def __call__(self, text: str | None) -> np.ndarray:
-        pieces = PIECE.split(text) if text else []
+        if not text:
+            return np.zeros(0, dtype=self.dtype)
+        if not self.plain:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids,
+                            dtype=self.dtype)
         cache = self.cache
-        new = list({p for p in pieces if p not in cache})
-        if new:
-            if len(cache) + len(new) > CACHE_PIECES:
-                cache.clear()
-                new = list(set(pieces))
-            for piece, found in zip(new, self.tokenizer.encode_batch_fast(
-                    new, add_special_tokens=False)):
-                cache[piece] = np.array(found.ids, dtype=self.dtype).tobytes()
-        return np.frombuffer(b"".join([cache[p] for p in pieces]), dtype=self.dtype)
+        if ODD.search(text):
+            raw = [self._piece(p) for p in PIECE.split(text)]
+        else:
+            first, *words = text.replace("\n", " \n").split(" ")
+            raw = [self._piece(first), *[cache.get(w) or self._word(w) for w in words]]
+            # (a cache that filled up meanwhile is still searched until the text ends)
+        return np.frombuffer(b"".join(raw), dtype=self.dtype)
 
 
 def id_type(vocab_size: int) -> np.dtype:
@@ -148,7 +202,8 @@ class SequenceFile:
 
 def _write_task(folder: str, tokenizer: str, seq_len: int, end_id: int, id_col: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encode = TaskContext.get().partitionId(), Encoder(tokenizer)
+        part, encode = TaskContext.get().partitionId(), worker_held(
+            ("tokenizer", tokenizer), lambda: Encoder(tokenizer))
         fs, base = _fs(folder)
         mark = uuid.uuid4().hex
         names = [f"{base}/{kind}-{part:06d}.arrow" for kind in ("tokens", "docs")]
