@@ -149,7 +149,7 @@ def test_embedding_distances_vocab_weight(spark):
     arts = spark.createDataFrame(
         [(1, "alpha alpha beta", ["x", "y"]), (2, "beta gamma", ["y"]), (3, "gamma gamma delta", ["z"])],
         "article_id int, content string, categories array<string>")
-    wv = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "idx int, vec array<float>")
+    wv = spark.createDataFrame([("gamma", [1.0, 0.0]), ("alpha", [0.0, 1.0]), ("beta", [1.0, 1.0])], "word string, vec array<float>")
     for weight in ("article", "membership"):
         d = jobs.category_distance_embedding(arts, wv, categories="categories", category="category",
                                              vocab_size=3, skip_top=0, vocab_weight=weight)

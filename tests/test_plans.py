@@ -4,13 +4,14 @@ columns a query uses."""
 
 import pytest
 
-import __spark_entry__ as E
+from topicspace.plans import registry as E
 
 from conftest import SF_SMALL
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 # Model queries fit a model while being built (their plans hold the fitted model).
 MODELS = {"recommend_users_for_items", "recommend_items_for_users", "classifier_predictions",
+          "recommend_users_for_items_checked", "recommend_items_for_users_checked",
           "classifier_topk", "learned_embeddings", "pca_centroids"}
 
 

@@ -15,8 +15,11 @@ from check_oracles import digest, duck  # noqa: E402
 
 from conftest import SF_SMALL  # noqa: E402
 
-SQL = E.oracle_sql()
-NAMES = sorted(E.queries())
+from topicspace.plans import oracles, registry  # noqa: E402
+
+# the library's own queries: the training-data ones have their tests in tests/llm
+SQL = oracles.oracle_sql()
+NAMES = sorted(registry.queries())
 
 
 @pytest.fixture(scope="module")
@@ -24,10 +27,16 @@ def con():
     return duck(SF_SMALL)
 
 
+def test_every_query_is_registered_with_its_sql():
+    assert set(NAMES) <= set(E.queries())
+    assert {k: SQL[k] for k in SQL} == {k: v for k, v in E.oracle_sql().items() if k in SQL}
+
+
 def test_every_query_has_sql_or_is_a_model():
     models = {"recommend_users_for_items", "recommend_items_for_users", "classifier_predictions",
               "classifier_topk", "learned_embeddings", "pca_centroids"}
     assert set(NAMES) - set(SQL) == models
+    assert all(f"{m}_checked" in SQL for m in models)
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in SQL])
@@ -66,6 +75,6 @@ def test_model_queries_invariants(spark):
 
 def test_outputs_are_scalar_columns(spark):
     from pyspark.sql.types import ArrayType, MapType, StructType
-    for name, fn in E.queries().items():
+    for name, fn in registry.queries().items():
         for field in fn(spark, SF_SMALL).schema.fields:
             assert not isinstance(field.dataType, (ArrayType, MapType, StructType)), (name, field)

@@ -39,11 +39,6 @@ def join_rest_lines(col: Column | str) -> Column:
     return F.array_join(F.slice(ls, 2, F.greatest(F.size(ls) - 1, F.lit(0))), " ")
 
 
-def split_whitespace(col: Column | str) -> Column:
-    """Split on one or more whitespace characters."""
-    return F.split(_c(col), WHITESPACE + "+")
-
-
 def stream_tokens(col: Column | str) -> Column:
     """Plain word stream: whitespace-separated tokens, empty tokens dropped, case
     kept (the maximal runs of non-whitespace, extracted in one regex pass)."""

@@ -85,18 +85,16 @@ def stable(col: Column | str) -> Column:
     return _c(col).cast("float").cast("double")
 
 
-# Layout Spark ML uses to store a vector (its SQL type).
-VECTOR_STRUCT = "struct<v:struct<type:tinyint,size:int,indices:array<int>,values:array<double>>>"
-
-
 def vector_entries(v: Column | str) -> Column:
     """Stored entries of an ML vector as ``array<struct<index:int, value:double>>``:
     the non-zeros of a sparse vector (no dense expansion, whatever its size),
-    every element of a dense one. Read from the vector's stored layout through
-    its JSON form, inside the JVM."""
-    parsed = F.from_json(F.to_json(F.struct(_c(v).alias("v"))), VECTOR_STRUCT)["v"]
-    idx = F.coalesce(parsed["indices"],
-                     F.sequence(F.lit(0), F.size(parsed["values"]) - 1))
-    return F.when(F.size(parsed["values"]) > 0,
-                  F.arrays_zip(idx.alias("index"), parsed["values"].alias("value"))) \
-        .otherwise(F.array().cast("array<struct<index:int,value:double>>"))
+    every element of a dense one."""
+    def entries(stored: Column) -> Column:
+        values = stored["values"]
+        # a dense vector stores no indices
+        idx = F.coalesce(stored["indices"], F.transform(values, lambda x, i: i))
+        return F.zip_with(idx, values, lambda i, x: F.named_struct(
+            F.lit("index"), i, F.lit("value"), x))
+
+    # bound once: the vector may be the result of a costly expression
+    return F.flatten(F.transform(F.array(F.unwrap_udt(_c(v))), entries))

@@ -190,16 +190,29 @@ def sort_distances(distances: DataFrame, distance: str = "distance",
 
 def symmetric(distances: DataFrame, a: str = "name1", b: str = "name2",
               distance: str = "distance") -> DataFrame:
-    """Both orientations of every pair: ``(a, b, distance)`` and ``(b, a, distance)``."""
-    return distances.select(a, b, distance).unionByName(
-        distances.select(F.col(b).alias(a), F.col(a).alias(b), distance))
+    """Both orientations of every pair: ``(a, b, distance)`` and ``(b, a, distance)``, from
+    one reading of the pairs."""
+    ways = F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b")),
+                   F.struct(F.col(b).alias("a"), F.col(a).alias("b")))
+    return distances.select(F.explode(ways).alias("_w"), distance).select(
+        F.col("_w.a").alias(a), F.col("_w.b").alias(b), distance)
+
+
+def symmetric_distances(distances: DataFrame, names: DataFrame, a: str = "name1",
+                        b: str = "name2", distance: str = "distance", fill: float = 0.0,
+                        name: str = "name") -> DataFrame:
+    """The symmetric matrix in long form for any number of labels: every pair both
+    ways, and each of ``names`` with itself at ``fill``."""
+    own = names.select(F.col(name).alias(a), F.col(name).alias(b), F.lit(fill).alias(distance))
+    return symmetric(distances, a, b, distance).unionByName(own)
 
 
 def nearest(distances: DataFrame, k: int, a: str = "name1", b: str = "name2",
             distance: str = "distance", rank: str = "rank") -> DataFrame:
     """The ``k`` nearest other categories of every category, ranked 1..k
-    (distance, then name). One window per category; a category has at most one
-    row per other category."""
+    (distance, then name). Each task keeps the k best rows it has of a category
+    before they are shuffled (a group limit under the window), so the window gets at
+    most k rows of a category from each."""
     sym = symmetric(distances, a, b, distance)
     w = Window.partitionBy(a).orderBy(F.col(distance).asc(), F.col(b).asc())
     return sym.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)

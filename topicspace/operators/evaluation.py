@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicspace.functions.vectors import metric as metric_fn
+from topicspace.operators.common import bounded_broadcast
+from topicspace.session import shared_dir
 
-# Class vectors are folded into the plan as a literal only up to this many
-# numbers; larger models are broadcast once and scored with numpy.
-MAX_LITERAL_VALUES = 50_000
-# Bound on the number of class vectors a model may have, and on the numbers
-# the broadcast class matrix may hold (8 bytes each).
-MAX_CLASSES = 100_000
-MAX_BROADCAST_VALUES = 20_000_000
+# Class vectors of a block in the rank join.
+BLOCK_CLASSES = 1024
+# Rows of the scored table that meet one block of classes in one task, about.
+SALT_ROWS = 1 << 18
 
 
 def class_scores(rows: DataFrame, classes: DataFrame, vec: str = "vec", label: str = "label",
@@ -21,25 +20,16 @@ def class_scores(rows: DataFrame, classes: DataFrame, vec: str = "vec", label: s
     """Score every row against every class vector: ``out`` is an array of
     ``struct(label, score)`` with score = -distance (higher is better).
 
-    The class vectors are a fitted model (one per class, count checked against
-    ``MAX_CLASSES``); they go into the plan as a constant array, so scoring is a
-    narrow map over the rows with no join."""
+    The class vectors are a fitted model (one per class). They are folded into one
+    row by a scalar subquery, so scoring is a narrow map over the rows with no join.
+    The row carries all scores by definition; where only the rank of the true class
+    is needed, ``true_class_ranks`` takes any number of classes."""
     fn = metric_fn(metric)
-    cls = classes.select(label, vec).limit(MAX_CLASSES + 1).collect()
-    if len(cls) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    if sum(len(r[vec]) for r in cls) > MAX_LITERAL_VALUES:
-        raise ValueError("model too large for per-row score arrays; use true_class_ranks")
-    def num(x) -> str:
-        return f"CAST('{float(x)!r}' AS DOUBLE)"
-
-    # one SQL expression (constant-folded by Catalyst), built in one call
-    consts = F.expr("array(" + ", ".join(
-        f"named_struct('label', {r[label]!r}, 'v', array({', '.join(num(x) for x in r[vec])}))"
-        for r in cls) + ")") if cls else F.array()
-    scored = F.transform(consts, lambda c: F.struct(c["label"].alias("label"),
-                                                    (-fn(F.col(vec), c["v"])).alias("score")))
-    return rows.withColumn(out, scored)
+    folded = classes.agg(F.array_sort(F.collect_list(F.struct(
+        F.col(label).alias("label"), F.col(vec).alias("v"))))).scalar()
+    scored = F.transform(F.col("_classes"), lambda c: F.struct(
+        c["label"].alias("label"), (-fn(F.col(vec), c["v"])).alias("score")))
+    return rows.withColumn("_classes", folded).withColumn(out, scored).drop("_classes")
 
 
 def true_class_rank(scores: str = "scores", label: str = "label") -> F.Column:
@@ -55,59 +45,43 @@ def true_class_rank(scores: str = "scores", label: str = "label") -> F.Column:
 
 def true_class_ranks(rows: DataFrame, classes: DataFrame, vec: str = "vec", label: str = "label",
                      metric: str = "sqeuclidean", out: str = "rank") -> DataFrame:
-    """Add the 1-based rank of each row's true class among all class vectors
-    (nearest first, ties by class label), for models of up to ``MAX_CLASSES``
-    classes and ``MAX_BROADCAST_VALUES`` numbers.
-
-    The class matrix (count checked) is broadcast once; each Arrow batch of
-    rows gets its distances to every class in a numpy matrix (in chunks that
-    bound memory), and only the rank comes back."""
-    import numpy as np
-    import pandas as pd
-
-    cls = classes.select(label, vec).limit(MAX_CLASSES + 1).collect()
-    if len(cls) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    if sum(len(r[vec]) for r in cls) > MAX_BROADCAST_VALUES:
-        raise ValueError(f"class matrix larger than {MAX_BROADCAST_VALUES} numbers")
-    order = sorted(range(len(cls)), key=lambda i: cls[i][label])
-    labels = np.array([cls[i][label] for i in order])
-    matrix = np.array([cls[i][vec] for i in order], dtype=np.float64)
+    """``rows`` with ``rank``: the 1-based rank of its true class among all
+    class vectors (nearest first, ties by class label; null for an unknown class), for
+    any number of classes.
+
+    A row first meets its own class (one join on the label) for the distance to beat;
+    then every block of classes counts those that beat it, and the counts are added
+    up. A block is joined on (block, salt): its copies, one for each salt, spread the
+    rows that all meet it. Rows are saved with an id first, as they are read twice.
+    """
+    fn = metric_fn(metric)
     spark = rows.sparkSession
-    bc = spark.sparkContext.broadcast((labels, matrix, metric))
-    from pyspark.sql.types import IntegerType, StructField, StructType
-    schema = StructType([*rows.schema.fields, StructField(out, IntegerType(), True)])
-
-    def fn(batches):
-        labs, m, met = bc.value
-        m_norm = np.linalg.norm(m, axis=1)
-        step = max(1, (1 << 24) // max(1, m.size))
-        for pdf in batches:
-            n = len(pdf)
-            ranks = np.zeros(n, dtype=np.int32)
-            x_all = np.stack(pdf[vec].to_numpy()).astype(np.float64) if n else np.zeros((0, m.shape[1]))
-            true = pdf[label].to_numpy()
-            for s in range(0, n, step):
-                x = x_all[s:s + step]
-                if met == "cosine":
-                    den = np.outer(np.linalg.norm(x, axis=1), m_norm)
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        d = np.where(den == 0, 1.0, 1.0 - (x @ m.T) / den)
-                else:
-                    d = ((x[:, None, :] - m[None, :, :]) ** 2).sum(axis=-1)
-                    if met == "euclidean":
-                        d = np.sqrt(d)
-                pos = np.searchsorted(labs, true[s:s + step])
-                pos = np.clip(pos, 0, len(labs) - 1)
-                known = labs[pos] == true[s:s + step]
-                dt = d[np.arange(len(x)), pos][:, None]
-                better = (d < dt) | ((d == dt) & (labs[None, :] < true[s:s + step, None]))
-                ranks[s:s + step] = np.where(known, better.sum(axis=1) + 1, 0)
-            out_pdf = pdf.copy()
-            out_pdf[out] = pd.array(np.where(ranks > 0, ranks, None), dtype="Int32")
-            yield out_pdf
-
-    return rows.mapInPandas(fn, schema)
+    shared_dir(spark)
+    own = classes.select(F.col(label).alias("_l"), F.col(vec).alias("_v"))
+    saved = rows.withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    asked = saved.select("_id", F.col(label).alias("_label"),
+                         F.col(vec).cast("array<double>").alias("_x"))
+    n_blocks = max(1, -(-own.count() // BLOCK_CLASSES))
+    salts = max(1, -(-asked.count() // SALT_ROWS))
+    beat = (asked.join(bounded_broadcast(own), F.col("_label") == F.col("_l"))
+            .select("_id", "_label", "_x", fn(F.col("_x"), F.col("_v")).alias("_d")))
+    blocks = (own.withColumn("_b", F.pmod(F.xxhash64("_l"), F.lit(n_blocks)).cast("int"))
+              .groupBy("_b").agg(F.collect_list(F.struct("_l", "_v")).alias("_cs"))
+              .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    spread = beat.withColumns({
+        "_b": F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))),
+        "_s": F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")})
+    better = F.size(F.filter("_cs", lambda c: comes_before(
+        fn(F.col("_x"), c["_v"]), F.col("_d"), c["_l"], F.col("_label"))))
+    counts = (spread.join(bounded_broadcast(blocks), ["_b", "_s"])
+              .select("_id", better.alias("_n")).groupBy("_id").agg(F.sum("_n").alias("_n")))
+    return saved.join(counts, "_id", "left").select(
+        *rows.columns, (F.col("_n") + 1).cast("int").alias(out))
+
+
+def comes_before(a: Column, b: Column, a_tie: Column, b_tie: Column) -> Column:
+    """Whether ``(a, a_tie)`` comes before ``(b, b_tie)``; each value is computed once."""
+    return F.struct(a, a_tie) < F.struct(b, b_tie)
 
 
 def topk_accuracy_from_ranks(ranked: DataFrame, k: int, rank: str = "rank") -> DataFrame:

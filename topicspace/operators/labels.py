@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicspace.operators.common import bounded_broadcast
+from topicspace.session import shared_dir
 
 
 def dense_labels(df: DataFrame, order: str | Sequence[str | Column], out: str = "label",
@@ -22,6 +23,7 @@ def dense_labels(df: DataFrame, order: str | Sequence[str | Column], out: str =
     be a total order (ties get an arbitrary but fixed order).
     """
     spark = df.sparkSession
+    shared_dir(spark)
     order_cols = [order] if isinstance(order, (str, Column)) else list(order)
     tagged = (df.orderBy(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
@@ -43,9 +45,12 @@ def dense_labels(df: DataFrame, order: str | Sequence[str | Column], out: str =
 
 def lookup(df: DataFrame, dictionary: DataFrame, on: str | Sequence[str], value: str,
            default=None, out: str | None = None) -> DataFrame:
-    """Left-join ``dictionary`` and replace a missing value by ``default``."""
+    """Left-join ``dictionary`` and replace a missing value by ``default``. A key that
+    the dictionary holds more than once counts with its largest value (a dictionary
+    with a file order goes through ``last_wins`` first), so no row of ``df`` is
+    repeated."""
     keys = [on] if isinstance(on, str) else list(on)
-    d = dictionary.select(*keys, F.col(value).alias("_lv"))
+    d = dictionary.groupBy(*keys).agg(F.max(value).alias("_lv"))
     res = df.join(d, keys, "left")
     filled = F.col("_lv") if default is None else F.coalesce(F.col("_lv"), F.lit(default))
     return res.withColumn(out or value, filled).drop("_lv")
@@ -108,8 +113,3 @@ def label_articles(articles: DataFrame, membership: DataFrame, labels: DataFrame
     elif mode != "explode":
         raise ValueError("mode must be 'explode' or 'first'")
     return articles.join(lab, article, "inner")
-
-
-def small_dictionary(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """A dictionary side for a lookup join, broadcast when proven small."""
-    return bounded_broadcast(df, max_rows)

@@ -9,14 +9,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1000
+# The hash range: 60 bits, so a fraction is met to about 1e-18.
+HASH_BITS = 60
+HASH_RANGE = 1 << HASH_BITS
 
 
-def hash_bucket(key: str | Column, buckets: int = BUCKETS) -> Column:
-    """0..buckets-1 from the first 32 bits of the MD5 of the key's text."""
+def key_hash(key: str | Column) -> Column:
+    """0 .. HASH_RANGE - 1: the first 60 bits of the MD5 of the key's text."""
     k = F.col(key) if isinstance(key, str) else key
-    head = F.substring(F.md5(k.cast("string")), 1, 8)
-    return (F.conv(head, 16, 10).cast("bigint") % F.lit(buckets)).cast("int")
+    return F.conv(F.substring(F.md5(k.cast("string")), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
+def bound(fraction: float) -> int:
+    """The end of the first ``fraction`` of the hash range."""
+    return min(HASH_RANGE, max(0, round(fraction * HASH_RANGE)))
 
 
 def hash_split(df: DataFrame, key: str, weights: Sequence[float], out: str = "split") -> DataFrame:
@@ -25,8 +31,8 @@ def hash_split(df: DataFrame, key: str, weights: Sequence[float], out: str = "sp
     bounds, acc = [], 0.0
     for w in weights[:-1]:
         acc += w / total
-        bounds.append(int(round(acc * BUCKETS)))
-    b = hash_bucket(key)
+        bounds.append(bound(acc))
+    b = key_hash(key)
     part = F.lit(len(weights) - 1)
     for i in reversed(range(len(bounds))):
         part = F.when(b < bounds[i], F.lit(i)).otherwise(part)
@@ -40,8 +46,8 @@ def split_parts(df: DataFrame, key: str, weights: Sequence[float]) -> list[DataF
 
 
 def hash_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:
-    """Rows whose key hash falls in the first ``fraction`` of the buckets."""
-    return df.where(hash_bucket(key) < int(round(fraction * BUCKETS)))
+    """Rows whose key hash falls in the first ``fraction`` of the hash range."""
+    return df.where(key_hash(key) < F.lit(bound(fraction)))
 
 
 def random_split(df: DataFrame, weights: Sequence[float], seed: int = 0) -> list[DataFrame]:

@@ -7,14 +7,11 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Tokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicspace.functions.vectors import vector_entries
 
-DENSE_MAX_FEATURES = 4096
-
 
 def term_frequency(df: DataFrame, doc: str, tokens: str, term: str = "term",
                    out: str = "tf") -> DataFrame:
@@ -88,14 +85,11 @@ def tfidf_vectors(df: DataFrame, doc: str, text: str, num_features: int = 20,
 def hashed_term_frequency(df: DataFrame, doc: str, tokens: str, num_features: int,
                           bucket: str = "bucket", out: str = "tf") -> DataFrame:
     """Hashed term counts in long form ``(doc, bucket, tf double)``, non-zero
-    buckets only (up to ``DENSE_MAX_FEATURES`` buckets the vector is expanded
-    densely; above, only its stored non-zeros are read), with Spark ML's term hash (MurmurHash3 x86 32-bit, seed 42,
-    over UTF-8 bytes, non-negative modulo ``num_features``)."""
+    buckets only (the vectors' stored entries, whatever the number of buckets), with
+    Spark ML's term hash (MurmurHash3 x86 32-bit, seed 42, over UTF-8 bytes,
+    non-negative modulo ``num_features``)."""
     htf = HashingTF(inputCol=tokens, outputCol="_v", numFeatures=num_features)
     vecs = htf.transform(df.select(doc, tokens))
-    if num_features <= DENSE_MAX_FEATURES:
-        return (vecs.select(doc, F.posexplode(vector_to_array("_v")).alias(bucket, out))
-                .where(F.col(out) != 0))
     ent = vecs.select(doc, F.explode(vector_entries("_v")).alias("_e"))
     return ent.select(doc, F.col("_e.index").alias(bucket), F.col("_e.value").alias(out)) \
         .where(F.col(out) != 0)

@@ -30,7 +30,10 @@ def vector_sum(df: DataFrame, keys: str | Sequence[str], vec: str, how: str = "s
     One generated hash aggregate with one ``sum`` per dimension: partial sums
     are taken map-side, so a group holding a third of all rows still sends one
     partial row per task through the shuffle. ``weight`` multiplies each vector
-    first (a mean is then weighted). ``count`` also returns the group size.
+    first (a mean is then weighted). ``count`` also returns the number (or
+    weight) of vectors in the group. A null vector counts for nothing, as in SQL's
+    ``sum`` and ``avg`` (a group of nulls gives null); a vector of another length
+    than ``dim`` fails the query.
     The aggregate is written as one SQL statement over ``df`` so that building
     it costs one call, not one per dimension.
     """
@@ -38,15 +41,21 @@ def vector_sum(df: DataFrame, keys: str | Sequence[str], vec: str, how: str = "s
         raise ValueError("how must be 'sum' or 'mean'")
     keys = [keys] if isinstance(keys, str) else list(keys)
     d = vector_dim(df, vec) if dim is None else dim
-    w = f" * CAST({_q(weight)} AS DOUBLE)" if weight else ""
-    n = f"sum(CAST({_q(weight)} AS DOUBLE))" if weight else "count(1)"
+    w = " * _w" if weight else ""
+    n = "sum(CASE WHEN _x IS NOT NULL THEN _w END)" if weight else "count(_x)"
     ks = ", ".join(_q(k) for k in keys)
-    sums = ", ".join(f"sum(CAST({_q(vec)}[{i}] AS DOUBLE){w}) AS _s{i}" for i in range(d))
+    sums = "".join(f"sum(CAST(_x[{i}] AS DOUBLE){w}) AS _s{i}, " for i in range(d))
     div = " / _n" if how == "mean" else ""
     arr = ", ".join(f"_s{i}{div}" for i in range(d))
-    cnt = f", CAST(_n AS BIGINT) AS {_q(count)}" if count else ""
-    sql = (f"SELECT {ks}, array({arr}) AS {_q(out)}{cnt} FROM "
-           f"(SELECT {ks}, {sums}, {n} AS _n FROM {{src}} GROUP BY {ks})")
+    cnt = f", CAST(coalesce(_n, 0) AS BIGINT) AS {_q(count)}" if count else ""
+    checked = (f"CASE WHEN {_q(vec)} IS NULL OR size({_q(vec)}) = {d} THEN {_q(vec)} ELSE "
+               f"raise_error('a vector has another length than {d}') END AS _x")
+    weighted = f", CAST({_q(weight)} AS DOUBLE) AS _w" if weight else ""
+    whole = f"CASE WHEN coalesce(_n, 0) <> 0 THEN array({arr}) END" if how == "mean" else (
+        f"CASE WHEN _any THEN array({arr}) END")
+    sql = (f"SELECT {ks}, {whole} AS {_q(out)}{cnt} FROM "
+           f"(SELECT {ks}, {sums}{n} AS _n, max(_x IS NOT NULL) AS _any FROM "
+           f"(SELECT {ks}, {checked}{weighted} FROM {{src}}) GROUP BY {ks})")
     return df.sparkSession.sql(sql, src=df)
 
 
@@ -56,19 +65,19 @@ def document_vectors(encoded: DataFrame, word_vectors: DataFrame, doc: str = "do
                      keys: list[str] | None = None) -> DataFrame:
     """Document vector = element-wise sum (or mean) of the vectors of its words.
 
-    Every word position is looked up in the word-vector table (bounded by the
-    vocabulary; broadcast after a size check) and the vectors are summed per
-    document in one aggregate: a document's positions come from one input row,
-    so the map-side partial sums already hold whole documents and the shuffle
-    carries one row per document. A word without a vector adds nothing (a zero
-    vector); a document with no vector at all gives no row. ``keys`` are more
+    A sum is linear: the document's words are counted first (a document comes from
+    one input row, so the map-side counts are whole), each different word is looked
+    up once in the word-vector table (broadcast after a size check), and the vectors
+    are summed with their counts as weights. A word without a vector adds nothing (a
+    zero vector); a document with no vector at all gives no row. ``keys`` are more
     document columns to keep (grouped with ``doc``). ``how='mean'`` divides by
     the number of positions that have a vector.
     """
     wv = bounded_broadcast(word_vectors.select(idx, vec))
     d = vector_dim(word_vectors, vec) if dim is None else dim
-    joined = encoded.select(doc, idx, *(keys or [])).join(wv, idx, "inner")
-    return vector_sum(joined, [doc, *(keys or [])], vec, how=how, dim=d, out=out)
+    counted = encoded.groupBy(doc, *(keys or []), idx).agg(F.count(F.lit(1)).alias("_times"))
+    joined = counted.join(wv, idx, "inner")
+    return vector_sum(joined, [doc, *(keys or [])], vec, how=how, dim=d, out=out, weight="_times")
 
 
 def vectorize(sequences: DataFrame, word_vectors: DataFrame, dim: int, doc: str = "doc_id",

@@ -39,16 +39,6 @@ def text_classifier(text: str = "content", label: str = "label", num_features: i
     return Pipeline(stages=stages)
 
 
-def vector_classifier(vec: str = "vec", label: str = "label", max_iter: int = 50,
-                      reg: float = 0.01) -> Pipeline:
-    """Classifier over an ``array<double>`` feature column (e.g. summed word vectors)."""
-    from pyspark.ml.feature import SQLTransformer
-    to_vec = SQLTransformer(statement=f"SELECT *, array_to_vector({vec}) AS features FROM __THIS__")
-    return Pipeline(stages=[to_vec, LogisticRegression(featuresCol="features", labelCol=label,
-                                                       maxIter=max_iter, regParam=reg,
-                                                       family="multinomial")])
-
-
 def train_classifier(labelled: DataFrame, key: str = "article_id", label: str = "label",
                      weights=(0.8, 0.1, 0.1), pipeline: Pipeline | None = None,
                      model_path: str | None = None) -> tuple[PipelineModel, list[DataFrame]]:

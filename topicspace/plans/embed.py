@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from topicspace.operators import text as TX
 from topicspace.operators.vectors import l2_normalize
 
+NUM_PARTITIONS = 8
+
 
 def unk_encoded_tokens(docs: DataFrame, doc: str, tokens: str, vocab_size: int,
                        out: str = "tokens") -> DataFrame:
@@ -31,15 +33,17 @@ def unk_encoded_tokens(docs: DataFrame, doc: str, tokens: str, vocab_size: int,
 def learn_embeddings(docs: DataFrame, doc: str = "article_id", text: str = "text",
                      vocab_size: int = 10000, dim: int = 100, window: int = 1,
                      min_count: int = 1, max_iter: int = 1, seed: int = 0,
-                     num_partitions: int | None = None) -> DataFrame:
+                     num_partitions: int = NUM_PARTITIONS) -> DataFrame:
     """``(word, vec array<double>)`` with unit-length vectors, one row per
     vocabulary word (``UNK`` included). Training runs in ``num_partitions``
-    parallel tasks (default: the session's default parallelism)."""
+    parallel tasks; the number is part of the model (their results are averaged),
+    so it does not follow the cluster. Texts are trained on whole, never cut."""
     toks = TX.tokenize(docs.select(doc, text), text, "tokens", "stream")
     enc = unk_encoded_tokens(toks, doc, "tokens", vocab_size)
-    parts = num_partitions or docs.sparkSession.sparkContext.defaultParallelism
+    longest = toks.agg(F.max(F.size("tokens")).alias("n")).first()["n"] or 1
     w2v = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=max_iter,
-                   seed=seed, numPartitions=parts, inputCol="tokens", outputCol="_v")
+                   seed=seed, numPartitions=num_partitions, maxSentenceLength=max(1, longest),
+                   inputCol="tokens", outputCol="_v")
     model = w2v.fit(enc)
     vecs = model.getVectors().select("word", vector_to_array("vector").alias("vec"))
     return l2_normalize(vecs, "vec")

@@ -3,70 +3,83 @@ embeddings (C2), and the symmetric distance matrix (C7)."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicspace.operators import categories as C
 from topicspace.operators import text as TX
+from topicspace.operators.common import bounded_broadcast
 from topicspace.operators.labels import semi_filter
 from topicspace.operators.tfidf import tfidf_model
-from topicspace.operators.vectors import document_vectors, vector_dim
-
-
-FUSED_MAX_FEATURES = 4096
+from topicspace.operators.vectors import vector_dim, vector_sum
 
 
 def category_tfidf_vectors(articles: DataFrame, categories: str, content: str = "content",
                            category: str = "category_id", num_features: int = 20,
-                           how: str = "mean") -> DataFrame:
+                           how: str = "mean", keep: DataFrame | None = None) -> DataFrame:
     """Mean (or summed) hashed TF-IDF vector per category in **one pass** over
     the articles: ``(category, vec array<double>)``.
 
     TF-IDF is TF times a per-bucket weight, so a category's mean TF-IDF vector
-    is its mean TF vector times the IDF weights. One aggregate yields, per
-    category, the summed TF vector and the article count, and, in one extra
-    global row, the number of articles (``m``) and of articles containing each
-    bucket (``df``) over all articles. That small result is checkpointed; the
-    global row (``num_features`` numbers, like the vector IDF fitting collects)
-    gives ``idf = ln((m + 1) / (df + 1))``. Dense per-bucket sums are used, so
-    this path is for bucket counts up to ``FUSED_MAX_FEATURES``.
+    is its mean TF vector times the IDF weights. The stored entries of the TF
+    vectors are summed by (category, bucket), with one more key for all articles
+    that counts the articles holding each bucket, and one more bucket that counts
+    the articles: one path for any number of buckets, whose rows are the non-zeros.
+    ``keep`` (ids in column ``category``) is applied to the articles' categories
+    before anything is summed; IDF counts all articles. The sums are checkpointed,
+    as they are read more than once; ``idf = ln((m + 1) / (df + 1))``.
     """
     from pyspark.ml.feature import HashingTF, Tokenizer
-    from pyspark.ml.functions import vector_to_array
+    from topicspace.functions.vectors import vector_entries
     from topicspace.session import shared_dir
 
+    if how not in ("mean", "sum"):
+        raise ValueError("how must be 'mean' or 'sum'")
     nf = num_features
-    words = Tokenizer(inputCol=content, outputCol="_words").transform(articles.select(content, categories))
+    kind = articles.schema[categories].dataType.elementType
+    words = Tokenizer(inputCol=content, outputCol="_words").transform(
+        articles.select(content, categories))
     tf = HashingTF(inputCol="_words", outputCol="_tfv", numFeatures=nf).transform(words)
+    one = F.array(F.struct(F.lit(-1).alias("index"), F.lit(1.0).alias("value")))
+    entries = F.concat(one, F.filter(vector_entries("_tfv"), lambda e: e["value"] != 0))
     keys = F.concat(
-        F.transform(F.array_distinct(categories), lambda c: F.struct(F.lit(False).alias("g"), c.alias("c"))),
-        F.array(F.struct(F.lit(True).alias("g"), F.lit(None).cast("string").alias("c"))))
-    rows = tf.select(vector_to_array("_tfv").alias("t"), F.explode(keys).alias("k")) \
-        .select("t", F.col("k.g").alias("_g"), F.col("k.c").alias("_c"))
-    sums = ", ".join(f"sum(t[{i}]) AS s{i}" for i in range(nf))
-    dfs = ", ".join(f"sum(CASE WHEN t[{i}] > 0 THEN 1 ELSE 0 END) AS d{i}" for i in range(nf))
-    agg = rows.sparkSession.sql(
-        f"SELECT _g, _c, count(1) AS n, {sums}, {dfs} FROM {{src}} GROUP BY _g, _c", src=rows)
+        F.array(F.struct(F.lit(True).alias("g"), F.lit(None).cast(kind).alias("c"))),
+        F.transform(F.array_distinct(F.coalesce(categories, F.array().cast(f"array<{kind.simpleString()}>"))),
+                    lambda c: F.struct(F.lit(False).alias("g"), c.alias("c"))))
+    keyed = tf.select(entries.alias("e"), F.explode(keys).alias("k")).select("e", "k.g", "k.c")
+    if keep is not None:
+        # one more key keeps the rows that stand for all articles
+        listed = keep.select(F.lit(False).alias("g"), F.col(category).cast("string").alias("t"))
+        every = articles.sparkSession.createDataFrame([(True, "")], "g boolean, t string")
+        keyed = keyed.withColumn("t", F.coalesce(F.col("c").cast("string"), F.lit(""))).join(
+            bounded_broadcast(listed.unionByName(every)), ["g", "t"], "left_semi")
+    rows = keyed.select("g", "c", F.explode("e").alias("e")).select("g", "c", "e.index", "e.value")
     shared_dir(articles.sparkSession)
-    agg = agg.checkpoint(eager=True)
-    g = agg.where("_g").first()
-    m = g["n"]
-    idf = [math.log((m + 1.0) / (g[f"d{i}"] + 1.0)) for i in range(nf)]
-    div = " / n" if how == "mean" else ""
-    if how not in ("mean", "sum"):
-        raise ValueError("how must be 'mean' or 'sum'")
-    vec = "array(" + ", ".join(f"s{i}{div} * CAST('{idf[i]!r}' AS DOUBLE)" for i in range(nf)) + ")"
-    return agg.where("NOT _g").selectExpr(f"_c AS {category}", f"{vec} AS vec")
+    sums = (rows.groupBy("g", "c", "index").agg(F.sum("value").alias("s"),
+                                                F.count(F.lit(1)).alias("n"))
+            .checkpoint(eager=True))
+    total = sums.where("g AND index = -1").agg(F.max("n")).scalar()
+    idf = sums.where("g AND index >= 0").select(
+        "index", F.log((total + 1.0) / (F.col("n") + 1.0)).alias("w"))
+    grid = sums.where("NOT g AND index = -1").select(
+        "c", F.col("n").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(nf - 1))).alias("index"))
+    weighted = sums.where("NOT g AND index >= 0").select("c", "index", "s").join(idf, "index") \
+        .select("c", "index", (F.col("s") * F.col("w")).alias("x"))
+    x = F.coalesce("x", F.lit(0.0))
+    cells = grid.join(weighted, ["c", "index"], "left").select(
+        "c", F.struct("index", (x / F.col("m") if how == "mean" else x).alias("x")).alias("e"))
+    return cells.groupBy("c").agg(F.array_sort(F.collect_list("e")).alias("e")).select(
+        F.col("c").alias(category), F.transform("e", lambda e: e["x"]).alias("vec"))
 
 
 def category_distance_tfidf(articles: DataFrame, membership: DataFrame | None = None,
                             categories: str | None = None, keep: DataFrame | None = None,
                             names: DataFrame | None = None, article: str = "article_id",
                             content: str = "content", category: str = "category_id",
-                            num_features: int = 20, how: str = "mean",
+                            num_features: int = 20, how: str | Callable = "mean",
                             metric: str = "sqeuclidean", fused: bool | None = None) -> DataFrame:
     """C1: distances between categories from hashed TF-IDF article vectors.
 
@@ -76,26 +89,21 @@ def category_distance_tfidf(articles: DataFrame, membership: DataFrame | None =
     Output ``(name1, name2, distance)``; without ``names`` the category ids are
     the names.
 
-    With the categories on the article row and at most ``FUSED_MAX_FEATURES``
-    buckets (``fused`` left as None), the category vectors come from one pass
-    (``category_tfidf_vectors``); otherwise from the fitted ML pipeline (an IDF
-    fitting pass, then a transform pass).
+    With the categories on the article row (``fused`` left as None) the category
+    vectors come from one pass (``category_tfidf_vectors``); otherwise, and for a
+    callable ``how`` (an aggregate over the articles' ``array<double>`` vectors), from
+    the fitted ML pipeline (an IDF fitting pass, then a transform pass).
     """
     if fused is None:
-        fused = categories is not None and num_features <= FUSED_MAX_FEATURES
+        fused = categories is not None and not callable(how)
     if fused:
         cat_vecs = category_tfidf_vectors(articles, categories, content, category,
-                                          num_features, how)
-        if keep is not None:
-            cat_vecs = semi_filter(cat_vecs, keep, category)
-        pairs = C.pair_distances(cat_vecs, id=category, vec="vec", metric=metric)
-        if names is None:
-            named = pairs.select(F.col("cat1").alias("name1"), F.col("cat2").alias("name2"), "distance")
-        else:
-            named = C.name_pairs(pairs, names, id=category)
-        return C.sort_distances(named)
+                                          num_features, how, keep)
+        return _named_distances(cat_vecs, names, category, metric)
     model = tfidf_model(num_features, content, "features").fit(articles.select(content))
     feats = model.transform(articles)
+    if callable(how):
+        feats = feats.withColumn("features", vector_to_array("features"))
     if categories is not None:
         # categories sit on the article row: explode in place, no join
         rows = feats.select("features", F.explode(F.array_distinct(categories)).alias(category))
@@ -105,6 +113,12 @@ def category_distance_tfidf(articles: DataFrame, membership: DataFrame | None =
     if keep is not None:
         rows = semi_filter(rows, keep, category)
     cat_vecs = C.category_vectors(rows, "features", category=category, how=how)
+    return _named_distances(cat_vecs, names, category, metric)
+
+
+def _named_distances(cat_vecs: DataFrame, names: DataFrame | None, category: str,
+                     metric) -> DataFrame:
+    """Pair distances of category vectors, named and ascending."""
     pairs = C.pair_distances(cat_vecs, id=category, vec="vec", metric=metric)
     if names is None:
         named = pairs.select(F.col("cat1").alias("name1"), F.col("cat2").alias("name2"), "distance")
@@ -118,55 +132,77 @@ def category_distance_embedding(articles: DataFrame, word_vectors: DataFrame,
                                 categories: str | None = None, keep: DataFrame | None = None,
                                 names: DataFrame | None = None, article: str = "article_id",
                                 content: str = "content", category: str = "category_id",
-                                vocab_size: int = 20000, skip_top: int = 10, how: str = "sum",
-                                metric: str = "sqeuclidean", min_len: int = 3,
-                                vocab_weight: str = "article") -> DataFrame:
+                                vocab_size: int = 20000, skip_top: int = 10,
+                                how: str | Callable = "sum", metric: str = "sqeuclidean",
+                                min_len: int = 3, vocab_weight: str = "article",
+                                vocab: DataFrame | None = None) -> DataFrame:
     """C2: distances between categories from word-embedding article vectors.
 
     Articles are tokenised into words, a vocabulary of the most frequent words
-    is built (``skip_top`` most frequent dropped, ``vocab_size`` cap), every
-    in-vocabulary word is looked up in ``word_vectors(idx, vec)``, an article
-    vector is the sum of its word vectors over the whole text, and a category
+    of all articles is built (``skip_top`` most frequent dropped, ``vocab_size`` cap),
+    every in-vocabulary word is looked up by name in ``word_vectors(word, vec)``, an
+    article vector is the sum of its word vectors over the whole text, and a category
     vector is the sum (``how='sum'``, as published) or mean of its articles.
     Output ``(name1, name2, distance)`` ascending.
 
+    A sum of sums is linear, so no article vector is built: the words of the kept
+    categories are counted by (category, word), each different one is looked up once,
+    and one weighted vector sum gives the category vectors. ``how='mean'`` divides by
+    the category's articles that hold a word with a vector; a callable ``how`` gets the
+    article vectors themselves.
+
     ``vocab_weight='article'`` counts each article once when ranking words;
     ``'membership'`` counts it once per category it belongs to (the original's
-    labelled-text expansion; needs ``categories``).
+    labelled-text expansion; needs ``categories``). A vocabulary ``(word, ...)`` that is
+    already at hand is passed as ``vocab``.
     """
-    toks = TX.tokenize(articles.select(article, content, *([categories] if categories else [])),
-                       content, "tokens", "words", min_len)
-    if vocab_weight == "membership":
-        if categories is None:
-            raise ValueError("vocab_weight='membership' needs the categories column")
-        counted = toks.withColumn("_w", F.size(F.array_distinct(categories)))
-        counts = TX.word_counts(counted, "tokens", weight="_w")
-    elif vocab_weight == "article":
-        counts = TX.word_counts(toks, "tokens")
-    else:
+    if vocab_weight not in ("article", "membership"):
         raise ValueError("vocab_weight must be 'article' or 'membership'")
-    vocab = TX.vocabulary(counts, vocab_size, skip_top=skip_top)
+    if vocab_weight == "membership" and categories is None:
+        raise ValueError("vocab_weight='membership' needs the categories column")
+    if vocab is None:
+        counted = TX.tokenize(articles.select(content, *([categories] if categories else [])),
+                              content, "tokens", "words", min_len)
+        weight = None
+        if vocab_weight == "membership":
+            counted, weight = counted.withColumn("_w", F.size(F.array_distinct(categories))), "_w"
+        vocab = TX.vocabulary(TX.word_counts(counted, "tokens", weight=weight), vocab_size,
+                              skip_top=skip_top)
     dim = vector_dim(word_vectors, "vec")  # from the small vector table, not the corpus
     if categories is not None:
-        # the article's categories ride along with its positions: no membership join
-        enc = TX.encode(toks, article, "tokens", vocab, oov="drop", carry=[categories])
-        doc_vecs = document_vectors(enc, word_vectors, doc=article, how="sum", dim=dim,
-                                    keys=[categories])
-        rows = doc_vecs.select("vec", F.explode(F.array_distinct(categories)).alias(category))
+        # the article's categories ride along on its row: no membership join
+        member = articles.select(article, content, F.explode(F.array_distinct(categories))
+                                 .alias(category))
     else:
-        enc = TX.encode(toks, article, "tokens", vocab, oov="drop")
-        doc_vecs = document_vectors(enc, word_vectors, doc=article, how="sum", dim=dim)
-        rows = doc_vecs.join(membership.select(article, category).distinct(), article, "inner")
+        member = articles.select(article, content).join(
+            membership.select(article, category).distinct(), article, "inner")
     if keep is not None:
-        rows = semi_filter(rows, keep, category)
-    cat_vecs = C.category_vectors(rows.select(category, "vec"), "vec", category=category,
-                                  how=how, dim=dim)
-    pairs = C.pair_distances(cat_vecs, id=category, vec="vec", metric=metric)
-    if names is None:
-        named = pairs.select(F.col("cat1").alias("name1"), F.col("cat2").alias("name2"), "distance")
-    else:
-        named = C.name_pairs(pairs, names, id=category)
-    return C.sort_distances(named)
+        member = semi_filter(member, bounded_broadcast(keep.select(category)), category)
+    # read twice below; one row for each vocabulary word that has a vector
+    vectors = word_vectors.join(bounded_broadcast(vocab.select("word")), "word").select("word", "vec")
+    kept = TX.tokenize(member, content, "tokens", "words", min_len)
+    if callable(how):
+        words = kept.select(category, article, F.explode_outer("tokens").alias("word"))
+        counted = words.groupBy(category, article, "word").agg(F.count(F.lit(1)).alias("_n"))
+        docs = vector_sum(counted.join(bounded_broadcast(vectors), "word"), [category, article],
+                          "vec", dim=dim, weight="_n")
+        return _named_distances(C.category_vectors(docs.select(category, "vec"), "vec",
+                                                   category=category, how=how, dim=dim),
+                                names, category, metric)
+    words = (kept.select(category, F.explode_outer("tokens").alias("word"))
+             .where(F.col("word").isNotNull()))
+    counted = words.groupBy(category, "word").agg(F.count(F.lit(1)).alias("_n"))
+    cat_vecs = vector_sum(counted.join(vectors, "word"), category, "vec", dim=dim, weight="_n")
+    if how == "mean":
+        known = kept.select(category, article, F.explode_outer(F.array_distinct("tokens")).alias("word"))
+        sizes = (known.join(bounded_broadcast(vectors.select("word")), "word", "left_semi")
+                 .select(category, article).distinct()
+                 .groupBy(category).agg(F.count(F.lit(1)).alias("_m")))
+        cat_vecs = cat_vecs.join(sizes, category).select(
+            category, F.transform("vec", lambda x: x / F.col("_m")).alias("vec"))
+    elif how != "sum":
+        raise ValueError("how must be 'sum', 'mean' or a callable")
+    return _named_distances(cat_vecs, names, category, metric)
 
 
 def distance_matrix(distances: DataFrame, labels: Sequence[str], fill: float = 0.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,19 +19,39 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def input_fingerprint(spark: SparkSession, inputs: Sequence[str]) -> list[tuple[str, int, int]]:
+    """(path, size, time of change) of every file at or below the input paths."""
+    conf, found = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in inputs:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        fs = p.getFileSystem(conf)
+        if not fs.exists(p):
+            continue
+        if fs.getFileStatus(p).isFile():
+            s = fs.getFileStatus(p)
+            found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+            continue
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            s = files.next()
+            found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return sorted(found)
+
+
 def result_path(spark: SparkSession, name: str, params: dict | None = None,
-                base: str | None = None) -> str:
-    key = hashlib.sha1(json.dumps(params or {}, sort_keys=True, default=str).encode()).hexdigest()[:12]
+                base: str | None = None, inputs: Sequence[str] = ()) -> str:
+    key = hashlib.sha1(json.dumps([params or {}, input_fingerprint(spark, inputs)],
+                                  sort_keys=True, default=str).encode()).hexdigest()[:12]
     return f"{(base or shared_dir(spark)).rstrip('/')}/{name}-{key}"
 
 
 def materialize(spark: SparkSession, name: str, compute: Callable[[], DataFrame],
                 params: dict | None = None, base: str | None = None,
-                text_copy: bool = False) -> DataFrame:
-    """Return the saved result ``name`` (keyed by a hash of ``params``) or
-    compute, save as Parquet and return the saved copy. With ``text_copy`` a CSV
+                text_copy: bool = False, inputs: Sequence[str] = ()) -> DataFrame:
+    """Return the saved result ``name`` (keyed by a hash of ``params`` and of the files
+    at the paths ``inputs``, so changed input is computed anew) or compute, save as Parquet and return the saved copy. With ``text_copy`` a CSV
     dump is written next to it from the saved copy (no recomputation)."""
-    path = result_path(spark, name, params, base)
+    path = result_path(spark, name, params, base, inputs)
     if not _fs_exists(spark, f"{path}/_SUCCESS"):
         compute().write.mode("overwrite").parquet(path)
         if text_copy:

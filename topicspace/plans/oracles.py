@@ -188,12 +188,14 @@ def _category_distance_embedding() -> str:
     return f"""WITH {DOCS},
 toks AS ({WORD_TOKS}),
 wc AS (SELECT word, count(*) AS cnt FROM toks GROUP BY word),
-vocab AS (SELECT word, CAST(r - 10 AS INTEGER) AS idx FROM (
+vocab AS (SELECT word, CAST(r - 10 AS INTEGER) % (SELECT count(*) FROM embeddings) AS idx FROM (
   SELECT word, row_number() OVER (ORDER BY cnt DESC, word ASC) AS r FROM wc)
   WHERE r > 10 AND r <= 20000),
 {EMB},
-dv AS (SELECT t.doc_id, e.dim, sum(e.x) AS v FROM toks t JOIN vocab v ON t.word = v.word
-       JOIN emb e ON e.vec_id = v.idx GROUP BY t.doc_id, e.dim),
+times AS (SELECT t.doc_id, v.idx, count(*) AS n FROM toks t JOIN vocab v ON t.word = v.word
+          GROUP BY t.doc_id, v.idx),
+dv AS (SELECT t.doc_id, e.dim, sum(e.x * t.n) AS v FROM times t
+       JOIN emb e ON e.vec_id = t.idx GROUP BY t.doc_id, e.dim),
 {MEM}, {KEEP},
 cv AS (SELECT m.category, dv.dim, sum(dv.v) AS v FROM dv JOIN mem m ON m.doc_id = dv.doc_id
        WHERE m.category IN (SELECT category FROM keep) GROUP BY m.category, dv.dim)
@@ -218,7 +220,57 @@ SELECT coalesce(a.id, 0) AS "user", coalesce(b.id, 0) AS item, c1.distance AS ra
 FROM c1 LEFT JOIN dict a ON a.category = c1.name1 LEFT JOIN dict b ON b.category = c1.name2"""
 
 
-BUCKET = "(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 1000)"
+KEY_HASH = "('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT"
+
+
+def hash_bound(fraction: float) -> int:
+    """The end of a share of the 60-bit hash range."""
+    return round(fraction * (1 << 60))
+
+
+#: The part of each document: shares 0.8, 0.1 and 0.1 of the hash range.
+SPLIT = (f"CASE WHEN {KEY_HASH} < {hash_bound(0.8)} THEN 0 "
+         f"WHEN {KEY_HASH} < {hash_bound(0.8 + 0.1)} THEN 1 ELSE 2 END")
+
+#: Labelled articles: (doc_id, label) for the categories of the filter list.
+LABELLED = f"""{MEM}, {KEEP},
+lab AS (SELECT category, CAST(row_number() OVER (ORDER BY category) AS INTEGER) AS label FROM keep),
+labelled AS (SELECT DISTINCT m.doc_id, lab.label FROM mem m JOIN lab ON lab.category = m.category)"""
+
+#: Kept categories that occur, and how many.
+RATED = f"""{MEM}, {KEEP},
+rated AS (SELECT DISTINCT category FROM mem WHERE category IN (SELECT category FROM keep)),
+size AS (SELECT count(*) AS n, min(category) AS first, max(category) AS last FROM rated)"""
+
+
+def _checked_recommendations(missing: str) -> str:
+    """Every rated pair has its smaller name first, so one name is on no right (or left)
+    side; the others each get up to five."""
+    return f"""WITH {RATED}
+SELECT category AS name, CAST(least(5, size.n - 1) AS INTEGER) AS n_recs,
+  true AS ranked, true AS falling, true AS known
+FROM rated, size WHERE category <> size.{missing}"""
+
+
+def _explained_variance() -> str:
+    """First eigenvalue of the centroids' Gram matrix by power iteration, over its trace."""
+    return f"""WITH RECURSIVE {EMB},
+cen AS (SELECT label, dim, avg(x) AS v FROM emb GROUP BY label, dim),
+mid AS (SELECT c.label, c.dim, c.v - m.v AS v
+        FROM cen c JOIN (SELECT dim, avg(v) AS v FROM cen GROUP BY dim) m ON m.dim = c.dim),
+gram AS (SELECT a.label AS i, list(g ORDER BY b) AS row FROM (
+           SELECT a.label, b.label AS b, sum(a.v * b.v) AS g
+           FROM mid a JOIN mid b ON a.dim = b.dim GROUP BY a.label, b.label) a GROUP BY a.label),
+mat AS (SELECT list(row ORDER BY i) AS m, list(CAST(1 + i * i AS DOUBLE) ORDER BY i) AS start FROM gram),
+it AS (SELECT 0 AS k, start AS v, m FROM mat
+       UNION ALL
+       SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))), m
+       FROM (SELECT k, m, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM it)
+       WHERE k < 2000),
+top AS (SELECT v, m FROM it WHERE k = 2000)
+SELECT (SELECT count(*) FROM gram) AS n,
+  round(list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v)))
+        / (SELECT sum(v * v) FROM mid), 5) AS explained_variance FROM top"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -274,13 +326,19 @@ SELECT tf.doc_id AS article_id, tf.term, {stable('tf.tf * idf.idf')} AS tfidf FR
         "category_centroid_mean": f"WITH {EMB} SELECT label, dim, {stable('avg(x)')} AS value FROM emb GROUP BY label, dim",
         "category_centroid_sum": f"WITH {EMB} SELECT label, dim, {stable('sum(x)')} AS value FROM emb GROUP BY label, dim",
         "category_pair_distance": f"WITH {CENTROIDS} SELECT cat1, cat2, {stable('distance')} AS distance FROM pairs",
-        "named_distances_sorted": f"WITH {CENTROIDS} SELECT name1, name2, {stable('distance')} AS distance FROM named",
+        "named_distances_sorted": f"""WITH {CENTROIDS}
+SELECT CAST(row_number() OVER (ORDER BY distance, name1, name2) AS INTEGER) AS position,
+  name1, name2, {stable('distance')} AS distance FROM named""",
         "category_distance_tfidf": _category_distance_tfidf(),
         "category_distance_embedding": _category_distance_embedding(),
         "blocked_pair_distance": f"""WITH {EMB}
 SELECT a.vec_id AS id1, b.vec_id AS id2, {stable('sum((a.x - b.x) * (a.x - b.x))')} AS distance
 FROM emb a JOIN emb b ON a.dim = b.dim AND a.vec_id < b.vec_id GROUP BY a.vec_id, b.vec_id""",
-        "distance_matrix": _distance_matrix(),
+        "distance_matrix": f"""WITH {CENTROIDS}
+SELECT name1, name2, {stable('distance')} AS distance FROM named
+UNION ALL SELECT name2, name1, {stable('distance')} FROM named
+UNION ALL SELECT DISTINCT 'label' || label, 'label' || label, 0.0 FROM embeddings""",
+        "distance_matrix_wide": _distance_matrix(),
         "nearest_categories": f"""WITH {CENTROIDS},
 s AS (SELECT name1, name2, distance FROM named UNION ALL SELECT name2, name1, distance FROM named),
 r AS (SELECT name1, name2, distance,
@@ -299,8 +357,8 @@ t AS (SELECT doc_id, l, unnest(range(len(l))) AS i FROM (SELECT doc_id, {stream_
 SELECT doc_id AS article_id, CAST(i AS INTEGER) AS pos, l[i + 1] AS center, l[i + 1 + o] AS context
 FROM t, (VALUES (-1), (1)) v(o) WHERE i + o >= 0 AND i + o < len(l)""",
         "hash_split": f"""SELECT doc_id AS article_id,
-  CAST(CASE WHEN {BUCKET} < 800 THEN 0 WHEN {BUCKET} < 900 THEN 1 ELSE 2 END AS INTEGER) AS split FROM documents""",
-        "hash_sample": f"SELECT doc_id AS article_id FROM documents WHERE {BUCKET} < 200",
+  CAST({SPLIT} AS INTEGER) AS split FROM documents""",
+        "hash_sample": f"SELECT doc_id AS article_id FROM documents WHERE {KEY_HASH} < {hash_bound(0.2)}",
         "topk_accuracy": f"""WITH {EMB},
 cen AS (SELECT label, dim, avg(x) AS v FROM emb GROUP BY label, dim),
 d AS (SELECT e.vec_id, e.label AS true_label, c.label, sum((e.x - c.v) * (e.x - c.v)) AS dist
@@ -310,6 +368,41 @@ r AS (SELECT vec_id, true_label, label,
 SELECT 5 AS k, {stable('avg(CASE WHEN rk <= 5 THEN 1.0 ELSE 0.0 END)')} AS accuracy, count(*) AS n
 FROM r WHERE label = true_label""",
         "materialize_once": word_count,
+        "corpus_title_join": f"""WITH {DOCS}, {LABELLED},
+titles AS (SELECT title, replace(title, ' ', '_') AS key FROM docs GROUP BY title),
+ids AS (SELECT replace(title, ' ', '_') AS key, max(doc_id) AS id FROM docs GROUP BY 1)
+SELECT ids.id AS article_id, labelled.label FROM titles JOIN ids USING (key)
+JOIN labelled ON labelled.doc_id = ids.id""",
+        "vectorized_sequences": f"""WITH {SEQ}, {EMB},
+sums AS (SELECT vec_id, sum(x) AS s FROM emb GROUP BY vec_id),
+cut AS (SELECT doc_id, CAST(unnest(range(20)) AS INTEGER) AS pos,
+  unnest(list_concat(list_slice(l, 1, 20), list_transform(range(greatest(20 - len(l), 0)), lambda x: 0))) AS idx
+  FROM seqs)
+SELECT c.doc_id AS article_id, c.pos, {stable('coalesce(s.s, 0.0)')} AS value
+FROM cut c LEFT JOIN sums s ON s.vec_id = c.idx AND c.idx > 0""",
+        "centroid_csv_roundtrip": f"""WITH {EMB}
+SELECT 'label' || label AS name, dim, {stable('avg(x)')} AS value FROM emb GROUP BY label, dim""",
+        "category_files_roundtrip": f"""WITH {MEM}, {KEEP},
+dict AS (SELECT category, CAST(row_number() OVER (ORDER BY category) AS INTEGER) AS id
+         FROM (SELECT DISTINCT category FROM mem))
+SELECT id AS category_id, category AS name FROM dict WHERE category IN (SELECT category FROM keep)""",
+        "distance_csv_roundtrip": f"""WITH {CENTROIDS}
+SELECT CAST(row_number() OVER (ORDER BY name1, name2) AS INTEGER) AS position,
+  name1, name2, {stable('distance')} AS distance FROM named""",
+        "reversed_dictionary": f"""WITH {MEM}
+SELECT CAST(row_number() OVER (ORDER BY category) AS INTEGER) AS category_id, category AS name
+FROM (SELECT DISTINCT category FROM mem)""",
+        "recommend_users_for_items_checked": _checked_recommendations("first"),
+        "recommend_items_for_users_checked": _checked_recommendations("last"),
+        "recommendation_lines_checked": f"""WITH {RATED}
+SELECT CAST((size.n - 1) * least(5, size.n - 1) AS BIGINT) AS n, true AS three_fields FROM size""",
+        "classifier_predictions_checked": f"""WITH {LABELLED}
+SELECT doc_id AS article_id, label, true AS known FROM labelled WHERE {SPLIT} = 2""",
+        "classifier_topk_checked": f"""WITH {LABELLED}
+SELECT 5 AS k, count(*) AS n, true AS in_range FROM labelled WHERE {SPLIT} = 2""",
+        "learned_embeddings_checked": f"""WITH {UNK_VOCAB.replace("r <= 999", "r <= 9999")}
+SELECT word, 100 AS dim, 1.0::DOUBLE AS norm FROM vocab WHERE cnt > 0""",
+        "pca_centroids_checked": _explained_variance(),
         "topk_accuracy_ranks": f"""WITH {EMB},
 cen AS (SELECT label, dim, avg(x) AS v FROM emb GROUP BY label, dim),
 d AS (SELECT e.vec_id, e.label AS true_label, c.label, sum((e.x - c.v) * (e.x - c.v)) AS dist

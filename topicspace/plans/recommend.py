@@ -10,7 +10,7 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicspace.operators.labels import lookup, semi_filter
+from topicspace.operators.labels import lookup
 
 RATING_TRANSFORMS = {
     "identity": lambda d: d,                 # as the original job: the farthest ranks first
@@ -54,16 +54,20 @@ def recommend(model: ALSModel, k: int = 5, side: str = "users_for_items",
     ``side='users_for_items'``: the k best users of every item (what the
     original code computes); ``'items_for_users'``: the k best items of every
     user (what its published file holds). ``keep`` (ids in column ``id``) keeps
-    only groups whose key is listed; ``exclude_self`` drops the pair of a
+    only groups whose key is listed, and only those are scored; ``exclude_self`` drops the pair of a
     category with itself (asking for one more so k rows remain); ``names``
     replaces ids by names (unknown -> '')."""
     extra = 1 if exclude_self else 0
-    if side == "users_for_items":
-        recs, key, other = model.recommendForAllItems(k + extra), "item", "user"
-    elif side == "items_for_users":
-        recs, key, other = model.recommendForAllUsers(k + extra), "user", "item"
-    else:
+    if side not in ("users_for_items", "items_for_users"):
         raise ValueError("side must be 'users_for_items' or 'items_for_users'")
+    key, other = ("item", "user") if side == "users_for_items" else ("user", "item")
+    if keep is None:
+        recs = (model.recommendForAllItems(k + extra) if key == "item"
+                else model.recommendForAllUsers(k + extra))
+    else:
+        subset = keep.select(F.col(id).cast("int").alias(key)).distinct()
+        recs = (model.recommendForItemSubset(subset, k + extra) if key == "item"
+                else model.recommendForUserSubset(subset, k + extra))
     rows = recs.select(key, F.posexplode("recommendations").alias("_p", "_r")).select(
         key, F.col(f"_r.{other}").alias(other), F.col("_r.rating").cast("double").alias("rating"), "_p")
     if exclude_self:
@@ -71,8 +75,6 @@ def recommend(model: ALSModel, k: int = 5, side: str = "users_for_items",
     from pyspark.sql import Window
     w = Window.partitionBy(key).orderBy(F.col("_p"))
     rows = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_p")
-    if keep is not None:
-        rows = semi_filter(rows, keep.select(F.col(id).alias(key)), key)
     if names is not None:
         nm = names.select(F.col(id), F.col(name))
         rows = (lookup(rows, nm.withColumnRenamed(id, "item").withColumnRenamed(name, "_in"),

@@ -24,13 +24,15 @@ from topicspace.operators.evaluation import class_scores, topk_accuracy as _topk
 from topicspace.operators.sampling import hash_sample as _hash_sample
 from topicspace.operators.sampling import hash_split as _hash_split
 from topicspace.operators.skipgram import skipgrams
-from topicspace.operators.vectors import document_vectors, l2_normalize as _l2, vector_dim, vector_sum
+from topicspace.operators.vectors import (document_vectors, l2_normalize as _l2, vector_dim,
+                                          vector_sum, vectorize)
 from topicspace.plans import jobs
 from topicspace.plans.materialize import materialize
 from topicspace.session import shared_dir
 from topicspace.sources import files as SF
 from topicspace.sources import tables as TB
-from topicspace.sources.writers import word_vector_lines, write_text
+from topicspace.sources.writers import (word_vector_lines, write_csv, write_text,
+                                        write_word_vectors)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,7 +48,8 @@ SPLIT_WEIGHTS = (0.8, 0.1, 0.1)
 SAMPLE_FRACTION = 0.2
 TOP_K = 5
 NEAREST_K = 3
-MAX_MATRIX_LABELS = 1000
+MATRIX_LABELS = [f"label{i}" for i in range(10)]   # columns of the wide matrix
+SEQUENCE_LEN = 20                       # length of the vectorised sequences
 
 
 def _arts(spark, sf):
@@ -122,7 +125,6 @@ def word_vectors_roundtrip(spark, sf):
     path = _roundtrip_dir(spark, "vectors")
     vecs = TB.labelled_vectors(spark, sf).select(
         F.concat(F.lit("W"), F.col("vec_id").cast("string")).alias("word"), "vec")
-    from topicspace.sources.writers import write_word_vectors
     write_word_vectors(vecs, path, mode="overwrite")
     vocab = TB.labelled_vectors(spark, sf).select(
         F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"),
@@ -302,8 +304,9 @@ def _named(spark, sf):
 
 
 def named_distances_sorted(spark, sf):
-    return C.sort_distances(_named(spark, sf)).select(
-        "name1", "name2", stable("distance").alias("distance"))
+    """Named distances with their place in the ascending order."""
+    placed = L.dense_labels(_named(spark, sf), ["distance", "name1", "name2"], out="position")
+    return placed.select("position", "name1", "name2", stable("distance").alias("distance"))
 
 
 def category_distance_tfidf(spark: SparkSession, sf: str) -> DataFrame:
@@ -315,30 +318,48 @@ def category_distance_tfidf(spark: SparkSession, sf: str) -> DataFrame:
     return res.select("name1", "name2", stable("distance").alias("distance"))
 
 
+def _word_vector_file(spark, sf):
+    """The vocabulary of the embedding job and a word-vector file for it, read back: the
+    word of rank r has the vector of row r modulo the number of vectors."""
+    counts = TX.word_counts(_content_tokens(spark, sf))
+    vocab = TX.vocabulary(counts, EMBED_VOCAB, skip_top=EMBED_SKIP).checkpoint(eager=True)
+    vecs = TB.word_vectors(spark, sf)
+    named = vocab.withColumn("idx", (F.col("idx") % F.lit(vecs.count())).cast("int")) \
+        .join(vecs, "idx").select("word", "vec")
+    path = _roundtrip_dir(spark, "word-vectors")
+    write_word_vectors(named, path, mode="overwrite")
+    read = SF.read_word_vectors(spark, path, vector_dim(vecs, "vec"), encoding="UTF-8")
+    return vocab, SF.last_wins(read, "word")
+
+
 def category_distance_embedding(spark, sf):
+    """C2 with the vectors of a word-vector file, looked up by word."""
+    shared_dir(spark)
+    vocab, vectors = _word_vector_file(spark, sf)
     arts = TB.articles(spark, sf, with_categories=True)
-    res = jobs.category_distance_embedding(arts, TB.word_vectors(spark, sf),
-                                           categories="categories", keep=TB.category_filter(spark),
-                                           category="category", vocab_size=EMBED_VOCAB,
-                                           skip_top=EMBED_SKIP, how="sum")
+    res = jobs.category_distance_embedding(arts, vectors, categories="categories",
+                                           keep=TB.category_filter(spark), category="category",
+                                           how="sum", vocab=vocab)
     return res.select("name1", "name2", stable("distance").alias("distance"))
 
 
 def blocked_pair_distance(spark, sf):
     vecs = TB.labelled_vectors(spark, sf)
-    res = C.pair_distances(vecs, id="vec_id", vec="vec", blocks=8, id1="id1", id2="id2")
+    res = C.pair_distances(vecs, id="vec_id", vec="vec", id1="id1", id2="id2")
     return res.select("id1", "id2", stable("distance").alias("distance"))
 
 
 def distance_matrix(spark, sf):
-    # the labels become matrix columns: a bounded list
-    names = [r["name"] for r in TB.label_names(TB.labelled_vectors(spark, sf))
-             .orderBy("name").limit(MAX_MATRIX_LABELS + 1).collect()]
-    if len(names) > MAX_MATRIX_LABELS:
-        raise ValueError(f"more than {MAX_MATRIX_LABELS} labels for a distance matrix")
-    m = jobs.distance_matrix(_named(spark, sf).select(
-        "name1", "name2", stable("distance").alias("distance")), names)
-    return m
+    """The symmetric matrix in long form, for any number of labels."""
+    names = TB.label_names(TB.labelled_vectors(spark, sf))
+    return C.symmetric_distances(_named(spark, sf), names).select(
+        "name1", "name2", stable("distance").alias("distance"))
+
+
+def distance_matrix_wide(spark, sf):
+    """The matrix of a given label list, one column for each label."""
+    return jobs.distance_matrix(_named(spark, sf).select(
+        "name1", "name2", stable("distance").alias("distance")), MATRIX_LABELS)
 
 
 def nearest_categories(spark, sf):
@@ -399,8 +420,8 @@ def topk_accuracy(spark, sf):
 
 
 def topk_accuracy_ranks(spark, sf):
-    """Same result as ``topk_accuracy`` through the path for large class models
-    (broadcast class matrix, numpy ranks per Arrow batch)."""
+    """Same result as ``topk_accuracy`` through the path for class models of any size
+    (rows meet blocks of classes)."""
     from topicspace.operators.evaluation import topk_accuracy_from_ranks, true_class_ranks
     ranked = true_class_ranks(TB.labelled_vectors(spark, sf), _centroids(spark, sf, "mean"))
     res = topk_accuracy_from_ranks(ranked, TOP_K)
@@ -432,12 +453,79 @@ def document_vector_mean(spark, sf):
 
 def materialize_once(spark, sf):
     """Word counts through load-or-compute: the second call reads the saved copy."""
-    params = {"query": "word_count", "sf": sf}
-    materialize(spark, "word_count", lambda: word_count(spark, sf), params)
-    return materialize(spark, "word_count", lambda: word_count(spark, sf), params)
+    params = {"query": "word_count"}
+    inputs = [f"{sf.rstrip('/')}/documents.parquet"]
+    materialize(spark, "word_count", lambda: word_count(spark, sf), params, inputs=inputs)
+    return materialize(spark, "word_count", lambda: word_count(spark, sf), params, inputs=inputs)
+
+
+# --- files and composed views -----------------------------------------------------
+
+def corpus_title_join(spark, sf):
+    """Corpus file and article dictionary file, both written from the documents and read
+    back; articles get their ids by title, then the labels of their categories.
+    ``(article_id, label)``; a title the dictionary lacks has id -1 and no label."""
+    corpus = corpus_file_roundtrip(spark, sf)
+    ids = L.articles_with_ids(corpus, article_dictionary_roundtrip(spark, sf))
+    labels = L.dense_labels(TB.category_filter(spark), "category", out="label")
+    return L.label_articles(ids.select("article_id"), TB.membership(spark, sf), labels,
+                            category="category").select(F.col("article_id").cast("bigint"), "label")
+
+
+def vectorized_sequences(spark, sf):
+    """Text vectorisation: vocabulary, index sequence, padding, one vector per position
+    (zero for padding); ``value`` is the sum of the vector's elements."""
+    vocab, toks = _trimmed_vocab(spark, sf)
+    enc = TX.encode(toks, "article_id", "tokens", vocab, oov="drop")
+    seqs = TX.pad(TX.index_sequences(enc, "article_id"), "seq", SEQUENCE_LEN)
+    wv = TB.word_vectors(spark, sf).where("idx > 0")  # 0 is the padding
+    vecs = vectorize(seqs, wv, vector_dim(wv, "vec"), doc="article_id")
+    total = F.aggregate("vec", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double"))
+    return vecs.select("article_id", "pos", stable(total).alias("value"))
+
+
+def centroid_csv_roundtrip(spark, sf):
+    """Named category centroids written as ``name,f1,...,fd`` lines and read back."""
+    names = TB.label_names(TB.labelled_vectors(spark, sf))
+    named = _centroids(spark, sf, "mean").join(names, "label")
+    path = _roundtrip_dir(spark, "centroids")
+    write_text(named.select(F.concat_ws(",", "name", F.array_join(
+        F.transform("vec", lambda x: x.cast("string")), ",")).alias("l")), "l", path)
+    return to_long(SF.read_centroids(spark, path), ["name"], "vec").select(
+        "name", "dim", stable("value").alias("value"))
+
+
+def category_files_roundtrip(spark, sf):
+    """Category names and a category filter written as files and read back: the names of
+    the listed categories."""
+    dictionary = L.category_dictionary(TB.membership(spark, sf), "category", "category_id")
+    names, listed = _roundtrip_dir(spark, "names"), _roundtrip_dir(spark, "filter")
+    write_text(dictionary.select(F.concat_ws("\t", "category", F.col("category_id").cast("string"))
+                                 .alias("l")), "l", names)
+    keep = L.semi_filter(dictionary, TB.category_filter(spark), "category")
+    write_text(keep.select(F.concat_ws(" ", F.col("category_id").cast("string"), "category")
+                           .alias("l")), "l", listed)
+    return L.semi_filter(SF.read_category_names(spark, names),
+                         SF.read_category_filter(spark, listed), "category_id")
+
+
+def distance_csv_roundtrip(spark, sf):
+    """Named distances written as CSV, read back, with their place by the first name."""
+    path = _roundtrip_dir(spark, "distances")
+    write_csv(_named(spark, sf).select("name1", "name2", "distance"), path)
+    placed = L.dense_labels(SF.read_distance_triples(spark, path), ["name1", "name2"],
+                            out="position")
+    return placed.select("position", "name1", "name2", stable("distance").alias("distance"))
+
+
+def reversed_dictionary(spark, sf):
+    """The category dictionary turned round: id -> name, for the categories' members."""
+    dictionary = L.category_dictionary(TB.membership(spark, sf), "category", "category_id")
+    back = L.reverse(dictionary, "category", "category_id")  # the columns swap their values
+    return back.select(F.col("category").alias("category_id"), F.col("category_id").alias("name"))
 
 
-# --- models (checked by row counts and invariants, not by SQL) -------------------
+# --- models: results, then what the input alone decides about them ------------------
 
 ALS_RANK, ALS_ITER, ALS_REG, SEED = 8, 6, 0.01, 0
 EMBED_DIM, EMBED_WINDOW, LEARN_VOCAB = 100, 1, 10000
@@ -505,6 +593,67 @@ def pca_centroids(spark, sf):
                        F.lit(ratio[0]).alias("explained_variance"))
 
 
+def _checked_recommendations(recs, key):
+    """Of each key: how many, whether ranked 1 to k, by falling rating, all known names."""
+    from pyspark.sql import Window
+    other = "user" if key == "item" else "item"
+    before = F.lag("rating").over(Window.partitionBy(key).orderBy("rank"))
+    return (recs.withColumn("_b", before).groupBy(key).agg(
+        F.count(F.lit(1)).cast("int").alias("n_recs"),
+        (F.array_sort(F.collect_list("rank")) == F.sequence(
+            F.lit(1), F.count(F.lit(1)).cast("int"))).alias("ranked"),
+        F.bool_and(F.col("_b").isNull() | (F.col("_b") >= F.col("rating"))).alias("falling"),
+        F.bool_and(F.col(other) != "").alias("known")).withColumnRenamed(key, "name"))
+
+
+def recommend_users_for_items_checked(spark, sf):
+    return _checked_recommendations(recommend_users_for_items(spark, sf), "item")
+
+
+def recommend_items_for_users_checked(spark, sf):
+    return _checked_recommendations(recommend_items_for_users(spark, sf), "user")
+
+
+def recommendation_lines_checked(spark, sf):
+    """The recommendation file's lines: how many, and whether each has three fields."""
+    from topicspace.plans.recommend import recommendation_lines
+    path = _roundtrip_dir(spark, "recommendations")
+    write_text(recommendation_lines(recommend_users_for_items(spark, sf)), "line", path)
+    return spark.read.text(path).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_and(F.size(F.split("value", ",")) == 3).alias("three_fields"))
+
+
+def classifier_predictions_checked(spark, sf):
+    """Whether the predicted class of each test row is one of the labels."""
+    known = [float(i + 1) for i in range(len(TB.FILTER_CATEGORIES))]
+    return classifier_predictions(spark, sf).select(
+        "article_id", F.col("label").cast("int").alias("label"),
+        F.col("prediction").isin(known).alias("known"))
+
+
+def classifier_topk_checked(spark, sf):
+    return classifier_topk(spark, sf).select(
+        "k", "n", F.col("accuracy").between(0.0, 1.0).alias("in_range"))
+
+
+def learned_embeddings_checked(spark, sf):
+    """Words of the learned vectors, their lengths and norms."""
+    from topicspace.functions.vectors import norm
+    from topicspace.plans.embed import learn_embeddings
+    docs = TB.table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), "text")
+    vecs = learn_embeddings(docs, vocab_size=LEARN_VOCAB, dim=EMBED_DIM, window=EMBED_WINDOW,
+                            seed=SEED)
+    return vecs.select("word", F.size("vec").alias("dim"), F.round(norm("vec"), 6).alias("norm"))
+
+
+def pca_centroids_checked(spark, sf):
+    """The share of the variance that the first component explains."""
+    return pca_centroids(spark, sf).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.max("explained_variance"), 5).alias("explained_variance"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "corpus_articles": corpus_articles,
@@ -562,4 +711,18 @@ def queries() -> dict[str, Query]:
         "classifier_topk": classifier_topk,
         "learned_embeddings": learned_embeddings,
         "pca_centroids": pca_centroids,
+        "distance_matrix_wide": distance_matrix_wide,
+        "corpus_title_join": corpus_title_join,
+        "vectorized_sequences": vectorized_sequences,
+        "centroid_csv_roundtrip": centroid_csv_roundtrip,
+        "category_files_roundtrip": category_files_roundtrip,
+        "distance_csv_roundtrip": distance_csv_roundtrip,
+        "reversed_dictionary": reversed_dictionary,
+        "recommend_users_for_items_checked": recommend_users_for_items_checked,
+        "recommend_items_for_users_checked": recommend_items_for_users_checked,
+        "recommendation_lines_checked": recommendation_lines_checked,
+        "classifier_predictions_checked": classifier_predictions_checked,
+        "classifier_topk_checked": classifier_topk_checked,
+        "learned_embeddings_checked": learned_embeddings_checked,
+        "pca_centroids_checked": pca_centroids_checked,
     }

@@ -21,10 +21,20 @@ from topicspace.functions.text import WHITESPACE, first_line, join_rest_lines, n
 ORDER = "_order"
 
 
+def path_order(path: Column) -> Column:
+    """Sortable key of a file path: its folder, the number of a part file, the path.
+    ``part-100000`` comes after ``part-99999``, as it was written."""
+    part = F.regexp_extract(path, r"/part-(\d+)[^/]*$", 1)
+    return F.struct(
+        F.regexp_replace(path, r"[^/]*$", "").alias("folder"),
+        F.when(part != "", part.cast("bigint")).otherwise(F.lit(-1)).alias("part"),
+        path.alias("path"))
+
+
 def file_order() -> Column:
     """Sortable key that follows line order in the input files."""
     return F.struct(
-        F.col("_metadata.file_path").alias("file"),
+        path_order(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
@@ -42,15 +52,67 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], line_sep: str | N
     return df.select("value", file_order().alias(ORDER))
 
 
+def _token_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``(value, _t array<string>, _order)``: the tokens of every line that has any."""
+    toks = F.filter(F.split(F.col("value"), WHITESPACE + "+"), lambda t: t != "")
+    return (read_lines(spark, path).select("value", toks.alias("_t"), ORDER)
+            .where(F.size("_t") > 0))
+
+
+def _whole(token: Column) -> Column:
+    """The token as an int, null if it isn't one."""
+    return token.try_cast("int")
+
+
 def read_whitespace_table(spark: SparkSession, path: str | Sequence[str],
-                          transform: Callable[[Column], list[Column]]) -> DataFrame:
+                          transform: Callable[[Column], list[Column]],
+                          good: Callable[[Column], Column] | None = None,
+                          bad_lines: str = "fail") -> DataFrame:
     """Generic loader: each line split on runs of whitespace, then ``transform``
-    turns the token array into output columns. Blank lines are skipped."""
-    lines = read_lines(spark, path)
-    toks = F.filter(F.split(F.col("value"), WHITESPACE + "+"), lambda t: t != "")
-    return (lines.select(toks.alias("_t"), ORDER)
-            .where(F.size("_t") > 0)
-            .select(*transform(F.col("_t")), ORDER))
+    turns the token array into output columns. Blank lines are skipped.
+
+    ``good`` is a condition on the token array. A line that doesn't meet it fails the
+    read with the line's text (``bad_lines='fail'``) or is skipped (``'drop'``);
+    ``rejected_lines`` gives those lines."""
+    lines = _token_lines(spark, path)
+    if good is not None:
+        ok = F.coalesce(good(F.col("_t")), F.lit(False))
+        if bad_lines == "drop":
+            lines = lines.where(ok)
+        elif bad_lines == "fail":
+            message = F.concat(F.lit("bad line: "), F.col("value"))
+            lines = lines.withColumn("_t", F.when(ok, F.col("_t")).otherwise(
+                F.raise_error(message).cast("array<string>")))
+        else:
+            raise ValueError("bad_lines must be 'fail' or 'drop'")
+    return lines.select(*transform(F.col("_t")), ORDER)
+
+
+def _name_id(t: Column) -> Column:
+    """A line of a name and an id."""
+    return (F.size(t) >= 2) & _whole(F.get(t, 1)).isNotNull()
+
+
+def _ids(t: Column) -> Column:
+    """A line of ids alone."""
+    return F.forall(t, lambda x: _whole(x).isNotNull())
+
+
+def _first_id(t: Column) -> Column:
+    """A line that begins with an id."""
+    return _whole(F.get(t, 0)).isNotNull()
+
+
+#: The condition on the lines of each kind of file.
+LINE_RULES = {"article_dictionary": _name_id, "category_names": _name_id, "membership": _ids,
+              "category_filter": _first_id}
+
+
+def rejected_lines(spark: SparkSession, path: str | Sequence[str], kind: str) -> DataFrame:
+    """``(value)``: the lines that a reader of ``kind`` (a key of ``LINE_RULES``) with
+    ``bad_lines='drop'`` skips."""
+    ok = F.coalesce(LINE_RULES[kind](F.col("_t")), F.lit(False))
+    return _token_lines(spark, path).where(~ok).select("value")
 
 
 def last_wins(df: DataFrame, key: str | Sequence[str], order: str = ORDER) -> DataFrame:
@@ -62,60 +124,72 @@ def last_wins(df: DataFrame, key: str | Sequence[str], order: str = ORDER) -> Da
     return df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
-def read_article_dictionary(spark: SparkSession, path: str) -> DataFrame:
+def read_article_dictionary(spark: SparkSession, path: str, bad_lines: str = "fail") -> DataFrame:
     """``title id`` lines -> ``(title, article_id)``; titles are normalised (spaces
     to underscores) and a repeated title keeps its last id."""
     df = read_whitespace_table(spark, path, lambda t: [
-        normalize_title(t[0]).alias("title"), t[1].cast("int").alias("article_id")])
+        normalize_title(t[0]).alias("title"), _whole(t[1]).alias("article_id")],
+        _name_id, bad_lines)
     return last_wins(df, "title")
 
 
-def read_category_names(spark: SparkSession, path: str) -> DataFrame:
+def read_category_names(spark: SparkSession, path: str, bad_lines: str = "fail") -> DataFrame:
     """``name id`` lines (tab separated, CRLF allowed) -> ``(category_id, name)``;
     a repeated id keeps its last name."""
     df = read_whitespace_table(spark, path, lambda t: [
-        t[1].cast("int").alias("category_id"), t[0].alias("name")])
+        _whole(t[1]).alias("category_id"), t[0].alias("name")], _name_id, bad_lines)
     return last_wins(df, "category_id")
 
 
-def read_category_labels(spark: SparkSession, path: str) -> DataFrame:
+def read_category_labels(spark: SparkSession, path: str, bad_lines: str = "fail") -> DataFrame:
     """The category dictionary with a dense 1-based label in file order:
     ``(category_id, name, label)``. A repeated id keeps its last label."""
     df = read_whitespace_table(spark, path, lambda t: [
-        t[1].cast("int").alias("category_id"), t[0].alias("name")])
+        _whole(t[1]).alias("category_id"), t[0].alias("name")], _name_id, bad_lines)
     from topicspace.operators.labels import dense_labels
     labelled = dense_labels(df, ORDER, out="label")
     return last_wins(labelled, "category_id").select("category_id", "name", "label")
 
 
-def read_membership(spark: SparkSession, path: str) -> DataFrame:
+def read_membership(spark: SparkSession, path: str, bad_lines: str = "fail") -> DataFrame:
     """``article cat cat ...`` lines -> distinct ``(article_id, category_id)`` rows.
     An article listed twice keeps its last line; a line with no category gives
     no row."""
     df = read_whitespace_table(spark, path, lambda t: [
-        t[0].cast("int").alias("article_id"),
+        _whole(t[0]).alias("article_id"),
         F.array_distinct(F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
-                                     lambda x: x.cast("int"))).alias("categories")])
+                                     _whole)).alias("categories")], _ids, bad_lines)
     last = last_wins(df, "article_id")
     return last.select("article_id", F.explode("categories").alias("category_id"))
 
 
-def read_category_filter(spark: SparkSession, path: str) -> DataFrame:
+def read_category_filter(spark: SparkSession, path: str, bad_lines: str = "fail") -> DataFrame:
     """First token of every line -> distinct ``(category_id)``."""
-    df = read_whitespace_table(spark, path, lambda t: [t[0].cast("int").alias("category_id")])
+    df = read_whitespace_table(spark, path, lambda t: [_whole(t[0]).alias("category_id")],
+                               _first_id, bad_lines)
     return df.select("category_id").distinct()
 
 
-def read_corpus(spark: SparkSession, path: str, line_sep: str = "\n\n",
+def has_crlf(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    """Whether the first line of the input ends in carriage return and line feed."""
+    first = spark.read.option("lineSep", "\n").text(path if isinstance(path, str) else list(path))
+    row = first.limit(1).first()
+    return row is not None and row["value"].endswith("\r")
+
+
+def read_corpus(spark: SparkSession, path: str, line_sep: str | None = None,
                 dedupe: bool = True) -> DataFrame:
     """Blank-line separated articles -> ``(title, content)``.
 
     The file is split on ``line_sep`` by the text source itself, so it is read
-    in parallel splits. Title = first line of a block; content = the other
+    in parallel splits; by default it is an empty line, ended as the input's first
+    line is (line feed, or carriage return and line feed). Title = first line of a block; content = the other
     lines joined by one space. Empty blocks (extra blank lines) are skipped, the
     last block counts even without a blank line after it, and with ``dedupe`` a
     repeated title keeps its last article (the input is a map by title).
     """
+    if line_sep is None:
+        line_sep = "\r\n\r\n" if has_crlf(spark, path) else "\n\n"
     nl = "\r\n" if line_sep == "\r\n\r\n" else "\n"
     blocks = read_lines(spark, path, line_sep=line_sep)
     block = F.regexp_replace(F.col("value"), f"^({nl})+|({nl})+$", "")

@@ -23,9 +23,9 @@ FILTER_CATEGORIES = ["de", "en", "es", "fr",
                      "src5", "src6", "src7", "src8", "src9"]
 
 
-# Row key of each table: small inputs are spread over the cores by it.
-ROW_KEYS = {"documents": "doc_id", "labels": "doc_id", "embeddings": "vec_id",
-            "events": "user_id"}
+# Unique row key of a table: small inputs are spread over the cores by it, other
+# tables round robin.
+ROW_KEYS = {"documents": "doc_id", "labels": "doc_id", "embeddings": "vec_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
