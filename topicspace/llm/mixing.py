@@ -26,6 +26,8 @@ SEED = 23
 MAX_PATTERNS = 200_000
 #: Cells of the hash range, 2 ** CELL_BITS.
 CELL_BITS = 16
+#: Walks through a pattern's rows before the last one is chosen by its size.
+ROUNDS = 3
 OUT = ("copies", "source_size", "target")
 #: Flips the sign bit: the signed order of the result is the unsigned order.
 SIGN = -(1 << 63)
@@ -126,8 +128,7 @@ def mix(df: DataFrame, sources: str = "sources", size: str = "size", key: list[s
 
     The order of a pattern is cut in two steps, so that one large pattern never
     meets in a task: tokens are summed by cell of the hash range, and only the
-    cell in which the quota ends is resolved row by row. The remainder, smaller
-    than the row at the cut, goes to the row outside whose size is nearest to it.
+    cell in which the quota ends is resolved row by row.
     """
     df = df.drop(*out)
     rest = [c for c in df.columns if c not in (sources, size)]
@@ -148,9 +149,12 @@ def mix(df: DataFrame, sources: str = "sources", size: str = "size", key: list[s
         .add(f"__{out[1]}", "long").add(f"__{out[2]}", "double")))
     cuts = _cuts(rows.join(plan, "__pattern").where("__extra > 0 AND __n > 0"))
     placed = df.withColumns(own).join(plan, "__pattern").join(_small(cuts), "__pattern", "left")
-    more = F.when(F.col("__extra") <= 0, False).otherwise(
-        F.col("__stop").isNull() | (F.col("__h").bitwiseXOR(F.lit(SIGN)) < F.col("__stop"))
-        | F.coalesce(F.col("__h") == F.col("__also"), F.lit(False)))
+    place = F.col("__h").bitwiseXOR(F.lit(SIGN))
+    within = F.exists("__runs", lambda r: (
+        (place >= r["start"]) & (F.coalesce(r["stop"], F.lit(-SIGN - 1)) > place)
+        & (F.col(size) <= r["fits"])))
+    more = (F.col("__extra") > 0) & (F.coalesce(within, F.lit(False)) | F.coalesce(
+        F.col("__h") == F.col("__also"), F.lit(False)))
     return placed.select(*df.columns, (F.col("__base") + more.cast("int")).alias(out[0]),
                          F.col(f"__{out[1]}").alias(out[1]), F.col(f"__{out[2]}").alias(out[2]))
 
@@ -180,34 +184,63 @@ def _plan(patterns: list, supply: list[int], weights: dict | None, share: float,
     return plan
 
 
-def _cuts(keyed: DataFrame) -> DataFrame:
-    """``(__pattern, __stop, __also)``: in the pattern's hash order, rows before
-    ``__stop`` are within its tokens, and ``__also`` is the row that fits the rest."""
+def _fill(keyed: DataFrame, state: DataFrame) -> DataFrame:
+    """One round for each pattern in ``state(__pattern, gap, start, fits)``: walks the rows
+    from ``start`` in hash order that are no larger than ``fits`` and stops before the
+    first that would pass ``gap``. Gives ``stop`` (null if none does) and the gap left."""
     cell = F.shiftrightunsigned("__h", 64 - CELL_BITS)
-    place = F.col("__h").bitwiseXOR(F.lit(SIGN))
     running = "sum(n) OVER (PARTITION BY __pattern ORDER BY {} ROWS UNBOUNDED PRECEDING)"
-    cells = (keyed.groupBy("__pattern", "__extra", cell.alias("cell")).agg(F.sum("__n").alias("n"))
-             .withColumn("upto", F.expr(running.format("cell")))
-             .where("upto > __extra")
-             .groupBy("__pattern").agg(F.min(F.struct("cell", "upto", "n")).alias("m"))
-             .select("__pattern", F.col("m.cell").alias("cut"),
-                     (F.col("m.upto") - F.col("m.n")).alias("before")))
-    stops = (keyed.join(_small(cells), "__pattern").where(cell == F.col("cut"))
-             .groupBy("__pattern", "__extra", "before", place.alias("o"))
-             .agg(F.sum("__n").alias("n"))
+    rows = (keyed.join(_small(state), "__pattern")
+            .withColumn("o", F.col("__h").bitwiseXOR(F.lit(SIGN)))
+            .where((F.col("o") >= F.col("start")) & (F.col("__n") <= F.col("fits"))))
+    cells = (rows.groupBy("__pattern", "gap", cell.alias("cell")).agg(F.sum("__n").alias("n"))
+             .withColumn("upto", F.expr(running.format("cell"))))
+    ends = (cells.groupBy("__pattern", "gap").agg(
+        F.min(F.when(F.col("upto") > F.col("gap"), F.struct("cell", "upto", "n"))).alias("m"),
+        F.max("upto").alias("all"))
+        .select("__pattern", "gap", "all", F.col("m.cell").alias("cut"),
+                (F.col("m.upto") - F.col("m.n")).alias("before")))
+    ends = materialize(ends, "mix-cells")
+    stops = (rows.drop("gap").join(_small(ends.where("cut IS NOT NULL")), "__pattern")
+             .where(cell == F.col("cut"))
+             .groupBy("__pattern", "gap", "before", "o").agg(F.sum("__n").alias("n"))
              .withColumn("upto", F.expr(f"before + {running.format('o')}"))
-             .where("upto > __extra").groupBy("__pattern")
-             .agg(F.min(F.struct("o", "upto", "n", "__extra")).alias("m"))
-             .select("__pattern", F.col("m.o").alias("__stop"),
-                     (F.col("m.__extra") - F.col("m.upto") + F.col("m.n")).alias("gap")))
-    stops = materialize(stops, "mix-stops")
-    off = F.abs(F.col("__n") - F.col("gap"))
-    tops = (keyed.join(_small(stops), "__pattern")
-            .where((place >= F.col("__stop")) & (off < F.col("gap")))
+             .where("upto > gap").groupBy("__pattern", "gap")
+             .agg(F.min(F.struct("o", "upto", "n")).alias("m"))
+             .select("__pattern", F.col("m.o").alias("stop"),
+                     (F.col("gap") - F.col("m.upto") + F.col("m.n")).alias("left")))
+    return state.join(ends.select("__pattern", "all"), "__pattern", "left").join(
+        stops, "__pattern", "left").select(
+        "__pattern", "gap", "start", "fits", "stop",
+        F.coalesce("left", F.col("gap") - F.coalesce("all", F.lit(0))).alias("left"))
+
+
+def _cuts(keyed: DataFrame) -> DataFrame:
+    """``(__pattern, __runs, __also)``: what the pattern gives beyond its whole repetitions.
+    Rows in hash order are taken up to the first that passes the tokens; it is skipped,
+    and the walk goes on with rows that fit into what is left, for ``ROUNDS`` rounds. A
+    run is (start, stop, size that fits). The rest, smaller than the row at the last
+    stop, goes to the row behind it whose size is nearest, if that brings the pattern
+    nearer to its tokens."""
+    state = keyed.groupBy("__pattern").agg(F.first("__extra").alias("gap")).select(
+        "__pattern", "gap", F.lit(SIGN).alias("start"), F.lit(-SIGN - 1).alias("fits"))
+    runs = None
+    for _ in range(ROUNDS):
+        state = materialize(_fill(keyed, state), "mix-round")
+        one = state.select("__pattern", F.struct("start", "stop", "fits").alias("run"))
+        runs = one if runs is None else runs.unionByName(one)
+        last = state
+        state = state.where("stop IS NOT NULL AND left > 0").select(
+            "__pattern", F.col("left").alias("gap"), F.col("stop").alias("start"),
+            F.col("left").alias("fits"))
+    off = F.abs(F.col("__n") - F.col("left"))
+    tops = (keyed.join(_small(last.where("stop IS NOT NULL AND left > 0")), "__pattern")
+            .where((F.col("__h").bitwiseXOR(F.lit(SIGN)) >= F.col("stop")) & (off < F.col("left")))
             .groupBy("__pattern").agg(F.min(F.struct(off.alias("off"), F.col("__h").alias("h")))
                                       .alias("m"))
             .select("__pattern", F.col("m.h").alias("__also")))
-    return materialize(stops.join(tops, "__pattern", "left").drop("gap"), "mix-cuts")
+    all_runs = runs.groupBy("__pattern").agg(F.collect_list("run").alias("__runs"))
+    return materialize(all_runs.join(tops, "__pattern", "left"), "mix-cuts")
 
 
 def _small(per_pattern: DataFrame) -> DataFrame:
