@@ -28,6 +28,8 @@ BLOCK_BYTES = 4096
 #: Margins below this are rejected.
 MIN_MARGIN = 0.02
 UNKNOWN = "und"
+#: Hashes that order the sample, and how many times the sample is looked through for it.
+HASHES, SPARE = 1 << 40, 4
 OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -45,8 +47,15 @@ def fit_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang"
     one count for each language."""
     known = labelled.where(F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0))
     counts = {str(r[0]): r[1] for r in known.groupBy(lang).count().collect()}
+    if not counts:
+        return {}
+    # a hash bound for each language leaves a few times the sample, however many rows
+    h = F.xxhash64(F.lit(seed), key, text)
+    bounds = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (
+        name, min(HASHES, HASHES * SPARE * sample_rows // n))])
+    known = known.where(F.pmod(h, F.lit(HASHES)) < F.element_at(bounds, F.col(lang).cast("string")))
     middle = F.greatest(F.lit(1), (F.length(text) / 2 - passage_chars / 2).cast("int"))
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(F.lit(seed), key, text), key)
+    order = Window.partitionBy(lang).orderBy(F.pmod(h, F.lit(HASHES)), key)
     rows = (known.select(F.col(lang).alias("l"), F.row_number().over(order).alias("n"),
                     F.substring(text, middle, F.lit(passage_chars)).alias("t"))
             .where(F.col("n") <= sample_rows).collect())
