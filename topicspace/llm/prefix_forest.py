@@ -29,6 +29,8 @@ BLOCK_ROWS = 1 << 17
 BLOCK_QUERIES = 1 << 15
 #: The sample on which the candidates' share is fitted, and its queries.
 SAMPLE_ROWS, SAMPLE_QUERIES = 8192, 200
+#: Hashes that order the sample, and how many times the sample is looked through for it.
+HASHES, SPARE = 1 << 40, 4
 #: Share of the sample's true neighbours that the candidates hold.
 RECALL = 0.97
 MIN_CANDIDATES = 64
@@ -188,7 +190,10 @@ def search(df: DataFrame, queries, id_col: str = "vec_id", vec: str = "embedding
     asked = rows.where(queries(F.col("id")))
     n, m = rows.count(), asked.count()
     order = F.xxhash64(F.lit(seed), "id")
-    sample = rows.orderBy(order, "id").limit(SAMPLE_ROWS).select("vec").collect()
+    # a hash bound leaves a few times the sample, however many rows there are
+    place = F.pmod(order, F.lit(HASHES))
+    sample = (rows.where(place < min(HASHES, HASHES * SPARE * SAMPLE_ROWS // max(n, 1)))
+              .orderBy(place, "id").limit(SAMPLE_ROWS).select("vec").collect())
     share = fit_share(np.array([r.vec for r in sample], dtype=np.float64), k, trees, seed,
                       recall) if sample else 1.0
     cores = rows.sparkSession.sparkContext.defaultParallelism
