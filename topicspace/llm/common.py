@@ -55,3 +55,11 @@ def worker_held(key: Hashable, make: Callable[[], Any]) -> Any:
     if key not in vars(held):
         vars(held)[key] = make()
     return vars(held)[key]
+
+
+def single_spaced(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds between other characters."""
+    words = text.split()
+    gaps = len(words) - 1
+    return (len(text) - sum(map(len, words)) == gaps
+            and text.count(" ") + text.count("\n") == gaps)

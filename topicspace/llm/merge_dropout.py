@@ -6,10 +6,12 @@ piece falls below the dropout rate, so a word is cut in varied ways that all fol
 the model's merge rules and decode to the same text. A rate of zero is the model's
 own segmentation.
 
-No piece holds a space mark after another character, so a text falls into segments
-(space marks, then other characters) that are segmented independently. The key of a
-segment is one of ``variants`` streams, chosen by a hash of the seed, the document
-and the segment's place; a segment met again in the same stream is looked up.
+No piece holds a space after another character, so a text falls into words (spaces,
+then other characters) that are segmented independently; so do the parts of a
+word between two characters that no piece holds side by side, such as a letter and the
+full stop after it. The key of a word is one of ``variants`` streams, chosen by a hash of
+the seed, the document and the word's place; a word met again in the same stream is
+looked up.
 """
 
 from __future__ import annotations
@@ -27,23 +29,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, LongType, StructField,
                                StructType)
 
-from topicspace.llm.common import read_table, worker_held
+from topicspace.llm.common import read_table, single_spaced, worker_held
 
 MODEL = "piece_bpe_32k.model"
 RATE = 0.1
 SEED = 31
 VARIANTS = 8
-#: Cached segmentations, at most, in one worker.
-CACHE_SEGMENTS = 700_000
+#: Cached segmentations, at most, in one task.
+CACHE_SEGMENTS = 300_000
+#: Rows of an Arrow batch taken at a time.
+ROWS_TOGETHER = 1024
+#: How pieces write a space. Here words keep their space, so that a space mark that the
+#: text itself holds has no piece and becomes its bytes.
 MARK = "▁"
-#: A segment: space marks followed by other characters.
-SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Stands for a space mark that the text itself holds; it is encoded as its bytes.
-OWN_MARK = "\U0010FFFE"
-OWN_POINT = -0x10FFFE
+#: A word: spaces followed by other characters.
+WORD = re.compile(" *[^ ]+| +")
+#: Parts words. It is white space, so a text that holds it is not single-spaced.
+CUT = "\x1f"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Cells of the matrices in which segments of one length are merged together.
-MATRIX_CELLS = 1 << 19
+MATRIX_CELLS = 1 << 17
 #: Segments gathered from texts before the cache is asked.
 SEGMENTS_TOGETHER = 200_000
 
@@ -59,7 +64,7 @@ class Pieces:
         self.byte_ids = np.zeros(256, dtype=np.int32)
         self.out: list[bytes] = []
         for i in range(model.get_piece_size()):
-            piece = model.id_to_piece(i)
+            piece = model.id_to_piece(i).replace(MARK, " ")
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
                 self.out.append(bytes([int(piece[3:5], 16)]))
@@ -67,12 +72,14 @@ class Pieces:
                 self.out.append(b"")
             else:
                 ids[piece] = i
-                self.out.append(piece.replace(MARK, " ").encode("utf-8"))
+                self.out.append(piece.encode("utf-8"))
         # character -> piece, or minus the code point where there is none
         self.chars = -np.arange(sys.maxunicode + 1, dtype=np.int32)
         for piece, i in ids.items():
             if len(piece) == 1:
                 self.chars[ord(piece)] = i
+        #: Neighbouring characters that some piece holds: no merge joins any others.
+        self.inside = {ab for piece in ids for ab in zip(piece, piece[1:])}
         # pieces by falling score share ranks where scores are equal
         scores = sorted({model.get_score(i) for i in ids.values()}, reverse=True)
         place = {score: rank for rank, score in enumerate(scores)}
@@ -188,11 +195,7 @@ class Pieces:
         for i in np.flatnonzero(odd).tolist():
             found: list[int] = []
             for s in symbols[i, :size[i]].tolist():
-                if s >= 0:
-                    found.append(s)
-                else:
-                    char = MARK if s == OWN_POINT else chr(-s)
-                    found += self.byte_ids[list(char.encode("utf-8"))].tolist()
+                found += [s] if s >= 0 else self.byte_ids[list(chr(-s).encode("utf-8"))].tolist()
             out[rows[i]] = np.array(found, dtype=np.int32).tobytes()
 
 
@@ -212,47 +215,67 @@ class Encoder:
     """Encodes and decodes whole texts with a cache of segments."""
 
     def __init__(self, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS):
-        self.pieces, self.rate, self.seed, self.variants = Pieces(path), rate, seed, variants
+        # the model's tables stay in the worker; the cache goes with the task
+        self.pieces = worker_held(("pieces", path), lambda: Pieces(path))
+        self.rate, self.seed, self.variants = rate, seed, variants
         self.streams = np.array([xxhash.xxh64_intdigest(b"stream %d" % v, seed)
                                  for v in range(variants)], dtype=np.uint64)
-        self.cache: dict[tuple[int, str], bytes] = {}
+        self.caches: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.held = 0
+        inside = self.pieces.inside
+        self.lone_feed = not any("\n" in ab for ab in inside)
+        joined = {a for a, b in inside if b in ".,"} | {" ", CUT}
+        self.last_mark = re.compile(f"(?<![{re.escape(''.join(sorted(joined)))}])([.,]){CUT}")
 
     def _learn(self, wanted: set[tuple[int, str]]) -> None:
-        """Segment what the cache lacks, segments of one length together."""
-        new = [w for w in wanted if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_SEGMENTS:
-            self.cache.clear()
-            new = list(wanted)
+        """Segment words that the cache lacks, words of one length together."""
+        if self.held + len(wanted) > CACHE_SEGMENTS:
+            for cache in self.caches:
+                cache.clear()
+            self.held = 0
+        self.held += len(wanted)
         by_width: dict[int, list[tuple[int, str]]] = {}
-        for w in new:
+        for w in wanted:
             by_width.setdefault(len(w[1]), []).append(w)
         for width, group in by_width.items():
             step = max(1, MATRIX_CELLS // width)
             for i in range(0, len(group), step):
-                part = group[i:i + step]
-                streams = self.streams[[v for v, _ in part]]
-                self.cache.update(zip(part, self.pieces.segment([s for _, s in part], streams,
-                                                                self.rate)))
-
-    def _cut(self, text: str, document: int) -> list[tuple[int, str]]:
-        """The text's segments with the stream of each."""
-        if OWN_MARK in text:
-            raise ValueError("the text holds the non-character U+10FFFE")
-        segments = SEGMENT.findall(MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK))
+                some = group[i:i + step]
+                streams = self.streams[[v for v, _ in some]]
+                for (v, word), ids in zip(some, self.pieces.segment([s for _, s in some], streams,
+                                                                    self.rate)):
+                    self.caches[v][word] = ids
+
+    def _words(self, text: str, document: int) -> tuple[list[int], list[str]]:
+        """The text's words, each with the space before it, and the stream of each. Line
+        feeds, and full stops and commas at the end of a word, are words of their own
+        where no piece joins them to their neighbours."""
+        if single_spaced(text):
+            parted = f" {text}{CUT}".replace(" ", f"{CUT} ")
+            if self.lone_feed:
+                parted = parted.replace("\n", f"{CUT}\n{CUT}")
+            words = [w for w in self.last_mark.sub(rf"{CUT}\1{CUT}", parted).split(CUT) if w]
+        else:
+            words = WORD.findall(f" {text}")
         z = np.uint64((document ^ self.seed) & (1 << 64) - 1) \
-            + np.arange(1, len(segments) + 1, dtype=np.uint64) * GOLDEN
-        return list(zip((_mix(z) % np.uint64(self.variants)).tolist(), segments))
+            + np.arange(1, len(words) + 1, dtype=np.uint64) * GOLDEN
+        return (_mix(z) % np.uint64(self.variants)).tolist(), words
 
     def encode_batch(self, texts: list[str | None], documents: list[int]) -> list[np.ndarray]:
         """Piece ids of each text; ``documents`` are the keys of the texts."""
         done, part, held = [], [], 0
+        caches = self.caches
         for i, text in enumerate(texts):
-            part.append(self._cut(text, documents[i]) if text else [])
-            held += len(part[-1])
+            part.append(self._words(text, documents[i]) if text else ([], []))
+            held += len(part[-1][0])
             if held >= SEGMENTS_TOGETHER or i == len(texts) - 1:
-                self._learn(set().union(*part))
-                done += [np.frombuffer(b"".join([self.cache[w] for w in own]), dtype=np.int32)
-                         for own in part]
+                known = [[caches[v].get(w) for v, w in zip(vs, ws)] for vs, ws in part]
+                self._learn({(v, w) for own, (vs, ws) in zip(known, part) if None in own
+                             for k, v, w in zip(own, vs, ws) if k is None})
+                for own, (vs, ws) in zip(known, part):
+                    if None in own:
+                        own = [caches[v][w] if k is None else k for k, v, w in zip(own, vs, ws)]
+                    done.append(np.frombuffer(b"".join(own), dtype=np.int32))
                 part, held = [], 0
         return done
 
@@ -285,9 +308,10 @@ def encode_documents(df: DataFrame, model: str | None = None, rate: float = RATE
         StructField("ids_crc32", LongType()), StructField("lossless", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_held(("pieces", model, rate, seed, variants),
-                              lambda: Encoder(model, rate, seed, variants))
-        for batch in batches:
+        encoder = Encoder(model, rate, seed, variants)
+        parts = (batch.slice(at, ROWS_TOGETHER) for batch in batches
+                 for at in range(0, batch.num_rows, ROWS_TOGETHER))
+        for batch in parts:
             ids, texts = batch.column(id_col), batch.column(text).to_pylist()
             flat, ends, sums, fits = array("i"), [0], [], []
             names = [xxhash.xxh64_intdigest(f"{own} {value}".encode(), seed)
