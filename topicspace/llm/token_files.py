@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspace.llm.common import fresh_dir, materialize, read_table, worker_held
+from topicspace.llm.common import (fresh_dir, materialize, read_table, single_spaced,
+                                    worker_held)
 
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 512
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Cached pieces of text and their ids, at most, in one worker.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 DOCS_PER_BATCH = 4096
 MANIFEST = "file int, path string, docs long, tokens long"
 
@@ -41,8 +43,6 @@ MANIFEST = "file int, path string, docs long, tokens long"
 # that are not white space, and around a line feed between two such characters,
 # whatever stands farther off. So those pieces can be encoded one by one.
 PIECE = re.compile(r"(?<=\S)(?= \S)")
-#: White space that is neither a single space nor a single line feed inside the text.
-ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -64,6 +64,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.dtype = id_type(self.tokenizer.get_vocab_size())
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.plain = (type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
                       and self.tokenizer.normalizer is None)
         self.cache: dict[str, bytes] = {}
@@ -72,8 +73,7 @@ class Encoder:
 
     def _unit(self, unit: str) -> bytes:
         """Ids of one unit of the pre-tokeniser, given in its byte alphabet."""
-        found = np.array([t.id for t in self.tokenizer.model.tokenize(unit)],
-                         dtype=self.dtype).tobytes()
+        found = array(self.code, [t.id for t in self.tokenizer.model.tokenize(unit)]).tobytes()
         if len(self.units) >= CACHE_PIECES:
             self.units.clear()
         self.units[unit] = found
@@ -113,7 +113,7 @@ class Encoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids,
                             dtype=self.dtype)
         cache = self.cache
-        if ODD.search(text):
+        if not single_spaced(text):
             raw = [self._piece(p) for p in PIECE.split(text)]
         else:
             first, *words = text.replace("\n", " \n").split(" ")
