@@ -65,19 +65,19 @@ def document_vectors(encoded: DataFrame, word_vectors: DataFrame, doc: str = "do
                      keys: list[str] | None = None) -> DataFrame:
     """Document vector = element-wise sum (or mean) of the vectors of its words.
 
-    A sum is linear: the document's words are counted first (a document comes from
-    one input row, so the map-side counts are whole), each different word is looked
-    up once in the word-vector table (broadcast after a size check), and the vectors
-    are summed with their counts as weights. A word without a vector adds nothing (a
+    Every word position is looked up in the word-vector table (broadcast after a size
+    check) and the vectors are summed per document in one aggregate: a document's
+    positions come from one input row, so the map-side partial sums already hold whole
+    documents and the shuffle carries one row per document. (Counting (document, word)
+    first was measured slower: few words repeat within a document.) A word without a vector adds nothing (a
     zero vector); a document with no vector at all gives no row. ``keys`` are more
     document columns to keep (grouped with ``doc``). ``how='mean'`` divides by
     the number of positions that have a vector.
     """
     wv = bounded_broadcast(word_vectors.select(idx, vec))
     d = vector_dim(word_vectors, vec) if dim is None else dim
-    counted = encoded.groupBy(doc, *(keys or []), idx).agg(F.count(F.lit(1)).alias("_times"))
-    joined = counted.join(wv, idx, "inner")
-    return vector_sum(joined, [doc, *(keys or [])], vec, how=how, dim=d, out=out, weight="_times")
+    joined = encoded.select(doc, idx, *(keys or [])).join(wv, idx, "inner")
+    return vector_sum(joined, [doc, *(keys or [])], vec, how=how, dim=d, out=out)
 
 
 def vectorize(sequences: DataFrame, word_vectors: DataFrame, dim: int, doc: str = "doc_id",
