@@ -68,3 +68,29 @@ def test_one_wrapper_for_all_pages_of_a_host():
     assert main_of(wrapper) == "tag"
     for s in streams:
         assert align(wrapper, s) == wrapper, expression(s)
+
+
+def texts(spark, rows):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], PAGES)
+    return [r.text for r in extract_main_text(df).orderBy("page_id").collect()]
+
+
+def test_main_part_of_each_page(spark):
+    own = "A text of this page that is much longer than any teaser"
+    rows = [("http://a.example/1", f"<body><article><p>{own} 1</p></article></body>"),
+            ("http://a.example/2", f"<body><div class=content><p>{own} 2</p></div><div>x</div></body>"),
+            ("http://a.example/3", f"<body><p>{own} 3</p></body>"),
+            ("http://a.example/4", f"<body><div class=content><p>{own} 4</p><article>Teaser</article></div></body>"),
+            (None, f"<body><article>{own} 5</article></body>"), (None, f"<body><p>{own} 6</p></body>")]
+    assert texts(spark, rows) == [f"{own} {i}" if i != 4 else f"{own} 4\n\nTeaser" for i in range(1, 7)]
+
+
+def test_side_words_on_what_holds_the_page(spark):
+    own = "A text of this page that is much longer than its notice"
+    pages = ["<body class='no-sidebar'><article><p>{}</p></article></body>",
+             "<body><div id='search-page'><div class=notice>n</div><p>{}</p></div></body>",
+             "<body><main class='has-banner'><p>{}</p><div class=ad>Buy</div></main></body>",
+             "<body><article class='share-enabled'><p>{}</p></article></body>",
+             "<body><form id=aspnet><p>{}</p></form></body>",
+             "<body><article><p>{}</p></article><div id=comments>" + own * 9 + "</div></body>"]
+    assert texts(spark, [(f"http://{i}.example/", p.format(own)) for i, p in enumerate(pages)]) == [own] * 6

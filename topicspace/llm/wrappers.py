@@ -25,6 +25,8 @@ from topicspace.llm.common import materialize, read_table, worker_held
 BROADCAST_BYTES = 8 << 20
 #: Groups in which a host's streams are aligned before their wrappers are.
 SALTS = 16
+#: Share of a page's text that marked parts hold at least to be its main text.
+MAIN_SHARE = 0.25
 
 # Element and attribute vocabulary of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
@@ -39,6 +41,8 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbod
 SIDE_TAGS = {"nav", "header", "footer", "aside", "form", "head", "title", "button", "select",
              "dialog", "menu", "fieldset"}
 MAIN_TAGS = {"article", "main"}
+#: Elements that no class word makes a side part.
+FRAME_TAGS = {"html", "body", "article", "main"}
 SIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "sponsor", "sponsored",
               "promo", "cookie", "cookies", "consent", "notice", "sidebar", "menu", "nav",
               "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "header", "masthead",
@@ -186,11 +190,15 @@ def expression(items: list) -> str:
     return "".join(parts)
 
 
-def is_side(label: str, in_main: bool) -> bool:
+def is_side(label: str, in_main: bool, most: bool = False) -> bool:
+    """Whether an element is a side part. One with ``most`` of the page's text is not so
+    for a class word or as a form."""
     name, *words = label.split(".")
     if name == "header" and in_main and not words:
         return False
-    return name in SIDE_TAGS or bool(SIDE_WORDS & set(words))
+    if name in SIDE_TAGS:
+        return name != "form" or not most
+    return name not in FRAME_TAGS and not most and bool(SIDE_WORDS & set(words))
 
 
 def is_main(label: str) -> bool:
@@ -199,7 +207,7 @@ def is_main(label: str) -> bool:
 
 
 def main_of(wrapper: list) -> str:
-    """What marks the main text in a host's wrapper: ``tag`` if an article or main element
+    """What marks the main text in a wrapper or page: ``tag`` if an article or main element
     stands outside of the side parts, else ``word`` if a telling class does, else the
     whole ``page``."""
     found = set()
@@ -216,54 +224,59 @@ def main_of(wrapper: list) -> str:
     return next((kind for kind in ("tag", "word") if kind in found), "page")
 
 
-def slots(wrapper: list, mark: str | None = None, in_main: bool = False) -> list:
-    """The wrapper's items as ``(label, inside, main)``: ``main`` tells whether the text
-    slots right inside an item (for a text item: itself) belong to the main text."""
-    mark = mark or main_of(wrapper)
-    out = []
+def slots(wrapper: list, out: dict | None = None) -> dict:
+    """The wrapper's positions: what is inside of each label. Items of one label side by
+    side are one position."""
+    out = {} if out is None else out
     for label, inside, *_ in wrapper:
-        if label == TEXT:
-            out.append((TEXT, (), in_main))
-            continue
         if label == "()":
-            out += slots(inside, mark, in_main)
-            continue
-        if is_side(label, in_main):
-            out.append((label, None, False))
-            continue
-        name = label.split(".")[0]
-        opens = (name in MAIN_TAGS if mark == "tag" else is_main(label) if mark == "word"
-                 else name == "body" or name not in ("html", "head"))
-        out.append((label, slots(inside, mark, in_main or opens), in_main or opens))
+            slots(inside, out)
+        else:
+            slots(inside, out.setdefault(label, {}))
     return out
 
 
-def extract(items: list, wrapper_slots: list) -> list[str]:
-    """Text of the main slots of a parsed page, in page order."""
-    table = {label: (inside, main) for label, inside, main in wrapper_slots}
+def weigh(items: list) -> int:
+    """Characters of text outside of the side tags; each element keeps its own number."""
+    n = 0
+    for x in items:
+        if x[0] == TEXT:
+            n += len(x[1])
+        else:
+            x[3:] = [weigh(x[1])]
+            n += x[3] if x[2] not in SIDE_TAGS or x[2] == "form" else 0
+    return n
+
+
+def extract(items: list, wrapper_slots: dict, mark: str, half: float,
+            in_main: bool = False) -> list[str]:
+    """Text of a weighed page inside the parts that ``mark`` tells, in page order. An
+    element with more text than ``half`` holds most of the page."""
     out = []
-    for label, inside, *_ in items:
-        known = table.get(label)
-        if known is None or known[0] is None:
-            continue
+    for x in items:
+        label, inside = x[0], x[1]
         if label == TEXT:
-            if known[1]:
+            if in_main:
                 out.append(inside)
-        else:
-            out += extract(inside, known[0])
+        elif not is_side(label, in_main, x[3] > half):
+            name = x[2]
+            opens = (name in MAIN_TAGS if mark == "tag" else is_main(label) if mark == "word"
+                     else name not in ("html", "head"))
+            out += extract(inside, wrapper_slots.get(label) or {}, mark, half, in_main or opens)
     return out
 
 
-def _merge_slots(found: list) -> list:
-    """Items of one label side by side in a wrapper act as one."""
-    out: dict = {}
-    for label, inside, main in found:
-        if label in out and inside is not None and out[label][0] is not None:
-            out[label] = (out[label][0] + list(inside), main or out[label][1])
-        elif label not in out:
-            out[label] = (None if inside is None else list(inside), main)
-    return [(label, None if inside is None else _merge_slots(inside), main)
-            for label, (inside, main) in out.items()]
+def main_text(items: list, wrapper_slots: dict) -> list[str]:
+    """A page's main text: its article and main elements, or the elements with a telling
+    class, or the whole page; a mark counts where its parts hold enough of the page's
+    text."""
+    half = weigh(items) / 2
+    rest = sum(map(len, extract(items, wrapper_slots, "page", float("inf"))))
+    for mark in ("tag", "word", "page"):
+        found = extract(items, wrapper_slots, mark, half)
+        if found and (mark == "page" or sum(map(len, found)) >= MAIN_SHARE * rest):
+            return found
+    return []
 
 
 def _host(url: str):
@@ -331,8 +344,8 @@ def _extract_task(page: str, keep: list[str]):
                 if w not in made:
                     if len(made) > 4096:
                         made.clear()
-                    made[w] = _merge_slots(slots(json.loads(w or "[]")))
-                texts.append("\n\n".join(extract(parse(p or ""), made[w])))
+                    made[w] = slots(json.loads(w or "[]"))
+                texts.append("\n\n".join(main_text(parse(p or ""), made[w])))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
