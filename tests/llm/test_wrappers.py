@@ -75,6 +75,20 @@ def texts(spark, rows):
     return [r.text for r in extract_main_text(df).orderBy("page_id").collect()]
 
 
+def test_template_text_is_no_main_text(spark):
+    one = "<body><div><h1>Day {0}</h1><p>Text {0}</p><p>Read more on our site</p></div><div>Made by us</div></body>"
+    two = "<body><article><p>Text {0}</p><p>All rights</p></article></body>"
+    rows = [("http://a.example/", one.format(i)) for i in range(8)]
+    rows += [("http://b.example/", two.format(i)) for i in range(8)]
+    rows += [("http://c.example/", two.format(0))] * 9  # copies are no template
+    rows += [("http://d.example/", two.format(i)) for i in range(2)]  # too few to tell
+    got = texts(spark, rows)
+    assert got[:8] == [f"Day {i}\n\nText {i}" for i in range(8)]
+    assert got[8:16] == [f"Text {i}" for i in range(8)]
+    assert got[16:25] == ["Text 0\n\nAll rights"] * 9
+    assert got[25:] == [f"Text {i}\n\nAll rights" for i in range(2)]
+
+
 def test_main_part_of_each_page(spark):
     own = "A text of this page that is much longer than any teaser"
     rows = [("http://a.example/1", f"<body><article><p>{own} 1</p></article></body>"),

@@ -2,14 +2,17 @@
 
 A page is a stream of block tags and text slots. Streams of one host are aligned one
 after the other: where they differ, the tokens of one side become an optional group, or
-a repeated group if they continue what stands before them; text is a slot in all of
-them. The result, a wrapper, is a regular expression without unions that matches every
-page of the host. The slots inside the wrapper's article, outside of its menus,
-headers, footers, sidebars, notices, adverts, forms and comments, hold the main text.
+a repeated group if they continue what stands before them. The result, a wrapper, is a
+regular expression without unions that matches every page of the host. At its text
+positions the strings of all pages are counted: one that most of the pages have there is
+a constant of the template, the others fill a slot. A page's main text is what fills the
+slots inside its article, outside of its menus, headers, footers, sidebars, notices,
+adverts, forms and comments; which part that is, tags and class words of the page tell.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -25,6 +28,9 @@ from topicspace.llm.common import materialize, read_table, worker_held
 BROADCAST_BYTES = 8 << 20
 #: Groups in which a host's streams are aligned before their wrappers are.
 SALTS = 16
+#: A string is a constant of its position if at least so many different pages of the host
+#: have it there, and this share of the pages that have the position.
+CONSTANT_PAGES, CONSTANT_SHARE = 6, 0.8
 #: Share of a page's text that marked parts hold at least to be its main text.
 MAIN_SHARE = 0.25
 
@@ -224,18 +230,50 @@ def main_of(wrapper: list) -> str:
     return next((kind for kind in ("tag", "word") if kind in found), "page")
 
 
-def slots(wrapper: list, out: dict | None = None) -> dict:
-    """The wrapper's positions: what is inside of each label. Items of one label side by
-    side are one position."""
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(),
+                          "little", signed=True)
+
+
+def slots(wrapper: list, path: str = "", out: dict | None = None) -> dict:
+    """The wrapper's positions: what is inside of each label, and for ``#`` the position's
+    hash. Items of one label side by side are one position."""
     out = {} if out is None else out
     for label, inside, *_ in wrapper:
-        if label == "()":
-            slots(inside, out)
+        if label == TEXT:
+            out[TEXT] = _hash(path)
+        elif label == "()":
+            slots(inside, path, out)
         else:
-            slots(inside, out.setdefault(label, {}))
+            slots(inside, f"{path}/{label}", out.setdefault(label, {}))
     return out
 
 
+def strings(items: list, known: dict) -> tuple[int, list[tuple[int, int | None]]]:
+    """A hash of a page's text outside of its side parts, and ``(position, string)`` hashes
+    of it, each once; a position alone has the string None. ``known`` keeps the hashes
+    of positions."""
+    found, whole = {}, []
+
+    def walk(inside: list, path: str, side: bool) -> None:
+        for x in inside:
+            if x[0] != TEXT:
+                if x[2] not in SIDE_TAGS or x[2] in ("header", "form"):
+                    walk(x[1], f"{path}/{x[0]}", side or is_side(x[0], False))
+                continue
+            if path not in known:
+                if len(known) > 65536:
+                    known.clear()
+                known[path] = _hash(path)
+            text = _hash(f"{path}\0{x[1]}")
+            found[known[path], None] = found[known[path], text] = True
+            if not side:
+                whole.append(text)
+
+    walk(items, "", False)
+    return _hash(repr(whole)), list(found)
+
+
 def weigh(items: list) -> int:
     """Characters of text outside of the side tags; each element keeps its own number."""
     n = 0
@@ -248,34 +286,39 @@ def weigh(items: list) -> int:
     return n
 
 
-def extract(items: list, wrapper_slots: dict, mark: str, half: float,
-            in_main: bool = False) -> list[str]:
-    """Text of a weighed page inside the parts that ``mark`` tells, in page order. An
-    element with more text than ``half`` holds most of the page."""
+def extract(items: list, wrapper_slots: dict, constants: dict, mark: str, half: float,
+            path: str = "", in_main: bool = False) -> list[str]:
+    """Text of a weighed page inside the parts that ``mark`` tells, in page order, without
+    the constants of the wrapper's positions. An element with more text than ``half``
+    holds most of the page."""
     out = []
     for x in items:
         label, inside = x[0], x[1]
+        known = wrapper_slots.get(label)
         if label == TEXT:
-            if in_main:
+            fixed = constants.get(known)
+            if in_main and not (fixed and _hash(f"{path}\0{inside}") in fixed):
                 out.append(inside)
         elif not is_side(label, in_main, x[3] > half):
             name = x[2]
             opens = (name in MAIN_TAGS if mark == "tag" else is_main(label) if mark == "word"
                      else name not in ("html", "head"))
-            out += extract(inside, wrapper_slots.get(label) or {}, mark, half, in_main or opens)
+            out += extract(inside, known or {}, constants, mark, half, f"{path}/{label}",
+                           in_main or opens)
     return out
 
 
-def main_text(items: list, wrapper_slots: dict) -> list[str]:
+def main_text(items: list, wrapper_slots: dict, constants: dict) -> list[str]:
     """A page's main text: its article and main elements, or the elements with a telling
     class, or the whole page; a mark counts where its parts hold enough of the page's
-    text."""
+    text. Text that is constant altogether, as on copies of one page, is kept."""
     half = weigh(items) / 2
-    rest = sum(map(len, extract(items, wrapper_slots, "page", float("inf"))))
-    for mark in ("tag", "word", "page"):
-        found = extract(items, wrapper_slots, mark, half)
-        if found and (mark == "page" or sum(map(len, found)) >= MAIN_SHARE * rest):
-            return found
+    for fixed in ([constants, {}] if constants else [{}]):
+        rest = sum(map(len, extract(items, wrapper_slots, fixed, "page", float("inf"))))
+        for mark in ("tag", "word", "page"):
+            found = extract(items, wrapper_slots, fixed, mark, half)
+            if found and (mark == "page" or sum(map(len, found)) >= MAIN_SHARE * rest):
+                return found
     return []
 
 
@@ -285,16 +328,33 @@ def _host(url: str):
 
 
 def _streams(page: str):
+    kind = pa.list_(pa.struct([("place", pa.int64()), ("string", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
         for batch in batches:
-            found = [json.dumps(stream(parse(p or "")), separators=(",", ":"))
-                     for p in batch.column(page).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.string())],
-                                             names=["host", "stream"])
+            found, wholes, texts = [], [], []
+            for p in batch.column(page).to_pylist():
+                items = parse(p or "")
+                found.append(json.dumps(stream(items), separators=(",", ":")))
+                whole, own = strings(items, known)
+                wholes.append(whole)
+                texts.append([{"place": a, "string": b} for a, b in own])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("host"), pa.array(found, pa.string()), pa.array(wholes, pa.int64()),
+                 pa.array(texts, kind)], names=["host", "stream", "whole", "texts"])
 
     return run
 
 
+def page_streams(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """``(host, stream, whole, texts)`` of every page: its stream and what ``strings``
+    tells, kept in the shared folder."""
+    return materialize(pages.select(_host(url).alias("host"), page).mapInArrow(
+        _streams(page), "host string, stream string, whole long, "
+                        "texts array<struct<place:long,string:long>>"), "wrapper-pages")
+
+
 def _align_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Aligns the streams of each host in turn; rows come sorted by host. Only the
     running wrapper is held."""
@@ -317,11 +377,28 @@ def _align_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """``(host, stream)``: the wrapper of every host, from all its pages. Pages with
-    equal streams count once; a host's different streams are aligned in ``SALTS``
-    groups first and the groups' wrappers then, so a busy host is spread."""
-    found = (pages.select(_host(url).alias("host"), page)
-             .mapInArrow(_streams(page), "host string, stream string"))
+    """``(host, stream)``: the wrapper of every host, from all its pages."""
+    return _wrappers(page_streams(pages, url, page))
+
+
+def infer_constants(found: DataFrame) -> DataFrame:
+    """``(host, constants)`` from ``page_streams``: the ``position:string`` hashes of a
+    host's constants. Pages whose text outside of the side parts is equal count once."""
+    counts = materialize(
+        found.groupBy("host", "whole").agg(F.first("texts").alias("texts"))
+        .select("host", F.explode("texts").alias("t")).groupBy("host", "t.place", "t.string")
+        .count().where(F.col("count") >= CONSTANT_PAGES), "wrapper-strings")
+    places = counts.where("string IS NULL").select("host", "place", F.col("count").alias("all"))
+    return (counts.where("string IS NOT NULL").join(places, ["host", "place"])
+            .where(F.col("count") >= CONSTANT_SHARE * F.col("all")).groupBy("host")
+            .agg(F.concat_ws(",", F.sort_array(F.collect_list(
+                F.concat_ws(":", "place", "string")))).alias("constants")))
+
+
+def _wrappers(found: DataFrame) -> DataFrame:
+    """The wrappers of ``page_streams``. Pages with equal streams count once; a host's
+    different streams are aligned in ``SALTS`` groups first and the groups' wrappers
+    then, so a busy host is spread."""
     # the most frequent streams first: they make the frame that others are aligned with
     different = materialize(found.groupBy("host", "stream").count(), "wrapper-streams")
     salt = F.pmod(F.xxhash64("stream"), F.lit(SALTS))
@@ -335,17 +412,26 @@ def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> Da
             .mapInArrow(_align_sorted, "host string, stream string"))
 
 
+def _constants(listed: str | None) -> dict[int, set[int]]:
+    out: dict = {}
+    for pair in (listed or "").split(",") if listed else ():
+        place, string = pair.split(":")
+        out.setdefault(int(place), set()).add(int(string))
+    return out
+
+
 def _extract_task(page: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = worker_held("wrappers", dict)
         for batch in batches:
             texts = []
-            for p, w in zip(batch.column(page).to_pylist(), batch.column("stream").to_pylist()):
+            for p, *w in zip(*[batch.column(c).to_pylist() for c in (page, "stream", "constants")]):
+                w = tuple(w)
                 if w not in made:
                     if len(made) > 4096:
                         made.clear()
-                    made[w] = slots(json.loads(w or "[]"))
-                texts.append("\n\n".join(main_text(parse(p or ""), made[w])))
+                    made[w] = slots(json.loads(w[0] or "[]")), _constants(w[1])
+                texts.append("\n\n".join(main_text(parse(p or ""), *made[w])))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
@@ -359,11 +445,13 @@ def extract_main_text(pages: DataFrame, url: str = "url", page: str = "html",
     joined by an empty line; empty if it has none) and ``n_chars``. A null page is
     empty; pages without a host in their address share one wrapper."""
     keep = [*keep, url]
-    wrappers = materialize(infer_wrappers(pages, url, page), "wrappers")
-    size = wrappers.agg(F.sum(F.length("stream") + F.length("host")).alias("b")).first()["b"] or 0
+    found = page_streams(pages, url, page)
+    wrappers = materialize(_wrappers(found).join(infer_constants(found), "host", "left"), "wrappers")
+    size = wrappers.agg(F.sum(F.length("stream") + F.length("host") + F.coalesce(
+        F.length("constants"), F.lit(0))).alias("b")).first()["b"] or 0
     side = F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers
     joined = (pages.select(*keep, page, _host(url).alias("host"))
-              .join(side, "host", "left").select(*keep, page, "stream"))
+              .join(side, "host", "left").select(*keep, page, "stream", "constants"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                       for f in pages.select(*keep).schema)
     return joined.mapInArrow(_extract_task(page, keep), f"{types}, text string, n_chars long")
