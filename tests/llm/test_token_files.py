@@ -59,3 +59,20 @@ def test_random_access_to_sequences(spark, tmp_path, doc_rows, tokenizer):
 
 def test_empty_table(spark, table):
     assert T.op4_token_files(spark, table([])).count() == 0
+
+
+def test_strings_of_added_tokens(spark, table):
+    library = Tokenizer.from_file(PATH)  # unchanged
+    texts = ["end <|endoftext|> start", "<|endoftext|>", "<|endoftext|><|endoftext|>a", "a\n<|endoftext|>\n b",
+             "<|endoftext|", "x  <|endoftext|>  y <|endoftext|>", "no such string"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [437, 220, 50256, 923]
+    e = T.Encoder(PATH, special_text=False)
+    assert [e(t).tolist() for t in texts] == want
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in T.op4_token_files(spark, table(rows)).collect()}
+    at = 0
+    for i, ids in enumerate(want):
+        crc = zlib.crc32(np.array([*ids, 2], dtype="<u4").tobytes())
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids) + 1, crc)
+        at += len(ids) + 1

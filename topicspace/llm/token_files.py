@@ -56,17 +56,26 @@ BYTE_ALPHABET = _byte_alphabet()
 
 
 class Encoder:
-    """The tokenizer with a cache of pieces, so that a repeated word is looked up."""
+    """The tokenizer with a cache of pieces, so that a repeated word is looked up. With
+    ``special_text`` the strings of special tokens are ordinary text; without, as the
+    library's ``encode(text, add_special_tokens=False)`` has it, they are those tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.tokenizer.encode_special_tokens = special_text
         self.dtype = id_type(self.tokenizer.get_vocab_size())
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.plain = (type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
                       and self.tokenizer.normalizer is None)
+        added = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()
+                 if t.content and not (t.special and special_text)}
+        self.added = {content: i for content, (i, _) in added.items()}
+        # the longest of those that start at one place, as the library takes them
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True)))
+                               + ")")
+        self.plain_added = not any(t.lstrip or t.rstrip or t.single_word for _, t in added.values())
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # the cache before it was last full
         self.units: dict[str, bytes] = {}
@@ -109,9 +118,18 @@ class Encoder:
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=self.dtype)
-        if not self.plain:
+        added = any(token in text for token in self.added)
+        if not self.plain or added and not self.plain_added:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids,
                             dtype=self.dtype)
+        if not added:
+            return self._text(text)
+        return np.concatenate([
+            np.array([self.added[part]], dtype=self.dtype) if i % 2 else self._text(part)
+            for i, part in enumerate(self.cuts.split(text)) if part])
+
+    def _text(self, text: str) -> np.ndarray:
+        """Ids of a text without added tokens."""
         cache = self.cache
         if not single_spaced(text):
             raw = [self._piece(p) for p in PIECE.split(text)]
@@ -203,7 +221,7 @@ class SequenceFile:
 def _write_task(folder: str, tokenizer: str, seq_len: int, end_id: int, id_col: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode = TaskContext.get().partitionId(), worker_held(
-            ("tokenizer", tokenizer), lambda: Encoder(tokenizer))
+            ("tokenizer", tokenizer), lambda: Encoder(tokenizer, special_text=False))
         fs, base = _fs(folder)
         mark = uuid.uuid4().hex
         names = [f"{base}/{kind}-{part:06d}.arrow" for kind in ("tokens", "docs")]
