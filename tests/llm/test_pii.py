@@ -80,3 +80,28 @@ def test_units_join_to_the_text(spark):
     text = "x 9.8.7.6 Mr. A B y z.1@q.example.org, w"
     df = spark.createDataFrame([(text,)], "text string").select(pii.find_units(F.col("text")).alias("u"))
     assert "".join(u["raw"] for u in df.first().u) == text
+
+
+def test_usual_phone_numbers(spark):
+    numbers = ["+33 6 12 34 56 78", "+33612345678", "06 12 34 56 78", "0612345678", "06.12.34.56.78", "06\u00a012\u00a034\u00a056\u00a078", "030 1234567",
+               
+               "030/1234567", "(030) 1234567", "0151 23456789", "91 123 45 67", "612 34 56 78", "555 123 4567",
+               "1-555-123-4567", "+49 (0)30 1234567", "+49 151 23456789", "+44 20 7946 0958", "+34 612 345 678"]
+    for number, text in zip(numbers, texts(spark, [f"Call {n}, now" for n in numbers])):
+        shape = "".join(r"\d" if c.isdigit() else re.escape(c) for c in number)
+        assert re.fullmatch(f"Call {shape}, now", text) and number not in text, (number, text)
+    clean = ["on 01.02.2024 10:30 and 2024-10-12", "in 1990 2000 2010", "pages 100 200 300", "1 000 000 and 0.12345678",
+             "EUR 1.234.567.890,12"]
+    assert texts(spark, clean) == clean
+
+
+def test_usual_secrets(spark):
+    held = [("password: ", "hunter2", ". Bye"), ('password = "', "correcthorsebattery", '" ok'),
+            ('secret = "', "p@ssw0rd!2024xyz", '";'), ("token: Bearer ", "abc123def", " x"), ("passwd='", "a b c", "'."),
+            ("API_KEY=", "Abcdef123456!xyz", "\nnext"), ("token=", "04dbebab91ab85687d33", "$$$ end"),
+            ('{"password": "', "x", '"}')]
+    for (head, value, tail), text in zip(held, texts(spark, ["".join(h) for h in held])):
+        assert text.startswith(head) and text.endswith(tail) and text != head + value + tail, text
+        assert len(text) == len(head + value + tail)
+    clean = ['password = "***"', "the token was lost", "secret: ...", "password="]
+    assert texts(spark, clean) == clean

@@ -44,14 +44,33 @@ NAMES = {
 _TITLE = "|".join(sorted(MALE + FEMALE + EITHER, key=len, reverse=True))
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}"
-SECRET = (r"(?i)(?<![\p{L}\p{N}])(?:api[_-]?key|access[_-]?key|secret|token|password|passwd)"
-          r"(?-i)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?=[^\s\"']{0,60}[0-9])[A-Za-z0-9_+/=-]{12,}")
+SECRET_HEAD = (r"(?i)(?<![\p{L}\p{N}])(?:api[_-]?key|access[_-]?key|secret|token|password|passwd)"
+               r"[\"']?\s{0,3}[:=]\s{0,3}(?:(?:bearer|basic)\s{1,3})?(?-i)[\"']?")
+# within quotes; or a run of a key's characters, without marks that follow it; or anything
+# up to the last letter or digit before white space or a quote
+SECRET = (SECRET_HEAD + r"(?:(?<=\")(?=[^\"\n]*[\p{L}\p{N}])[^\"\n]+(?=\")"
+          r"|(?<=')(?=[^'\n]*[\p{L}\p{N}])[^'\n]+(?=')"
+          r"|(?=[^\s\"']{0,60}[0-9])[A-Za-z0-9_+/=-]{12,}+(?![^\s\"']*[\p{L}\p{N}])"
+          r"|[^\s\"']*[\p{L}\p{N}])")
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[\p{{L}}\p{{N}}])"
-PHONE = (r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?![\p{L}\p{N}])"
-         r"|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\p{L}\p{N}])"
-         r"|(?<![\p{L}\p{N}-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}-])")
+# a country code and groups of one or more digits; or in national forms: an area code in
+# brackets, a trunk prefix (five pairs; an area code and 5 to 8 more digits, or so many in
+# groups), 3-3-4 digits, Spanish 2-3-2-2 and 3-2-2-2 digits
+_GAP = r"[ \x{A0}\x{202F}./-]"
+_BLANK = r"[ \x{A0}\x{202F}]"
+PHONE = (rf"(?=[+(0-9])(?<![\p{{L}}\p{{N}}])(?:"
+         rf"\+\d{{1,3}}{_GAP}?(?:\(\d{{1,4}}\)|\d{{1,4}})(?:{_GAP}?\d{{2,4}}){{2,4}}"
+         rf"|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}"
+         rf"|\(0\d{{1,4}}\){_BLANK}?(?=\d(?:[ -]?\d){{4,7}}(?!\d))\d{{2,8}}(?:[ -]\d{{2,4}}){{0,3}}"
+         rf")(?![\p{{L}}\p{{N}}])"
+         rf"|(?=[0-9])(?<![\p{{L}}\p{{N}}+.,/-])(?:"
+         rf"0[1-9](?:\d{{8}}|(?:{_BLANK}\d\d){{4}}|(?:\.\d\d){{4}}|(?:-\d\d){{4}})"
+         rf"|0[1-9]\d{{1,3}}(?:{_BLANK}|[/-])(?=\d(?:[ -]?\d){{4,7}}(?!\d))\d{{2,8}}(?:[ -]\d{{2,4}}){{0,3}}"
+         rf"|(?:1[ .-])?\d{{3}}(?:[.-]\d{{3}}[.-]|{_BLANK}\d{{3}}{_BLANK})\d{{4}}"
+         rf"|[89]\d{_BLANK}\d{{3}}(?:{_BLANK}\d\d){{2}}|[6-9]\d\d(?:{_BLANK}\d\d){{3}}"
+         rf")(?![\p{{L}}\p{{N}}-])")
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
 CARD = r"(?<![\p{L}\p{N}-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}-])"
 ENTITY = "|".join([SECRET, EMAIL, PERSON, IP, PHONE, SSN, CARD])
@@ -90,20 +109,18 @@ def _units(raw: Column, known: Column) -> Column:
     """The units of one match: literal text has no type. ``known`` are the typed names of
     the document, by which a bare later mention is told."""
     digits = _digits(raw)
-    value = F.regexp_extract(raw, r"[A-Za-z0-9_+/=-]{12,}$", 0)
+    head = F.regexp_extract(raw, f"^{SECRET_HEAD}", 0)
     again = F.filter(known, lambda k: k["raw"] == raw)
     return (
         F.when(F.size(again) > 0, F.array(_unit(again[0]["type"], raw)))
-        .when(F.regexp_like(raw, F.lit(f"^(?:{SECRET})$")), F.array(
-            _unit(None, F.substr(raw, F.lit(1), F.length(raw) - F.length(value))),
-            _unit("secret", value)))
+        .when(head != "", F.array(
+            _unit(None, head), _unit("secret", F.substr(raw, F.length(head) + 1))))
         .when(F.contains(raw, F.lit("@")), F.array(_unit("email", raw)))
         .when(F.regexp_like(raw, F.lit(rf"^(?:{_TITLE})\.? ")), _name_units(raw))
         .when(F.regexp_like(raw, F.lit(f"^{_OCTET}(?:\\.{_OCTET}){{3}}$")),
               F.array(_unit("ip", raw)))
         .when(F.regexp_like(raw, F.lit(r"^\d{3}-\d{2}-\d{4}$")), F.array(_unit("ssn", raw)))
-        .when(F.regexp_like(raw, F.lit(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$")),
-              F.array(_unit("phone", raw)))
+        .when(F.regexp_like(raw, F.lit(f"^(?:{PHONE})$")), F.array(_unit("phone", raw)))
         # a long number is a card only if its check digit is right
         .when(F.call_function("luhn_check", digits),
               F.array(_unit("card", raw)))
@@ -193,6 +210,7 @@ def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
         # reserved for examples: the address can't be anyone's
         email = F.concat(F.regexp_replace(shaped, r"\.[^.@]*$", ""), F.lit(".example"))
         code = F.greatest(F.length(norm) - 10, F.lit(0))
+        code = F.when(norm.startswith("0"), F.greatest(code, F.lit(1))).otherwise(code)
         phone = F.concat(F.substr(norm, F.lit(1), code), F.substr(shaped, code + 1))
         card = F.concat(F.substr(norm, F.lit(1), F.lit(1)),
                         F.substr(shaped, F.lit(2), F.length(norm) - 2))
