@@ -105,3 +105,14 @@ def test_usual_secrets(spark):
         assert len(text) == len(head + value + tail)
     clean = ['password = "***"', "the token was lost", "secret: ...", "password="]
     assert texts(spark, clean) == clean
+
+
+def test_small_shapes_do_not_run_out(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("email", f"{a}@{b}.{c}") for a in letters for b in letters for c in ("com", "de")]
+    rows += [("secret", c) for c in letters + "0123456789"]
+    rows += [("given_x_cyrillic", f"имя{i}") for i in range(12_000)]
+    got = assign_surrogates(spark.createDataFrame(rows, "type string, norm string")).collect()
+    news = {(r.type, r.new) for r in got}
+    assert len(got) == len(rows) == len(news) and not news & set(rows)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.example", r.new) for r in got if r.type == "email")

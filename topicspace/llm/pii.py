@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from topicspace.llm.common import let, materialize, read_table
 
 KEY = "surrogates-1"
-#: Draws of one entity before its type's space counts as used up.
+#: Draws of one entity before its type's space counts as used up: phones, cards, social
+#: security numbers and addresses keep their digits, all others grow with the draw.
 MAX_DRAWS = 40
+#: Draws in the entity's own shape, before characters are added.
+OWN_SHAPE = 4
 
 # Titles by gender.
 MALE = ["Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин", "г-н"]
@@ -194,11 +197,13 @@ def _luhn_digit(body: Column) -> Column:
 
 
 def _name(kind: Column, s: Column, draw: Column) -> Column:
-    """One name of the kind's list; later draws join two or more, so none runs out."""
+    """One name of the kind's list; later draws join two or more, up to 16, so none runs
+    out."""
     lists = F.create_map(*[x for k, v in NAMES.items()
                            for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))])
     return let(F.element_at(lists, kind), lambda names: F.array_join(F.transform(
-        F.sequence(F.lit(0), F.least(F.lit(7), (draw / 4).cast("int"))),
+        F.sequence(F.lit(0), F.when(draw < 8, (draw / 4).cast("int")).otherwise(
+            F.least(F.lit(15), draw - 6))),
         lambda i: names[s[i] % F.size(names)]), "-"))
 
 
@@ -209,6 +214,9 @@ def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
         shaped = _same_shape(norm, s, hexed & (kind == "secret"))
         # reserved for examples: the address can't be anyone's
         email = F.concat(F.regexp_replace(shaped, r"\.[^.@]*$", ""), F.lit(".example"))
+        # characters for the later draws: a space of any size gets larger than the table
+        more = F.array_join(F.transform(F.slice(s, 1, F.greatest(F.lit(0), F.least(
+            F.lit(12), draw - OWN_SHAPE + 1))), lambda n: F.chr(n % 26 + 97)), "")
         code = F.greatest(F.length(norm) - 10, F.lit(0))
         code = F.when(norm.startswith("0"), F.greatest(code, F.lit(1))).otherwise(code)
         phone = F.concat(F.substr(norm, F.lit(1), code), F.substr(shaped, code + 1))
@@ -216,11 +224,11 @@ def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
                         F.substr(shaped, F.lit(2), F.length(norm) - 2))
         ip = F.concat_ws(".", *[(s[i] % (223 if i == 0 else 256) + int(i == 0)).cast("string")
                                 for i in range(4)])
-        return (F.when(kind == "email", email).when(kind == "phone", phone)
+        return (F.when(kind == "email", F.concat(more, email)).when(kind == "phone", phone)
                 .when(kind == "card", F.concat(card, _luhn_digit(card)))
                 .when(kind == "ip", ip)
                 .when(kind == "ssn", F.concat(F.lit("9"), F.substr(shaped, F.lit(2))))
-                .when(kind == "secret", shaped)
+                .when(kind == "secret", F.concat(shaped, more))
                 .otherwise(F.lower(_name(kind, s, draw))))
 
     return let(_stream(kind, norm, draw, key), drawn)
