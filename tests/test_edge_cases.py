@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from conftest import write
+from topicspace_cases import write
 from topicspace.functions.vectors import vector_entries
 from topicspace.operators import categories as C
 from topicspace.operators import labels as L

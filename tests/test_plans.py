@@ -6,7 +6,7 @@ import pytest
 
 from topicspace.plans import registry as E
 
-from conftest import SF_SMALL
+from topicspace_cases import SF_SMALL
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 # Model queries fit a model while being built (their plans hold the fitted model).

@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E  # noqa: E402
 from check_oracles import digest, duck  # noqa: E402
 
-from conftest import SF_SMALL  # noqa: E402
+from topicspace_cases import SF_SMALL  # noqa: E402
 
 from topicspace.plans import oracles, registry  # noqa: E402
 

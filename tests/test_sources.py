@@ -3,7 +3,7 @@ import os
 from topicspace.sources import files as SF
 from topicspace.sources import writers as W
 
-from conftest import write
+from topicspace_cases import write
 
 
 def test_corpus_rules(spark, tmp):
