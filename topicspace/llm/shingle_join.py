@@ -453,7 +453,8 @@ def class_links(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text
         F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("pieces"))
     wanted = classes.join(sizes, "root").select("rep", "cls", "root", "pieces")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    sets = (texts.join(wanted, F.col("id").eqNullSafe(F.col("rep")))
+    # always by shuffle: the wanted ids grow with the table, so no size of it proves small
+    sets = (texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("rep")))
             .select("text", "root", "pieces", "cls")
             .mapInArrow(_set_task("text", shingle),
                         "root bigint, pieces int, cls binary, shingles binary"))
