@@ -38,11 +38,11 @@ from topicspace.llm.components import connected_components
 SHINGLE_WORDS = 3
 PERCENT = 90
 #: Words hashed together, so that short texts share the cost of a numpy call.
-WORDS_TOGETHER = 1 << 18
+WORDS_TOGETHER = 1 << 16
 #: Segment keys of a task that are combined before they are shuffled.
-KEYS_TOGETHER = 1 << 20
+KEYS_TOGETHER = 1 << 18
 #: Shingles of a coarse group that one task searches.
-BLOCK_SHINGLES = 1 << 21
+BLOCK_SHINGLES = 1 << 20
 #: Entries of short lists up to which a heap merges them; beyond, a stable sort merges the
 #: lists laid end to end.
 HEAP_ENTRIES = 1 << 12
@@ -399,7 +399,8 @@ def _search_task(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, names, raw = None, [], []
-        for batch in batches:
+        parts = (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256))
+        for batch in parts:
             out: list[tuple[bytes, bytes]] = []
             keys = zip(*(batch.column(k).to_pylist() for k in ("root", "i", "j")))
             for key, name, own in zip(keys, batch.column("cls").to_pylist(),
