@@ -1,4 +1,5 @@
 import heapq
+import time
 import zlib
 
 import numpy as np
@@ -20,18 +21,12 @@ def model():
 def test_rate_zero_is_the_model(model, doc_rows):
     e = M.Encoder(PATH, 0.0)
     for text in TEXTS + [r[1] for r in doc_rows if r[1] and M.MARK not in r[1]]:
-        assert e.encode_batch([text], [7])[0].tolist() == model.encode(text)
+        assert e.encode_batch([text], [7])[0].tolist() == model.encode(text), text
 
 
-def brute_segment(model, text, stream, rate):
-    """One segment by a heap agenda with the same keyed draws."""
+def brute_segment(model, text, key, rate):
+    """One word by a plain agenda with the same keyed draws."""
     ids = {model.id_to_piece(i).replace(M.MARK, " "): i for i in range(259, 32000)}
-    odd = 1
-    total = 0
-    for c in text:
-        odd = odd * int(M.GOLDEN) % 2 ** 64
-        total += ord(c) * odd
-    key = M._mix(np.array([stream ^ (total % 2 ** 64)], dtype=np.uint64))
     sym, place = list(text), list(range(len(text)))
     gone = set()
     while True:
@@ -43,8 +38,7 @@ def brute_segment(model, text, stream, rate):
         if not agenda:
             break
         _, i, piece = heapq.nsmallest(1, agenda)[0]
-        drawn = int(M._draw(key, np.array([place[i]], dtype=np.int32), np.array([ids[piece]], dtype=np.int32))[0])
-        if drawn < int(rate * 2 ** 64):
+        if M.draw_one(key, place[i], ids[piece]) < int(rate * 2 ** 64):
             gone.add((place[i], place[i + 1], piece))
             continue
         # the neighbours' pairs are new candidates
@@ -52,17 +46,45 @@ def brute_segment(model, text, stream, rate):
     return [x for s in sym for x in ([ids[s]] if s in ids else [3 + b for b in s.encode()])]
 
 
-def test_dropout_against_a_plain_agenda(model):
-    e = M.Encoder(PATH, 0.3, seed=5, variants=4)
-    words = [" unbelievable", " internationalisation", " the", "  x", " a\nbc", " 😀word", " Zürich"]
-    for v in range(4):
-        streams = np.full(1, e.streams[v], dtype=np.uint64)
-        for w in words:
-            got = np.frombuffer(e.pieces.segment([w], streams, 0.3)[0], dtype=np.int32).tolist()
-            assert got == brute_segment(model, w, int(e.streams[v]), 0.3), w
-        same = [w for w in words if len(w) == 13] * 3
-        many = e.pieces.segment(same, np.full(len(same), e.streams[v], dtype=np.uint64), 0.3)
-        assert len(set(many)) <= 1
+def brute_key(seed, document, place, word):
+    """The key of the word at a place (from 0) of a document."""
+    z = ((document ^ seed) + (place + 1) * int(M.GOLDEN)) % 2 ** 64
+    mix = lambda x: int(M._mix(np.array([x % 2 ** 64], dtype=np.uint64))[0])
+    return mix(mix(z) ^ M.char_hash(word))
+
+
+def test_draws_agree():
+    keys, codes = [1, 2 ** 64 - 1, 77], [(3, 5), (0, 31999), (63, 0)]
+    got = M.draws(np.array(keys, dtype=np.uint64), np.array([a << 32 | b for a, b in codes]))
+    assert got.tolist() == [M.draw_one(k, a, b) for k, (a, b) in zip(keys, codes)]
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.5])
+def test_dropout_against_a_plain_agenda(model, rate):
+    """Every occurrence of a word has draws of its own, by document and place."""
+    words = [" unbelievable", " internationalisation", " the", " x", " 😀word", " Zürich", " is",
+             " " + "antidisestablishment" * 4]  # the last is longer than the trees' words
+    text = "".join(words * 12)
+    e = M.Encoder(PATH, rate, seed=5)
+    for document in (9, 10):
+        got = e.encode_batch([text[1:], "", text[1:]], [document, 3, document])
+        want = [brute_segment(model, w, brute_key(5, document, i, w), rate)
+                for i, w in enumerate(words * 12)]
+        assert got[0].tolist() == [x for w in want for x in w] == got[2].tolist() and not len(got[1])
+    # more different segmentations than any small number of streams would give
+    found = {tuple(e.encode_batch(["internationalisation"], [d])[0].tolist()) for d in range(400)}
+    assert len(found) > 30
+
+
+def test_long_words_take_linear_time(model):
+    text = "abcdefghij" * 100_000
+    start = time.process_time()
+    ids = M.Encoder(PATH).encode_batch([text], [1])[0]
+    assert time.process_time() - start < 60
+    assert M.Encoder(PATH).decode(ids.tolist()) == text
+    some = " " + "qzabcdexyz漢" * 30
+    e = M.Encoder(PATH)
+    assert e.pieces.heap_segment(some, 8, int(0.2 * 2 ** 64)).tolist() == brute_segment(model, some, 8, 0.2)
 
 
 def test_varied_but_lossless(model):

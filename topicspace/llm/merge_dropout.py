@@ -9,17 +9,18 @@ own segmentation.
 No piece holds a space after another character, so a text falls into words (spaces,
 then other characters) that are segmented independently; so do the parts of a
 word between two characters that no piece holds side by side, such as a letter and the
-full stop after it. The key of a word is one of ``variants`` streams, chosen by a hash of
-the seed, the document and the word's place; a word met again in the same stream is
-looked up.
+full stop after it. A word's key follows from the seed, the document, the word's place in it and
+its characters.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import sys
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +35,12 @@ from topicspace.llm.common import read_table, single_spaced, worker_held
 MODEL = "piece_bpe_32k.model"
 RATE = 0.1
 SEED = 31
-VARIANTS = 8
-#: Cached segmentations, at most, in one task.
+#: Nodes of the words' trees that a task keeps between batches.
 CACHE_SEGMENTS = 300_000
+#: Longest word that has a tree; a longer one runs its agenda as a heap.
+WIDE = 64
+#: A place without a symbol.
+ABSENT = np.int32(-(1 << 31))
 #: Rows of an Arrow batch taken at a time.
 ROWS_TOGETHER = 1024
 #: How pieces write a space. Here words keep their space, so that a space mark that the
@@ -123,86 +127,129 @@ class Pieces:
             open_ = open_[(found[open_] != keys[open_]) & (found[open_] != -1)]
         return np.where(found == keys, at, -1)
 
-    def segment(self, texts: list[str], streams: np.ndarray, rate: float) -> list[bytes]:
-        """Ids (32-bit) of segments of one length. All run their agenda together: in
-        each round the best candidate of every segment (best score, then leftmost)
-        leaves it, and is skipped or merged. The key of a segment mixes its 64-bit
-        stream with its characters."""
+    def simulate(self, words: list[str], skips: list[tuple[int, ...]]):
+        """Run the agendas of some words together, each with its own candidates skipped
+        (by code: place << 32 | piece). In each round the best candidate of every word (best
+        score, then leftmost) leaves its agenda, and is skipped or merged; merged symbols
+        are a linked list over the places, so nothing is moved.
+
+        Gives two ragged arrays as (values, lengths): the pieces of each word, and the codes
+        of the candidates that were merged once the last skipped one had been met.
+        """
         none = np.iinfo(np.int32).max
-        n, width = len(texts), len(texts[0])
-        points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
-        symbols = self.chars[points].reshape(n, width)
-        odd = np.cumprod(np.full(width, GOLDEN))
-        keys = _mix(streams ^ (points.reshape(n, width).astype(np.uint64) * odd)
-                    .sum(axis=1, dtype=np.uint64))
-        place = np.broadcast_to(np.arange(width, dtype=np.int32), (n, width)).copy()
-        size = np.full(n, width)
-        joined = np.full((n, width), -1, dtype=np.int32)
-        if width > 1:
-            joined[:, :-1] = self.merged(symbols[:, :-1].ravel(),
-                                         symbols[:, 1:].ravel()).reshape(n, -1)
+        n, size = len(words), np.array([len(w) for w in words])
+        width = int(size.max())
+        places = np.arange(width + 1)
+        inside = places[None, :] < size[:, None]
+        symbols = np.full((n, width + 1), ABSENT, dtype=np.int32)
+        symbols[inside] = self.chars[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        after = np.tile(np.minimum(places + 1, width), (n, 1))
+        before = np.tile(np.where(places == 0, width, places - 1), (n, 1))
+        joined = np.full((n, width + 1), -1, dtype=np.int32)
+        joined[:, :-1] = self.merged(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(n, -1)
         agenda = np.where(joined >= 0, self.rank[joined], none)
-        bound = np.uint64(min(int(rate * (1 << 64)), (1 << 64) - 1))
-        out: list = [None] * n
-        rows = np.arange(n)
+        standing = inside.copy()
+        most = max(map(len, skips))
+        forced = np.full((n, most), -1, dtype=np.int64)
+        for i, own in enumerate(skips):
+            forced[i, :len(own)] = own
+        last = np.array([own[-1] if own else -1 for own in skips], dtype=np.int64)
+        free = last < 0  # the last skipped candidate has been met
+        rows, taken_rows, taken = np.arange(n), [], []
         while len(rows):
-            best = agenda.argmin(axis=1)
-            at = np.arange(len(rows))
-            live = agenda[at, best] != none
-            if not live.all():
-                self._finish(out, rows[~live], symbols[~live], size[~live])
-                rows, best, size = rows[live], best[live], size[live]
-                symbols, place, joined, agenda = (x[live] for x in (symbols, place, joined, agenda))
-                if not len(rows):
-                    break
-                wide = int(size.max())
-                symbols, place, joined, agenda = (
-                    np.ascontiguousarray(x[:, :wide]) for x in (symbols, place, joined, agenda))
-                at = np.arange(len(rows))
-            piece = joined[at, best]
-            drop = _draw(keys[rows], place[at, best], piece) < bound if rate else None
-            if rate and drop.any():
-                agenda[at[drop], best[drop]] = none
-                at, best, piece = at[~drop], best[~drop], piece[~drop]
-            if not len(at):
+            best = agenda[rows].argmin(axis=1)
+            live = agenda[rows, best] != none
+            rows, best = rows[live], best[live]
+            piece = joined[rows, best]
+            code = best.astype(np.int64) << 32 | piece
+            agenda[rows, best] = none
+            if most:
+                drop = (forced[rows] == code[:, None]).any(axis=1)
+                new = free[rows] & ~drop
+                free[rows] |= code == last[rows]
+                taken_rows.append(rows[new])
+                taken.append(code[new])
+                r, at, piece = rows[~drop], best[~drop], piece[~drop]
+            else:
+                taken_rows.append(rows)
+                taken.append(code)
+                r, at = rows, best
+            right = after[r, at]
+            far = after[r, right]
+            symbols[r, at] = piece
+            standing[r, right] = False
+            agenda[r, right] = none
+            after[r, at] = far
+            before[r, far] = at
+            left = before[r, at]
+            # the merged symbol with what stands before it and after it
+            pairs = self.merged(np.concatenate((symbols[r, left], piece)),
+                                np.concatenate((piece, symbols[r, far])))
+            for place, pair in ((left, pairs[:len(r)]), (at, pairs[len(r):])):
+                joined[r, place] = pair
+                agenda[r, place] = np.where(pair >= 0, self.rank[pair], none)
+        flat, lengths = self.bytes_of(symbols[standing], standing.sum(axis=1))
+        where = np.concatenate(taken_rows)
+        order = np.argsort(where, kind="stable")
+        return (flat, lengths), (np.concatenate(taken)[order], np.bincount(where, minlength=n))
+
+    def bytes_of(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols without a piece become their bytes."""
+        odd = np.flatnonzero(flat < 0)
+        if not len(odd):
+            return flat, lengths
+        raw = [self.byte_ids[list(chr(-x).encode("utf-8"))] for x in flat[odd].tolist()]
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        more = np.array([len(x) for x in raw])
+        times = np.ones(len(flat), dtype=np.int64)
+        times[odd] = more
+        out = np.repeat(flat, times)
+        starts = np.cumsum(times) - times
+        for at, own in zip(starts[odd].tolist(), raw):
+            out[at:at + len(own)] = own
+        return out, np.bincount(owner, weights=times, minlength=len(lengths)).astype(np.int64)
+
+    def heap_segment(self, word: str, key: int, bound: int) -> np.ndarray:
+        """The pieces of one long word: the same agenda as a heap, so that a merge takes
+        logarithmic time whatever the word's length. A candidate whose draw is below
+        ``bound`` is skipped."""
+        symbols = self.chars[np.frombuffer(word.encode("utf-32-le"), np.uint32)]
+        own, n = symbols.tolist(), len(symbols)
+        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\x01") * n
+        mask = (1 << self.bits) - 1
+
+        def piece_of(a: int, b: int) -> int:
+            if a < 0 or b < 0:
+                return -1
+            want = a << 32 | b
+            slot = (want * int(GOLDEN) & (1 << 64) - 1) >> (64 - self.bits)
+            while (found := int(self.pair[slot])) != want:
+                if found == -1:
+                    return -1
+                slot = (slot + 1) & mask
+            return int(self.joined[slot])
+
+        first = self.merged(symbols[:-1], symbols[1:])
+        # (rank, place, next place, their symbols, piece): stale once a symbol has changed
+        heap = [(int(self.rank[first[i]]), i, i + 1, own[i], own[i + 1], int(first[i]))
+                for i in np.flatnonzero(first >= 0).tolist()]
+        heapq.heapify(heap)
+        while heap:
+            _, a, b, x, y, piece = heapq.heappop(heap)
+            if not (alive[a] and after[a] == b and own[a] == x and own[b] == y):
+                continue
+            if draw_one(key, a, piece) < bound:
                 continue
-            symbols[at, best] = piece
-            take = np.arange(symbols.shape[1])
-            take = np.minimum(take + (take > best[:, None]), symbols.shape[1] - 1)
-            for x in (symbols, place):
-                x[at] = np.take_along_axis(x[at], take, axis=1)
-            take = np.arange(symbols.shape[1])
-            take = np.minimum(take + (take >= best[:, None]), symbols.shape[1] - 1)
-            for x in (joined, agenda):
-                x[at] = np.take_along_axis(x[at], take, axis=1)
-            size[at] -= 1
-            joined[at, size[at]], agenda[at, size[at]] = -1, none
-            for left in (best - 1, best):
-                ok = (left >= 0) & (left + 1 < size[at])
-                r, c = at[ok], left[ok]
-                new = self.merged(symbols[r, c], symbols[r, c + 1])
-                joined[r, c], agenda[r, c] = new, np.where(new >= 0, self.rank[new], none)
-            last = at[size[at] > 0]
-            joined[last, size[last] - 1], agenda[last, size[last] - 1] = -1, none
-        return out
-
-    def _finish(self, out: list, rows: np.ndarray, symbols: np.ndarray, size: np.ndarray) -> None:
-        """Store the ids of finished rows; symbols without a piece become their bytes."""
-        odd = ((symbols < 0) & (np.arange(symbols.shape[1]) < size[:, None])).any(axis=1)
-        raw, step = symbols.tobytes(), symbols.shape[1] * 4
-        for i, (row, n) in enumerate(zip(rows.tolist(), size.tolist())):
-            out[row] = raw[i * step:i * step + 4 * n]
-        for i in np.flatnonzero(odd).tolist():
-            found: list[int] = []
-            for s in symbols[i, :size[i]].tolist():
-                found += [s] if s >= 0 else self.byte_ids[list(chr(-s).encode("utf-8"))].tolist()
-            out[rows[i]] = np.array(found, dtype=np.int32).tobytes()
-
-
-def _draw(key: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
-    """Keyed 64-bit hash of a merge candidate (splitmix64 of key, place and piece)."""
-    z = key ^ (place.astype(np.uint64) << np.uint64(32) | piece.astype(np.uint64))
-    return _mix(_mix(z + GOLDEN))
+            own[a], alive[b], far = piece, 0, after[b]
+            after[a] = far
+            if far < n:
+                before[far] = a
+            for left, right in ((before[a], a), (a, far)):
+                if left >= 0 and right < n and (new := piece_of(own[left], own[right])) >= 0:
+                    heapq.heappush(heap, (int(self.rank[new]), left, right, own[left],
+                                          own[right], new))
+        left = np.array([own[i] for i in range(n) if alive[i]], dtype=np.int32)
+        return self.bytes_of(left, np.array([len(left)]))[0]
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -211,72 +258,211 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def draws(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Keyed 64-bit hashes of merge candidates (splitmix64 of key, place and piece)."""
+    return _mix(_mix((keys ^ codes.view(np.uint64)) + GOLDEN))
+
+
+def draw_one(key: int, place: int, piece: int) -> int:
+    """As ``draws``, for one candidate."""
+    z = (key ^ (place << 32 | piece)) + int(GOLDEN) & (1 << 64) - 1
+    for _ in range(2):
+        z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        z = (z ^ (z >> 27)) * 0x94D049BB133111EB & (1 << 64) - 1
+        z ^= z >> 31
+    return z
+
+
+class Ragged:
+    """Rows of different lengths in one growing array."""
+
+    def __init__(self, dtype):
+        self.values, self.starts = np.zeros(1 << 12, dtype), np.zeros(1 << 10, np.int64)
+        self.lengths, self.rows, self.used = np.zeros(1 << 10, np.int32), 0, 0
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate((a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)))
+
+    def add(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        n, m = self.rows + len(lengths), self.used + len(values)
+        self.values = self._room(self.values, m)
+        self.starts, self.lengths = self._room(self.starts, n), self._room(self.lengths, n)
+        self.values[self.used:m] = values
+        self.lengths[self.rows:n] = lengths
+        self.starts[self.rows:n] = self.used + np.cumsum(lengths) - lengths
+        self.rows, self.used = n, m
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The values of some rows end to end, the place in ``rows`` that each belongs to,
+        and its place within its row."""
+        lengths = self.lengths[rows]
+        owner = np.repeat(np.arange(len(rows)), lengths)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return self.values[self.starts[rows][owner] + within], owner, within
+
+
 class Encoder:
-    """Encodes and decodes whole texts with a cache of segments."""
+    """Encodes and decodes whole texts.
 
-    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS):
-        # the model's tables stay in the worker; the cache goes with the task
+    Every word of a text has a key of its own, from seed, document, place and
+    characters. What a key leads to is found in a tree for each different word: the root
+    is its agenda without a skip, and the child at candidate j is what follows if j is
+    the first that is skipped. The draws of all words of a batch are hashed together
+    along these paths; only nodes not met before are simulated.
+    """
+
+    def __init__(self, path: str, rate: float = RATE, seed: int = SEED):
+        # the model's tables stay in the worker; the nodes go with the task
         self.pieces = worker_held(("pieces", path), lambda: Pieces(path))
-        self.rate, self.seed, self.variants = rate, seed, variants
-        self.streams = np.array([xxhash.xxh64_intdigest(b"stream %d" % v, seed)
-                                 for v in range(variants)], dtype=np.uint64)
-        self.caches: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.held = 0
+        self.seed = seed
+        self.bound = min(int(rate * (1 << 64)), (1 << 64) - 1)
+        self._clear()
         inside = self.pieces.inside
         self.lone_feed = not any("\n" in ab for ab in inside)
         joined = {a for a, b in inside if b in ".,"} | {" ", CUT}
         self.last_mark = re.compile(f"(?<![{re.escape(''.join(sorted(joined)))}])([.,]){CUT}")
 
-    def _learn(self, wanted: set[tuple[int, str]]) -> None:
-        """Segment words that the cache lacks, words of one length together."""
-        if self.held + len(wanted) > CACHE_SEGMENTS:
-            for cache in self.caches:
-                cache.clear()
-            self.held = 0
-        self.held += len(wanted)
-        by_width: dict[int, list[tuple[int, str]]] = {}
-        for w in wanted:
-            by_width.setdefault(len(w[1]), []).append(w)
-        for width, group in by_width.items():
-            step = max(1, MATRIX_CELLS // width)
-            for i in range(0, len(group), step):
-                some = group[i:i + step]
-                streams = self.streams[[v for v, _ in some]]
-                for (v, word), ids in zip(some, self.pieces.segment([s for _, s in some], streams,
-                                                                    self.rate)):
-                    self.caches[v][word] = ids
-
-    def _words(self, text: str, document: int) -> tuple[list[int], list[str]]:
-        """The text's words, each with the space before it, and the stream of each. Line
-        feeds, and full stops and commas at the end of a word, are words of their own
-        where no piece joins them to their neighbours."""
-        if single_spaced(text):
-            parted = f" {text}{CUT}".replace(" ", f"{CUT} ")
-            if self.lone_feed:
-                parted = parted.replace("\n", f"{CUT}\n{CUT}")
-            words = [w for w in self.last_mark.sub(rf"{CUT}\1{CUT}", parted).split(CUT) if w]
-        else:
-            words = WORD.findall(f" {text}")
-        z = np.uint64((document ^ self.seed) & (1 << 64) - 1) \
-            + np.arange(1, len(words) + 1, dtype=np.uint64) * GOLDEN
-        return (_mix(z) % np.uint64(self.variants)).tolist(), words
+    def _clear(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.warm: set[str] = set()         # words met in more than one batch
+        self.children: dict[int, int] = {}  # node << 32 | candidate -> node
+        self.words: list[str] = []          # of each node
+        self.skips: list[tuple[int, ...]] = []
+        self.ids, self.path = Ragged(np.int32), Ragged(np.int64)
+        self.chars = np.zeros(0, dtype=np.uint64)  # of each root, by node
+
+    def _shrink(self) -> None:
+        """Keep the nodes of the words that were met again, and forget the others."""
+        keep = {self.roots[w] for w in self.warm}
+        if 2 * len(keep) > CACHE_SEGMENTS:
+            return self._clear()
+        edges = sorted(self.children.items(), key=lambda x: x[1])  # parents come first
+        for edge, child in edges:
+            if edge >> 32 in keep:
+                keep.add(child)
+        kept = np.array(sorted(keep), dtype=np.int64)
+        place = {old: new for new, old in enumerate(kept.tolist())}
+        before = (self.roots, self.words, self.skips, self.ids, self.path, self.chars, self.warm)
+        self._clear()
+        roots, words, skips, ids, path, chars, warm = before
+        self.roots = {w: place[roots[w]] for w in warm}
+        self.children = {place[e >> 32] << 32 | e & 0xFFFFFFFF: place[c] for e, c in edges if c in place}
+        self.words, self.skips = [words[i] for i in place], [skips[i] for i in place]
+        for new, old in ((self.ids, ids), (self.path, path)):
+            new.add(old.take(kept)[0], old.lengths[kept])
+        self.chars = chars[np.minimum(kept, len(chars) - 1)]
+
+    def _grow(self, words: list[str], skips: list[tuple[int, ...]]) -> int:
+        """Add a node for each of some words, which come by length, with its skipped
+        candidates; gives the first one's number. Words of like length run together."""
+        first = len(self.words)
+        self.words += words
+        self.skips += skips
+        at = 0
+        while at < len(words):
+            width = 1 << max(2, (len(words[at]) - 1).bit_length())
+            stop = min(bisect_right(words, width, at, key=len), at + max(1, MATRIX_CELLS // width))
+            ids, path = self.pieces.simulate(words[at:stop], skips[at:stop])
+            self.ids.add(*ids)
+            self.path.add(*path)
+            at = stop
+        return first
+
+    def _root_nodes(self, words: list[str]) -> np.ndarray:
+        """The root of each word, -1 for words that are too long for the tree."""
+        different = set(words)
+        new = sorted((w for w in different.difference(self.roots) if len(w) <= WIDE), key=len)
+        self.warm.update(different.intersection(self.roots))
+        if new:
+            first = self._grow(new, [()] * len(new))
+            self.roots.update(zip(new, range(first, first + len(new))))
+            self.chars = Ragged._room(self.chars, len(self.words))
+            self.chars[first:first + len(new)] = [char_hash(w) for w in new]
+        get = self.roots.get
+        return np.array([get(w, -1) for w in words], dtype=np.int64)
+
+    def _leaves(self, node: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The node at which each word ends: where none of the candidates that follow is
+        skipped."""
+        node, live = node.copy(), np.flatnonzero(node >= 0)
+        while len(live) and self.bound:
+            codes, owner, within = self.path.take(node[live])
+            hits = np.flatnonzero(draws(keys[live][owner], codes) < np.uint64(self.bound))
+            hit = owner[hits]
+            first = np.ones(len(hit), dtype=bool)
+            first[1:] = hit[1:] != hit[:-1]
+            hits, hit = hits[first], hit[first]
+            live = live[hit]
+            edges, where, back = np.unique(node[live] << 32 | within[hits], return_index=True,
+                                           return_inverse=True)
+            known = [self.children.get(e, -1) for e in edges.tolist()]
+            new = [(i, e >> 32, c) for i, (k, e, c) in enumerate(zip(
+                known, edges.tolist(), codes[hits[where]].tolist())) if k < 0]
+            if new:
+                new.sort(key=lambda x: len(self.words[x[1]]))
+                at = self._grow([self.words[p] for _, p, _ in new],
+                                [(*self.skips[p], c) for _, p, c in new])
+                for i, _, _ in new:
+                    known[i] = self.children[int(edges[i])] = at
+                    at += 1
+            node[live] = np.array(known, dtype=np.int64)[back]
+        return node
+
+    def _words(self, text: str) -> list[str]:
+        """The text's words, each with the space before it. Line feeds, and full stops and
+        commas at the end of a word, are words of their own where no piece joins them to
+        their neighbours."""
+        if not single_spaced(text):
+            return WORD.findall(f" {text}")
+        parted = f" {text}{CUT}".replace(" ", f"{CUT} ")
+        if self.lone_feed:
+            parted = parted.replace("\n", f"{CUT}\n{CUT}")
+        return [w for w in self.last_mark.sub(rf"{CUT}\1{CUT}", parted).split(CUT) if w]
+
+    def _segment(self, words: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of some words end to end, and how many each has. ``keys`` are the words'
+        places' keys."""
+        if len(self.words) > CACHE_SEGMENTS:
+            self._shrink()
+        node = self._root_nodes(words)
+        long = np.flatnonzero(node < 0).tolist()
+        own = keys.copy()
+        short = node >= 0
+        own[short] = _mix(own[short] ^ self.chars[node[short]])
+        node = self._leaves(node, own)
+        for i in long:
+            key = int(_mix(keys[i:i + 1] ^ np.uint64(char_hash(words[i])))[0])
+            found = self.pieces.heap_segment(words[i], key, self.bound)
+            # a node of its own, found by nothing else
+            node[i] = len(self.words)
+            self.words.append("")
+            self.skips.append(())
+            self.ids.add(found, np.array([len(found)]))
+            self.path.add(found[:0], np.array([0]))
+        return self.ids.take(node)[0], self.ids.lengths[node]
 
     def encode_batch(self, texts: list[str | None], documents: list[int]) -> list[np.ndarray]:
         """Piece ids of each text; ``documents`` are the keys of the texts."""
-        done, part, held = [], [], 0
-        caches = self.caches
+        done: list[np.ndarray] = []
+        words: list[str] = []
+        keys: list[np.ndarray] = []
+        sizes: list[int] = []
         for i, text in enumerate(texts):
-            part.append(self._words(text, documents[i]) if text else ([], []))
-            held += len(part[-1][0])
-            if held >= SEGMENTS_TOGETHER or i == len(texts) - 1:
-                known = [[caches[v].get(w) for v, w in zip(vs, ws)] for vs, ws in part]
-                self._learn({(v, w) for own, (vs, ws) in zip(known, part) if None in own
-                             for k, v, w in zip(own, vs, ws) if k is None})
-                for own, (vs, ws) in zip(known, part):
-                    if None in own:
-                        own = [caches[v][w] if k is None else k for k, v, w in zip(own, vs, ws)]
-                    done.append(np.frombuffer(b"".join(own), dtype=np.int32))
-                part, held = [], 0
+            own = self._words(text) if text else []
+            z = np.uint64((documents[i] ^ self.seed) & (1 << 64) - 1) \
+                + np.arange(1, len(own) + 1, dtype=np.uint64) * GOLDEN
+            words += own
+            keys.append(z)
+            sizes.append(len(own))
+            if len(words) >= SEGMENTS_TOGETHER or i == len(texts) - 1:
+                if words:
+                    ids, lengths = self._segment(words, _mix(np.concatenate(keys)))
+                else:
+                    ids = lengths = np.zeros(0, dtype=np.int32)
+                ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum([0, *sizes])]
+                done += [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                words, keys, sizes = [], [], []
         return done
 
     def decode(self, ids) -> str:
@@ -286,8 +472,13 @@ class Encoder:
         return (raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace")
 
 
+def char_hash(word: str) -> int:
+    """A 64-bit hash of a word's characters."""
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
 def encode_documents(df: DataFrame, model: str | None = None, rate: float = RATE,
-                     seed: int = SEED, variants: int = VARIANTS, text: str = "text",
+                     seed: int = SEED, text: str = "text",
                      id_col: str = "doc_id", decode: bool = True) -> DataFrame:
     """``(id_col, ids, n_pieces, ids_crc32, lossless)`` for every row: the piece ids of
     the whole text, their number, the unsigned CRC-32 of the ids as little-endian
@@ -308,7 +499,7 @@ def encode_documents(df: DataFrame, model: str | None = None, rate: float = RATE
         StructField("ids_crc32", LongType()), StructField("lossless", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model, rate, seed, variants)
+        encoder = Encoder(model, rate, seed)
         parts = (batch.slice(at, ROWS_TOGETHER) for batch in batches
                  for at in range(0, batch.num_rows, ROWS_TOGETHER))
         for batch in parts:
