@@ -116,3 +116,29 @@ def test_small_shapes_do_not_run_out(spark):
     news = {(r.type, r.new) for r in got}
     assert len(got) == len(rows) == len(news) and not news & set(rows)
     assert all(re.fullmatch(r"[a-z]+@[a-z]\.example", r.new) for r in got if r.type == "email")
+
+
+def test_patterns_on_long_repeats(spark):
+    """No pattern recurses or backtracks along a long text."""
+    import time
+    n = 100_000
+    texts = ["x@" + "a." * n + "com", "a" * n + "@" + "b" * n, "+1" + " 22" * n, "1" * n, "1.1." * n,
+             "Mr A" + " Bb" * n, "password=" * n, 'secret="' * n, "token: '" + "k" * n, "0 12" * n,
+             "x@a.b " * n, "(0" * n, "a.b-c_d" * n + "@", "Mr. " * n]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r for r in replace_pii(docs, entities="n").collect()}
+    assert time.time() - start < 150 and len(got) == len(texts)
+    assert got[0].n == 1 and got[0].text.endswith(".example")
+
+
+def test_full_shapes_get_longer_surrogates(spark):
+    """More entities than their shape has room for all get different replacements."""
+    from pyspark.sql import functions as F
+    from topicspace.llm.pii import assign_surrogates
+    ents = spark.range(0, 1000).select(F.lit("ssn").alias("type"), F.concat(
+        F.lit("90000"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("norm"))
+    got = assign_surrogates(ents.unionByName(spark.range(0, 12).select(
+        F.lit("phone").alias("type"), F.col("id").cast("string").alias("norm")))).collect()
+    assert len(got) == 1012 and len({(r.type, r.new) for r in got}) == 1012
+    assert not {r.new for r in got} & {r.norm for r in got}

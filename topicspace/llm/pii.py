@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 from topicspace.llm.common import let, materialize, read_table
 
 KEY = "surrogates-1"
-#: Draws of one entity before its type's space counts as used up: phones, cards, social
-#: security numbers and addresses keep their digits, all others grow with the draw.
-MAX_DRAWS = 40
-#: Draws in the entity's own shape, before characters are added.
-OWN_SHAPE = 4
+#: Draws in the entity's own shape, before characters are added: few for emails and
+#: secrets; numbers and addresses get more digits only if their shape is nearly used up.
+OWN_SHAPE, OWN_DIGITS = 4, 24
 
 # Titles by gender.
 MALE = ["Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин", "г-н"]
@@ -55,7 +53,7 @@ SECRET = (SECRET_HEAD + r"(?:(?<=\")(?=[^\"\n]*[\p{L}\p{N}])[^\"\n]+(?=\")"
           r"|(?<=')(?=[^'\n]*[\p{L}\p{N}])[^'\n]+(?=')"
           r"|(?=[^\s\"']{0,60}[0-9])[A-Za-z0-9_+/=-]{12,}+(?![^\s\"']*[\p{L}\p{N}])"
           r"|[^\s\"']*[\p{L}\p{N}])")
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[\p{{L}}\p{{N}}])"
 # a country code and groups of one or more digits; or in national forms: an area code in
@@ -163,15 +161,16 @@ def normal_form(kind: Column, raw: Column) -> Column:
 
 
 def _stream(kind: Column, norm: Column, draw: Column, key: str) -> Column:
-    """Array of numbers from 0 to 65535, one for each character and eight more."""
-    def block(b: Column) -> Column:
-        h = F.sha2(F.concat_ws("|", F.lit(key), kind, draw.cast("string"), b.cast("string"), norm),
-                   256)
+    """Array of numbers from 0 to 65535, one for each character and eight more. The blocks
+    hash a digest of the entity, so that a long one is read once."""
+    def block(head: Column, b: Column) -> Column:
+        h = F.sha2(F.concat_ws("|", head, b.cast("string")), 256)
         return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(
             F.substr(h, 4 * i + 1, F.lit(4)), 16, 10).cast("int"))
 
     blocks = F.sequence(F.lit(0), ((F.length(norm) + 8) / 16).cast("int"))
-    return F.flatten(F.transform(blocks, block))
+    head = F.concat_ws("|", F.lit(key), kind, draw.cast("string"), F.sha2(norm, 256))
+    return let(head, lambda own: F.flatten(F.transform(blocks, lambda b: block(own, b))))
 
 
 def _same_shape(text: Column, s: Column, hexed: Column) -> Column:
@@ -209,14 +208,18 @@ def _name(kind: Column, s: Column, draw: Column) -> Column:
 
 def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
     """The normal form of the replacement at the given draw."""
-    def drawn(s: Column) -> Column:
-        hexed = F.regexp_like(norm, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$"))
-        shaped = _same_shape(norm, s, hexed & (kind == "secret"))
+    # asked once, not for each character
+    hex_secret = (kind == "secret") & F.regexp_like(norm, F.lit("^(?:[0-9a-f]++|[0-9A-F]++)$"))
+
+    def drawn(s: Column, hexed: Column) -> Column:
+        shaped = _same_shape(norm, s, hexed)
         # reserved for examples: the address can't be anyone's
         email = F.concat(F.regexp_replace(shaped, r"\.[^.@]*$", ""), F.lit(".example"))
         # characters for the later draws: a space of any size gets larger than the table
         more = F.array_join(F.transform(F.slice(s, 1, F.greatest(F.lit(0), F.least(
             F.lit(12), draw - OWN_SHAPE + 1))), lambda n: F.chr(n % 26 + 97)), "")
+        digits = F.array_join(F.transform(F.slice(s, 1, F.greatest(F.lit(0), F.least(
+            F.lit(12), draw - OWN_DIGITS + 1))), lambda n: (n % 10).cast("string")), "")
         code = F.greatest(F.length(norm) - 10, F.lit(0))
         code = F.when(norm.startswith("0"), F.greatest(code, F.lit(1))).otherwise(code)
         phone = F.concat(F.substr(norm, F.lit(1), code), F.substr(shaped, code + 1))
@@ -224,24 +227,27 @@ def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
                         F.substr(shaped, F.lit(2), F.length(norm) - 2))
         ip = F.concat_ws(".", *[(s[i] % (223 if i == 0 else 256) + int(i == 0)).cast("string")
                                 for i in range(4)])
-        return (F.when(kind == "email", F.concat(more, email)).when(kind == "phone", phone)
+        ip = F.when(digits != "", F.concat(ip, F.lit(":"), digits)).otherwise(ip)
+        card = F.concat(card, digits)
+        return (F.when(kind == "email", F.concat(more, email))
+                .when(kind == "phone", F.concat(phone, digits))
                 .when(kind == "card", F.concat(card, _luhn_digit(card)))
                 .when(kind == "ip", ip)
-                .when(kind == "ssn", F.concat(F.lit("9"), F.substr(shaped, F.lit(2))))
+                .when(kind == "ssn", F.concat(F.lit("9"), F.substr(shaped, F.lit(2)), digits))
                 .when(kind == "secret", F.concat(shaped, more))
                 .otherwise(F.lower(_name(kind, s, draw))))
 
-    return let(_stream(kind, norm, draw, key), drawn)
+    return let(_stream(kind, norm, draw, key), lambda s: let(hex_secret, lambda h: drawn(s, h)))
 
 
 def written_like(kind: Column, raw: Column, new: Column) -> Column:
-    """The replacement in the format of the mention: digits in its places, names in its
-    case."""
+    """The replacement in the format of the mention: digits in its places (further ones
+    after them), names in its case."""
     def numbers() -> Column:
-        return F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(
+        return F.concat(F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(
             F.regexp_like(c, F.lit("[0-9]")),
             F.substr(new, F.length(_digits(F.substr(raw, F.lit(1), i + 1))), F.lit(1)))
-            .otherwise(c)), "")
+            .otherwise(c)), ""), F.substr(new, F.length(_digits(raw)) + 1))
 
     shouted = (F.length(raw) > 1) & (raw == F.upper(raw))
     named = F.array_join(F.transform(F.split(new, "-"), F.initcap), "-")
@@ -256,13 +262,14 @@ def assign_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     type have different replacements, and no replacement is an entity of the table.
 
     In each round the open entities draw; of those with the same draw the smallest
-    keeps it, unless an entity or an earlier round has it; the others draw again.
-    Only whether any are open reaches the driver.
+    keeps it, unless an entity or an earlier round has it; the others draw again. Later
+    draws are longer, so every entity finds one. Only whether any are open reaches the
+    driver.
     """
     every = materialize(entities.select("type", "norm").distinct(), "pii-entities")
     taken = every.select("type", F.col("norm").alias("new"))
-    open_, done = every, []
-    for draw in range(MAX_DRAWS):
+    open_, done, draw = every, [], 0
+    while True:
         drawn = materialize(open_.withColumn(
             "new", surrogate(F.col("type"), F.col("norm"), F.lit(draw), key)), "pii-draws")
         first = drawn.groupBy("type", "new").agg(F.min("norm").alias("norm"))
@@ -273,8 +280,7 @@ def assign_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         open_ = drawn.drop("new").join(kept.select("type", "norm"), ["type", "norm"], "left_anti")
         if open_.isEmpty():
             break
-    else:
-        raise ValueError(f"no free replacement after {MAX_DRAWS} draws")
+        draw += 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
@@ -320,6 +326,10 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY,
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates for personal data and secrets, and the number of
-    replaced units. An empty table gives no rows."""
+    replaced units.
+
+    Null and empty texts stay as they are; repeated rows come out alike, each with its
+    entities replaced by the same surrogates as everywhere; very long texts are whole; an
+    empty table gives no rows. Other columns of the table are not read."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return replace_pii(docs, entities="n_replaced")
