@@ -87,3 +87,15 @@ def test_repeated_rows_each_get_a_verdict(spark, doc_rows):
 
 def test_empty_table(spark, table):
     assert op7_quality_rules(spark, table([])).count() == 0
+
+
+def test_long_runs_without_letters_take_linear_time(spark, table):
+    import time
+    rows = [(1, "." * 1_000_000, "en", "s", 1), (2, "x" * 1_000_000, "en", "s", 1),
+            (3, "# " * 300_000 + "word", "en", "s", 1), (4, "-a- " * 200 + "... " * 200, "en", "s", 1)]
+    start = time.time()
+    from topicspace.llm.quality import statistics
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.n_lettered for r in statistics(docs).select("doc_id", "n_lettered").collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 200}
+    assert time.time() - start < 60

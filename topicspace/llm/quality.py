@@ -124,7 +124,8 @@ def statistics(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
         f"{prefix}n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
         f"{prefix}n_letters": F.regexp_count(t, F.lit(r"\p{L}")).cast("long"),
         f"{prefix}n_lettered": F.regexp_count(
-            t, F.lit(r"[^\p{L}\x20\x09-\x0D]*+\p{L}[^\x20\x09-\x0D]*+")).cast("long"),
+            # from the start of a word on, so that a long run without letters is read once
+            t, F.lit(r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]*+\p{L}")).cast("long"),
         f"{prefix}n_capitals": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long")})
     return df.withColumns({
         **{f"{prefix}{c}": F.col(part[0])[c] for c in ("n_words", "word_chars", "n_repeat_words")},
@@ -188,7 +189,9 @@ def judge(df: DataFrame, text: str = "text", prefix: str = "",
     The vote patterns of the documents that pass the base rules are counted over the
     whole table; there are at most 3 to the number of rules of them, and only they
     reach the driver. A document that fails a base rule is not kept, whatever its
-    posterior. A null or empty text has no words and fails.
+    posterior. A null or empty text has no words and fails; repeated rows are judged each
+    and alike; an empty table gives no rows. A column of ``df`` with the name of one that is
+    added gives way to it: choose ``prefix`` so that none does.
     """
     p = prefix
     scored = statistics(df, text, p)
@@ -220,7 +223,11 @@ def keep_documents(docs: DataFrame) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base statistics and verdict of every document."""
+    """Base statistics and verdict of every document.
+
+    A null, empty or wordless text has no words and fails the base rules; equal texts get
+    equal rows, however often they stand; very long texts are whole; an empty table gives no
+    rows. Other columns of the table are not read."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return judge(docs, carry=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
