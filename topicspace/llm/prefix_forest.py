@@ -7,12 +7,14 @@ matches and then ascends in all of them together, level by level, until enough
 candidates share its prefix in some tree; exact cosines rank them.
 
 How many candidates are enough is fitted: on a bounded sample the share of rows that
-holds the true neighbours is measured against brute force. Rows and queries are dealt
-to blocks, and every block of queries meets every block of rows once.
+holds the true neighbours is measured against brute force. Rows are dealt to blocks, and
+every query goes through the forest of every block of its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,9 +26,14 @@ TREES = 24
 BITS = 64
 SEED = 41
 NEIGHBOURS = 5
-#: Rows and queries of a block, at most on average.
+#: Rows of a block, at most on average; small tables get up to SMALL_BLOCKS blocks of
+#: SMALL_ROWS rows, so that several tasks share the work.
 BLOCK_ROWS = 1 << 17
-BLOCK_QUERIES = 1 << 15
+SMALL_BLOCKS, SMALL_ROWS = 8, 2048
+#: Queries that go through a forest together.
+QUERIES_TOGETHER = 1024
+#: Vector lengths, most frequent first, for which the candidates' share is fitted.
+FITTED_LENGTHS = 8
 #: The sample on which the candidates' share is fitted, and its queries.
 SAMPLE_ROWS, SAMPLE_QUERIES = 8192, 200
 #: Hashes that order the sample, and how many times the sample is looked through for it.
@@ -90,13 +97,19 @@ class PrefixForest:
             open_ = np.array(left, dtype=np.int64)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest component: their cosines are the
+    same to the last bit, and no square of a component overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Cosine of ``q`` with each row: sums run in one order for every row, so equal
-    vectors have equal scores."""
+    """Cosine of ``q`` with each row (both scaled): sums run in one order for every row, so
+    equal vectors have equal scores."""
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
@@ -122,96 +135,146 @@ def fit_share(sample: np.ndarray, k: int, trees: int = TREES, seed: int = SEED,
     return float(np.quantile(places, recall))
 
 
-def _vectors(table: pa.Table, name: str) -> np.ndarray:
-    column = table.column(name).combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
-
-
-def _search_cell(k: int, share: float, trees: int, seed: int):
-    """Cogroup function: the rows and the queries of one cell to the cell's best."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()),
-                        ("score", pa.float64())])
-
-    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        if not len(rows) or not len(asked):
-            return schema.empty_table()
-        ids, x = rows.column("id").to_numpy(), _vectors(rows, "vec")
-        own, q = asked.column("id").to_numpy(), _vectors(asked, "vec")
-        near = unit(x).astype(np.float32)
-        forest = PrefixForest(x, trees, seed)
-        enough = max(MIN_CANDIDATES, int(np.ceil(share * len(x))))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i, found in forest.candidates(q, enough):
-            found = found[ids[found] != own[i]]
+class Block:
+    """The rows of a block and their forest, built when the first query comes."""
+
+    def __init__(self, k: int, share: float, trees: int, seed: int):
+        self.k, self.share, self.trees, self.seed = k, share, trees, seed
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.forest: PrefixForest | None = None
+
+    def add(self, uids: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        self.parts.append((uids, ids, scaled(x)))
+
+    def search(self, uids: np.ndarray, ids: np.ndarray, q: np.ndarray) -> list[tuple]:
+        """(query row, query id, row, id, score) arrays of the best of some queries."""
+        if not self.parts:
+            return []
+        if self.forest is None:
+            self.uids, self.ids, self.x = (np.concatenate(p) for p in zip(*self.parts))
+            self.parts = self.parts[:1]
+            self.near = unit(self.x).astype(np.float32)
+            self.forest = PrefixForest(self.x, self.trees, self.seed)
+        q, k, out = scaled(q), self.k, []
+        enough = max(MIN_CANDIDATES, int(np.ceil(self.share * len(self.x))))
+        for i, found in self.forest.candidates(q, enough):
+            found = found[self.uids[found] != uids[i]]
             if len(found) > 4 * k:
-                rough = near[found] @ (q[i] / np.sqrt((q[i] * q[i]).sum())).astype(np.float32)
+                rough = self.near[found] @ (q[i] / np.sqrt((q[i] * q[i]).sum())).astype(np.float32)
                 # single precision only sorts out rows that can't be among the best
                 bound = np.partition(rough, -k)[-k] - 1e-4
                 found = found[rough >= bound]
-            score = cosines(x[found], q[i])
-            best = np.lexsort((ids[found], -score))[:k]
-            out.append((np.full(len(best), own[i]), ids[found][best], score[best]))
-        if not out:
-            return schema.empty_table()
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
+            score = cosines(self.x[found], q[i])
+            best = np.lexsort((self.uids[found], self.ids[found], -score))[:k]
+            out.append((np.full(len(best), uids[i]), np.full(len(best), ids[i]),
+                        self.uids[found][best], self.ids[found][best], score[best]))
+        return out
+
+
+FOUND = "query_row long, query_id long, row long, vec_id long, score double"
+
+
+def _search_task(k: int, shares: dict[int, float], other: float, trees: int, seed: int):
+    """Arrow function over rows sorted by (d, b, kind): of each block first its rows, then
+    the queries, which go through its forest batch by batch."""
+    names = [x.split()[0] for x in FOUND.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block = None, None
+        for batch in (x.slice(at, QUERIES_TOGETHER) for x in batches
+                      for at in range(0, x.num_rows, QUERIES_TOGETHER)):
+            if not batch.num_rows:
+                continue
+            d, b, kind, uids, ids = (batch.column(c).to_numpy() for c in ("d", "b", "kind", "uid", "id"))
+            cuts = np.flatnonzero((d[1:] != d[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(d)]):
+                if key != (d[s], b[s]):
+                    key = (d[s], b[s])
+                    block = Block(k, shares.get(int(d[s]), other), trees, seed)
+                x = batch.column("vec").slice(s, e - s).flatten().to_numpy().reshape(e - s, -1)
+                if kind[s] == 0:
+                    block.add(uids[s:e], ids[s:e], x)
+                    continue
+                out = block.search(uids[s:e], ids[s:e], x)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)],
+                                                     names=names)
 
     return run
 
 
 def usable(df: DataFrame, id_col: str, vec: str) -> DataFrame:
-    """``(id, vec)`` of the rows that take part: with an id, a vector of the table's most
-    frequent length without null or non-finite components, not all zero. Rows of one
-    id count once, with the smallest of their vectors."""
+    """``(uid, id, d, vec)`` of the rows that take part: with an id and a vector without null
+    or non-finite components, not all zero. ``uid`` tells rows apart that share an id; ``d``
+    is the vector's length."""
     v = F.col("vec")
     inf = float("inf")
     fine = (v.isNotNull() & F.col("id").isNotNull() & (F.size(v) > 0)
             & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & ~c.isin(inf, -inf))
             & F.exists(v, lambda c: c != 0))
-    rows = (df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("vec")).where(fine)
-            .groupBy("id").agg(F.min("vec").alias("vec")))
-    rows = materialize(rows, "forest-rows")
-    dims = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d"))
-    first = dims.limit(1).collect()
-    return rows.where(F.size("vec") == (first[0].d if first else 0))
+    rows = df.select(F.col(id_col).cast("long").alias("id"),
+                     F.col(vec).cast("array<double>").alias("vec")).where(fine)
+    return materialize(rows.select(F.monotonically_increasing_id().alias("uid"), "id",
+                                   F.size("vec").alias("d"), "vec"), "forest-rows")
+
+
+def fitted_shares(rows: DataFrame, k: int, trees: int, seed: int,
+                  recall: float) -> tuple[dict[int, float], float]:
+    """Shares of the candidates for the most frequent vector lengths, each fitted on a
+    bounded sample of its rows, and the one for all other lengths: all rows if those are
+    few, else the largest fitted one."""
+    order = F.xxhash64(F.lit(seed), "id", "uid")
+    place = F.pmod(order, F.lit(HASHES))
+    sizes = (rows.groupBy("d").count().orderBy(F.desc("count"), F.desc("d"))
+             .limit(FITTED_LENGTHS + 1).collect())
+    shares = {}
+    for d, n in ((r["d"], r["count"]) for r in sizes[:FITTED_LENGTHS]):
+        # a hash bound leaves a few times the sample, however many rows there are
+        some = (rows.where((F.col("d") == d) & (place < min(
+            HASHES, HASHES * SPARE * SAMPLE_ROWS // max(n, 1))))
+            .orderBy(place, "uid").limit(SAMPLE_ROWS).select("vec").collect())
+        shares[d] = fit_share(scaled(np.array([r.vec for r in some], dtype=np.float64)), k, trees,
+                              seed, recall)
+    rest = sizes[FITTED_LENGTHS]["count"] if len(sizes) > FITTED_LENGTHS else 0
+    return shares, max(shares.values()) if rest > SAMPLE_ROWS else 1.0
 
 
 def search(df: DataFrame, queries, id_col: str = "vec_id", vec: str = "embedding",
            k: int = NEIGHBOURS, trees: int = TREES, seed: int = SEED, recall: float = RECALL,
-           block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found for each row that
-    ``queries`` (a condition on the column ``id``) selects, among all other rows.
+    ``queries`` (a condition on the column ``id``) selects, among all other rows. Vectors of
+    different lengths never meet; rows that share an id are rows of their own.
 
-    Each row is hashed to one block of rows, each query to one block of queries; a
-    cell of the two is searched in one task, whose memory the block sizes bound. The
-    driver gets the sample and two counts.
+    Each row is hashed to one block of its length, whose number follows from the count of
+    rows alone. A block's forest is built once, in one task, whose memory the block's size
+    bounds; the queries stream through it. The driver gets the samples and a few counts.
     """
     rows = usable(df, id_col, vec)
-    asked = rows.where(queries(F.col("id")))
-    n, m = rows.count(), asked.count()
-    order = F.xxhash64(F.lit(seed), "id")
-    # a hash bound leaves a few times the sample, however many rows there are
-    place = F.pmod(order, F.lit(HASHES))
-    sample = (rows.where(place < min(HASHES, HASHES * SPARE * SAMPLE_ROWS // max(n, 1)))
-              .orderBy(place, "id").limit(SAMPLE_ROWS).select("vec").collect())
-    share = fit_share(np.array([r.vec for r in sample], dtype=np.float64), k, trees, seed,
-                      recall) if sample else 1.0
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-n // block_rows), min(cores, n // 1024))
-    chunks = max(1, -(-m // block_queries))
-    a = rows.select("id", "vec", F.pmod(order, F.lit(blocks)).cast("int").alias("b"),
-                    F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"))
-    b = asked.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"),
-                     F.pmod(order, F.lit(chunks)).cast("int").alias("c"))
-    found = a.groupBy("b", "c").cogroup(b.groupBy("b", "c")).applyInArrow(
-        _search_cell(k, share, trees, seed), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    shares, other = fitted_shares(rows, k, trees, seed, recall)
+    many = F.greatest(F.ceil(F.col("n") / F.lit(block_rows)),
+                      F.least(F.lit(SMALL_BLOCKS), F.ceil(F.col("n") / F.lit(SMALL_ROWS)))).cast("int")
+    sized = rows.join(rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")), "d") \
+        .withColumn("blocks", many)
+    b = F.pmod(F.xxhash64(F.lit(seed), "id", "uid"), F.col("blocks")).cast("int")
+    held = sized.select("d", b.alias("b"), F.lit(0).alias("kind"), "uid", "id", "vec")
+    asked = sized.where(queries(F.col("id"))).select(
+        "d", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.lit(1).alias("kind"),
+        "uid", "id", "vec")
+    met = (held.unionByName(asked).repartition("d", "b")
+           .sortWithinPartitions("d", "b", "kind", "uid"))
+    found = met.mapInArrow(_search_task(k, shares, other, trees, seed), FOUND)
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
 
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest found of every vector whose id is divisible by 50. Null, zero and
-    non-finite vectors take no part; an empty table gives no rows."""
+    """The five nearest found of every vector whose id is divisible by 50.
+
+    Null, zero and non-finite vectors and rows without an id take no part; vectors of
+    different lengths never meet; repeated rows are rows of their own, also as each
+    other's neighbours; ties go to the smaller id; components of any finite size are
+    measured; an empty table gives no rows. Other columns of the table are not read."""
     vectors = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return search(vectors, lambda i: i % 50 == 0)
