@@ -73,6 +73,13 @@ def _block_ids(v: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
+def _block_count(v: DataFrame) -> int:
+    """Blocks of about ``BLOCK_ROWS`` vectors, fewer for long ones."""
+    found = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("dim")).first()
+    rows = max(1, min(BLOCK_ROWS, BLOCK_VALUES // max(1, found["dim"] or 1)))
+    return max(1, math.ceil(found["n"] / rows))
+
+
 def _numpy_block_pairs(metric: str):
     import numpy as np
     import pandas as pd
@@ -138,9 +145,7 @@ def pair_distances(vectors: DataFrame, id: str = "category_id", vec: str = "vec"
         # upstream work is not redone, and count the saved copy.
         shared_dir(vectors.sparkSession)
         v = v.checkpoint(eager=True)
-        dim = max(1, vector_dim(v, "_v"))
-        rows_per_block = max(1, min(BLOCK_ROWS, BLOCK_VALUES // dim))
-        blocks = max(1, math.ceil(v.count() / rows_per_block))
+        blocks = _block_count(v)
     left, right = _block_ids(v, blocks)
     if method == "numpy":
         id_type = vectors.schema[id].dataType.simpleString()
@@ -218,6 +223,112 @@ def nearest(distances: DataFrame, k: int, a: str = "name1", b: str = "name2",
     return sym.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def _numpy_block_nearest(metric: str, k: int):
+    import numpy as np
+    import pandas as pd
+
+    def distances(a, b):
+        """Distances of paired rows."""
+        if metric == "cosine":
+            den = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+            dot = np.einsum("ij,ij->i", a, b)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                return np.where(den == 0, 1.0, 1.0 - dot / den)
+        d = np.einsum("ij,ij->i", a - b, a - b)
+        return np.sqrt(d) if metric == "euclidean" else d
+
+    def one_way(li, a, ri, b):
+        """Of each left row its k nearest right rows. The difference of two norms is at
+        most the distance: the k rows of nearest norm give a bound, and only rows whose
+        norms lie within it are compared at all."""
+        na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+        by_norm = np.argsort(nb, kind="stable")
+        nb_sorted, out = nb[by_norm], []
+        step = max(1, KERNEL_VALUES // max(1, b.shape[0] * b.shape[1]))
+        if metric == "cosine":
+            first, last = np.zeros(len(a), dtype=np.int64), np.full(len(a), len(b))
+        else:
+            width = min(len(b), k + 1)  # one of them may be the row itself
+            at = np.searchsorted(nb_sorted, na)
+            start = np.clip(at - width // 2, 0, len(b) - width)
+            near = by_norm[start[:, None] + np.arange(width)]
+            d = distances(np.repeat(a, width, axis=0), b[near.ravel()]).reshape(len(a), width)
+            d = np.where(ri[near] == li[:, None], np.inf, d)
+            bound = np.sort(d, axis=1)[:, min(k, width) - 1]
+            gap = np.sqrt(bound) if metric == "sqeuclidean" else bound
+            gap = gap * (1 + 1e-9) + 1e-9 * (1 + na)  # rounding never drops a tie
+            first = np.searchsorted(nb_sorted, na - gap, side="left")
+            last = np.searchsorted(nb_sorted, na + gap, side="right")
+        for s in range(0, len(a), step):
+            n = last[s:s + step] - first[s:s + step]
+            ii = np.repeat(np.arange(s, s + len(n)), n)
+            jj = by_norm[np.arange(len(ii)) - np.repeat(np.cumsum(n) - n, n)
+                         + np.repeat(first[s:s + step], n)]
+            other = li[ii] != ri[jj]
+            ii, jj = ii[other], jj[other]
+            part = pd.DataFrame({"a": li[ii], "b": ri[jj], "d": distances(a[ii], b[jj]), "i": ii})
+            part = part.sort_values(["i", "d", "b"], kind="stable")
+            out.append(part[part.groupby("i", sort=False).cumcount() < k][["a", "b", "d"]])
+        return pd.concat(out)
+
+    def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": [], "d": []})
+        li, ri = left["_id"].to_numpy(), right["_rid"].to_numpy()
+        a = np.stack(left["_v"].to_numpy()).astype(np.float64)
+        b = np.stack(right["_rv"].to_numpy()).astype(np.float64)
+        ways = [one_way(li, a, ri, b)]
+        if left["_bi"].iloc[0] != left["_bj"].iloc[0]:
+            ways.append(one_way(ri, b, li, a))
+        return pd.concat(ways)
+
+    return fn
+
+
+def nearest_vectors(vectors: DataFrame, k: int, id: str = "category_id", vec: str = "vec",
+                    metric: str = "sqeuclidean", id1: str = "cat1", id2: str = "cat2",
+                    out: str = "distance", rank: str = "rank") -> DataFrame:
+    """The ``k`` nearest other vectors of every vector, ranked 1..k (distance, then id),
+    without the table of all distances: every pair of blocks is one group, whose kernel
+    compares only rows that the bound of their norms leaves and gives on the k best of each
+    row. A window ranks the at most ``k`` x blocks rows of each vector."""
+    if metric not in ("sqeuclidean", "euclidean", "cosine"):
+        raise ValueError("metric must be 'sqeuclidean', 'euclidean' or 'cosine'")
+    shared_dir(vectors.sparkSession)
+    v = vectors.select(F.col(id).alias("_id"), F.col(vec).cast("array<double>").alias("_v")) \
+        .checkpoint(eager=True)
+    left, right = _block_ids(v, _block_count(v))
+    kind = vectors.schema[id].dataType.simpleString()
+    best = (left.groupBy("_bi", "_bj").cogroup(right.groupBy("_bi", "_bj"))
+            .applyInPandas(_numpy_block_nearest(metric, k), f"a {kind}, b {kind}, d double"))
+    w = Window.partitionBy("a").orderBy("d", "b")
+    return (best.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+            .select(F.col("a").alias(id1), F.col("b").alias(id2), F.col("d").alias(out), rank))
+
+
+def close_pairs(vectors: DataFrame, within: float, id: str = "category_id", vec: str = "vec",
+                bucket_length: float | None = None, tables: int = 4, seed: int = 0,
+                id1: str = "cat1", id2: str = "cat2", out: str = "distance") -> DataFrame:
+    """Pairs at a Euclidean distance of at most ``within``, by bucketed random projections:
+    rows that share a bucket of a projection are compared, so the distances are exact and
+    the pairs nearly all there (more ``tables`` find more). A bucket is by default four
+    times as wide as the projection of such a pair's difference is expected to be."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    dim = max(1, vector_dim(vectors, vec))
+    rows = vectors.select(F.col(id).alias("_id"), array_to_vector(
+        F.col(vec).cast("array<double>")).alias("_v"))
+    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", numHashTables=tables, seed=seed,
+                                      bucketLength=bucket_length or 4.0 * within / math.sqrt(dim))
+    model = lsh.fit(rows)
+    hashed = model.transform(rows)
+    # the library's bound is exclusive
+    met = model.approxSimilarityJoin(hashed, hashed, math.nextafter(within, math.inf), out)
+    return (met.where("datasetA._id < datasetB._id")
+            .select(F.col("datasetA._id").alias(id1), F.col("datasetB._id").alias(id2), out))
+
+
 def distance_matrix(distances: DataFrame, labels: Sequence[str], a: str = "name1",
                     b: str = "name2", distance: str = "distance", fill: float = 0.0,
                     row: str = "name") -> DataFrame:

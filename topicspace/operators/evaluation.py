@@ -20,16 +20,34 @@ def class_scores(rows: DataFrame, classes: DataFrame, vec: str = "vec", label: s
     """Score every row against every class vector: ``out`` is an array of
     ``struct(label, score)`` with score = -distance (higher is better).
 
-    The class vectors are a fitted model (one per class). They are folded into one
-    row by a scalar subquery, so scoring is a narrow map over the rows with no join.
-    The row carries all scores by definition; where only the rank of the true class
-    is needed, ``true_class_ranks`` takes any number of classes."""
+    At most ``BLOCK_CLASSES`` classes, a size that is counted, are folded into one row by a
+    scalar subquery, so scoring is a narrow map over the rows with no join. More classes
+    meet the rows block by block and the scores of a row are put together again: the row
+    carries all of them by definition; where only the rank of the true class is needed,
+    ``true_class_ranks`` carries none."""
     fn = metric_fn(metric)
-    folded = classes.agg(F.array_sort(F.collect_list(F.struct(
-        F.col(label).alias("label"), F.col(vec).alias("v"))))).scalar()
-    scored = F.transform(F.col("_classes"), lambda c: F.struct(
+    own = classes.select(F.col(label).alias("label"), F.col(vec).alias("v"))
+    entry = F.struct("label", "v")
+    n = own.count()
+    if n <= BLOCK_CLASSES:
+        folded = own.agg(F.array_sort(F.collect_list(entry))).scalar()
+        return (rows.withColumn("_classes", folded)
+                .withColumn(out, _scores("_classes", vec, fn)).drop("_classes"))
+    shared_dir(rows.sparkSession)
+    saved = rows.withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    n_blocks = -(-n // BLOCK_CLASSES)
+    blocks = (own.withColumn("_b", F.pmod(F.xxhash64("label"), F.lit(n_blocks)).cast("int"))
+              .groupBy("_b").agg(F.collect_list(entry).alias("_classes")))
+    spread = saved.select("_id", vec, F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_b"))
+    parts = (spread.join(bounded_broadcast(blocks), "_b")
+             .select("_id", _scores("_classes", vec, fn).alias("_s"))
+             .groupBy("_id").agg(F.array_sort(F.flatten(F.collect_list("_s"))).alias(out)))
+    return saved.join(parts, "_id").drop("_id")
+
+
+def _scores(classes: str, vec: str, fn) -> Column:
+    return F.transform(F.col(classes), lambda c: F.struct(
         c["label"].alias("label"), (-fn(F.col(vec), c["v"])).alias("score")))
-    return rows.withColumn("_classes", folded).withColumn(out, scored).drop("_classes")
 
 
 def true_class_rank(scores: str = "scores", label: str = "label") -> F.Column:

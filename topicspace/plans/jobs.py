@@ -15,6 +15,7 @@ from topicspace.operators.common import bounded_broadcast
 from topicspace.operators.labels import semi_filter
 from topicspace.operators.tfidf import tfidf_model
 from topicspace.operators.vectors import vector_dim, vector_sum
+from topicspace.session import shared_dir
 
 
 def category_tfidf_vectors(articles: DataFrame, categories: str, content: str = "content",
@@ -25,54 +26,54 @@ def category_tfidf_vectors(articles: DataFrame, categories: str, content: str =
 
     TF-IDF is TF times a per-bucket weight, so a category's mean TF-IDF vector
     is its mean TF vector times the IDF weights. The stored entries of the TF
-    vectors are summed by (category, bucket), with one more key for all articles
-    that counts the articles holding each bucket, and one more bucket that counts
-    the articles: one path for any number of buckets, whose rows are the non-zeros.
-    ``keep`` (ids in column ``category``) is applied to the articles' categories
-    before anything is summed; IDF counts all articles. The sums are checkpointed,
-    as they are read more than once; ``idf = ln((m + 1) / (df + 1))``.
+    vectors are summed by (category set, bucket), with one more bucket that counts
+    the articles: articles share their sets, so the sums are few, and one path serves any
+    number of buckets, whose rows are the non-zeros. The sums are checkpointed; from
+    them come the document frequencies of all articles, ``idf = ln((m + 1) / (df + 1))``,
+    and, once the sets are taken apart and ``keep`` (ids in column ``category``) is
+    applied, the sums of the categories. The text is read once.
     """
     from pyspark.ml.feature import HashingTF, Tokenizer
     from topicspace.functions.vectors import vector_entries
-    from topicspace.session import shared_dir
 
     if how not in ("mean", "sum"):
         raise ValueError("how must be 'mean' or 'sum'")
     nf = num_features
-    kind = articles.schema[categories].dataType.elementType
     words = Tokenizer(inputCol=content, outputCol="_words").transform(
-        articles.select(content, categories))
+        articles.select(content, _category_set(articles, categories).alias("_set")))
     tf = HashingTF(inputCol="_words", outputCol="_tfv", numFeatures=nf).transform(words)
     one = F.array(F.struct(F.lit(-1).alias("index"), F.lit(1.0).alias("value")))
     entries = F.concat(one, F.filter(vector_entries("_tfv"), lambda e: e["value"] != 0))
-    keys = F.concat(
-        F.array(F.struct(F.lit(True).alias("g"), F.lit(None).cast(kind).alias("c"))),
-        F.transform(F.array_distinct(F.coalesce(categories, F.array().cast(f"array<{kind.simpleString()}>"))),
-                    lambda c: F.struct(F.lit(False).alias("g"), c.alias("c"))))
-    keyed = tf.select(entries.alias("e"), F.explode(keys).alias("k")).select("e", "k.g", "k.c")
-    if keep is not None:
-        # one more key keeps the rows that stand for all articles
-        listed = keep.select(F.lit(False).alias("g"), F.col(category).cast("string").alias("t"))
-        every = articles.sparkSession.createDataFrame([(True, "")], "g boolean, t string")
-        keyed = keyed.withColumn("t", F.coalesce(F.col("c").cast("string"), F.lit(""))).join(
-            bounded_broadcast(listed.unionByName(every)), ["g", "t"], "left_semi")
-    rows = keyed.select("g", "c", F.explode("e").alias("e")).select("g", "c", "e.index", "e.value")
+    rows = tf.select("_set", F.explode(entries).alias("e")).select("_set", "e.index", "e.value")
     shared_dir(articles.sparkSession)
-    sums = (rows.groupBy("g", "c", "index").agg(F.sum("value").alias("s"),
-                                                F.count(F.lit(1)).alias("n"))
+    sums = (rows.groupBy("_set", "index").agg(F.sum("value").alias("s"),
+                                              F.count(F.lit(1)).alias("n"))
             .checkpoint(eager=True))
-    total = sums.where("g AND index = -1").agg(F.max("n")).scalar()
-    idf = sums.where("g AND index >= 0").select(
-        "index", F.log((total + 1.0) / (F.col("n") + 1.0)).alias("w"))
-    grid = sums.where("NOT g AND index = -1").select(
-        "c", F.col("n").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(nf - 1))).alias("index"))
-    weighted = sums.where("NOT g AND index >= 0").select("c", "index", "s").join(idf, "index") \
-        .select("c", "index", (F.col("s") * F.col("w")).alias("x"))
-    x = F.coalesce("x", F.lit(0.0))
-    cells = grid.join(weighted, ["c", "index"], "left").select(
-        "c", F.struct("index", (x / F.col("m") if how == "mean" else x).alias("x")).alias("e"))
-    return cells.groupBy("c").agg(F.array_sort(F.collect_list("e")).alias("e")).select(
-        F.col("c").alias(category), F.transform("e", lambda e: e["x"]).alias("vec"))
+    total = sums.where("index = -1").agg(F.sum("n")).scalar()
+    idf = (sums.where("index >= 0").groupBy("index").agg(F.sum("n").alias("n"))
+           .select("index", F.log((total + 1.0) / (F.col("n") + 1.0)).alias("w")))
+    own = sums.select(F.explode("_set").alias("c"), "index", "s", "n")
+    if keep is not None:
+        own = semi_filter(own, bounded_broadcast(keep.select(F.col(category).alias("c"))), "c")
+    own = own.groupBy("c", "index").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    weighted = own.where("index >= 0").join(idf, "index").select(
+        "c", "index", (F.col("s") * F.col("w")).alias("x"), F.lit(None).cast("bigint").alias("m"))
+    zeros = own.where("index = -1").select(
+        "c", F.explode(F.sequence(F.lit(0), F.lit(nf - 1))).alias("index"), F.lit(0.0).alias("x"),
+        F.col("n").alias("m"))
+    cells = weighted.unionByName(zeros).groupBy("c", "index").agg(F.sum("x").alias("x"),
+                                                                  F.max("m").alias("m"))
+    vecs = cells.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("index", "x"))).alias("e"),
+                                  F.max("m").alias("m"))
+    x = F.transform("e", lambda e: e["x"] / F.col("m") if how == "mean" else e["x"])
+    return vecs.select(F.col("c").alias(category), x.alias("vec"))
+
+
+def _category_set(articles: DataFrame, categories: str):
+    """The article's different categories in order, an empty array for null: articles of
+    the same categories have equal values."""
+    kind = articles.schema[categories].dataType.simpleString()
+    return F.array_sort(F.array_distinct(F.coalesce(F.col(categories), F.array().cast(kind))))
 
 
 def category_distance_tfidf(articles: DataFrame, membership: DataFrame | None = None,
@@ -145,11 +146,12 @@ def category_distance_embedding(articles: DataFrame, word_vectors: DataFrame,
     vector is the sum (``how='sum'``, as published) or mean of its articles.
     Output ``(name1, name2, distance)`` ascending.
 
-    A sum of sums is linear, so no article vector is built: the words of the kept
-    categories are counted by (category, word), each different one is looked up once,
-    and one weighted vector sum gives the category vectors. ``how='mean'`` divides by
-    the category's articles that hold a word with a vector; a callable ``how`` gets the
-    article vectors themselves.
+    A sum of sums is linear, so no article vector is built. With the categories on the
+    article row every text is tokenised once: words are counted by (category set, word),
+    a small table that gives the vocabulary and, once the sets are taken apart, the
+    counts by (category, word); each different word is looked up once and one weighted
+    vector sum gives the category vectors. ``how='mean'`` divides by the category's articles
+    that hold a word with a vector; a callable ``how`` gets the article vectors themselves.
 
     ``vocab_weight='article'`` counts each article once when ranking words;
     ``'membership'`` counts it once per category it belongs to (the original's
@@ -160,15 +162,20 @@ def category_distance_embedding(articles: DataFrame, word_vectors: DataFrame,
         raise ValueError("vocab_weight must be 'article' or 'membership'")
     if vocab_weight == "membership" and categories is None:
         raise ValueError("vocab_weight='membership' needs the categories column")
+    by_set = None
+    if categories is not None and not callable(how):
+        toks = TX.tokenize(articles.select(content, _category_set(articles, categories).alias("_set")),
+                           content, "tokens", "words", min_len)
+        shared_dir(articles.sparkSession)
+        by_set = (toks.select("_set", F.explode_outer("tokens").alias("word"))
+                  .where(F.col("word").isNotNull())
+                  .groupBy("_set", "word").agg(F.count(F.lit(1)).alias("_n")).checkpoint(eager=True))
     if vocab is None:
-        counted = TX.tokenize(articles.select(content, *([categories] if categories else [])),
-                              content, "tokens", "words", min_len)
-        weight = None
-        if vocab_weight == "membership":
-            counted, weight = counted.withColumn("_w", F.size(F.array_distinct(categories))), "_w"
-        vocab = TX.vocabulary(TX.word_counts(counted, "tokens", weight=weight), vocab_size,
-                              skip_top=skip_top)
+        vocab = TX.vocabulary(
+            _word_counts(articles, by_set, content, categories, vocab_weight, min_len), vocab_size,
+            skip_top=skip_top)
     dim = vector_dim(word_vectors, "vec")  # from the small vector table, not the corpus
+    kept_ids = None if keep is None else bounded_broadcast(keep.select(category))
     if categories is not None:
         # the article's categories ride along on its row: no membership join
         member = articles.select(article, content, F.explode(F.array_distinct(categories))
@@ -177,7 +184,7 @@ def category_distance_embedding(articles: DataFrame, word_vectors: DataFrame,
         member = articles.select(article, content).join(
             membership.select(article, category).distinct(), article, "inner")
     if keep is not None:
-        member = semi_filter(member, bounded_broadcast(keep.select(category)), category)
+        member = semi_filter(member, kept_ids, category)
     # read twice below; one row for each vocabulary word that has a vector
     vectors = word_vectors.join(bounded_broadcast(vocab.select("word")), "word").select("word", "vec")
     kept = TX.tokenize(member, content, "tokens", "words", min_len)
@@ -189,9 +196,15 @@ def category_distance_embedding(articles: DataFrame, word_vectors: DataFrame,
         return _named_distances(C.category_vectors(docs.select(category, "vec"), "vec",
                                                    category=category, how=how, dim=dim),
                                 names, category, metric)
-    words = (kept.select(category, F.explode_outer("tokens").alias("word"))
-             .where(F.col("word").isNotNull()))
-    counted = words.groupBy(category, "word").agg(F.count(F.lit(1)).alias("_n"))
+    if by_set is not None:
+        counted = by_set.select(F.explode("_set").alias(category), "word", "_n")
+        if keep is not None:
+            counted = semi_filter(counted, kept_ids, category)
+        counted = counted.groupBy(category, "word").agg(F.sum("_n").alias("_n"))
+    else:
+        words = (kept.select(category, F.explode_outer("tokens").alias("word"))
+                 .where(F.col("word").isNotNull()))
+        counted = words.groupBy(category, "word").agg(F.count(F.lit(1)).alias("_n"))
     cat_vecs = vector_sum(counted.join(vectors, "word"), category, "vec", dim=dim, weight="_n")
     if how == "mean":
         known = kept.select(category, article, F.explode_outer(F.array_distinct("tokens")).alias("word"))
@@ -205,6 +218,21 @@ def category_distance_embedding(articles: DataFrame, word_vectors: DataFrame,
     return _named_distances(cat_vecs, names, category, metric)
 
 
+def _word_counts(articles: DataFrame, by_set: DataFrame | None, content: str,
+                 categories: str | None, vocab_weight: str, min_len: int) -> DataFrame:
+    """Word counts of all articles, from the counts by category set where they are at hand."""
+    if by_set is not None:
+        n = F.col("_n") if vocab_weight == "article" else F.col("_n") * F.size("_set")
+        return (by_set.groupBy("word").agg(F.sum(n).cast("bigint").alias("cnt"))
+                .where(F.col("cnt") > 0))
+    cols = [content, *([categories] if categories else [])]
+    counted = TX.tokenize(articles.select(*cols), content, "tokens", "words", min_len)
+    weight = None
+    if vocab_weight == "membership":
+        counted, weight = counted.withColumn("_w", F.size(F.array_distinct(categories))), "_w"
+    return TX.word_counts(counted, "tokens", weight=weight)
+
+
 def distance_matrix(distances: DataFrame, labels: Sequence[str], fill: float = 0.0) -> DataFrame:
     """C7: the symmetric label x label matrix of named distances."""
     return C.distance_matrix(distances, labels, fill=fill)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,15 +46,51 @@ def result_path(spark: SparkSession, name: str, params: dict | None = None,
     return f"{(base or shared_dir(spark)).rstrip('/')}/{name}-{key}"
 
 
+def saved(spark: SparkSession, path: str) -> bool:
+    """Whether a whole result lies at ``path``."""
+    return _fs_exists(spark, f"{path}/_SUCCESS")
+
+
+def commit(spark: SparkSession, made: str, path: str) -> bool:
+    """Move the whole result ``made`` to ``path`` in one rename that fails if something
+    whole is there already; then ``made`` is removed and the other run's result stays. What an
+    interrupted writer left at ``path`` gives way. Returns whether ``made`` is it now."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = fs.Path(made), fs.Path(path)
+    files = target.getFileSystem(conf)
+    if files.exists(target) and not saved(spark, path):
+        files.delete(target, True)
+    if not files.exists(target):
+        files.mkdirs(target.getParent())
+        context = fs.FileContext.getFileContext(target.toUri(), conf)
+        none = spark.sparkContext._gateway.new_array(
+            getattr(spark.sparkContext._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            context.rename(context.makeQualified(source), context.makeQualified(target), none)
+            return True
+        except Exception:
+            if not saved(spark, path):
+                raise
+    files.delete(source, True)
+    return False
+
+
 def materialize(spark: SparkSession, name: str, compute: Callable[[], DataFrame],
                 params: dict | None = None, base: str | None = None,
                 text_copy: bool = False, inputs: Sequence[str] = ()) -> DataFrame:
     """Return the saved result ``name`` (keyed by a hash of ``params`` and of the files
-    at the paths ``inputs``, so changed input is computed anew) or compute, save as Parquet and return the saved copy. With ``text_copy`` a CSV
-    dump is written next to it from the saved copy (no recomputation)."""
+    at the paths ``inputs``, so changed input is computed anew) or compute, save as Parquet
+    and return the saved copy. With ``text_copy`` a CSV dump is written next to it from the
+    saved copy (no recomputation).
+
+    A result is written aside and moved to its name when it is whole. Of runs that
+    compute the same result at a time, the first to end gives it its name, and all read
+    that one."""
     path = result_path(spark, name, params, base, inputs)
-    if not _fs_exists(spark, f"{path}/_SUCCESS"):
-        compute().write.mode("overwrite").parquet(path)
-        if text_copy:
+    if not saved(spark, path):
+        made = f"{path}.{uuid.uuid4().hex}"
+        compute().write.parquet(made)
+        if commit(spark, made, path) and text_copy:
             spark.read.parquet(path).write.mode("overwrite").csv(f"{path}-txt")
     return spark.read.parquet(path)

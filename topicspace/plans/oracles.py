@@ -309,8 +309,8 @@ SELECT CAST(count(*) AS BIGINT) AS unk_count FROM toks t LEFT JOIN top v ON t.wo
         "token_index_sequence": f"""WITH {SEQ}
 SELECT doc_id AS article_id, array_to_string(l, ' ') AS seq FROM seqs""",
         "pad_or_truncate": f"""WITH {SEQ}
-SELECT doc_id AS article_id, array_to_string(list_concat(list_slice(l, 1, 50),
-  list_transform(range(greatest(50 - len(l), 0)), lambda x: 0)), ' ') AS seq FROM seqs""",
+SELECT doc_id AS article_id, array_to_string(list_concat(list_slice(l, 1, 1000),
+  list_transform(range(greatest(1000 - len(l), 0)), lambda x: 0)), ' ') AS seq FROM seqs""",
         "word_vector_lookup": f"""WITH {TRIMMED}, {EMB}
 SELECT v.word, v.idx, e.dim, e.x AS value FROM vocab v JOIN emb e ON e.vec_id = v.idx""",
         "document_vector_sum": f"""WITH {TRIMMED}, {EMB}
@@ -374,12 +374,45 @@ ids AS (SELECT replace(title, ' ', '_') AS key, max(doc_id) AS id FROM docs GROU
 SELECT ids.id AS article_id, labelled.label FROM titles JOIN ids USING (key)
 JOIN labelled ON labelled.doc_id = ids.id""",
         "vectorized_sequences": f"""WITH {SEQ}, {EMB},
-sums AS (SELECT vec_id, sum(x) AS s FROM emb GROUP BY vec_id),
-cut AS (SELECT doc_id, CAST(unnest(range(20)) AS INTEGER) AS pos,
-  unnest(list_concat(list_slice(l, 1, 20), list_transform(range(greatest(20 - len(l), 0)), lambda x: 0))) AS idx
-  FROM seqs)
-SELECT c.doc_id AS article_id, c.pos, {stable('coalesce(s.s, 0.0)')} AS value
-FROM cut c LEFT JOIN sums s ON s.vec_id = c.idx AND c.idx > 0""",
+pos AS (SELECT doc_id, unnest(list_slice(l, 1, 1000)) AS idx,
+  unnest(range(1, least(len(l), 1000) + 1)) AS w FROM seqs),
+dims AS (SELECT DISTINCT dim FROM emb),
+sums AS (SELECT p.doc_id, e.dim, sum(p.w * e.x) AS v FROM pos p JOIN emb e ON e.vec_id = p.idx
+         WHERE p.idx > 0 GROUP BY p.doc_id, e.dim)
+SELECT s.doc_id AS article_id, CAST(500500 AS BIGINT) AS weights, d.dim,
+  {stable('coalesce(t.v, 0.0)')} AS value
+FROM seqs s, dims d LEFT JOIN sums t ON t.doc_id = s.doc_id AND t.dim = d.dim""",
+        "skipgram_stream": f"""WITH {DOCS}, toks AS ({STREAM_TOKS}),
+s AS (SELECT word, row_number() OVER (ORDER BY doc_id, pos) - 1 AS pos FROM toks),
+n AS (SELECT word AS center, pos, lag(word) OVER w AS a, lead(word) OVER w AS b
+      FROM s WINDOW w AS (ORDER BY pos))
+SELECT pos, center, context FROM (
+  SELECT pos, center, a AS context FROM n UNION ALL SELECT pos, center, b FROM n)
+WHERE context IS NOT NULL""",
+        "category_geometric_median": f"""WITH RECURSIVE {EMB},
+cols AS (SELECT label, dim, list(x ORDER BY vec_id) AS col, avg(x) AS m FROM emb GROUP BY label, dim),
+start AS (SELECT label, list(col ORDER BY dim) AS cols, list(m ORDER BY dim) AS m,
+          any_value(len(col)) AS n, count(*) AS dims FROM cols GROUP BY label),
+it AS (SELECT 0 AS k, label, cols, m, n, dims FROM start
+       UNION ALL
+       SELECT k + 1, label, cols, list_transform(range(1, dims + 1),
+         lambda j: list_dot_product(w, cols[j]) / list_sum(w)), n, dims
+       FROM (SELECT k, label, cols, n, dims, list_transform(range(1, n + 1), lambda i:
+               1.0 / sqrt(list_sum(list_transform(range(1, dims + 1),
+                 lambda j: (cols[j][i] - m[j]) * (cols[j][i] - m[j]))))) AS w FROM it WHERE k < 8))
+SELECT label, CAST(unnest(range(dims)) AS INTEGER) AS dim, CAST(CAST(unnest(m) AS FLOAT) AS DOUBLE) AS value
+FROM it WHERE k = 8""",
+        "category_midrange": f"""WITH {EMB}
+SELECT label, dim, {stable('(min(x) + max(x)) / 2')} AS value FROM emb GROUP BY label, dim""",
+        "close_pairs_checked": f"""WITH {EMB}, p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM emb a JOIN emb b ON a.dim = b.dim AND a.vec_id < b.vec_id
+  GROUP BY a.vec_id, b.vec_id HAVING sqrt(sum((a.x - b.x) * (a.x - b.x))) <= 1.15)
+SELECT count(*) AS n, true AS recalled, true AS sound FROM p""",
+        "nearest_vectors": f"""WITH {EMB}, p AS (
+  SELECT a.vec_id AS id1, b.vec_id AS id2, sum((a.x - b.x) * (a.x - b.x)) AS distance
+  FROM emb a JOIN emb b ON a.dim = b.dim AND a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id1 ORDER BY distance, id2) AS INTEGER) AS rank FROM p)
+SELECT id1, id2, {stable('distance')} AS distance, rank FROM r WHERE rank <= 3""",
         "centroid_csv_roundtrip": f"""WITH {EMB}
 SELECT 'label' || label AS name, dim, {stable('avg(x)')} AS value FROM emb GROUP BY label, dim""",
         "category_files_roundtrip": f"""WITH {MEM}, {KEEP},
@@ -397,11 +430,20 @@ FROM (SELECT DISTINCT category FROM mem)""",
         "recommendation_lines_checked": f"""WITH {RATED}
 SELECT CAST((size.n - 1) * least(5, size.n - 1) AS BIGINT) AS n, true AS three_fields FROM size""",
         "classifier_predictions_checked": f"""WITH {LABELLED}
-SELECT doc_id AS article_id, label, true AS known FROM labelled WHERE {SPLIT} = 2""",
+SELECT doc_id AS article_id, label, true AS known, true AS best, true AS probable
+FROM labelled WHERE {SPLIT} = 2""",
         "classifier_topk_checked": f"""WITH {LABELLED}
-SELECT 5 AS k, count(*) AS n, true AS in_range FROM labelled WHERE {SPLIT} = 2""",
-        "learned_embeddings_checked": f"""WITH {UNK_VOCAB.replace("r <= 999", "r <= 9999")}
-SELECT word, 100 AS dim, 1.0::DOUBLE AS norm FROM vocab WHERE cnt > 0""",
+SELECT 5 AS k, count(*) AS n, true AS beats_majority, true AS loss_fell,
+  CAST(4 AS BIGINT) AS validated_epochs
+FROM labelled WHERE {SPLIT} = 2""",
+        "learned_embeddings_checked": f"""WITH {UNK_VOCAB.replace("r <= 999", "r <= 9999")},
+counts AS (SELECT d.lang, t.word, count(*) AS n FROM toks t JOIN docs d ON d.doc_id = t.doc_id
+           GROUP BY d.lang, t.word),
+own AS (SELECT word, any_value(lang) AS lang FROM counts GROUP BY word
+        HAVING count(*) = 1 AND sum(n) >= 100 AND any_value(lang) IS NOT NULL)
+SELECT own.lang, count(*) AS words, true AS grouped,
+  (SELECT count(*) FROM vocab WHERE cnt > 0) AS vocabulary, true AS "full"
+FROM own JOIN vocab v ON v.word = own.word GROUP BY own.lang HAVING count(*) >= 10""",
         "pca_centroids_checked": _explained_variance(),
         "topk_accuracy_ranks": f"""WITH {EMB},
 cen AS (SELECT label, dim, avg(x) AS v FROM emb GROUP BY label, dim),

@@ -10,6 +10,7 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicspace.operators.inner_product import top_inner_products
 from topicspace.operators.labels import lookup
 
 RATING_TRANSFORMS = {
@@ -54,22 +55,22 @@ def recommend(model: ALSModel, k: int = 5, side: str = "users_for_items",
     ``side='users_for_items'``: the k best users of every item (what the
     original code computes); ``'items_for_users'``: the k best items of every
     user (what its published file holds). ``keep`` (ids in column ``id``) keeps
-    only groups whose key is listed, and only those are scored; ``exclude_self`` drops the pair of a
+    only groups whose key is listed, and only those are scored, each against the items that
+    the bound of their norms leaves (``top_inner_products``); ``exclude_self`` drops the pair of a
     category with itself (asking for one more so k rows remain); ``names``
     replaces ids by names (unknown -> '')."""
     extra = 1 if exclude_self else 0
     if side not in ("users_for_items", "items_for_users"):
         raise ValueError("side must be 'users_for_items' or 'items_for_users'")
     key, other = ("item", "user") if side == "users_for_items" else ("user", "item")
-    if keep is None:
-        recs = (model.recommendForAllItems(k + extra) if key == "item"
-                else model.recommendForAllUsers(k + extra))
-    else:
-        subset = keep.select(F.col(id).cast("int").alias(key)).distinct()
-        recs = (model.recommendForItemSubset(subset, k + extra) if key == "item"
-                else model.recommendForUserSubset(subset, k + extra))
-    rows = recs.select(key, F.posexplode("recommendations").alias("_p", "_r")).select(
-        key, F.col(f"_r.{other}").alias(other), F.col("_r.rating").cast("double").alias("rating"), "_p")
+    factors = {"item": model.itemFactors, "user": model.userFactors}
+    asked = factors[key].select(F.col("id").alias(key), F.col("features").alias("vec"))
+    if keep is not None:
+        asked = asked.join(keep.select(F.col(id).cast("int").alias(key)).distinct(), key, "left_semi")
+    found = top_inner_products(asked, factors[other].select(F.col("id").alias(other),
+                                                            F.col("features").alias("vec")),
+                               k + extra, query=key, item=other, out="rating", rank="_p")
+    rows = found.select(key, other, F.col("rating").cast("float").cast("double").alias("rating"), "_p")
     if exclude_self:
         rows = rows.where(F.col(key) != F.col(other))
     from pyspark.sql import Window

@@ -27,7 +27,7 @@ from topicspace.operators.skipgram import skipgrams
 from topicspace.operators.vectors import (document_vectors, l2_normalize as _l2, vector_dim,
                                           vector_sum, vectorize)
 from topicspace.plans import jobs
-from topicspace.plans.materialize import materialize
+from topicspace.plans.materialize import commit, materialize, result_path, saved
 from topicspace.session import shared_dir
 from topicspace.sources import files as SF
 from topicspace.sources import tables as TB
@@ -40,7 +40,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Parameters of the registered queries.
 TRIM_SKIP, TRIM_CAP = 10, 2000          # trimmed vocabulary: drop 10 most frequent, cap 2000
 UNK_CAP = 1000                          # vocabulary with the unknown-word slot
-PAD_LEN = 50                            # fixed sequence length
+SEQUENCE_LEN = 1000                     # fixed sequence length, as the original job
 HASH_BUCKETS = 20                       # hashed term buckets, as the original job
 SPARSE_BUCKETS = 1 << 18                # Spark ML's default bucket count
 EMBED_VOCAB, EMBED_SKIP = 20000, 10     # vocabulary of the embedding distance job
@@ -48,8 +48,9 @@ SPLIT_WEIGHTS = (0.8, 0.1, 0.1)
 SAMPLE_FRACTION = 0.2
 TOP_K = 5
 NEAREST_K = 3
+MEDIAN_STEPS = 8                        # Weiszfeld steps
+CLOSE_WITHIN = 1.15                     # distance of the approximate pair join
 MATRIX_LABELS = [f"label{i}" for i in range(10)]   # columns of the wide matrix
-SEQUENCE_LEN = 20                       # length of the vectorised sequences
 
 
 def _arts(spark, sf):
@@ -212,7 +213,7 @@ def token_index_sequence(spark, sf):
 
 
 def pad_or_truncate(spark, sf):
-    return _seq_text(TX.pad(_sequences(spark, sf), "seq", PAD_LEN, side="post"))
+    return _seq_text(TX.pad(_sequences(spark, sf), "seq", SEQUENCE_LEN, side="post"))
 
 
 def word_vector_lookup(spark, sf):
@@ -320,16 +321,26 @@ def category_distance_tfidf(spark: SparkSession, sf: str) -> DataFrame:
 
 def _word_vector_file(spark, sf):
     """The vocabulary of the embedding job and a word-vector file for it, read back: the
-    word of rank r has the vector of row r modulo the number of vectors."""
-    counts = TX.word_counts(_content_tokens(spark, sf))
-    vocab = TX.vocabulary(counts, EMBED_VOCAB, skip_top=EMBED_SKIP).checkpoint(eager=True)
+    word of rank r has the vector of row r modulo the number of vectors. The file is written
+    once for its inputs."""
+    params = {"vocab": EMBED_VOCAB, "skip": EMBED_SKIP}
+    inputs = [f"{sf.rstrip('/')}/{t}.parquet" for t in ("documents", "embeddings")]
     vecs = TB.word_vectors(spark, sf)
-    named = vocab.withColumn("idx", (F.col("idx") % F.lit(vecs.count())).cast("int")) \
-        .join(vecs, "idx").select("word", "vec")
-    path = _roundtrip_dir(spark, "word-vectors")
-    write_word_vectors(named, path, mode="overwrite")
+
+    def named():
+        counts = TX.word_counts(_content_tokens(spark, sf))
+        vocab = TX.vocabulary(counts, EMBED_VOCAB, skip_top=EMBED_SKIP)
+        return (vocab.withColumn("_at", (F.col("idx") % F.lit(vecs.count())).cast("int"))
+                .join(vecs.withColumnRenamed("idx", "_at"), "_at", "left").select("word", "idx", "vec"))
+
+    vocab = materialize(spark, "embedding-vocabulary", named, params, inputs=inputs)
+    path = result_path(spark, "word-vectors", params, inputs=inputs)
+    if not saved(spark, path):
+        made = _roundtrip_dir(spark, "word-vectors")
+        write_word_vectors(vocab.where(F.col("vec").isNotNull()).select("word", "vec"), made)
+        commit(spark, made, path)
     read = SF.read_word_vectors(spark, path, vector_dim(vecs, "vec"), encoding="UTF-8")
-    return vocab, SF.last_wins(read, "word")
+    return vocab.select("word", "idx"), SF.last_wins(read, "word")
 
 
 def category_distance_embedding(spark, sf):
@@ -363,10 +374,19 @@ def distance_matrix_wide(spark, sf):
 
 
 def nearest_categories(spark, sf):
-    res = C.nearest(_named(spark, sf), NEAREST_K)
+    """The nearest other categories of each, straight from the category vectors."""
+    named = _centroids(spark, sf, "mean").join(TB.label_names(TB.labelled_vectors(spark, sf)), "label")
+    res = C.nearest_vectors(named, NEAREST_K, id="name", vec="vec", id1="name1", id2="name2")
     return res.select("name1", "name2", stable("distance").alias("distance"), "rank")
 
 
+def nearest_vectors(spark, sf):
+    """The nearest other rows of every row of the vector table."""
+    res = C.nearest_vectors(TB.labelled_vectors(spark, sf), NEAREST_K, id="vec_id", vec="vec",
+                            id1="id1", id2="id2")
+    return res.select("id1", "id2", stable("distance").alias("distance"), "rank")
+
+
 def rating_triples(spark, sf):
     """Named TF-IDF distances -> (user, item, rating) through the category
     dictionary (unknown name -> id 0)."""
@@ -473,15 +493,57 @@ def corpus_title_join(spark, sf):
 
 
 def vectorized_sequences(spark, sf):
-    """Text vectorisation: vocabulary, index sequence, padding, one vector per position
-    (zero for padding); ``value`` is the sum of the vector's elements."""
+    """Text vectorisation: vocabulary, index sequence, padding to the fixed length, one
+    vector per position (zero for padding). Of each article: its positions, and of each
+    dimension the sum of the values, each times its position, so that a value at another
+    position or dimension shows."""
     vocab, toks = _trimmed_vocab(spark, sf)
     enc = TX.encode(toks, "article_id", "tokens", vocab, oov="drop")
     seqs = TX.pad(TX.index_sequences(enc, "article_id"), "seq", SEQUENCE_LEN)
     wv = TB.word_vectors(spark, sf).where("idx > 0")  # 0 is the padding
-    vecs = vectorize(seqs, wv, vector_dim(wv, "vec"), doc="article_id")
-    total = F.aggregate("vec", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double"))
-    return vecs.select("article_id", "pos", stable(total).alias("value"))
+    dim = vector_dim(wv, "vec")
+    vecs = vectorize(seqs, wv, dim, doc="article_id")
+    placed = vecs.withColumn("_w", F.col("pos") + 1)
+    sums = vector_sum(placed, "article_id", "vec", dim=dim, weight="_w", count="w")
+    return to_long(sums, ["article_id", "w"], "vec").select(
+        "article_id", F.col("w").cast("bigint").alias("weights"), "dim",
+        stable("value").alias("value"))
+
+
+def skipgram_stream(spark, sf):
+    """Skip-gram pairs over the running word stream of all documents in doc_id order."""
+    from topicspace.operators.word_stream import stream_skipgrams
+    return stream_skipgrams(_stream_tokens(spark, sf), "article_id", "tokens", window=EMBED_WINDOW)
+
+
+def category_geometric_median(spark, sf):
+    """A reducer that is no Column aggregate: Weiszfeld steps towards the point with the
+    smallest summed distance to a label's vectors."""
+    from topicspace.operators.reducers import geometric_medians
+    vecs = geometric_medians(TB.labelled_vectors(spark, sf), "label", "vec", MEDIAN_STEPS)
+    return to_long(vecs, ["label"], "vec").select("label", "dim", stable("value").alias("value"))
+
+
+def category_midrange(spark, sf):
+    """The middle between smallest and largest value, by a mergeable reducer in one pass."""
+    from topicspace.operators.reducers import Midrange, reduce_vectors
+    vecs = reduce_vectors(TB.labelled_vectors(spark, sf), "label", "vec", Midrange())
+    return to_long(vecs, ["label"], "vec").select("label", "dim", stable("value").alias("value"))
+
+
+def close_pairs_checked(spark, sf):
+    """Pairs of vectors within a distance by bucketed random projections: how many there
+    are, whether at least 0.9 of them are found, and whether all that is found is right."""
+    vecs = TB.labelled_vectors(spark, sf)
+    found = C.close_pairs(vecs, CLOSE_WITHIN, id="vec_id", vec="vec", id1="id1", id2="id2")
+    exact = (C.pair_distances(vecs, id="vec_id", vec="vec", metric="euclidean", id1="id1", id2="id2")
+             .where(F.col("distance") <= CLOSE_WITHIN))
+    both = exact.join(found.select("id1", "id2", F.lit(1).alias("hit")).distinct(),
+                      ["id1", "id2"], "full")
+    return both.agg(F.count("distance").alias("n"),
+                    (F.count(F.when(F.col("distance").isNotNull(), F.col("hit")))
+                     >= 0.9 * F.count("distance")).alias("recalled"),
+                    (F.count_if(F.col("distance").isNull()) == 0).alias("sound"))
 
 
 def centroid_csv_roundtrip(spark, sf):
@@ -529,6 +591,11 @@ def reversed_dictionary(spark, sf):
 
 ALS_RANK, ALS_ITER, ALS_REG, SEED = 8, 6, 0.01, 0
 EMBED_DIM, EMBED_WINDOW, LEARN_VOCAB = 100, 1, 10000
+EMBED_STEPS, EMBED_EPOCHS = 8, 1        # shares of the pairs, times through them
+EMBED_RATE, EMBED_SPREAD = 0.2, 0.02    # for a few large steps
+OWN_WORD_COUNT, GROUP_WORDS = 100, 10   # checked: words that occur so often, so many of a language
+CONV_LAYERS = {"channels": 32, "hidden": 64}
+CONV_EPOCHS, CONV_BATCHES, CONV_RATE = 4, 8, 0.03
 
 
 def _recommendations(spark, sf, side):
@@ -560,30 +627,52 @@ def _labelled_content(spark, sf):
 
 
 def _trained(spark, sf):
-    from topicspace.plans import classify as K
-    path = f"{shared_dir(spark)}/classifier-{uuid.uuid4().hex}"
-    model, parts = K.train_classifier(_labelled_content(spark, sf), weights=SPLIT_WEIGHTS,
-                                      model_path=path)
-    return K, path, parts
+    """The convolutional classifier on word-vector sequences, trained once for its inputs,
+    and the test part of the labelled articles."""
+    from topicspace.operators.sampling import split_parts
+    from topicspace.plans import sequence_classifier as K
+    params = {"layers": CONV_LAYERS, "epochs": CONV_EPOCHS, "batches": CONV_BATCHES,
+              "rate": CONV_RATE, "seed": SEED}
+    inputs = [f"{sf.rstrip('/')}/{t}.parquet" for t in ("documents", "embeddings")]
+    vocab = materialize(spark, "classifier-vocabulary", lambda: _trimmed_vocab(spark, sf)[0], params,
+                        inputs=inputs)
+    wv = TB.word_vectors(spark, sf)
+    vectors = K.vector_table(wv, vocab, vector_dim(wv, "vec"))
+    sequences = K.Sequences(vocab, vectors, SEQUENCE_LEN)
+    docs = _labelled_content(spark, sf)
+    path = result_path(spark, "classifier", params, inputs=inputs)
+    classes = len(TB.FILTER_CATEGORIES)
+    trained = K.train(docs, sequences, classes, path, weights=SPLIT_WEIGHTS, epochs=CONV_EPOCHS,
+                      batches=CONV_BATCHES, rate=CONV_RATE, top_k=TOP_K, seed=SEED, **CONV_LAYERS)
+    model = K.load(spark, path, sequences, classes, **CONV_LAYERS)
+    model.history = trained.history
+    return model, split_parts(docs, "article_id", SPLIT_WEIGHTS)
 
 
 def classifier_predictions(spark, sf):
-    K, path, parts = _trained(spark, sf)
-    from topicspace.sources.writers import load_model
-    return K.predict(load_model(path), parts[2]).select("article_id", "label", "prediction")
+    """Classes that the saved model predicts for the test part."""
+    model, parts = _trained(spark, sf)
+    return model.predict(parts[2]).select("article_id", "label", "prediction")
 
 
 def classifier_topk(spark, sf):
-    K, path, parts = _trained(spark, sf)
-    return K.evaluate_saved(path, parts[2], TOP_K)
+    """Top-k accuracy of the saved model on the test part."""
+    from topicspace.plans.classify import evaluate_topk
+    model, parts = _trained(spark, sf)
+    return evaluate_topk(model.predict(parts[2]), TOP_K)
 
 
-def learned_embeddings(spark, sf):
-    from topicspace.plans.embed import learn_embeddings
+def _learned(spark, sf):
+    from topicspace.plans.skipgram_model import learn_skipgram
     docs = TB.table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), "text")
-    vecs = learn_embeddings(docs, vocab_size=LEARN_VOCAB, dim=EMBED_DIM, window=EMBED_WINDOW,
-                            seed=SEED)
-    return word_vector_lines(vecs, "word", "vec", out="line")
+    return learn_skipgram(docs, vocab_size=LEARN_VOCAB, dim=EMBED_DIM, window=EMBED_WINDOW,
+                          steps=EMBED_STEPS, epochs=EMBED_EPOCHS, rate=EMBED_RATE,
+                          spread=EMBED_SPREAD, seed=SEED)
+
+
+def learned_embeddings(spark, sf):
+    """Skip-gram embeddings (sampled softmax, Adagrad), normalised, as text lines."""
+    return word_vector_lines(_l2(_learned(spark, sf), "vec"), "word", "vec", out="line")
 
 
 def pca_centroids(spark, sf):
@@ -625,26 +714,63 @@ def recommendation_lines_checked(spark, sf):
 
 
 def classifier_predictions_checked(spark, sf):
-    """Whether the predicted class of each test row is one of the labels."""
+    """Of each test row: whether the predicted class is one of the labels and the best
+    scored, and whether the scores are probabilities."""
     known = [float(i + 1) for i in range(len(TB.FILTER_CATEGORIES))]
-    return classifier_predictions(spark, sf).select(
+    model, parts = _trained(spark, sf)
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x["score"])
+    best = F.aggregate("scores", F.lit(0.0), lambda a, x: F.greatest(a, x["score"]))
+    own = F.filter("scores", lambda x: x["label"] == F.col("prediction"))[0]["score"]
+    return model.predict(parts[2]).select(
         "article_id", F.col("label").cast("int").alias("label"),
-        F.col("prediction").isin(known).alias("known"))
+        F.col("prediction").isin(known).alias("known"), (own == best).alias("best"),
+        (F.abs(total - 1) < 1e-4).alias("probable"))
 
 
 def classifier_topk_checked(spark, sf):
-    return classifier_topk(spark, sf).select(
-        "k", "n", F.col("accuracy").between(0.0, 1.0).alias("in_range"))
+    """What a classifier must reach on the test part: a better top-k accuracy than naming
+    the k most frequent labels of the training part for every row. And whether each epoch
+    was validated, and the loss fell from the first to the last."""
+    from topicspace.plans.classify import evaluate_topk
+    model, parts = _trained(spark, sf)
+    frequent = [r.label for r in parts[0].groupBy("label").count().orderBy(
+        F.desc("count"), "label").limit(TOP_K).collect()]
+    named = parts[2].agg(F.avg(F.col("label").isin(frequent).cast("double"))).first()[0]
+    epochs = model.history
+    fell = epochs[-1]["loss"] < epochs[0]["loss"]
+    return evaluate_topk(model.predict(parts[2]), TOP_K).select(
+        "k", "n", (F.col("accuracy") > F.lit(named)).alias("beats_majority"),
+        F.lit(fell).alias("loss_fell"),
+        F.lit(sum(1 for e in epochs if e["n"])).cast("bigint").alias("validated_epochs"))
 
 
 def learned_embeddings_checked(spark, sf):
-    """Words of the learned vectors, their lengths and norms."""
-    from topicspace.functions.vectors import norm
-    from topicspace.plans.embed import learn_embeddings
-    docs = TB.table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), "text")
-    vecs = learn_embeddings(docs, vocab_size=LEARN_VOCAB, dim=EMBED_DIM, window=EMBED_WINDOW,
-                            seed=SEED)
-    return vecs.select("word", F.size("vec").alias("dim"), F.round(norm("vec"), 6).alias("norm"))
+    """What embeddings must show: every vocabulary word has a vector of the asked length,
+    and words that stand in the texts of one language only have their nearest neighbours
+    among that language's words (the planted groups). One row for each language with
+    enough such words."""
+    vecs = _learned(spark, sf).checkpoint(eager=True)
+    docs = TB.table(spark, sf, "documents").select("lang", "text")
+    toks = TX.tokenize(docs, "text", "tokens", "stream").select(
+        "lang", F.explode("tokens").alias("word"))
+    counts = toks.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    own = counts.groupBy("word").agg(F.max(F.struct("n", "lang")).alias("top"), F.sum("n").alias("all"),
+                                     F.count(F.lit(1)).alias("langs"))
+    group = own.where((F.col("langs") == 1) & (F.col("all") >= OWN_WORD_COUNT)
+                      & F.col("top.lang").isNotNull()).select("word", F.col("top.lang").alias("lang"))
+    # (a group's words are fewer than the vocabulary)
+    words = vecs.join(group, "word").checkpoint(eager=True)
+    near = C.nearest_vectors(words, 1, id="word", vec="vec", metric="cosine", id1="word", id2="other")
+    pairs = near.join(group, "word").join(
+        group.select(F.col("word").alias("other"), F.col("lang").alias("other_lang")), "other")
+    agree = pairs.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("words"),
+        (F.avg((F.col("lang") == F.col("other_lang")).cast("double")) >= 0.9).alias("grouped")) \
+        .where(F.col("words") >= GROUP_WORDS)
+    whole = vecs.agg(F.count(F.lit(1)).alias("vocabulary"),
+                     F.bool_and((F.size("vec") == EMBED_DIM) & F.forall("vec", lambda x: ~F.isnan(x)))
+                     .alias("full"))
+    return agree.join(whole)
 
 
 def pca_centroids_checked(spark, sf):
@@ -718,6 +844,11 @@ def queries() -> dict[str, Query]:
         "category_files_roundtrip": category_files_roundtrip,
         "distance_csv_roundtrip": distance_csv_roundtrip,
         "reversed_dictionary": reversed_dictionary,
+        "nearest_vectors": nearest_vectors,
+        "skipgram_stream": skipgram_stream,
+        "category_geometric_median": category_geometric_median,
+        "category_midrange": category_midrange,
+        "close_pairs_checked": close_pairs_checked,
         "recommend_users_for_items_checked": recommend_users_for_items_checked,
         "recommend_items_for_users_checked": recommend_items_for_users_checked,
         "recommendation_lines_checked": recommendation_lines_checked,
