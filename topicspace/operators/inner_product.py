@@ -45,7 +45,9 @@ def _kernel(k: int):
 
 def _scored(queries: DataFrame, items: DataFrame, k: int, kinds: str) -> DataFrame:
     """The best ``k`` of each (query, item block): both sides carry (qb, ib)."""
-    return (queries.groupBy("qb", "ib").cogroup(items.groupBy("qb", "ib"))
+    # own names for the right side: both may come from the same rows
+    right = items.select(F.col("qb").alias("_qb"), F.col("ib").alias("_ib"), "_item", "_v")
+    return (queries.groupBy("qb", "ib").cogroup(right.groupBy("_qb", "_ib"))
             .applyInPandas(_kernel(k), kinds))
 
 
@@ -64,7 +66,7 @@ def top_inner_products(queries: DataFrame, items: DataFrame, k: int, query: str
         .drop("_at").checkpoint(eager=True)
     # the largest norm of each block, falling: one number for 1024 items
     tops = by_norm.groupBy("ib").agg(F.max("_n").alias("n")).agg(
-        F.sort_array(F.collect_list("n"), asc=False))
+        F.sort_array(F.collect_list("n"), asc=False).alias("_tops"))
     n_blocks = by_norm.select("ib").distinct().count()
     asked = queries.select(F.col(query).alias("_query"), v.alias("_v"), norm(vec).alias("_n"))
     n_queries = max(1, math.ceil(asked.count() / block_queries))
@@ -86,7 +88,9 @@ def top_inner_products(queries: DataFrame, items: DataFrame, k: int, query: str
         least = F.when((F.col("_kth") > 0) & (F.col("_n") > 0),
                        F.col("_kth") / (F.col("_n") * (1 + 1e-9))).otherwise(F.lit(-math.inf))
         reached = (asked.join(kth, "_query", "left").groupBy("qb").agg(F.min(least).alias("least"))
-                   .withColumn("m", F.size(F.filter(tops.scalar(), lambda t: t >= F.col("least")))))
+                   .withColumn("_one", F.lit(1))
+                   .join(tops.withColumn("_one", F.lit(1)), "_one")  # a single row
+                   .withColumn("m", F.size(F.filter("_tops", lambda t: t >= F.col("least")))))
         meets = (reached.where("m > 1").select("qb", F.explode(F.sequence(F.lit(1), F.col("m") - 1))
                                                .alias("ib")).checkpoint(eager=True))
         rest = _scored(asked.join(meets, "qb").select("qb", "ib", "_query", "_v"),
