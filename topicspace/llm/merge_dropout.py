@@ -21,6 +21,7 @@ import sys
 import zlib
 from array import array
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ MODEL = "piece_bpe_32k.model"
 RATE = 0.1
 SEED = 31
 #: Nodes of the words' trees that a task keeps between batches.
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 150_000
 #: Longest word that has a tree; a longer one runs its agenda as a heap.
 WIDE = 64
 #: A place without a symbol.
@@ -54,7 +55,7 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Cells of the matrices in which segments of one length are merged together.
 MATRIX_CELLS = 1 << 17
 #: Segments gathered from texts before the cache is asked.
-SEGMENTS_TOGETHER = 200_000
+SEGMENTS_TOGETHER = 100_000
 
 
 class Pieces:
@@ -127,9 +128,10 @@ class Pieces:
             open_ = open_[(found[open_] != keys[open_]) & (found[open_] != -1)]
         return np.where(found == keys, at, -1)
 
-    def simulate(self, words: list[str], skips: list[tuple[int, ...]]):
+    def simulate(self, words: list[str], skips: list[tuple[int, ...]] | None,
+                 keys: np.ndarray | None = None, bound: np.uint64 = np.uint64(0)):
         """Run the agendas of some words together, each with its own candidates skipped
-        (by code: place << 32 | piece). In each round the best candidate of every word (best
+        (by code: place << 32 | piece), or those whose draw is below ``bound``. In each round the best candidate of every word (best
         score, then leftmost) leaves its agenda, and is skipped or merged; merged symbols
         are a linked list over the places, so nothing is moved.
 
@@ -149,17 +151,19 @@ class Pieces:
         joined[:, :-1] = self.merged(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(n, -1)
         agenda = np.where(joined >= 0, self.rank[joined], none)
         standing = inside.copy()
-        most = max(map(len, skips))
-        forced = np.full((n, most), -1, dtype=np.int64)
-        for i, own in enumerate(skips):
-            forced[i, :len(own)] = own
-        last = np.array([own[-1] if own else -1 for own in skips], dtype=np.int64)
-        free = last < 0  # the last skipped candidate has been met
+        most = max(map(len, skips)) if skips else 0
+        if most:
+            forced = np.full((n, most), -1, dtype=np.int64)
+            for i, own in enumerate(skips):
+                forced[i, :len(own)] = own
+            last = np.array([own[-1] if own else -1 for own in skips], dtype=np.int64)
+            free = last < 0  # the last skipped candidate has been met
         rows, taken_rows, taken = np.arange(n), [], []
         while len(rows):
-            best = agenda[rows].argmin(axis=1)
+            best = (agenda if len(rows) == n else agenda[rows]).argmin(axis=1)
             live = agenda[rows, best] != none
-            rows, best = rows[live], best[live]
+            if not live.all():
+                rows, best = rows[live], best[live]
             piece = joined[rows, best]
             code = best.astype(np.int64) << 32 | piece
             agenda[rows, best] = none
@@ -170,6 +174,9 @@ class Pieces:
                 taken_rows.append(rows[new])
                 taken.append(code[new])
                 r, at, piece = rows[~drop], best[~drop], piece[~drop]
+            elif keys is not None:
+                keep = draws(keys[rows], code) >= bound
+                r, at, piece = rows[keep], best[keep], piece[keep]
             else:
                 taken_rows.append(rows)
                 taken.append(code)
@@ -189,6 +196,8 @@ class Pieces:
                 joined[r, place] = pair
                 agenda[r, place] = np.where(pair >= 0, self.rank[pair], none)
         flat, lengths = self.bytes_of(symbols[standing], standing.sum(axis=1))
+        if keys is not None:
+            return (flat, lengths), None
         where = np.concatenate(taken_rows)
         order = np.argsort(where, kind="stable")
         return (flat, lengths), (np.concatenate(taken)[order], np.bincount(where, minlength=n))
@@ -302,6 +311,16 @@ class Ragged:
         return self.values[self.starts[rows][owner] + within], owner, within
 
 
+def alike(words: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of words that come by length: of like length, and not too many."""
+    at = 0
+    while at < len(words):
+        width = -(-len(words[at]) // 4) * 4
+        stop = min(bisect_right(words, width, at, key=len), at + max(1, MATRIX_CELLS // max(1, width)))
+        yield at, stop
+        at = stop
+
+
 class Encoder:
     """Encodes and decodes whole texts.
 
@@ -325,55 +344,29 @@ class Encoder:
 
     def _clear(self) -> None:
         self.roots: dict[str, int] = {}
-        self.warm: set[str] = set()         # words met in more than one batch
         self.children: dict[int, int] = {}  # node << 32 | candidate -> node
         self.words: list[str] = []          # of each node
         self.skips: list[tuple[int, ...]] = []
         self.ids, self.path = Ragged(np.int32), Ragged(np.int64)
         self.chars = np.zeros(0, dtype=np.uint64)  # of each root, by node
 
-    def _shrink(self) -> None:
-        """Keep the nodes of the words that were met again, and forget the others."""
-        keep = {self.roots[w] for w in self.warm}
-        if 2 * len(keep) > CACHE_SEGMENTS:
-            return self._clear()
-        edges = sorted(self.children.items(), key=lambda x: x[1])  # parents come first
-        for edge, child in edges:
-            if edge >> 32 in keep:
-                keep.add(child)
-        kept = np.array(sorted(keep), dtype=np.int64)
-        place = {old: new for new, old in enumerate(kept.tolist())}
-        before = (self.roots, self.words, self.skips, self.ids, self.path, self.chars, self.warm)
-        self._clear()
-        roots, words, skips, ids, path, chars, warm = before
-        self.roots = {w: place[roots[w]] for w in warm}
-        self.children = {place[e >> 32] << 32 | e & 0xFFFFFFFF: place[c] for e, c in edges if c in place}
-        self.words, self.skips = [words[i] for i in place], [skips[i] for i in place]
-        for new, old in ((self.ids, ids), (self.path, path)):
-            new.add(old.take(kept)[0], old.lengths[kept])
-        self.chars = chars[np.minimum(kept, len(chars) - 1)]
-
     def _grow(self, words: list[str], skips: list[tuple[int, ...]]) -> int:
         """Add a node for each of some words, which come by length, with its skipped
-        candidates; gives the first one's number. Words of like length run together."""
+        candidates; gives the first one's number."""
         first = len(self.words)
         self.words += words
         self.skips += skips
-        at = 0
-        while at < len(words):
-            width = 1 << max(2, (len(words[at]) - 1).bit_length())
-            stop = min(bisect_right(words, width, at, key=len), at + max(1, MATRIX_CELLS // width))
-            ids, path = self.pieces.simulate(words[at:stop], skips[at:stop])
+        for start, stop in alike(words):
+            ids, path = self.pieces.simulate(words[start:stop], skips[start:stop])
             self.ids.add(*ids)
             self.path.add(*path)
-            at = stop
         return first
 
     def _root_nodes(self, words: list[str]) -> np.ndarray:
-        """The root of each word, -1 for words that are too long for the tree."""
-        different = set(words)
-        new = sorted((w for w in different.difference(self.roots) if len(w) <= WIDE), key=len)
-        self.warm.update(different.intersection(self.roots))
+        """The root of each word. Words that are new and stand once have none, nor have
+        words that are too long for the tree: -1."""
+        new = sorted((w for w, n in Counter(words).items()
+                      if n > 1 and w not in self.roots and len(w) <= WIDE), key=len)
         if new:
             first = self._grow(new, [()] * len(new))
             self.roots.update(zip(new, range(first, first + len(new))))
@@ -424,23 +417,28 @@ class Encoder:
         """Pieces of some words end to end, and how many each has. ``keys`` are the words'
         places' keys."""
         if len(self.words) > CACHE_SEGMENTS:
-            self._shrink()
+            self._clear()
         node = self._root_nodes(words)
-        long = np.flatnonzero(node < 0).tolist()
+        known = node >= 0
         own = keys.copy()
-        short = node >= 0
-        own[short] = _mix(own[short] ^ self.chars[node[short]])
+        own[known] = _mix(own[known] ^ self.chars[node[known]])
+        alone = sorted(np.flatnonzero(~known).tolist(), key=lambda i: len(words[i]))
+        own[alone] = _mix(own[alone] ^ np.array([char_hash(words[i]) for i in alone], np.uint64))
         node = self._leaves(node, own)
-        for i in long:
-            key = int(_mix(keys[i:i + 1] ^ np.uint64(char_hash(words[i])))[0])
-            found = self.pieces.heap_segment(words[i], key, self.bound)
-            # a node of its own, found by nothing else
-            node[i] = len(self.words)
-            self.words.append("")
-            self.skips.append(())
+        # the words without a tree run their own agendas; their rows stay for this call only
+        rows, used = self.ids.rows, self.ids.used
+        node[alone] = np.arange(rows, rows + len(alone))
+        texts = [words[i] for i in alone]
+        short = bisect_right(texts, WIDE, key=len)
+        for start, stop in alike(texts[:short]):
+            self.ids.add(*self.pieces.simulate(texts[start:stop], None, own[alone[start:stop]],
+                                               np.uint64(self.bound))[0])
+        for text, i in zip(texts[short:], alone[short:]):
+            found = self.pieces.heap_segment(text, int(own[i]), self.bound)
             self.ids.add(found, np.array([len(found)]))
-            self.path.add(found[:0], np.array([0]))
-        return self.ids.take(node)[0], self.ids.lengths[node]
+        taken = self.ids.take(node)[0], self.ids.lengths[node]
+        self.ids.rows, self.ids.used = rows, used
+        return taken
 
     def encode_batch(self, texts: list[str | None], documents: list[int]) -> list[np.ndarray]:
         """Piece ids of each text; ``documents`` are the keys of the texts."""
