@@ -19,6 +19,7 @@ from topicspace.session import shared_dir
 # Rows of an item block and of a query block.
 BLOCK_ITEMS = 1024
 BLOCK_QUERIES = 1024
+MAX_BLOCKS = 1 << 14
 
 
 def _kernel(k: int):
@@ -62,12 +63,12 @@ def top_inner_products(queries: DataFrame, items: DataFrame, k: int, query: str
     v = F.col(vec).cast("array<double>")
     placed = dense_labels(items.select(F.col(item).alias("_item"), v.alias("_v"), norm(vec).alias("_n")),
                           [F.col("_n").desc(), F.col("_item")], out="_at", start=0)
-    by_norm = placed.withColumn("ib", F.floor(F.col("_at") / block_items).cast("int")) \
+    # at most MAX_BLOCKS of them, so that one number for each is a small list
+    size = max(block_items, -(-placed.count() // MAX_BLOCKS))
+    by_norm = placed.withColumn("ib", F.floor(F.col("_at") / size).cast("int")) \
         .drop("_at").checkpoint(eager=True)
-    # the largest norm of each block, falling: one number for 1024 items
-    tops = by_norm.groupBy("ib").agg(F.max("_n").alias("n")).agg(
-        F.sort_array(F.collect_list("n"), asc=False).alias("_tops"))
-    n_blocks = by_norm.select("ib").distinct().count()
+    # the largest norm of each block, falling
+    tops = [r.n for r in by_norm.groupBy("ib").agg(F.max("_n").alias("n")).orderBy("ib").collect()]
     asked = queries.select(F.col(query).alias("_query"), v.alias("_v"), norm(vec).alias("_n"))
     n_queries = max(1, math.ceil(asked.count() / block_queries))
     asked = asked.withColumn("qb", F.pmod(F.xxhash64("_query"), F.lit(n_queries)).cast("int")) \
@@ -79,7 +80,7 @@ def top_inner_products(queries: DataFrame, items: DataFrame, k: int, query: str
     first = _scored(asked.select("qb", F.lit(0).alias("ib"), "_query", "_v"),
                     by_norm.where("ib = 0").select(everyone.alias("qb"), "ib", "_item", "_v"),
                     k, kinds)
-    if n_blocks > 1:
+    if len(tops) > 1:
         first = first.checkpoint(eager=True)
         kth = (first.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s"))
                .select(F.col("q").alias("_query"), F.when(F.col("n") >= k, F.col("s")).alias("_kth")))
@@ -88,9 +89,7 @@ def top_inner_products(queries: DataFrame, items: DataFrame, k: int, query: str
         least = F.when((F.col("_kth") > 0) & (F.col("_n") > 0),
                        F.col("_kth") / (F.col("_n") * (1 + 1e-9))).otherwise(F.lit(-math.inf))
         reached = (asked.join(kth, "_query", "left").groupBy("qb").agg(F.min(least).alias("least"))
-                   .withColumn("_one", F.lit(1))
-                   .join(tops.withColumn("_one", F.lit(1)), "_one")  # a single row
-                   .withColumn("m", F.size(F.filter("_tops", lambda t: t >= F.col("least")))))
+                   .withColumn("m", F.size(F.filter(F.lit(tops), lambda t: t >= F.col("least")))))
         meets = (reached.where("m > 1").select("qb", F.explode(F.sequence(F.lit(1), F.col("m") - 1))
                                                .alias("ib")).checkpoint(eager=True))
         rest = _scored(asked.join(meets, "qb").select("qb", "ib", "_query", "_v"),

@@ -402,6 +402,15 @@ it AS (SELECT 0 AS k, label, cols, m, n, dims FROM start
                  lambda j: (cols[j][i] - m[j]) * (cols[j][i] - m[j]))))) AS w FROM it WHERE k < 8))
 SELECT label, CAST(unnest(range(dims)) AS INTEGER) AS dim, CAST(CAST(unnest(m) AS FLOAT) AS DOUBLE) AS value
 FROM it WHERE k = 8""",
+        "rejected_membership_lines": """WITH l AS (SELECT doc_id, text FROM documents)
+SELECT 'read' AS kind, CAST(doc_id AS VARCHAR) AS line FROM l
+WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND text IS NOT NULL
+UNION ALL
+SELECT 'rejected', concat_ws(' ', doc_id, CASE WHEN doc_id % 3 = 0 THEN 'x' END,
+  CASE WHEN doc_id % 5 = 0 THEN '1.5' END, length(text)) FROM l
+WHERE doc_id % 3 = 0 OR doc_id % 5 = 0""",
+        "single_file_output": f"""WITH {MEM}
+SELECT category, count(*) AS n, CAST(1 AS INTEGER) AS files FROM mem GROUP BY category""",
         "category_midrange": f"""WITH {EMB}
 SELECT label, dim, {stable('(min(x) + max(x)) / 2')} AS value FROM emb GROUP BY label, dim""",
         "close_pairs_checked": f"""WITH {EMB}, p AS (

@@ -571,6 +571,32 @@ def category_files_roundtrip(spark, sf):
                          SF.read_category_filter(spark, listed), "category_id")
 
 
+def rejected_membership_lines(spark, sf):
+    """Membership lines of which some hold no ids: the lines that are read and those that
+    are rejected, by kind."""
+    path = _roundtrip_dir(spark, "membership-lines")
+    lines = TB.table(spark, sf, "documents").select(F.concat_ws(
+        " ", F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, F.lit("x")),
+        F.when(F.col("doc_id") % 5 == 0, F.lit("1.5")),
+        F.length("text").cast("string")).alias("l"))
+    write_text(lines, "l", path)
+    read = SF.read_membership(spark, path, bad_lines="drop").select(
+        F.lit("read").alias("kind"), F.col("article_id").cast("string").alias("line"))
+    bad = SF.rejected_lines(spark, path, "membership").select(
+        F.lit("rejected").alias("kind"), F.col("value").alias("line"))
+    return read.unionByName(bad)
+
+
+def single_file_output(spark, sf):
+    """Category counts written as one file and read back, with the number of files."""
+    path = _roundtrip_dir(spark, "single")
+    counts = TB.membership(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    write_csv(counts, path, single_file=True)
+    back = spark.read.schema("category string, n bigint").csv(path)
+    files = len(set(back.select(F.input_file_name().alias("f")).distinct().toPandas()["f"]))
+    return back.withColumn("files", F.lit(files).cast("int"))
+
+
 def distance_csv_roundtrip(spark, sf):
     """Named distances written as CSV, read back, with their place by the first name."""
     path = _roundtrip_dir(spark, "distances")
@@ -767,10 +793,10 @@ def learned_embeddings_checked(spark, sf):
         F.count(F.lit(1)).alias("words"),
         (F.avg((F.col("lang") == F.col("other_lang")).cast("double")) >= 0.9).alias("grouped")) \
         .where(F.col("words") >= GROUP_WORDS)
-    whole = vecs.agg(F.count(F.lit(1)).alias("vocabulary"),
-                     F.bool_and((F.size("vec") == EMBED_DIM) & F.forall("vec", lambda x: ~F.isnan(x)))
-                     .alias("full"))
-    return agree.join(whole)
+    whole = vecs.agg(F.count(F.lit(1)).alias("n"), F.bool_and(
+        (F.size("vec") == EMBED_DIM) & F.forall("vec", lambda x: ~F.isnan(x))).alias("full")).first()
+    return agree.withColumns({"vocabulary": F.lit(whole.n).cast("bigint"),
+                              "full": F.lit(bool(whole.full))})
 
 
 def pca_centroids_checked(spark, sf):
@@ -844,6 +870,8 @@ def queries() -> dict[str, Query]:
         "category_files_roundtrip": category_files_roundtrip,
         "distance_csv_roundtrip": distance_csv_roundtrip,
         "reversed_dictionary": reversed_dictionary,
+        "rejected_membership_lines": rejected_membership_lines,
+        "single_file_output": single_file_output,
         "nearest_vectors": nearest_vectors,
         "skipgram_stream": skipgram_stream,
         "category_geometric_median": category_geometric_median,
