@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns what it keeps; ``run``
 writes each result as Parquet below the shared folder and gives it to the next
-stage. All stages but the last return the columns of documents.
+stage. All stages but the last return the columns of documents; an empty table gives
+empty results all the way.
 """
 
 from __future__ import annotations
@@ -18,27 +19,32 @@ from topicspace.llm.simhash import deduplicate
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the label model accept."""
+    """Documents that the base rules and the label model accept. Null, empty and wordless
+    texts go; repeated rows are judged each and alike; very long texts are judged whole."""
     return keep_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
+    """One document of each SimHash component: the smallest id (null last), one of several
+    such rows. Null and wordless texts are one component."""
     return deduplicate(docs)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets replaced in every text."""
+    """Personal data and secrets replaced in every text; null and empty texts stay as they
+    are, and all other columns stay."""
     return replace_pii(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the mix takes them; one that it takes twice comes twice."""
+    """The documents as the mix takes them; one that it takes twice comes twice. A null source
+    is a source of its own; a document without words has size 0."""
     return mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text as the piece ids of a seeded merge-dropout segmentation."""
+    """Every text as the piece ids of a seeded merge-dropout segmentation; a null text has
+    null ids and an empty one none."""
     return encode_documents(docs)
 
 
@@ -51,7 +57,7 @@ STAGES = [
 ]
 
 #: Several stages (XXH64 fingerprints, seeded order, tokenizer) have no equivalent
-#: in SQL; tests/llm compares the run with a brute-force version.
+#: in SQL; tests/llm compares the stages with the operators that they call.
 ORACLE_SQL = None
 
 
