@@ -200,3 +200,58 @@ def test_leftovers_give_way(spark, tmp_path):
     spark.range(3).write.parquet(path)
     (tmp_path / path.rsplit("/", 1)[1] / "_SUCCESS").unlink()
     assert M.materialize(spark, "left", lambda: spark.range(7), {}, str(tmp_path)).count() == 7
+
+
+def test_blocks_grow_instead_of_their_number(spark, monkeypatch):
+    """What is shuffled is the rows times the blocks, so their number has a bound."""
+    monkeypatch.setattr(C, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(C, "MAX_BLOCKS", 3)
+    monkeypatch.setattr(C, "KERNEL_PAIRS", 64)
+    df, x = points(spark, 70, 4, 11)
+    assert C._block_count(df.select(F.col("id").alias("_id"), F.col("vec").alias("_v"))) <= 3
+    want = {(i, j): float(((x[i] - x[j]) ** 2).sum()) for i in range(70) for j in range(i + 1, 70)}
+    got = {(r.cat1, r.cat2): r.distance for r in C.pair_distances(df, id="id").collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    near = {(r.cat1, r.cat2) for r in C.pair_distances(df, id="id", metric="euclidean", within=1.0).collect()}
+    assert near == {p for p, d in want.items() if np.sqrt(d) <= 1.0} and near
+
+
+def test_nearest_among_many_copies(spark, monkeypatch):
+    """Of equal vectors the smallest ids come first, and all copies are found."""
+    monkeypatch.setattr(C, "BLOCK_ROWS", 16)
+    df = spark.createDataFrame([(i, [1.0, 2.0] if i % 5 else [float(i), 0.0]) for i in range(60)], VECTORS)
+    copies = [i for i in range(60) if i % 5]
+    got = {}
+    for r in C.nearest_vectors(df, 3, id="id").orderBy("rank").collect():
+        got.setdefault(r.cat1, []).append(r.cat2)
+    assert all(got[i] == [j for j in copies if j != i][:3] for i in copies) and len(got) == 60
+    some = C._fewest(np.arange(60), np.array([[1.0, 2.0] if i % 5 else [i, 0.0] for i in range(60)]), 3)
+    assert len(some) == 12 + 4
+
+
+def test_close_pairs_in_one_large_bucket(spark, monkeypatch):
+    """A bucket of all rows is met block by block, each pair given once."""
+    monkeypatch.setattr(C, "BLOCK_ROWS", 8)
+    df, x = points(spark, 50, 4, 5)
+    df = df.withColumn("vec", F.transform("vec", lambda v: v + 1000))  # on one side of the origin
+    got = [(r.cat1, r.cat2) for r in C.close_pairs(df, 1.0, id="id", bucket_length=1e6).collect()]
+    want = {(i, j) for i in range(50) for j in range(i + 1, 50) if np.linalg.norm(x[i] - x[j]) <= 1.0}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_stream_pairs_come_in_bounded_batches(spark):
+    """A batch of many or long texts never becomes one batch of pairs."""
+    import pyarrow as pa
+    from topicspace.operators import word_stream as W
+    texts = pa.array([["w"] * 300_000, None, [], ["x"] * 10])
+    context = type("Context", (), {"get": staticmethod(lambda: context), "partitionId": staticmethod(lambda: 0)})
+    held, W.TaskContext = W.TaskContext, context
+    try:
+        run = W._pair_task("tokens", 1, {0: (5, ["a"], ["z"])})
+        out = list(run(iter([pa.RecordBatch.from_arrays([texts], names=["tokens"])])))
+    finally:
+        W.TaskContext = held
+    assert sum(b.num_rows for b in out) == 2 * 300_010
+    assert max(b.num_rows for b in out) <= W.WORDS_TOGETHER + 1
+    first = pa.Table.from_batches(out).slice(0, 1).to_pylist()
+    assert first == [{"pos": 5, "center": "w", "context": "a"}]

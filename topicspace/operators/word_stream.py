@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -12,21 +13,30 @@ from pyspark.sql import functions as F
 
 from topicspace.session import shared_dir
 
+#: Words whose pairs are made at a time, to bound a task's memory.
+WORDS_TOGETHER = 1 << 16
 _EDGES = "part int, n bigint, first array<string>, last array<string>"
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], tokens: str) -> Iterator[pa.Array]:
+    """The words of a partition in order, at most ``WORDS_TOGETHER`` at a time, as Arrow
+    strings (no Python object for a word)."""
+    for batch in batches:
+        words = batch.column(tokens).flatten().cast(pa.string())
+        for at in range(0, len(words), WORDS_TOGETHER):
+            yield words[at:at + WORDS_TOGETHER]
+
+
 def _edge_task(tokens: str, window: int):
     """Arrow function: a partition's number of words, its first and its last few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, first, last = 0, [], []
-        for batch in batches:
-            for words in batch.column(tokens).to_pylist():
-                if words:
-                    n += len(words)
-                    if len(first) < window:
-                        first = (first + words[:window])[:window]
-                    last = (last + words[-window:])[-window:]
+        for words in _pieces(batches, tokens):
+            n += len(words)
+            if len(first) < window:
+                first = (first + words[:window].to_pylist())[:window]
+            last = (last + words[max(0, len(words) - window):].to_pylist())[-window:]
         yield pa.RecordBatch.from_pydict({
             "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64()),
             "first": pa.array([first], pa.list_(pa.string())),
@@ -41,34 +51,29 @@ def _pair_task(tokens: str, window: int, halos: dict[int, tuple[int, list[str],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, before, after = halos[TaskContext.get().partitionId()]
-        held = list(before)   # words whose pairs are done, then words that wait
+        held = pa.array(before, pa.string())   # words whose pairs are done, then words that wait
         done = len(before)
 
-        def give(stop: int) -> pa.RecordBatch:
+        def give(stop: int) -> Iterator[pa.RecordBatch]:
             """Pairs of the waiting words up to place ``stop`` of ``held``."""
-            places, centers, contexts = [], [], []
             for o in (*range(-window, 0), *range(1, window + 1)):
                 lo, hi = max(done, -o), min(stop, len(held) - o)
                 if lo < hi:
-                    places += range(at + lo - done, at + hi - done)
-                    centers += held[lo:hi]
-                    contexts += held[lo + o:hi + o]
-            return pa.RecordBatch.from_pydict({
-                "pos": pa.array(places, pa.int64()), "center": pa.array(centers, pa.string()),
-                "context": pa.array(contexts, pa.string())})
-
-        for batch in batches:
-            for words in batch.column(tokens).to_pylist():
-                held += words or ()
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.arange(at + lo - done, at + hi - done, dtype=np.int64)),
+                        held[lo:hi], held[lo + o:hi + o]], names=["pos", "center", "context"])
+
+        for words in _pieces(batches, tokens):
+            held = pa.concat_arrays([held, words])
             stop = max(done, len(held) - window)  # later words lack what follows them
             if stop > done:
-                yield give(stop)
+                yield from give(stop)
                 at += stop - done
                 held = held[max(0, stop - window):]
                 done = min(stop, window)
         stop = len(held)
-        held += after
-        yield give(stop)
+        held = pa.concat_arrays([held, pa.array(after, pa.string())])
+        yield from give(stop)
 
     return run
 
