@@ -65,3 +65,18 @@ def test_adagrad_learns():
     assert losses[-1] < 0.5 * losses[0]
     best = net.forward(net.shaped(flat.astype(np.float32)), x).argmax(axis=1)
     assert (best == labels).mean() > 0.9
+
+
+def test_padding_that_does_not_count():
+    """A sequence cut after the places that decide gives the same result and gradients."""
+    net = ConvNet(4, 3, 200, channels=5, hidden=6)
+    params, rng = net.initial(3), np.random.default_rng(4)
+    for filled in (0, 1, 25, 26, 40, 199, 200):
+        x = rng.normal(size=(3, 200, 4)).astype(np.float32)
+        x[:, filled:] = 0
+        short = x[:, :net.needed(filled)]
+        assert short.shape[1] < 200 or filled > 40
+        assert np.allclose(net.forward(params, x), net.forward(params, short), atol=1e-6)
+        (loss, grads), (own, mine) = (net.gradient(params, v, np.array([0, 1, 2])) for v in (x, short))
+        assert abs(loss - own) < 1e-5
+        assert all(np.allclose(g, h, atol=1e-6) for g, h in zip(grads, mine))

@@ -56,6 +56,17 @@ class ConvNet:
             at += n
         return found
 
+    def needed(self, filled: int) -> int:
+        """Places of a sequence that decide the result when all from ``filled`` on are
+        zeros. Every last-layer value that only such places reach is the same and the
+        pooling takes the first of equal ones, so one of them stands for the rest: result
+        and gradients of the shorter sequence are those of the whole."""
+        step = int(np.prod(self.pools[:-1]))
+        n = -(-filled // step) + 1
+        for pool in reversed(self.pools[:-1]):
+            n = (n + self.kernel - 1) * pool
+        return min(self.length, n + self.kernel - 1)
+
     def forward(self, params: list[np.ndarray], x: np.ndarray, keep: bool = False):
         """Log-probabilities (rows, classes) of sequences (rows, length, dim); with ``keep``
         also what ``gradient`` needs."""
@@ -64,6 +75,7 @@ class ConvNet:
             w, b = params[2 * layer], params[2 * layer + 1]
             rows, n, d = x.shape
             m = n - self.kernel + 1
+            pool = m if layer == len(self.pools) - 1 else pool
             cols = np.ascontiguousarray(sliding_window_view(x, self.kernel, axis=1)
                                         .transpose(0, 1, 3, 2)).reshape(rows * m, self.kernel * d)
             y = (cols @ w + b).reshape(rows, m, -1)
@@ -100,7 +112,8 @@ class ConvNet:
         for layer in range(len(self.pools) - 1, -1, -1):
             cols, shape, best, out = held[layer]
             rows, n, width = shape
-            m, pool = n - self.kernel + 1, self.pools[layer]
+            m = n - self.kernel + 1
+            pool = m if layer == len(self.pools) - 1 else self.pools[layer]
             d = d * (out > 0)
             dy = np.zeros((rows, m, self.channels), dtype=np.float32)
             blocks = dy[:, :out.shape[1] * pool].reshape(rows, out.shape[1], pool, -1)

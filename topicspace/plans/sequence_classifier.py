@@ -71,11 +71,17 @@ def vector_table(word_vectors: DataFrame, vocab: DataFrame, dim: int, idx: str =
     return table
 
 
-def _batches(batch: pa.RecordBatch, vectors: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def _batches(batch: pa.RecordBatch, vectors: np.ndarray,
+             net: ConvNet) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """A few rows at a time, rows of like length together, without the padding that does
+    not count."""
+    seqs = batch.column("seq").flatten().to_numpy().reshape(batch.num_rows, -1)
+    filled = np.where(seqs.any(axis=1), seqs.shape[1] - (seqs[:, ::-1] != 0).argmax(axis=1), 0)
+    order = np.argsort(filled, kind="stable")
+    rest = batch.drop_columns(["seq"])
     for at in range(0, batch.num_rows, ROWS_TOGETHER):
-        part = batch.slice(at, ROWS_TOGETHER)
-        seqs = part.column("seq").flatten().to_numpy().reshape(part.num_rows, -1)
-        yield part, vectors[seqs]
+        some = order[at:at + ROWS_TOGETHER]
+        yield rest.take(pa.array(some)), vectors[seqs[some, :net.needed(int(filled[some[-1]]))]]
 
 
 def _gradient_task(net: ConvNet, shared):
@@ -86,7 +92,7 @@ def _gradient_task(net: ConvNet, shared):
         shaped = net.shaped(params)
         total, loss, n = None, 0.0, 0
         for batch in batches:
-            for part, x in _batches(batch, vectors):
+            for part, x in _batches(batch, vectors, net):
                 labels = part.column("label").to_numpy().astype(np.int64) - 1
                 own, grads = net.gradient(shaped, x, labels)
                 flat = net.flat(grads).astype(np.float64)
@@ -157,7 +163,7 @@ class SequenceModel:
             params, vectors = shared.value
             shaped = net.shaped(params)
             for batch in batches:
-                for part, x in _batches(batch, vectors):
+                for part, x in _batches(batch, vectors, net):
                     p = np.exp(net.forward(shaped, x)).astype(np.float64)
                     ends = np.arange(len(p) + 1, dtype=np.int32) * net.classes
                     yield pa.RecordBatch.from_arrays([
