@@ -41,16 +41,17 @@ ROWS_TOGETHER = 4096
 def word_pairs(docs: DataFrame, vocab: DataFrame, doc: str = "article_id", tokens: str = "tokens",
                window: int = 1, num_skips: int | None = None, seed: int = 0) -> DataFrame:
     """``(c int, o int, n bigint)``: how often each (center, context) pair of vocabulary
-    indexes stands within ``window``; a word outside the vocabulary has index 0."""
-    counted = (skipgrams(docs, doc, tokens, window, num_skips, seed)
-               .groupBy("center", "context").agg(F.count(F.lit(1)).alias("n")))
+    indexes stands within ``window``; a word outside the vocabulary has index 0. The words
+    become indexes before anything is counted, so that what is shuffled are pairs of
+    the vocabulary, not of all words."""
+    met = skipgrams(docs, doc, tokens, window, num_skips, seed).select("center", "context")
     known = vocab.where(F.col("idx") > 0)
     left = bounded_broadcast(known.select(F.col("word").alias("center"), F.col("idx").alias("_c")))
     right = bounded_broadcast(known.select(F.col("word").alias("context"), F.col("idx").alias("_o")))
-    return (counted.join(left, "center", "left").join(right, "context", "left")
+    return (met.join(left, "center", "left").join(right, "context", "left")
             .groupBy(F.coalesce("_c", F.lit(0)).cast("int").alias("c"),
                      F.coalesce("_o", F.lit(0)).cast("int").alias("o"))
-            .agg(F.sum("n").alias("n")))
+            .agg(F.count(F.lit(1)).alias("n")))
 
 
 def _uniform(seed: int, *keys: Column) -> Column:
