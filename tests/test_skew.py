@@ -1,6 +1,8 @@
 """One key holding a third of all rows: results stay exact and the plans
 combine rows map-side before any shuffle (one partial row per task per key)."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -70,3 +72,27 @@ def test_salted_tfidf_join_equals_plain(spark):
     salted = {(r.doc, r.term): r.tfidf for r in salted_df.collect()}
     assert plain == salted and len(plain) == 2 * N
     assert "_salt" in salted_df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_term_counts_need_one_exchange(spark, tmp):
+    """Texts are brought together by id, never (article, term) rows."""
+    from topicspace.plans import registry as R
+    rows = [(i, f"title\nsome words {i} some", "en", "src0", 5) for i in (1, 2, 2, 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(f"{tmp}/documents.parquet")
+    plan = R.tfidf_exact(spark, tmp)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(article_id#\d+L?, term", plan)
+    got = {(r.article_id, r.term): r.tf for r in R.term_frequency(spark, tmp).collect()}
+    assert got[(2, "some")] == 4 and got[(1, "1")] == 1 and len(got) == 9
+
+
+def test_pairs_are_counted_as_indexes(spark):
+    """What is shuffled are pairs of the vocabulary, not of all words."""
+    from topicspace.plans.skipgram_model import word_pairs
+    docs = spark.createDataFrame([(i, ["a", f"rare{i}", "b", "a"]) for i in range(20)],
+                                 "article_id long, tokens array<string>")
+    vocab = spark.createDataFrame([("UNK", 0), ("a", 1), ("b", 2)], "word string, idx int")
+    pairs = word_pairs(docs, vocab)
+    assert "hashpartitioning(center" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {(r.c, r.o): r.n for r in pairs.collect()} == {
+        (1, 0): 20, (0, 1): 20, (0, 2): 20, (2, 0): 20, (2, 1): 20, (1, 2): 20}

@@ -234,7 +234,11 @@ def document_vector_sum(spark, sf):
 # --- tf-idf --------------------------------------------------------------------
 
 def _tf(spark, sf):
-    return TF.term_frequency(_content_tokens(spark, sf, "whitespace"), "article_id", "tokens")
+    """Term counts. The texts are brought together by id once, before they become many more
+    bytes of (article, term) rows; the counts then need no exchange of their own."""
+    texts = _arts(spark, sf).select("article_id", "content").repartition("article_id")
+    return TF.term_frequency(TX.tokenize(texts, "content", "tokens", "whitespace"),
+                             "article_id", "tokens")
 
 
 def term_frequency(spark, sf):
