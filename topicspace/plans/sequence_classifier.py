@@ -73,15 +73,12 @@ def vector_table(word_vectors: DataFrame, vocab: DataFrame, dim: int, idx: str =
 
 def _batches(batch: pa.RecordBatch, vectors: np.ndarray,
              net: ConvNet) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """A few rows at a time, rows of like length together, without the padding that does
-    not count."""
-    seqs = batch.column("seq").flatten().to_numpy().reshape(batch.num_rows, -1)
-    filled = np.where(seqs.any(axis=1), seqs.shape[1] - (seqs[:, ::-1] != 0).argmax(axis=1), 0)
-    order = np.argsort(filled, kind="stable")
-    rest = batch.drop_columns(["seq"])
+    """A few rows at a time, in their order, without the padding that does not count."""
     for at in range(0, batch.num_rows, ROWS_TOGETHER):
-        some = order[at:at + ROWS_TOGETHER]
-        yield rest.take(pa.array(some)), vectors[seqs[some, :net.needed(int(filled[some[-1]]))]]
+        part = batch.slice(at, ROWS_TOGETHER)
+        seqs = part.column("seq").flatten().to_numpy().reshape(part.num_rows, -1)
+        used = np.flatnonzero(seqs.any(axis=0))
+        yield part, vectors[seqs[:, :net.needed(int(used[-1]) + 1 if len(used) else 0)]]
 
 
 def _gradient_task(net: ConvNet, shared):
