@@ -96,3 +96,21 @@ def test_pairs_are_counted_as_indexes(spark):
     assert "hashpartitioning(center" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert {(r.c, r.o): r.n for r in pairs.collect()} == {
         (1, 0): 20, (0, 1): 20, (0, 2): 20, (2, 0): 20, (2, 1): 20, (1, 2): 20}
+
+
+def test_pairs_are_counted_in_the_task(spark):
+    """Pairs of many texts leave a task counted, not one row for each place."""
+    from topicspace.operators.skipgram import skipgrams
+    from topicspace.plans.skipgram_model import word_pairs
+    rows = [(1, ["a", None, "b", "a"]), (2, None), (3, []), (4, ["b"]), (5, ["x", "a", "b", "a", "b"])]
+    docs = spark.createDataFrame(rows, "article_id long, tokens array<string>")
+    vocab = spark.createDataFrame([("UNK", 0), ("a", 1), ("b", 2)], "word string, idx int")
+    index = {"a": 1, "b": 2}
+    for window in (1, 2, 7):
+        pairs = word_pairs(docs, vocab, window=window)
+        assert "Generate" not in pairs._jdf.queryExecution().executedPlan().toString()
+        want = {}
+        for r in skipgrams(docs, "article_id", "tokens", window).collect():
+            key = (index.get(r.center, 0), index.get(r.context, 0))
+            want[key] = want.get(key, 0) + 1
+        assert {(r.c, r.o): r.n for r in pairs.collect()} == want

@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicspace.operators import text as TX
-from topicspace.operators.common import bounded_broadcast
-from topicspace.operators.skipgram import skipgrams
+from topicspace.operators.common import BROADCAST_BYTES, BROADCAST_ROWS, bounded_broadcast
+from topicspace.operators.skipgram import skipgram_counts, skipgrams
 from topicspace.operators.vectors import vector_sum
 from topicspace.session import shared_dir
 
@@ -44,8 +44,14 @@ def word_pairs(docs: DataFrame, vocab: DataFrame, doc: str = "article_id", token
     indexes stands within ``window``; a word outside the vocabulary has index 0. The words
     become indexes before anything is counted, so that what is shuffled are pairs of
     the vocabulary, not of all words."""
+    known = vocab.where(F.col("idx") > 0).select("word", F.col("idx").cast("int").alias("idx"))
+    if num_skips is None or num_skips >= 2 * window:
+        rows = known.where(F.col("word").isNotNull()).limit(BROADCAST_ROWS + 1).toArrow()
+        words = pa.array(rows.column("word").to_pylist(), pa.string())
+        if (len(words) <= BROADCAST_ROWS and words.nbytes <= BROADCAST_BYTES
+                and len(words.unique()) == len(words)):
+            return skipgram_counts(docs, tokens, words, rows.column("idx").to_numpy(), window)
     met = skipgrams(docs, doc, tokens, window, num_skips, seed).select("center", "context")
-    known = vocab.where(F.col("idx") > 0)
     left = bounded_broadcast(known.select(F.col("word").alias("center"), F.col("idx").alias("_c")))
     right = bounded_broadcast(known.select(F.col("word").alias("context"), F.col("idx").alias("_o")))
     return (met.join(left, "center", "left").join(right, "context", "left")
@@ -162,9 +168,14 @@ def train_skipgram(pairs: DataFrame, words: DataFrame, dim: int = 100, steps: in
     spark = pairs.sparkSession
     shared_dir(spark)
     share = F.pmod(F.xxhash64(F.lit(seed), "c", "o"), F.lit(steps)).cast("int")
-    dealt = pairs.withColumn("_share", share).checkpoint(eager=True)
+    # dealt by center once: a word's gradient is summed where its pairs are, whatever the
+    # step, and no step moves the pairs (a center has at most a pair for each word)
+    dealt = (pairs.withColumn("_share", share).repartition("c")
+             .sortWithinPartitions("_share", "c", "o").checkpoint(eager=True))
     state = initial_state(words, dim, seed, spread).checkpoint(eager=True)
     n_words = words.count()
+    small = n_words <= BROADCAST_ROWS and n_words * (dim + 1) * 8 <= BROADCAST_BYTES
+    side = F.broadcast if small else lambda rows: rows
     losses: list[float] = []
     for step in range(steps * epochs):
         neg, log_expected = log_uniform(n_words, negatives, seed * 1_000_003 + step)
@@ -172,9 +183,9 @@ def train_skipgram(pairs: DataFrame, words: DataFrame, dim: int = 100, steps: in
                                                  & F.col("idx").isin(neg.tolist())).collect()}
         z = np.array([drawn[i] for i in neg.tolist()], dtype=np.float64)
         batch = dealt.where(F.col("_share") == step % steps).select("c", "o", "n")
-        met = (batch.join(state.where("side = 0").select(F.col("idx").alias("c"), "x"), "c")
-               .join(state.where("side = 1").select(F.col("idx").alias("o"),
-                                                    F.col("x").alias("y")), "o"))
+        met = (batch.join(side(state.where("side = 0").select(F.col("idx").alias("c"), "x")), "c")
+               .join(side(state.where("side = 1").select(F.col("idx").alias("o"),
+                                                         F.col("x").alias("y"))), "o"))
         parts = met.select("c", "o", "n", "x", "y").mapInArrow(
             _gradient_task(neg, z, log_expected),
             "side int, idx int, g array<double>, loss double, n double")
