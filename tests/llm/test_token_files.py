@@ -76,3 +76,15 @@ def test_strings_of_added_tokens(spark, table):
         crc = zlib.crc32(np.array([*ids, 2], dtype="<u4").tobytes())
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids) + 1, crc)
         at += len(ids) + 1
+
+
+def test_words_met_once_are_not_kept(tokenizer):
+    e = T.Encoder(PATH)
+    words = [f"{a}{b}{c}q{mark}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz"
+             for mark in ("", "!7")]
+    text = " ".join(words)
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    assert e(text).tolist() == want
+    assert len(e.cache) + len(e.units) < 50
+    assert e(text).tolist() == want and len(e.cache) > 1000  # met again: kept
+    assert e(text).tolist() == want

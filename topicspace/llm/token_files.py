@@ -34,9 +34,12 @@ SEQ_LEN = 2048
 BATCH_SEQUENCES = 512
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Cached pieces of text and their ids, at most, in one worker.
-CACHE_PIECES = 500_000
-DOCS_PER_BATCH = 4096
+#: Cached pieces of text and their ids, at most, in one worker (and as many older ones).
+CACHE_PIECES = 250_000
+#: Places of the marks of pieces met once; a power of two.
+MARKS = 1 << 21
+#: Rows of an Arrow batch whose texts are taken at a time.
+DOCS_PER_BATCH = 512
 MANIFEST = "file int, path string, docs long, tokens long"
 
 # Byte-level BPE pre-tokenisation starts a new piece at a space between two characters
@@ -79,13 +82,27 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # the cache before it was last full
         self.units: dict[str, bytes] = {}
+        # most pieces stand once: only those met again are kept
+        self.met = bytearray(MARKS)
 
-    def _unit(self, unit: str) -> bytes:
+    def _met(self, piece: str) -> int:
+        """Whether the piece (or another with its mark) was met before."""
+        place = hash(piece) & MARKS - 1
+        before = self.met[place]
+        self.met[place] = 1
+        return before
+
+    def _ids(self, unit: str) -> bytes:
         """Ids of one unit of the pre-tokeniser, given in its byte alphabet."""
-        found = array(self.code, [t.id for t in self.tokenizer.model.tokenize(unit)]).tobytes()
-        if len(self.units) >= CACHE_PIECES:
-            self.units.clear()
-        self.units[unit] = found
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(unit)]).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        """As ``_ids``, kept if met again."""
+        found = self._ids(unit)
+        if self._met(unit):
+            if len(self.units) >= CACHE_PIECES:
+                self.units.clear()
+            self.units[unit] = found
         return found
 
     def _piece(self, piece: str) -> bytes:
@@ -100,19 +117,23 @@ class Encoder:
         word after it (cached as it is). Letters after a space are one unit, and a
         full stop or comma after them is one more."""
         stem = word[:-1] if word[-1] in ".," else word
-        if word in self.older:
-            found = self.older[word]
+        known = self.older.get(word)
+        if known is not None:
+            found = known
         elif stem.isalpha():
-            unit = "\u0120" + (stem if stem.isascii() else
-                               stem.encode("utf-8").decode("latin-1").translate(BYTE_ALPHABET))
-            found = self.units.get(unit) or self._unit(unit)
+            found = None if stem is word else self.cache.get(stem) or self.older.get(stem)
+            found = found or self._ids("\u0120" + (
+                stem if stem.isascii() else
+                stem.encode("utf-8").decode("latin-1").translate(BYTE_ALPHABET)))
             if stem is not word:
                 found += self.units.get(word[-1]) or self._unit(word[-1])
         else:
             found = self._piece(word if word[0] == "\n" else f" {word}")
-        if len(self.cache) >= CACHE_PIECES:
-            self.older, self.cache = self.cache, {}
-        self.cache[word] = found
+        if known is not None or self._met(word):
+            if len(self.cache) >= CACHE_PIECES:
+                self.older, self.cache = self.cache, {}
+                self.met = bytearray(MARKS)
+            self.cache[word] = found
         return found
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -231,7 +252,8 @@ def _write_task(folder: str, tokenizer: str, seq_len: int, end_id: int, id_col:
         with fs.open_output_stream(f"{names[0]}.{mark}") as a, \
                 fs.open_output_stream(f"{names[1]}.{mark}") as b:
             sequences, rows = SequenceWriter(a, encode.dtype, seq_len), pa.ipc.new_stream(b, index)
-            for batch in batches:
+            for batch in (whole.slice(at, DOCS_PER_BATCH) for whole in batches
+                          for at in range(0, whole.num_rows, DOCS_PER_BATCH)):
                 ids, lengths = batch.column(id_col), []
                 for value in batch.column(text).to_pylist():
                     found = encode(value)
