@@ -121,3 +121,11 @@ def test_small_cache_changes_nothing(monkeypatch, doc_rows):
     monkeypatch.setattr(M, "SEGMENTS_TOGETHER", 30)
     monkeypatch.setattr(M, "MATRIX_CELLS", 64)
     assert [x.tolist() for x in M.Encoder(PATH).encode_batch(texts, list(range(len(texts))))] == whole
+
+
+def test_symbols_without_a_piece_merge_with_nothing():
+    pieces = M.Pieces(PATH)
+    known = pieces.byte_ids[:1]
+    for a, b in ((-1, -1), (-1, 5), (5, -1), (M.ABSENT, 5), (5, M.ABSENT), (-0x10FFFF, -1)):
+        assert pieces.merged(np.array([a], np.int32), np.array([b], np.int32)).tolist() == [-1]
+    assert pieces.merged(known, known).tolist() == [-1]

@@ -23,6 +23,7 @@ from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -117,8 +118,8 @@ class Pieces:
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece of each pair, -1 where the two don't merge."""
+        # (a negative symbol makes a negative key, which no pair has)
         keys = left.astype(np.int64) << 32 | right
-        keys[(left < 0) | (right < 0)] = -2
         slot = self._slot(keys)
         found, at = self.pair[slot], self.joined[slot]
         open_ = np.flatnonzero((found != keys) & (found != -1))
@@ -145,8 +146,10 @@ class Pieces:
         inside = places[None, :] < size[:, None]
         symbols = np.full((n, width + 1), ABSENT, dtype=np.int32)
         symbols[inside] = self.chars[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
-        after = np.tile(np.minimum(places + 1, width), (n, 1))
-        before = np.tile(np.where(places == 0, width, places - 1), (n, 1))
+        # places are cells of the flattened matrices
+        base = np.arange(n) * (width + 1)
+        after = (base[:, None] + np.minimum(places + 1, width)).ravel()
+        before = (base[:, None] + np.where(places == 0, width, places - 1)).ravel()
         joined = np.full((n, width + 1), -1, dtype=np.int32)
         joined[:, :-1] = self.merged(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(n, -1)
         agenda = np.where(joined >= 0, self.rank[joined], none)
@@ -158,43 +161,45 @@ class Pieces:
                 forced[i, :len(own)] = own
             last = np.array([own[-1] if own else -1 for own in skips], dtype=np.int64)
             free = last < 0  # the last skipped candidate has been met
+        symbol, due, pair, stands = symbols.ravel(), agenda.ravel(), joined.ravel(), standing.ravel()
         rows, taken_rows, taken = np.arange(n), [], []
         while len(rows):
-            best = (agenda if len(rows) == n else agenda[rows]).argmin(axis=1)
-            live = agenda[rows, best] != none
+            best = (agenda if len(rows) == n else agenda.take(rows, axis=0)).argmin(axis=1)
+            cell = base.take(rows) + best
+            live = due.take(cell) != none
             if not live.all():
-                rows, best = rows[live], best[live]
-            piece = joined[rows, best]
+                rows, best, cell = rows[live], best[live], cell[live]
+            piece = pair.take(cell)
             code = best.astype(np.int64) << 32 | piece
-            agenda[rows, best] = none
+            due[cell] = none
             if most:
-                drop = (forced[rows] == code[:, None]).any(axis=1)
+                drop = (forced.take(rows, axis=0) == code[:, None]).any(axis=1)
                 new = free[rows] & ~drop
                 free[rows] |= code == last[rows]
                 taken_rows.append(rows[new])
                 taken.append(code[new])
-                r, at, piece = rows[~drop], best[~drop], piece[~drop]
+                at, piece = cell[~drop], piece[~drop]
             elif keys is not None:
-                keep = draws(keys[rows], code) >= bound
-                r, at, piece = rows[keep], best[keep], piece[keep]
+                keep = draws(keys.take(rows), code) >= bound
+                at, piece = cell[keep], piece[keep]
             else:
                 taken_rows.append(rows)
                 taken.append(code)
-                r, at = rows, best
-            right = after[r, at]
-            far = after[r, right]
-            symbols[r, at] = piece
-            standing[r, right] = False
-            agenda[r, right] = none
-            after[r, at] = far
-            before[r, far] = at
-            left = before[r, at]
+                at = cell
+            right = after.take(at)
+            far = after.take(right)
+            symbol[at] = piece
+            stands[right] = False
+            due[right] = none
+            after[at] = far
+            before[far] = at
+            left = before.take(at)
             # the merged symbol with what stands before it and after it
-            pairs = self.merged(np.concatenate((symbols[r, left], piece)),
-                                np.concatenate((piece, symbols[r, far])))
-            for place, pair in ((left, pairs[:len(r)]), (at, pairs[len(r):])):
-                joined[r, place] = pair
-                agenda[r, place] = np.where(pair >= 0, self.rank[pair], none)
+            place = np.concatenate((left, at))
+            met = self.merged(np.concatenate((symbol.take(left), piece)),
+                              np.concatenate((piece, symbol.take(far))))
+            pair[place] = met
+            due[place] = np.where(met >= 0, self.rank.take(met), none)
         flat, lengths = self.bytes_of(symbols[standing], standing.sum(axis=1))
         if keys is not None:
             return (flat, lengths), None
@@ -372,8 +377,7 @@ class Encoder:
             self.roots.update(zip(new, range(first, first + len(new))))
             self.chars = Ragged._room(self.chars, len(self.words))
             self.chars[first:first + len(new)] = [char_hash(w) for w in new]
-        get = self.roots.get
-        return np.array([get(w, -1) for w in words], dtype=np.int64)
+        return np.fromiter(map(self.roots.get, words, repeat(-1)), np.int64, len(words))
 
     def _leaves(self, node: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The node at which each word ends: where none of the candidates that follow is
@@ -422,18 +426,20 @@ class Encoder:
         known = node >= 0
         own = keys.copy()
         own[known] = _mix(own[known] ^ self.chars[node[known]])
-        alone = sorted(np.flatnonzero(~known).tolist(), key=lambda i: len(words[i]))
-        own[alone] = _mix(own[alone] ^ np.array([char_hash(words[i]) for i in alone], np.uint64))
+        unknown = np.flatnonzero(~known)
+        texts = [words[i] for i in unknown.tolist()]
+        by_length = np.argsort(np.fromiter(map(len, texts), np.int64, len(texts)), kind="stable")
+        alone, texts = unknown[by_length], [texts[i] for i in by_length.tolist()]
+        own[alone] = _mix(own[alone] ^ np.fromiter(map(char_hash, texts), np.uint64, len(texts)))
         node = self._leaves(node, own)
         # the words without a tree run their own agendas; their rows stay for this call only
         rows, used = self.ids.rows, self.ids.used
         node[alone] = np.arange(rows, rows + len(alone))
-        texts = [words[i] for i in alone]
         short = bisect_right(texts, WIDE, key=len)
         for start, stop in alike(texts[:short]):
             self.ids.add(*self.pieces.simulate(texts[start:stop], None, own[alone[start:stop]],
                                                np.uint64(self.bound))[0])
-        for text, i in zip(texts[short:], alone[short:]):
+        for text, i in zip(texts[short:], alone[short:].tolist()):
             found = self.pieces.heap_segment(text, int(own[i]), self.bound)
             self.ids.add(found, np.array([len(found)]))
         taken = self.ids.take(node)[0], self.ids.lengths[node]
@@ -466,7 +472,7 @@ class Encoder:
     def decode(self, ids) -> str:
         """The text of the ids, without the space that encoding puts first."""
         out = self.pieces.out
-        raw = b"".join([out[i] for i in ids])
+        raw = b"".join(map(out.__getitem__, ids))
         return (raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace")
 
 
