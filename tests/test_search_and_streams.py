@@ -216,6 +216,22 @@ def test_blocks_grow_instead_of_their_number(spark, monkeypatch):
     assert near == {p for p, d in want.items() if np.sqrt(d) <= 1.0} and near
 
 
+def test_rows_are_sent_as_often_as_the_tasks_need(spark, monkeypatch):
+    """Every copy of a row lies on disk: their number goes by the cores, not by the rows."""
+    monkeypatch.setattr(C, "BLOCK_ROWS", 4)
+    df, x = points(spark, 400, 4, 12)
+    cores = spark.sparkContext.defaultParallelism
+    sent = []
+    inner = C._in_block_pairs
+    monkeypatch.setattr(C, "_in_block_pairs", lambda v, blocks, *a: (sent.append(blocks), inner(v, blocks, *a))[1])
+    found = C.pair_distances(df, id="id")
+    assert sent[0] * (sent[0] - 1) // 2 < C.PAIRS_OF_A_CORE * cores
+    assert sent[0] * (sent[0] + 1) // 2 >= C.PAIRS_OF_A_CORE * cores
+    got = {(r.cat1, r.cat2): r.distance for r in found.collect()}
+    assert len(got) == 400 * 399 // 2
+    assert all(abs(d - float(((x[i] - x[j]) ** 2).sum())) < 1e-9 for (i, j), d in got.items())
+
+
 def test_nearest_among_many_copies(spark, monkeypatch):
     """Of equal vectors the smallest ids come first, and all copies are found."""
     monkeypatch.setattr(C, "BLOCK_ROWS", 16)
