@@ -80,3 +80,25 @@ def test_padding_that_does_not_count():
         (loss, grads), (own, mine) = (net.gradient(params, v, np.array([0, 1, 2])) for v in (x, short))
         assert abs(loss - own) < 1e-5
         assert all(np.allclose(g, h, atol=1e-6) for g, h in zip(grads, mine))
+
+
+@pytest.mark.parametrize("pools", [(), (3,), (2, 3)])
+def test_words_are_looked_up(pools):
+    """Sequences of word indexes give what the sequences of their vectors give, and a sequence
+    with several labels what it gives once for each."""
+    net = ConvNet(3, 4, 40, channels=5, kernel=3, pools=pools, hidden=6)
+    rng = np.random.default_rng(2)
+    params = [p.astype(np.float64) for p in net.initial(8)]
+    vectors = np.vstack([np.zeros(3), rng.normal(size=(9, 3))])
+    seqs = rng.integers(0, 8, (4, 40))
+    labels, of = np.array([0, 3, 1, 1, 2, 1]), np.array([0, 0, 1, 2, 3, 3])
+    table = net.table(params, vectors)
+    assert np.allclose(net.forward(params, seqs, table=table), net.forward(params, vectors[seqs]))
+    loss, grads = net.gradient(params, vectors[seqs[of]], labels)
+    words, met = np.zeros((3, 10, 5)), np.isin(np.arange(10), seqs)
+    own, mine = net.gradient(params, seqs, labels, of, table, words)
+    mine[0] = mine[0] + net.first(vectors, words, met)
+    assert np.isclose(loss, own) and all(np.allclose(g, h) for g, h in zip(grads, mine))
+    # a word without a vector spoils nothing where it does not stand
+    vectors[9] = np.nan
+    assert np.allclose(net.first(vectors, words, met), grads[0])

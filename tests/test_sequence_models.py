@@ -72,6 +72,26 @@ def test_tree_of_gradients_is_the_whole_gradient(spark, articles):
     assert K.mean_gradient(empty, net, params, sequences.vectors)[2] == 0
 
 
+def test_rows_of_one_text_go_through_the_network_once(monkeypatch):
+    """Rows that stand together with one sequence are one of the network's, texts of like
+    length go together, and every row gets the result of its own."""
+    monkeypatch.setattr(K, "PLACES_TOGETHER", 400)
+    net = K.ConvNet(4, 3, 100, channels=4, hidden=6, pools=(3,))
+    rng = np.random.default_rng(5)
+    texts = np.zeros((60, 100), dtype=np.int32)
+    for i, n in enumerate(rng.integers(0, 100, 60)):
+        texts[i, :n] = rng.integers(1, 30, n)
+    whole = texts[np.repeat(np.arange(60), rng.integers(1, 4, 60))]
+    batch = K.pa.RecordBatch.from_pydict({"seq": K.pa.array(list(whole), K.pa.list_(K.pa.int32()))})
+    parts = list(K._batches(batch, net))
+    assert sorted(np.concatenate([rows for _, rows, _ in parts])) == list(range(len(whole)))
+    assert sum(len(seqs) for seqs, _, _ in parts) == len(np.unique(texts, axis=0)) < len(whole)
+    for seqs, rows, of in parts:
+        n = seqs.shape[1]
+        assert np.array_equal(seqs[of], whole[rows, :n]) and not whole[rows, n:].any()
+    assert sum(seqs.size for seqs, _, _ in parts) < 0.9 * 60 * 100
+
+
 def test_pair_gradients_by_differences():
     rng = np.random.default_rng(0)
     x, y, z = rng.normal(size=(3, 5)), rng.normal(size=(3, 5)), rng.normal(size=(4, 5))

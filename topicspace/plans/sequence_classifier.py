@@ -32,8 +32,8 @@ from topicspace.session import shared_dir
 # The original trainer's settings.
 RATE, DECAY = 0.01, 0.0002
 LENGTH, EPOCHS = 1000, 10
-#: Sequences put through the network at a time, to bound a task's memory.
-ROWS_TOGETHER = 16
+#: Places of sequences put through the network at a time, to bound a task's memory.
+PLACES_TOGETHER = 1 << 14
 STATE = "epoch int, step int, params binary, acc binary, loss double, accuracy double, n bigint"
 
 
@@ -71,14 +71,29 @@ def vector_table(word_vectors: DataFrame, vocab: DataFrame, dim: int, idx: str =
     return table
 
 
-def _batches(batch: pa.RecordBatch, vectors: np.ndarray,
-             net: ConvNet) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """A few rows at a time, in their order, without the padding that does not count."""
-    for at in range(0, batch.num_rows, ROWS_TOGETHER):
-        part = batch.slice(at, ROWS_TOGETHER)
-        seqs = part.column("seq").flatten().to_numpy().reshape(part.num_rows, -1)
-        used = np.flatnonzero(seqs.any(axis=0))
-        yield part, vectors[seqs[:, :net.needed(int(used[-1]) + 1 if len(used) else 0)]]
+def _batches(batch: pa.RecordBatch, net: ConvNet) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A few sequences of like length at a time, without the padding that does not count:
+    (sequences, the rows that have them, the sequence of each row). Rows of one text stand
+    together (one for each of its labels) and have one sequence."""
+    seqs = batch.column("seq").flatten().to_numpy().reshape(batch.num_rows, -1)
+    start = np.flatnonzero(np.r_[True, (seqs[1:] != seqs[:-1]).any(axis=1)])
+    count = np.diff(np.r_[start, len(seqs)])
+    seqs = seqs[start]
+    filled = np.where(seqs.any(axis=1), seqs.shape[1] - (seqs[:, ::-1] != 0).argmax(axis=1), 0)
+    order = np.argsort(filled, kind="stable")
+    sizes, back = np.unique(filled[order], return_inverse=True)
+    need = np.array([net.needed(int(f)) for f in sizes])[back]
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * need[end] <= PLACES_TOGETHER:
+            end += 1
+        some = order[at:end]
+        n = count[some]
+        of = np.repeat(np.arange(len(some)), n)
+        rows = np.arange(len(of)) + np.repeat(start[some] - (np.cumsum(n) - n), n)
+        yield seqs[some, :need[end - 1]].astype(np.intp), rows, of
+        at = end
 
 
 def _gradient_task(net: ConvNet, shared):
@@ -87,15 +102,23 @@ def _gradient_task(net: ConvNet, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params, vectors = shared.value
         shaped = net.shaped(params)
+        table = net.table(shaped, vectors)
+        words = np.zeros((net.kernel, len(vectors), net.channels))
+        met = np.zeros(len(vectors), dtype=bool)
         total, loss, n = None, 0.0, 0
         for batch in batches:
-            for part, x in _batches(batch, vectors, net):
-                labels = part.column("label").to_numpy().astype(np.int64) - 1
-                own, grads = net.gradient(shaped, x, labels)
+            if not batch.num_rows:
+                continue
+            labels = batch.column("label").to_numpy().astype(np.int64) - 1
+            for seqs, rows, of in _batches(batch, net):
+                met[seqs] = True
+                own, grads = net.gradient(shaped, seqs, labels[rows], of, table, words)
                 flat = net.flat(grads).astype(np.float64)
                 total = flat if total is None else total + flat
-                loss, n = loss + own, n + len(labels)
+                loss, n = loss + own, n + len(rows)
         if total is not None:
+            first = net.first(vectors, words, met).ravel()
+            total[:len(first)] += first
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([TaskContext.get().partitionId()], pa.int32()),
                 "g": pa.array([total.tobytes()], pa.binary()), "loss": [loss],
@@ -159,14 +182,18 @@ class SequenceModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             params, vectors = shared.value
             shaped = net.shaped(params)
+            table = net.table(shaped, vectors)
             for batch in batches:
-                for part, x in _batches(batch, vectors, net):
-                    p = np.exp(net.forward(shaped, x)).astype(np.float64)
-                    ends = np.arange(len(p) + 1, dtype=np.int32) * net.classes
-                    yield pa.RecordBatch.from_arrays([
-                        part.column("key"), part.column("label"),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(p.ravel()))],
-                        names=["key", "label", "p"])
+                if not batch.num_rows:
+                    continue
+                p = np.empty((batch.num_rows, net.classes))
+                for seqs, at, of in _batches(batch, net):
+                    p[at] = np.exp(net.forward(shaped, seqs, table=table))[of]
+                ends = np.arange(len(p) + 1, dtype=np.int32) * net.classes
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("key"), batch.column("label"),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(p.ravel()))],
+                    names=["key", "label", "p"])
 
         out = rows.select(F.col(key).alias("key"), F.col(label).cast("double").alias("label"), "seq") \
             .mapInArrow(run, f"key {kind}, label double, p array<double>")
