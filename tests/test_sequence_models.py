@@ -37,6 +37,28 @@ def test_sequences_keep_every_article(articles):
     assert all(all(r.seq[:30]) and not any(r.seq[30:]) for r in rows if r.article_id % 30)
 
 
+def test_texts_with_several_labels_are_taken_apart_once(spark, articles, monkeypatch):
+    """Rows of a key share one sequence of all their places; equal texts are tokenised once."""
+    _, sequences = articles
+    idx = {r.word: r.idx for r in sequences.vocab.collect()}
+    docs = spark.createDataFrame(
+        [(1, "alpha none beta", 1), (1, "alpha none beta", 2), (2, "gamma", 1), (2, "delta omega", 2),
+         (3, "kappa", 1), (4, None, 1), (4, None, 2), (None, "alpha", 1)],
+        "article_id long, content string, label int")
+    seen = []
+    inner = TX.tokenize
+    monkeypatch.setattr(K.TX, "tokenize", lambda df, *a: (seen.append(df.count()), inner(df, *a))[1])
+    rows = sequences.of(docs, "article_id", "content", ["label"]).collect()
+    want = {1: ["alpha", "alpha", "beta", "beta"], 2: sorted(["gamma", "delta"], key=idx.get) + ["omega"],
+            3: ["kappa"], 4: [], None: []}
+    assert sorted((r.article_id or 0, r.label) for r in rows) == [
+        (0, 1), (1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (4, 1), (4, 2)]
+    for r in rows:
+        words = [idx[w] for w in want[r.article_id]]
+        assert list(r.seq) == words + [0] * (40 - len(words))
+    assert seen == [6]
+
+
 def test_restart_gives_the_same_model(spark, articles, tmp_path):
     docs, sequences = articles
     run = {"epochs": 3, "batches": 2, "rate": 0.05, "top_k": 1, "seed": 4, **LAYERS}

@@ -103,12 +103,15 @@ def unk_count(encoded: DataFrame, idx: str = "idx", out: str = "unk_count") -> D
 
 
 def index_sequences(encoded: DataFrame, doc: str = "doc_id", pos: str = "pos",
-                    idx: str = "idx", out: str = "seq") -> DataFrame:
+                    idx: str = "idx", out: str = "seq", times: str | None = None) -> DataFrame:
     """Per document, its indexes in word order: ``(doc, seq array<int>)``. One
-    document's positions come together (a document is one input row already)."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(idx).alias("i"))))
-    return (encoded.groupBy(doc).agg(ordered.alias("_s"))
-            .select(doc, F.transform("_s", lambda s: s["i"]).alias(out)))
+    document's positions come together (a document is one input row already). With
+    ``times`` a position stands for so many equal ones."""
+    own = [F.col(times).alias("n")] if times else []
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(idx).alias("i"), *own)))
+    seq = F.flatten(F.transform("_s", lambda s: F.array_repeat(s["i"], s["n"]))) if times \
+        else F.transform("_s", lambda s: s["i"])
+    return encoded.groupBy(doc).agg(ordered.alias("_s")).select(doc, seq.alias(out))
 
 
 def pad(df: DataFrame, col: str, length: int, side: str = "post", value: int = 0,

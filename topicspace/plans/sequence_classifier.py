@@ -49,10 +49,13 @@ class Sequences:
 
     def of(self, docs: DataFrame, key: str, text: str, carry: list[str]) -> DataFrame:
         """``(key, carry..., seq)``: the first ``length`` vocabulary words of each text
-        as indexes, padded with 0 at the end; a text without any is all padding."""
-        toks = TX.tokenize(docs.select(key, *carry, text), text, "tokens", "words", self.min_len)
-        enc = TX.encode(toks, key, "tokens", self.vocab, oov="drop")
-        seqs = TX.index_sequences(enc, key)
+        as indexes, padded with 0 at the end; a text without any is all padding. The rows of
+        a key (one for each label) have one sequence, in which a word stands as often as its
+        place has it in all of them; a text that several have is taken apart once."""
+        texts = docs.groupBy(key, text).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+        toks = TX.tokenize(texts, text, "tokens", "words", self.min_len)
+        enc = TX.encode(toks, key, "tokens", self.vocab, oov="drop", carry=["_n"])
+        seqs = TX.index_sequences(enc, key, times="_n")
         joined = docs.select(key, *carry).join(seqs, key, "left").withColumn(
             "seq", F.coalesce("seq", F.array().cast("array<int>")))
         return TX.pad(joined, "seq", self.length, "post").select(key, *carry, "seq")
